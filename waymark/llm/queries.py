@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, packing, pii, quality, url_filter, warc
+from . import embedding_join, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, url_filter, warc
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_warc_derivatives": lambda s, d: warc.derivatives(warc.responses(read(s, d, "pages"))),
     "op2_pii": lambda s, d: pii.digest(read(s, d, "documents")),
+    "op3_ngram_join": lambda s, d: ngram_join.near_groups(read(s, d, "documents")),
+    "op4_embedding_join": lambda s, d: embedding_join.near_vectors(read(s, d, "embeddings")),
     "op5_mixing": lambda s, d: mixing.taken(mixing.mix(read(s, d, "documents"))).drop("shard"),
     "op6_url_filter": lambda s, d: url_filter.judge(read(s, d, "pages").select("page_id", "url"), url_filter.RULES).drop("url"),
     "op7_line_dedup": lambda s, d: line_dedup.drop_repeated_lines(read(s, d, "documents")),
@@ -25,6 +27,8 @@ QUERIES: dict[str, Query] = {
 ORACLE: dict[str, str] = {
     "op1_warc_derivatives": warc.ORACLE,
     "op2_pii": pii.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
+    "op4_embedding_join": embedding_join.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
