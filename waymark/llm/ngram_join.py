@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ N, PERCENT = 4, 85
 #: part is so many times the distance allowed. Neighbouring classes overlap, so two similar sets share one.
 CLASSES = ((0, None), (85, 3.3), (340, 2.0), (1700, 1.6), (6000, 1.35))
 BITS = 48
-#: Members of a posting list that meet all others of it in one round.
-PIVOTS, STARS = 32, 3
+#: Rounds in which sets meet list heads; sets that are compared with one another at once.
+STARS, BLOCK = 2, 256
 
 
 def size_classes(percent: int, classes: tuple = CLASSES) -> list[tuple[int, int, int]]:
@@ -121,6 +122,60 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets reach the similarity, as a square matrix: shared members are counted by products of 0/1 matrices."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    members, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    frequent = np.bincount(at, minlength=len(members)) > 1
+    at, owner = (np.cumsum(frequent) - 1)[at[frequent[at]]], owner[frequent[at]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(frequent.sum()), 8192):
+        here = (at >= low) & (at < low + 8192)
+        part = np.zeros((len(sets), 8192), np.float32)
+        part[owner[here], at[here] - low] = 1
+        both += part @ part.T
+    return (100 * both >= percent * (sizes[:, None] + sizes - both)) & (both > 0)
+
+
+def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (first, member) of each component of a symmetric matrix."""
+    left, out = set(range(len(linked))), []
+    while left:
+        root = left.pop()
+        edge = [root]
+        while edge:
+            near = [x for x in np.flatnonzero(linked[edge].any(0)).tolist() if x in left]
+            left.difference_update(near)
+            out += [(root, x) for x in near]
+            edge = near
+    return out
+
+
+def blockwise(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what links join inside each family of members (doc, family). A family is dealt by hash into
+    blocks of about BLOCK; each pair of blocks is a task's group, thus no group grows with its family. Small families
+    share groups."""
+    sizes = cut(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.count("*").alias("size")))
+    some = max(1, -(-members.count() // BLOCK))
+    here = members.join(sizes.where("size > 1"), "family").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "doc"), "k"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    here = here.withColumn("j", others).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
+    small = F.col("k") == 1
+    group = F.when(small, F.pmod(F.xxhash64("family"), F.lit(some))).otherwise(F.xxhash64("family", "lo", "hi"))
+    here = here.select("doc", F.when(small, F.col("family")).otherwise(0).alias("family"), small.alias("small"), group.alias("g"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, part in rows.groupby("family", sort=False):
+            docs = part["doc"].to_numpy()
+            found = _linked(list(shingle_sets(part["text"].tolist(), n)), percent)
+            out += [(docs[x], docs[y]) for x, y in _spanning(found)]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return here.join(texts, "doc").groupBy("small", "g").applyInPandas(run, "a long, b long")
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key reachable by links).
 
@@ -136,8 +191,9 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
        alone. Similar sets share a token in the prefixes under each. Posting lists of the first order propose pairs; the
        pairs whose second or third prefixes are disjoint go; the whole texts of the others decide.
     4. Lists are not expanded into all pairs. First each set meets the list head that most of its lists have, and links
-       merge components; lists whose members are all in one component are done. Members of the others then meet, a few
-       dozen per list and round, those of other components, till no list is left.
+       merge components; lists whose members are all in one component are done. What the others hold falls into families,
+       in which lists of the first order, and lists of the third, connect all members; each family's sets are compared
+       block by block, and only the edges that span a block's components come out.
     If a set has too few hashes in its part (odds below one in a million), all use the whole space."""
     rows = _rows(df, key, text)
     classes = CLASSES
@@ -181,29 +237,38 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
 
     links: DataFrame | None = None
     labels = posts.select(F.col("doc").alias("node"), F.col("doc").alias("component")).distinct()
-    for turn in range(STARS + 10_000):
-        held = posts.join(labels, F.col("doc") == F.col("node")).drop("node")
-        open_ = held.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), "doc", "n", "component")).alias("head")).where("x <> y")
-        open_ = cut(open_.drop("x", "y"))
-        if open_.isEmpty():
-            break
-        held = held.join(open_, "token").withColumn("c", F.shiftright("token", BITS).cast("int"))
-        if turn < STARS:
-            meet = held.where((F.col("component") != F.col("head.component")) & fits(F.col("n"), F.col("head.n")))
-            votes = meet.groupBy("doc", "c", F.col("head.doc").alias("head")).count()
-            best = votes.groupBy("doc").agg(F.max(F.struct("count", "head", "c")).alias("z"))
-            pairs = best.select(F.col("z.head").alias("a"), F.col("doc").alias("b"), F.col("z.c").alias("c"))
-        else:
-            held = cut(held.drop("head").withColumn("at", F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("doc"), "doc"))))
-            x, y = held.where(F.col("at") <= PIVOTS).alias("x"), held.alias("y")
-            on = (F.col("x.token") == F.col("y.token")) & (F.col("x.at") < F.col("y.at")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"))
-            pairs = x.join(y, on).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), F.col("x.c").alias("c")).distinct()
-            posts = held.where(F.col("at") > PIVOTS).select("doc", "n", "token")
+
+    def merged() -> DataFrame:
+        found = components(links).withColumnRenamed("node", "k")
+        return cut(labels.select("node").join(found, F.col("node") == F.col("k"), "left").select("node", F.coalesce("component", "node").alias("component")))
+
+    def opened(lists: DataFrame, turn: int) -> DataFrame:
+        """Postings of lists that have several components, with each list's head by a hash of the turn."""
+        held = cut(lists.join(labels, F.col("doc") == F.col("node")).drop("node"))
+        head = F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), "doc", "n", "component")).alias("head")
+        several = held.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), head).where("x <> y")
+        return held.join(cut(several.select("token", "head")), "token")
+
+    for turn in range(STARS):
+        held = opened(posts, turn).withColumn("c", F.shiftright("token", BITS).cast("int"))
+        meet = held.where((F.col("component") != F.col("head.component")) & fits(F.col("n"), F.col("head.n")))
+        votes = meet.groupBy("doc", "c", F.col("head.doc").alias("head")).count()
+        best = votes.groupBy("doc").agg(F.max(F.struct("count", "head", "c")).alias("z"))
+        pairs = cut(best.select(F.col("z.head").alias("a"), F.col("doc").alias("b"), F.col("z.c").alias("c")))
         new = cut(check(pairs))
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
-            found = components(links)
-            labels = cut(labels.select("node").join(found.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select("node", F.coalesce("component", "node").alias("component")))
+            labels = merged()
+
+    family = posts.select("doc").distinct().withColumn("family", F.lit(0).cast("long"))
+    for lists in (posts, prefixes.select("doc", "n", F.explode("p3").alias("token"))):
+        held = cut(opened(lists.join(family.select("doc"), "doc", "left_semi"), STARS).select("doc", F.col("head.doc").alias("head")).distinct())
+        found = components(held, "head", "doc")
+        family = cut(family.join(found.withColumnRenamed("node", "doc"), "doc").select("doc", F.xxhash64("family", "component").alias("family")))
+    if not family.isEmpty():
+        new = cut(blockwise(family, texts, n, percent))
+        links = links.unionByName(new)
+        labels = merged()
 
     moved = cut(labels.where("node <> component").select(F.col("node").alias("rep"), "component"))
     per = cut(sets.select("n", "s1", "s2", "rep").join(moved, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component")))
