@@ -82,8 +82,10 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
         part = F.floor(F.col("total") * ((F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo")))).cast("long")
         start = F.struct(part.alias("left"), F.col("total").alias("all"), F.array().cast("array<bigint>").alias("out"))
 
-        def draw(a: Column, k: Column, level: int = level) -> Column:
-            x = hypergeometric(a["all"], k, a["left"], _uniform(F.lit(level), F.col("lo"), F.size(a["out"]))).cast("long")
+        depth = F.lit(level)
+
+        def draw(a: Column, k: Column) -> Column:
+            x = hypergeometric(a["all"], k, a["left"], _uniform(depth, F.col("lo"), F.size(a["out"]))).cast("long")  # noqa: B023 (used at once)
             one = F.transform(F.array(x), lambda v: F.struct((a["left"] - v).alias("left"), (a["all"] - k).alias("all"), F.concat(a["out"], F.array(v)).alias("out")))
             return F.element_at(one, 1)
 
