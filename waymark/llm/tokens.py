@@ -2,57 +2,76 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 #: Words that a worker remembers before it forgets them all.
-REMEMBERED = 400_000
-#: Control characters that Python, but no tokenizer, takes for white space.
-_ODD = re.compile("[\x1c-\x1f]")
+REMEMBERED = 1_000_000
+#: Parts the words that are encoded together: it's a token of its own between blanks. Words that hold it go alone.
+MARK = "~"
+
+
+class _Known(dict):
+    """Words' numbers; a word that isn't known yet gets the next one and is listed in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = k = len(self)
+        return k
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space and treats what stands between it alone: each distinct word is
-    encoded once. tests/llm holds it against the tokenizer's own ids of whole texts."""
+    """Ids of texts by a tokenizer that lower-cases, drops white space and treats what stands between it alone: words are
+    told apart by ASCII white space, and each that is new is encoded once. Texts with "<|", which may hold special tokens,
+    are encoded whole. tests/llm holds this against the tokenizer's own ids of whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.known = _Known()
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        for e in range(0, len(words), 4096):
-            part = words[e : e + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids, k = found.ids, len(self.at)
-                if self.used + len(ids) > len(self.ids):
-                    self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(ids)))
-                if k == len(self.starts):
-                    self.starts, self.lengths = np.resize(self.starts, 2 * k), np.resize(self.lengths, 2 * k)
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.starts[k], self.lengths[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.at[word] = k
+    def _learn(self) -> None:
+        words, self.known.new = self.known.new, []
+        k = len(self.known) - len(words)
+        while len(self.known) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.starts))
+        parts = [words[e : e + 128] for e in range(0, len(words), 128)]
+        if any(MARK.encode() in w for w in words):
+            parts = [[w] for w in words]
+        joined = [f" {MARK} ".join([w.decode() for w in part]) for part in parts]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.mark) if len(part) > 1 else [], len(ids)).astype(np.int64)
+            starts = np.append(0, ends[:-1] + 1)
+            assert len(ends) == len(part)
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * len(self.ids))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.starts[k : k + len(part)], self.lengths[k : k + len(part)] = self.used + starts, ends - starts
+            self.used += len(ids)
+            k += len(part)
 
     def encode(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
+        if "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.split()
-        if len(self.at) > REMEMBERED:
-            self.clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.at))
-        if new:
-            self._learn(new)
+        words = text.encode().lower().split()
         if not words:
             return np.empty(0, np.uint32)
-        k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if len(self.known) > REMEMBERED:
+            self.clear()
+        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn()
         lengths = self.lengths[k]
         ends = np.cumsum(lengths)
         return self.ids[np.repeat(self.starts[k] - ends + lengths, lengths) + np.arange(ends[-1])]
