@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +19,27 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long") % MODULUS
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f's own lambdas use it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def line_chunks(text: Column) -> Column:
     """Array of (start line, lines, chunk): rolling hashes over line hashes choose the ends, so that lines put in before
     a passage move its boundaries with it. Null text has no chunk."""
-    lines = F.split(text, "\n", -1)
-    hashed = F.transform(lines, line_hash)
-    ends = F.filter(
+    ends = lambda lines, hashed: F.filter(
         F.sequence(F.lit(1), F.size(lines)),
         lambda i: (i == F.size(lines))
         | ((F.element_at(hashed, i) * BASE + F.when(i > 1, F.element_at(hashed, F.greatest(i - 1, F.lit(1)))).otherwise(0)) % EVERY == 0),
     )
-    runs = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))), ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pieces = F.flatten(F.transform(runs, lambda r: F.transform(
+    runs = lambda e: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)), e, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pieces = lambda e: F.flatten(F.transform(runs(e), lambda r: F.transform(
         F.sequence(r["a"] + 1, r["b"], F.lit(MOST)),
         lambda s: F.struct(s.alias("start"), F.least(F.lit(MOST), r["b"] - s + 1).alias("lines")),
     )))
-    cut_out = F.transform(pieces, lambda p: F.struct(p["start"].alias("start"), p["lines"].alias("lines"), F.array_join(F.slice(lines, p["start"], p["lines"]), "\n").alias("chunk")))
-    return F.when(text.isNotNull(), cut_out)
+    cut_out = lambda lines, p: F.struct(p["start"].alias("start"), p["lines"].alias("lines"), F.array_join(F.slice(lines, p["start"], p["lines"]), "\n").alias("chunk"))
+    chunks = let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, line_hash), lambda hashed: let(ends(lines, hashed), lambda e: F.transform(pieces(e), lambda p: cut_out(lines, p)))))
+    return F.when(text.isNotNull(), chunks)
 
 
 def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,7 +65,6 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text")
         .where((F.coalesce("doc_id", F.lit(LAST)) != F.col("first")) | (F.col("at") != F.col("first_at")))
         .groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
     )
-    chunks = F.coalesce(line_chunks(F.col("text")), F.array())
     at = docs.join(gone.withColumnRenamed("doc_id", "g_id").withColumnRenamed("th", "g_th"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
     at = at.select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     at = at.withColumn("chunks", F.when(F.col("text").isNotNull(), line_chunks(F.col("text"))))
