@@ -64,3 +64,11 @@ def test_missed_control_drops_the_track(spark):
 
 def test_clean(spark):
     assert spark.range(1).select(text.clean(F.lit("  a \t b\n\n\n\nc ")).alias("t")).first().t == "a b\n\nc"
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+
+    root = __import__("pathlib").Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries()"], cwd=root, check=True, timeout=120)

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
-BY_ORDER = Window.partitionBy("course_id").orderBy("ord")
-WHOLE = Window.partitionBy("course_id")
 DOGLEG, TURN_CLOSE, PARALLEL = 20.0, 60.0, 20.0
 
 
+# Windows are made when asked for: they need a session, which importing must not.
+def by_order() -> WindowSpec:
+    return Window.partitionBy("course_id").orderBy("ord")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("course_id")
+
+
 def legs(controls: DataFrame, crs: str = "wgs84") -> DataFrame:
     """controls with n, leg_in, leg_out, bearing_in, bearing_out, turn (0 is straight on), back (angle between the way in
     and the way out reversed: 0 is a dog-leg), position_ratio. Rows with a null place have null measures."""
     x, y = F.col("lng"), F.col("lat")
-    px, py, nx, ny = F.lag(x).over(BY_ORDER), F.lag(y).over(BY_ORDER), F.lead(x).over(BY_ORDER), F.lead(y).over(BY_ORDER)
-    one = controls.withColumns({"px": px, "py": py, "nx": nx, "ny": ny, "n": F.count("*").over(WHOLE), "rn": F.row_number().over(BY_ORDER)})
+    px, py, nx, ny = F.lag(x).over(by_order()), F.lag(y).over(by_order()), F.lead(x).over(by_order()), F.lead(y).over(by_order())
+    one = controls.withColumns({"px": px, "py": py, "nx": nx, "ny": ny, "n": F.count("*").over(whole()), "rn": F.row_number().over(by_order())})
     p, n = (F.col("px"), F.col("py"), x, y), (x, y, F.col("nx"), F.col("ny"))
     two = one.withColumns({"leg_in": geo.distance(*p, crs), "leg_out": geo.distance(*n, crs), "bearing_in": geo.bearing(*p), "bearing_out": geo.bearing(*n)})
     return two.withColumns({
@@ -46,7 +53,7 @@ def grade_pd(climb: Column, length: Column) -> Column:
 
 def climb(controls: DataFrame) -> DataFrame:
     """Per course climb and descent against the last elevation that isn't null."""
-    before = F.last("ele", ignorenulls=True).over(BY_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last("ele", ignorenulls=True).over(by_order().rowsBetween(Window.unboundedPreceding, -1))
     step = controls.withColumn("step", F.col("ele") - before)
     return step.groupBy("course_id").agg(
         F.coalesce(F.sum(F.greatest("step", F.lit(0.0))), F.lit(0.0)).alias("climb"), F.coalesce(F.sum(F.greatest(-F.col("step"), F.lit(0.0))), F.lit(0.0)).alias("descent"), F.count("ele").alias("n_ele"),
@@ -121,7 +128,7 @@ def report(controls: DataFrame) -> DataFrame:
 def longest_run(controls: DataFrame, angle: float = 60.0) -> DataFrame:
     """Longest run of successive legs that turn by less than an angle, and its score."""
     l = legs(controls).where("leg_out IS NOT NULL")  # noqa: E741
-    cut = l.withColumn("run", F.sum(F.when(F.col("turn") < angle, 0).otherwise(1)).over(BY_ORDER))
+    cut = l.withColumn("run", F.sum(F.when(F.col("turn") < angle, 0).otherwise(1)).over(by_order()))
     runs = cut.groupBy("course_id", "n", "run").count().groupBy("course_id", "n").agg(F.max("count").alias("longest_run"))
     r = F.col("longest_run")
     score = F.when(F.col("n") < 4, 75.0).when(r <= 2, 100.0).when(r == 3, 70.0).when(r == 4, 40.0).otherwise(F.greatest(F.lit(0.0), 40.0 - (r - 4) * 15.0))
@@ -130,8 +137,8 @@ def longest_run(controls: DataFrame, angle: float = 60.0) -> DataFrame:
 
 def alternation(controls: DataFrame) -> DataFrame:
     """Share of changes between short and long among the legs that are neither near the mean."""
-    l = legs(controls).where("leg_in IS NOT NULL").withColumn("mean", F.avg("leg_in").over(WHOLE))  # noqa: E741
+    l = legs(controls).where("leg_in IS NOT NULL").withColumn("mean", F.avg("leg_in").over(whole()))  # noqa: E741
     kind = F.when(F.col("leg_in") < F.col("mean") * 0.8, "C").when(F.col("leg_in") > F.col("mean") * 1.2, "L")
-    k = l.withColumn("kind", kind).where("kind IS NOT NULL AND n >= 4").withColumn("last", F.lag("kind").over(BY_ORDER))
+    k = l.withColumn("kind", kind).where("kind IS NOT NULL AND n >= 4").withColumn("last", F.lag("kind").over(by_order()))
     out = k.groupBy("course_id").agg((F.count_if(F.col("last") != F.col("kind")) / F.when(F.count("*") > 1, F.count("*") - 1) * 100.0).alias("s"))
     return controls.select("course_id").distinct().join(out, "course_id", "left").select("course_id", F.coalesce("s", F.lit(75.0)).alias("score"))

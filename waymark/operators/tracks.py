@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
-BY_SEQ = Window.partitionBy("track_id").orderBy("seq")
+
+
+def by_seq() -> WindowSpec:
+    return Window.partitionBy("track_id").orderBy("seq")
 
 
 def steps(points: DataFrame) -> DataFrame:
     """points with metres and seconds since the point before."""
-    px, py, pt = (F.lag(c).over(BY_SEQ) for c in ("lng", "lat", "t_s"))
+    px, py, pt = (F.lag(c).over(by_seq()) for c in ("lng", "lat", "t_s"))
     one = points.withColumns({"px": px, "py": py, "pt": pt})
     return one.withColumn("metres", geo.haversine(F.col("px"), F.col("py"), F.col("lng"), F.col("lat"))).withColumn("seconds", F.col("t_s") - F.col("pt")).drop("px", "py", "pt")
 

@@ -64,7 +64,7 @@ def w04(s, d):
 
 @query("W05_cumulative_distance", LEGS + " SELECT course_id, ord, round(coalesce(sum(leg_in) OVER (PARTITION BY course_id ORDER BY ord), 0), 2) AS metres, round(coalesce(sum(leg_in) OVER (PARTITION BY course_id ORDER BY ord), 0) / 170.0::DOUBLE, 3) AS minutes FROM legs")
 def w05(s, d):
-    run = F.coalesce(F.sum("leg_in").over(C.BY_ORDER), F.lit(0.0))
+    run = F.coalesce(F.sum("leg_in").over(C.by_order()), F.lit(0.0))
     return C.legs(_c(s, d)).select("course_id", "ord", F.round(run, 2).alias("metres"), F.round(run / 170.0, 3).alias("minutes"))
 
 

@@ -99,7 +99,7 @@ def j32(s, d):
 @query("F11_F12_leg_times", LEGS + """, z AS (SELECT *, ele - lag(ele) OVER (PARTITION BY course_id ORDER BY ord) AS up FROM legs)
   SELECT course_id, ord, round(leg_in / (170 * 0.7 * exp(-3.5 * abs(up / leg_in + 0.05)) / exp(-0.175)), 3) AS minutes FROM z WHERE leg_in > 1 AND abs(up) < leg_in""")
 def f12(s, d):
-    z = C.legs(derived(s, d, "controls")).withColumn("up", F.col("ele") - F.lag("ele").over(C.BY_ORDER)).where("leg_in > 1 AND abs(up) < leg_in")
+    z = C.legs(derived(s, d, "controls")).withColumn("up", F.col("ele") - F.lag("ele").over(C.by_order())).where("leg_in > 1 AND abs(up) < leg_in")
     return z.select("course_id", "ord", F.round(F.col("leg_in") / (170 * 0.7 * geo.tobler(F.col("up") / F.col("leg_in"))), 3).alias("minutes"))
 
 
@@ -109,7 +109,7 @@ _GRAPH = LEGS + """, ed AS (SELECT course_id, round_even(lng, 6) || ',' || round
 
 def _graph(s, d):
     at = lambda x, y: F.concat(F.bround(F.col(x), 6).cast("string"), F.lit(","), F.bround(F.col(y), 6).cast("string"))
-    full = C.legs(derived(s, d, "controls").select("course_id", "ord", "lng", "lat")).withColumns({"nx": F.lead("lng").over(C.BY_ORDER), "ny": F.lead("lat").over(C.BY_ORDER)}).where("leg_out IS NOT NULL")
+    full = C.legs(derived(s, d, "controls").select("course_id", "ord", "lng", "lat")).withColumns({"nx": F.lead("lng").over(C.by_order()), "ny": F.lead("lat").over(C.by_order())}).where("leg_out IS NOT NULL")
     x = full.select((F.col("course_id") % 16).alias("area_id"), at("lng", "lat").alias("a"), at("nx", "ny").alias("b"), F.col("leg_out").alias("w")).where("a <> b")
     return x.groupBy("area_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min("w").alias("weight"))
 
