@@ -83,6 +83,24 @@ def tobler(slope: Column) -> Column:
     return F.exp(-3.5 * F.abs(slope + 0.05)) / math.exp(-0.175)
 
 
+def mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """Web-Mercator metres of degrees."""
+    return F.radians(x) * 6378137.0, F.ln(F.tan(math.pi / 4 + F.radians(y) / 2)) * 6378137.0
+
+
+def from_mercator(east: Column, north: Column) -> tuple[Column, Column]:
+    return F.degrees(east / 6378137.0), F.degrees(2 * F.atan(F.exp(north / 6378137.0)) - math.pi / 2)
+
+
+def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue in degrees, saturation and value (0 to 1) of a colour of 0 to 255."""
+    hi = F.greatest(r, g, b)
+    span = hi - F.least(r, g, b)
+    some = F.when(span > 0, span)
+    hue = F.when(span == 0, F.lit(0.0)).when(hi == r, F.pmod(60 * (g - b) / some, F.lit(360.0))).when(hi == g, 60 * (b - r) / some + 120).otherwise(60 * (r - g) / some + 240)
+    return hue, F.coalesce(span / F.when(hi > 0, hi), F.lit(0.0)), hi / 255
+
+
 # The same in DuckDB's SQL, for the oracles.
 def hav_sql(x1: str, y1: str, x2: str, y2: str) -> str:
     a = f"(power(sin(radians(({y2}) - ({y1})) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * power(sin(radians(({x2}) - ({x1})) / 2), 2))"

@@ -52,3 +52,18 @@ def category(symbol: Column) -> Column:
 
 def category_sql(c: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name in CATEGORIES) + " ELSE 'other' END"
+
+
+#: Colour classes of map symbols, the first range that fits: fixed ranges.
+COLOURS = ((101, 199, "brown_relief"), (201, 299, "black_detail"), (301, 399, "blue_water"), (401, 402, "yellow_open"), (403, 403, "white_forest"), (404, 407, "green_light"), (408, 420, "green_dense"), (421, 499, "green_light"), (501, 599, "black_detail"))
+
+
+def colour(symbol: Column) -> Column:
+    out = F.lit("white_forest")
+    for lo, hi, name in reversed(COLOURS):
+        out = F.when(symbol.between(lo, hi), name).otherwise(out)
+    return out
+
+
+def colour_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name in COLOURS) + " ELSE 'white_forest' END"
