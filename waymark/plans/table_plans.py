@@ -164,3 +164,39 @@ def r07(s, d):
     v = raw(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
     asked = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     return X.top_matches(asked, v.where("label IN (0, 3, 7)"), 5).select("query_id", "id", F.round("score", 4).alias("score"))
+
+
+@query("J03_K01_consented", "SELECT l_orderkey AS course_id, l_linenumber AS ord, l_partkey AS control_id, coalesce(nullif(l_suppkey % 6, 0), o_custkey % 6) AS td FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F'")
+def j03(s, d):
+    """Control rows of contributions that may be exported; a control's own grade goes before its contribution's."""
+    o = raw(s, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("course_id"), (F.col("o_custkey") % 6).alias("td"))
+    rows = raw(s, d, "lineitem").select(F.col("l_orderkey").alias("course_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("control_id"), F.nullif(F.col("l_suppkey") % 6, F.lit(0)).alias("own"))
+    return rows.join(o, "course_id").select("course_id", "ord", "control_id", F.coalesce("own", "td").alias("td"))
+
+
+@query("K10_delete_dependants", "SELECT l_orderkey AS course_id, l_linenumber AS ord FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def k10(s, d):
+    """What remains of the control rows when some contributions are deleted."""
+    gone = raw(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("course_id"))
+    return raw(s, d, "lineitem").select(F.col("l_orderkey").alias("course_id"), F.col("l_linenumber").alias("ord")).join(gone, "course_id", "left_anti")
+
+
+@query("S25_elevation", ctes("controls", "candidates") + """, dem AS (SELECT floor(lng / 0.00051) AS cx, floor(lat / 0.00051) AS cy, round(avg(ele), 2) AS z FROM controls GROUP BY ALL)
+  SELECT cand_id, coalesce(z, 0) AS z FROM candidates LEFT JOIN dem ON cx = floor((lng + 0.00003) / 0.00051) AND cy = floor((lat + 0.00003) / 0.00051)""")
+def s25(s, d):
+    """Heights of points from a table of cells; 0 where there is none."""
+    cx, cy = geo.cell(F.col("lng"), 0.00051).alias("cx"), geo.cell(F.col("lat"), 0.00051).alias("cy")
+    dem = derived(s, d, "controls").groupBy(cx, cy).agg(F.round(F.avg("ele"), 2).alias("z"))
+    points = derived(s, d, "candidates").select("cand_id", (F.col("lng") + 0.00003).alias("lng"), (F.col("lat") + 0.00003).alias("lat")).select("cand_id", cx, cy)
+    return points.join(dem, ["cx", "cy"], "left").select("cand_id", F.coalesce("z", F.lit(0.0)).alias("z"))
+
+
+@query("W21_bends", _T + f""", l AS (SELECT track_id, seq, lng, lat, lag(lng) OVER o AS px, lag(lat) OVER o AS py, lead(lng) OVER o AS nx, lead(lat) OVER o AS ny FROM track_points WINDOW o AS (PARTITION BY track_id ORDER BY seq))
+  SELECT track_id, seq FROM l WHERE px IS NULL OR nx IS NULL OR {geo.between_sql(geo.bearing_sql('lng', 'lat', 'px', 'py'), geo.bearing_sql('lng', 'lat', 'nx', 'ny'))} < 150""")
+def w21(s, d):
+    """Ends of a line, and vertices where it bends to less than 150 degrees."""
+    w = Window.partitionBy("track_id").orderBy("seq")
+    x, y = F.col("lng"), F.col("lat")
+    back, on = geo.bearing(x, y, F.lag("lng").over(w), F.lag("lat").over(w)), geo.bearing(x, y, F.lead("lng").over(w), F.lead("lat").over(w))
+    bent = derived(s, d, "track_points").select("track_id", "seq", geo.between(back, on).alias("angle"))
+    return bent.where("angle IS NULL OR angle < 150").select("track_id", "seq")
