@@ -30,3 +30,22 @@ def top_matches(queries: DataFrame, corpus: DataFrame, k: int, block: int = 32)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(dot, 6)))
     return rows.select(F.col("z.query_id").alias("query_id"), "id", score.alias("score")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def paragraphs(df: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(doc_id, ord, chunk): paragraphs of the cleaned text packed into chunks of at most `size` characters; a longer
+    paragraph is cut into pieces that overlap. Null and blank texts have no chunk."""
+    blank = lambda c: F.regexp_replace(c, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    parts = F.filter(F.transform(F.split(clean(F.col("text")), "\n\n"), blank), lambda p: F.length(p) > 0)
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+    held = lambda s: F.when(F.length(s["now"]) > 0, F.array_append(s["done"], s["now"])).otherwise(s["done"])
+
+    def step(s: Column, p: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(size - overlap)), lambda i: F.substring(p, i + 1, F.lit(size)))
+        joined = F.when(F.length(s["now"]) > 0, F.concat(s["now"], F.lit("\n\n"), p)).otherwise(p)
+        full = F.length(s["now"]) + F.length(p) > size
+        return F.when(F.length(p) > size, state(F.concat(held(s), pieces), F.lit(""))).when(full, state(held(s), p)).otherwise(state(s["done"], joined))
+
+    empty = F.array().cast("array<string>")
+    chunks = F.aggregate(parts, state(empty, F.lit("")), step, held)
+    return df.where("text IS NOT NULL").select("doc_id", F.posexplode(chunks).alias("ord", "chunk"))

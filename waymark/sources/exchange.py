@@ -12,7 +12,12 @@ KML = "struct<Document:struct<Placemark:array<struct<name:string,Point:struct<co
 OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 
 
-def _text(c: Column) -> Column:
+def once(c: Column) -> Column:
+    """c, computed once a row: what explode makes isn't copied into each of its uses, as a plain column would be."""
+    return F.explode(F.array(c))
+
+
+def escaped(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
@@ -23,7 +28,7 @@ def _joined(df: DataFrame, key: str, order: str, piece: Column, name: str) -> Da
 
 def to_gpx(points: DataFrame, key: str, order: str, tag: str = "trkpt", name: Column | None = None) -> DataFrame:
     """(key, gpx): a track (tag trkpt) or waypoints (tag wpt) of each key's rows with lng and lat."""
-    inner = F.lit("") if name is None else F.concat(F.lit("<name>"), _text(name), F.lit("</name>"))
+    inner = F.lit("") if name is None else F.concat(F.lit("<name>"), escaped(name), F.lit("</name>"))
     piece = F.concat(F.lit(f'<{tag} lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lng").cast("string"), F.lit('">'), inner, F.lit(f"</{tag}>"))
     head, foot = ("<trk><trkseg>", "</trkseg></trk>") if tag == "trkpt" else ("", "")
     body = _joined(points, key, order, piece, "body")
@@ -44,7 +49,7 @@ def read_gpx(files: DataFrame, key: str, content: str = "gpx", waypoints: bool =
     """(key, seq, lng, lat, name): track points in document order, waypoints where a file has no track point or when asked
     for. Any namespace or none."""
     g = F.from_xml(content, GPX, OPTIONS)
-    got = files.select(key, g.alias("g"))
+    got = files.select(key, once(g).alias("g"))
     track = F.flatten(F.flatten(F.transform("g.trk", lambda t: F.transform(t["trkseg"], lambda s: F.coalesce(s["trkpt"], F.array().cast(f"array<{_POINT}>"))))))
     points = F.col("g.wpt") if waypoints else F.when(F.size(F.coalesce(track, F.array().cast(f"array<{_POINT}>"))) > 0, track).otherwise(F.col("g.wpt"))
     return _numbered(got, key, _placed(points))
@@ -52,7 +57,7 @@ def read_gpx(files: DataFrame, key: str, content: str = "gpx", waypoints: bool =
 
 def to_kml(points: DataFrame, key: str, order: str, name: Column) -> DataFrame:
     coordinates = F.concat_ws(",", F.col("lng").cast("string"), F.col("lat").cast("string"), F.lit("0"))
-    piece = F.concat(F.lit("<Placemark><name>"), _text(name), F.lit("</name><Point><coordinates>"), coordinates, F.lit("</coordinates></Point></Placemark>"))
+    piece = F.concat(F.lit("<Placemark><name>"), escaped(name), F.lit("</name><Point><coordinates>"), coordinates, F.lit("</coordinates></Point></Placemark>"))
     return _joined(points, key, order, piece, "body").select(key, F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), "body", F.lit("</Document></kml>")).alias("kml"))
 
 
@@ -64,7 +69,7 @@ def read_kml(files: DataFrame, key: str, content: str = "kml") -> DataFrame:
         c = F.split(F.trim(m["Point"]["coordinates"]), ",")
         return F.struct(F.get(c, F.lit(0)).try_cast("double").alias("x"), F.get(c, F.lit(1)).try_cast("double").alias("y"), m["name"].alias("name"))
 
-    return _numbered(files.select(key, F.from_xml(content, KML, OPTIONS).alias("k")), key, F.transform(marks, point))
+    return _numbered(files.select(key, once(F.from_xml(content, KML, OPTIONS)).alias("k")), key, F.transform(marks, point))
 
 
 def to_geojson(points: DataFrame, *properties: str) -> DataFrame:
@@ -75,12 +80,12 @@ def to_geojson(points: DataFrame, *properties: str) -> DataFrame:
 
 def read_geojson(lines: DataFrame, properties: str, content: str = "feature") -> DataFrame:
     f = F.from_json(content, f"geometry struct<coordinates:array<double>>, properties struct<{properties}>")
-    return lines.select(f.alias("f")).select("f.properties.*", F.get("f.geometry.coordinates", F.lit(0)).alias("lng"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"))
+    return lines.select(once(f).alias("f")).select("f.properties.*", F.get("f.geometry.coordinates", F.lit(0)).alias("lng"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"))
 
 
 def read_course_json(files: DataFrame, key: str, content: str) -> DataFrame:
     """(key, ord, x, y, code) of JSON with parallel arrays xpos, ypos and codes: three controls at least, equal lengths."""
-    c = files.select(key, F.from_json(content, "xpos array<double>, ypos array<double>, codes array<string>").alias("c")).select(key, "c.*")
+    c = files.select(key, once(F.from_json(content, "xpos array<double>, ypos array<double>, codes array<string>")).alias("c")).select(key, "c.*")
     held = c.where((F.size("xpos") >= 3) & (F.size("xpos") == F.size("ypos")) & (F.size("xpos") == F.size("codes")))
     rows = held.select(key, F.posexplode(F.arrays_zip("xpos", "ypos", "codes")).alias("at", "z"))
     return rows.select(key, (F.col("at") + 1).alias("ord"), F.col("z.xpos").alias("x"), F.col("z.ypos").alias("y"), F.col("z.codes").alias("code"))
