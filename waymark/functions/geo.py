@@ -92,6 +92,11 @@ def from_mercator(east: Column, north: Column) -> tuple[Column, Column]:
     return F.degrees(east / 6378137.0), F.degrees(2 * F.atan(F.exp(north / 6378137.0)) - math.pi / 2)
 
 
+def affine(x: Column, y: Column, east: tuple[float, float, float], north: tuple[float, float, float]) -> tuple[Column, Column]:
+    """A pixel's place: each part is a * x + b * y + c."""
+    return x * east[0] + y * east[1] + east[2], x * north[0] + y * north[1] + north[2]
+
+
 def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Hue in degrees, saturation and value (0 to 1) of a colour of 0 to 255."""
     hi = F.greatest(r, g, b)

@@ -200,3 +200,49 @@ def w21(s, d):
     back, on = geo.bearing(x, y, F.lag("lng").over(w), F.lag("lat").over(w)), geo.bearing(x, y, F.lead("lng").over(w), F.lead("lat").over(w))
     bent = derived(s, d, "track_points").select("track_id", "seq", geo.between(back, on).alias("angle"))
     return bent.where("angle IS NULL OR angle < 150").select("track_id", "seq")
+
+
+@query("F24_minutes", _TIMES + " SELECT event_id, round(secs / 60, 4) AS minutes FROM t")
+def f24(s, d):
+    """Minutes of a time as text; none where it is no time."""
+    return _times(s, d).select("event_id", F.round(F.col("secs") / 60, 4).alias("minutes"))
+
+
+@query("A15_control_count", ctes("controls") + " SELECT course_id, greatest(count(*) - 2, 0) AS n FROM controls GROUP BY course_id HAVING greatest(count(*) - 2, 0) NOT BETWEEN 12 AND 28")
+def a15(s, d):
+    """Courses with fewer than 12 or more than 28 controls between start and finish."""
+    return derived(s, d, "controls").groupBy("course_id").agg(F.greatest(F.count("*") - 2, F.lit(0)).alias("n")).where("n NOT BETWEEN 12 AND 28")
+
+
+@query("A13_problem_score", "WITH p AS (SELECT l_orderkey AS course_id, count(*) FILTER (l_quantity > 40) AS high, count(*) FILTER (l_quantity > 25 AND l_quantity <= 40) AS medium, count(*) FILTER (l_quantity <= 25) AS low FROM lineitem GROUP BY 1), q AS (SELECT *, greatest(0, 100 - 15 * high - 5 * medium - 2 * low) AS score FROM p) SELECT *, if(score >= 70, 'OK', if(score >= 50, 'ATTENTION', 'CRITIQUE')) AS status FROM q")
+def a13(s, d):
+    """Problems by severity (the lines' quantities stand for it), the score they leave, and its status."""
+    q = F.col("l_quantity")
+    p = raw(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("course_id")).agg(F.count_if(q > 40).alias("high"), F.count_if((q > 25) & (q <= 40)).alias("medium"), F.count_if(q <= 25).alias("low"))
+    score = F.greatest(F.lit(0), 100 - 15 * F.col("high") - 5 * F.col("medium") - 2 * F.col("low"))
+    return p.withColumn("score", score).withColumn("status", F.when(F.col("score") >= 70, "OK").when(F.col("score") >= 50, "ATTENTION").otherwise("CRITIQUE"))
+
+
+@query("J02_courses_on_maps", "SELECT o_orderkey AS event, c_custkey AS mapid, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 4 <> 0")
+def j02(s, d):
+    """Events with the map they name; those whose map has no place go."""
+    maps = raw(s, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("mapid"), F.col("c_name").alias("name"))
+    return raw(s, d, "orders").select(F.col("o_orderkey").alias("event"), F.col("o_custkey").alias("mapid")).join(maps, "mapid").select("event", "mapid", "name")
+
+
+@query("J04_symbol_names", ctes("areas") + ", k AS (SELECT DISTINCT isom, 'symbol ' || isom AS name FROM areas WHERE isom % 3 <> 0) SELECT area_id, name FROM areas LEFT JOIN k USING (isom)")
+def j04(s, d):
+    """Names of symbols by their first three digits; every second area has the long form."""
+    a = derived(s, d, "areas")
+    names = a.where("isom % 3 <> 0").select("isom", F.concat(F.lit("symbol "), "isom").alias("name")).distinct()
+    symbol = F.when(F.col("area_id") % 2 == 0, F.col("isom") * 1000).otherwise(F.col("isom"))
+    code = F.when(symbol >= 1000, F.floor(symbol / 1000)).otherwise(symbol).cast("int")
+    return a.select("area_id", code.alias("isom")).join(names, "isom", "left").select("area_id", "name")
+
+
+@query("F18_affine", "SELECT p_partkey AS px, CAST(round(5.48 + p_partkey % 700 * 0.00001 + p_size * 0.000002, 9) AS DOUBLE) AS lng, CAST(round(49.2 + p_partkey % 700 * 0.000001 - p_size * 0.00001, 9) AS DOUBLE) AS lat FROM part")
+def f18(s, d):
+    """Places of pixels by the six numbers of a map's world file."""
+    x, y = (F.col("p_partkey") % 700).cast("double"), F.col("p_size").cast("double")
+    lng, lat = geo.affine(x, y, (0.00001, 0.000002, 5.48), (0.000001, -0.00001, 49.2))
+    return raw(s, d, "part").select(F.col("p_partkey").alias("px"), F.round(lng, 9).alias("lng"), F.round(lat, 9).alias("lat"))
