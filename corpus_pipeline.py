@@ -29,11 +29,11 @@ def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, as often as it takes words of them at all: a document taken twice stands twice, one
-    taken in part stands whole."""
-    plan = mixing.mix(docs)
-    got = mixing.taken(plan).where("taken > 0").select(F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = got.groupBy("__id").agg(F.max("__times").alias("__times"))
-    both = docs.select(*COLUMNS).join(cut(times), F.col("doc_id") == F.col("__id"))
+    taken in part stands whole. Rows are numbered once, since keys may be null or repeated."""
+    rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")))
+    plan = mixing.mix(rows, row="__row")
+    times = mixing.taken(plan).where("taken > 0").select(F.col("row").alias("__row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    both = rows.join(cut(times), "__row")
     return both.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*COLUMNS)
 
 

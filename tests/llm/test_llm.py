@@ -39,6 +39,27 @@ def test_exact(odd, none):
     assert exact_dedup.drop_exact(odd).columns == odd.columns
 
 
+def test_exact_null_keys(spark):
+    """Rows that share a key, null or not, go one by one."""
+    rows = [(1, "one text"), (None, "one text"), (None, "only here"), (None, "and  this"), (2, "two"), (2, "one text"), (3, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in exact_dedup.drop_exact(df).collect()}
+    assert got == {(1, "one text"), (None, "only here"), (None, "and  this"), (2, "two"), (3, None)}
+
+
+def test_mixed_null_keys(spark):
+    """Each row stands as often as the mix takes it, whatever its key."""
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else i // 2, f"w{i} " * (1 + i % 7), "en", "ab"[i % 2] if i % 5 else None, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = mixing.taken(mixing.mix(df, row="n_chars")).where("taken > 0").collect()
+    times = {r.row: -(-r.taken // r["size"]) for r in want}
+    got = [tuple(r) for r in corpus_pipeline.mixed(spark, df, DATA).collect()]
+    assert sorted(got, key=str) == sorted((r for r in rows for _ in range(times.get(r[4], 0))), key=str)
+    assert any(r[0] is None for r in got)
+
+
 def test_chunks_are_the_text(spark):
     text = spark.read.parquet(f"{DATA}/documents.parquet").select(exact_dedup.normalised(F.col("text")).alias("t"))
     assert text.where(F.array_join(exact_dedup.chunked(F.col("t")), "") != F.col("t")).count() == 0

@@ -45,9 +45,11 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def drop_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows that exact_groups drops; all columns stay as they were."""
-    out = exact_groups(df, key, text).where("NOT kept").select(F.col(key).alias("__gone"))
-    return df.join(out, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+    """df without the rows that exact_groups drops; all columns stay as they were. Rows go by key and text, so that rows
+    which share a key, null or not, are decided one by one."""
+    out = exact_groups(df, key, text).where("NOT kept").select(F.col(key).alias("__gone"), F.col("text_sha256").alias("__sha"))
+    same = F.col(key).eqNullSafe(F.col("__gone")) & (F.sha2(normalised(F.col(text)), 256) == F.col("__sha"))
+    return df.join(out, same, "left_anti")
 
 
 ORACLE = r"""

@@ -99,7 +99,7 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
 
 @dataclass
 class Mix:
-    """documents: doc_id, size, source_size, target, source_key, start (its place in its source's order of words).
+    """documents: doc_id, size, source_size, target, source_key, start (its place in its source's order of words), row.
     blocks: shard, position in the shard, source_key, block. pieces: source_key, start, block, doc_id, doc_from, length."""
 
     documents: DataFrame
@@ -107,7 +107,7 @@ class Mix:
     pieces: DataFrame
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> Mix:
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, row: str | None = None) -> Mix:
     """Plan a mix of all rows of df; texts aren't moved.
 
     Each source's documents stand in the order of md5(key); the source gives the first floor(target) words of that order,
@@ -115,10 +115,12 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     cut into blocks of block_words; the tree deals every block to one shard, a permutation says which, and within a
     shard blocks are ordered by a hash. Places in a source are sums within slices of its order, then over slices, so that
     a source with most rows is no task's burden. Null text has size 0, null source is a source of its own and comes last;
-    rows with equal keys stay apart (their places differ); empty input gives empty tables. Reruns agree."""
+    rows with equal keys stay apart (their places differ); empty input gives empty tables. Reruns agree. A column named as
+    `row` goes along as row and says whose decision is whose where keys are null or repeated; else row is null."""
     order = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
     skey = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    rows = cut(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), skey.alias("source_key"), words(F.col(text)).alias("size"), order.alias("h")))
+    named = F.lit(None).cast("long") if row is None else F.col(row)
+    rows = cut(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), skey.alias("source_key"), words(F.col(text)).alias("size"), order.alias("h"), named.alias("row")))
     digits = max(2, math.ceil(math.log(max(1.0, rows.count() / 1024), 16)))
     goal = targets(rows).withColumn("words", F.floor("target").cast("long")).withColumn("n_blocks", F.ceil(F.col("words") / block_words).cast("long"))
     goal = cut(goal.select("source_key", "rank", "source_size", "target", "words", "n_blocks"))
@@ -129,9 +131,9 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     sums = rows.groupBy("source_key", "slice").agg(F.sum("size").alias("s"))
     upto = F.sum("s").over(Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")
     sums = cut(sums.select("source_key", "slice", upto.alias("before")).join(goal.drop("rank", "n_blocks"), "source_key"))
-    inside = F.sum("size").over(Window.partitionBy("source_key", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("source_key", "slice").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = rows.withColumn("inside", inside).join(sums, ["source_key", "slice"])
-    placed = placed.select("doc_id", "size", "source_size", "target", "source_key", (F.col("before") + F.col("inside")).alias("start"), "words")
+    placed = placed.select("doc_id", "size", "source_size", "target", "source_key", (F.col("before") + F.col("inside")).alias("start"), "words", "row")
 
     turns = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.greatest("source_size", F.lit(1))).cast("long")))
     taken = placed.where("size > 0 AND words > 0").withColumn("turn", turns).withColumn("at", F.col("turn") * F.col("source_size") + F.col("start"))
@@ -156,10 +158,10 @@ def drawn(m: Mix) -> DataFrame:
 
 
 def taken(m: Mix) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, shards and source_key."""
+    """Per document: doc_id, size, source_size, target, taken, shard and row."""
     got = drawn(m).groupBy("source_key", "start").agg(F.sum("length").alias("taken"), F.min("shard").alias("shard"))
     had = m.documents.alias("d").join(got.alias("g"), (F.col("d.source_key") == F.col("g.source_key")) & (F.col("d.start") == F.col("g.start")) & (F.col("d.size") > 0), "left")
-    return had.select("d.doc_id", "d.size", "d.source_size", "d.target", F.coalesce("g.taken", F.lit(0)).cast("long").alias("taken"), "g.shard")
+    return had.select("d.doc_id", "d.size", "d.source_size", "d.target", F.coalesce("g.taken", F.lit(0)).cast("long").alias("taken"), "g.shard", "d.row")
 
 
 ORACLE = rf"""
