@@ -72,6 +72,17 @@ def test_ngram_odd(odd, none):
     assert ngram_join.near_groups(none).count() == 0
 
 
+def test_ngram_null_keys(spark):
+    """Rows with a null or a repeated key are no bridge between groups: each is near its own text only."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(200)) for x in "abc")
+    rows = [(9, b), (5, a), (None, a + " more"), (None, b + " more"), (None, c), (None, c + " more"), (7, a + " seven"), (7, "quite another text of seven words"), (11, b + " eleven")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_groups(df).collect()), key=str)
+    assert got == sorted([(9, 197, 9), (5, 197, 5), (None, 198, 5), (None, 198, 9), (None, 197, None), (None, 198, None), (7, 198, 5), (7, 3, 7), (11, 198, 9)], key=str)
+    kept = [tuple(r) for r in ngram_join.drop_near(df, n=4, percent=85).collect()]
+    assert sorted(kept, key=str) == sorted([rows[i] for i in (0, 1, 2, 3, 4, 5, 7)], key=str)
+
+
 def _brute(texts, n, percent):
     sets = []
     for t in texts:

@@ -37,34 +37,40 @@ def _sets(batches: Iterator, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from zip(ids, shingle_sets(batch.column(1).to_pylist(), n), strict=True)
 
 
+def _row(key: str, text: str) -> Column:
+    """64 bits that name a row by its key, null or not, and its text."""
+    return F.xxhash64(F.lit(7), F.col(key).cast("long"), F.col(key).isNull(), F.col(text), F.col(text).isNull())
+
+
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    return df.select(_row(key, text).alias("doc"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("key"))
 
 
 def signatures(df: DataFrame, n: int, percent: int, classes: tuple = CLASSES) -> DataFrame:
-    """(doc, n, s1, s2, in0, n0, in1, n1): size and 128-bit digest of each row's set; the one or two size classes it is in,
-    and how many of its hashes each uses."""
+    """(doc, key, n, s1, s2, in0, n0, in1, n1): size and 128-bit digest of each row's set; the one or two size classes it
+    is in, and how many of its hashes each uses."""
     import pyarrow as pa
 
     bounds = size_classes(percent, classes)
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("in0", pa.int32()), ("n0", pa.int64()), ("in1", pa.int32()), ("n1", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("in0", pa.int32()), ("n0", pa.int64()), ("in1", pa.int32()), ("n1", pa.int64())])
 
     def run(batches: Iterator) -> Iterator:
         out: list[tuple] = []
-        for doc, s in _sets(batches, n):
+        rows = ((*row, key) for batch in batches for row, key in zip(_sets(iter([batch]), n), batch.column(2).to_pylist(), strict=True))
+        for doc, s, key in rows:
             with np.errstate(over="ignore"):
                 s1, s2 = (int(mixed(s * np.uint64(2 * k + 1) + np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for k in (1, 2))
             short = s >> np.uint64(64 - BITS)
             uses = [(k, int(np.searchsorted(short, bound))) for k, (least, most, bound) in enumerate(bounds) if least <= len(s) < most]
             uses = [*uses, (None, None)][:2] if len(uses) < 3 else uses[:2]
-            out.append((doc, len(s), s1, s2, *uses[0], *uses[1]))
+            out.append((doc, key, len(s), s1, s2, *uses[0], *uses[1]))
             if len(out) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return df.mapInArrow(run, "doc long, n long, s1 long, s2 long, in0 int, n0 long, in1 int, n1 long")
+    return df.mapInArrow(run, "doc long, key long, n long, s1 long, s2 long, in0 int, n0 long, in1 int, n1 long")
 
 
 def entries(df: DataFrame, n: int, percent: int, classes: tuple = CLASSES) -> DataFrame:
@@ -181,9 +187,11 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
 
     Two rows link when 100 * shared shingles >= percent * shingles in either. Null and empty texts have no shingle and
     link with nothing; a text of fewer than n words is one shingle. Rows with equal sets are one class; a null key sorts
-    last and gets a null component if its group has no other. Keys name one text. Sets are of 64-bit hashes.
+    last and gets a null component if its group has no other. Sets are of 64-bit hashes.
 
-    1. Per row, size and digest of the set; classes of equal sets, each with its smallest row as representative.
+    1. Per row, size and digest of the set; classes of equal sets, each with one row as representative. Rows go by 64 bits
+       of key and text, so that those with a null or a repeated key stay apart; only at the end do components get the
+       smallest key of their rows.
     2. Shingles of the lowest part of the hash space (see CLASSES) are counted over all rows. A set that shares too few of
        its own with any other row can't reach the similarity and is left out, exactly: of two similar sets x and y,
        at least |x| - allowed - (shingles of x outside the part) shared ones lie in the part.
@@ -195,6 +203,13 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
        in which lists of the first order, and lists of the third, connect all members; each family's sets are compared
        block by block, and only the edges that span a block's components come out.
     If a set has too few hashes in its part (odds below one in a million), all use the whole space."""
+    null = lambda c: F.when(c < LAST, c)
+    out = _groups(df, key, text, n, percent)
+    return out.select(null(F.col("key")).alias(key), F.col("n").alias("n_shingles"), null(F.coalesce("component", "key")).alias("component_id"))
+
+
+def _groups(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """Per row: doc (see _row), key, n, component; LAST stands for a null key, and rows without a shingle have no component."""
     rows = _rows(df, key, text)
     classes = CLASSES
     sigs = cut(signatures(rows, n, percent, classes))
@@ -203,8 +218,9 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     if not sigs.where(poor).limit(1).isEmpty():
         classes = ((0, None),)
         sigs = cut(signatures(rows, n, percent, classes))
-    sets = cut(sigs.where("n > 0").groupBy("n", "s1", "s2", "in0", "n0", "in1", "n1").agg(F.min("doc").alias("rep")))
+    sets = cut(sigs.where("n > 0").groupBy("n", "s1", "s2", "in0", "n0", "in1", "n1").agg(F.min("doc").alias("rep"), F.min("key").alias("key")))
 
+    rows = rows.select("doc", "text")
     tokens = entries(rows, n, percent, classes)
     common = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     shared = tokens.join(common, "token")
@@ -271,16 +287,17 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
         labels = merged()
 
     moved = cut(labels.where("node <> component").select(F.col("node").alias("rep"), "component"))
-    per = cut(sets.select("n", "s1", "s2", "rep").join(moved, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component")))
-    out = sigs.select("doc", "n", "s1", "s2").join(per, ["n", "s1", "s2"], "left")
-    null = lambda c: F.when(c < LAST, c)
-    return out.select(null(F.col("doc")).alias(key), F.col("n").alias("n_shingles"), null(F.coalesce("component", "doc")).alias("component_id"))
+    named = cut(sets.select("n", "s1", "s2", "rep", "key").join(moved, "rep", "left").select("n", "s1", "s2", "key", F.coalesce("component", "rep").alias("at")))
+    least = cut(named.groupBy("at").agg(F.min("key").alias("least"), F.count("*").alias("sets")).where("sets > 1"))
+    per = cut(named.join(least, "at", "left").select("n", "s1", "s2", F.coalesce("least", "key").alias("component")))
+    return sigs.select("doc", "key", "n", "s1", "s2").join(per, ["n", "s1", "s2"], "left")
 
 
 def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """df with the smallest key of each group of near copies; rows without words and rows with a null key stay."""
-    gone = near_groups(df, key, text, n, percent).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone"))
-    return df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """df with the smallest key of each group of near copies; rows without words and rows with a null key stay. Rows go by
+    key and text."""
+    gone = _groups(df, key, text, n, percent).where((F.col("key") != F.col("component")) & (F.col("key") < LAST)).select(F.col("doc").alias("__gone"))
+    return df.join(gone, _row(key, text) == F.col("__gone"), "left_anti")
 
 
 ORACLE = rf"""
