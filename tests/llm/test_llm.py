@@ -166,6 +166,15 @@ def test_pii(spark):
     assert "<card>" in pii.mask(pii.find_pii(df)).where("doc_id = 1").first().masked
 
 
+def test_pii_iban_neighbours(spark):
+    """Upper-case words and other IBANs next to an IBAN don't hide it."""
+    es, de, at, no = "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947"
+    cases = [(f"{es} BIC", [es]), (f"é {es} BANK OF X", [es]), (f"{es} {de}", [es, de]), (f"{at} {es} {no}", [at, es, no]), (f"{es.replace(' ', '')} 12, {no}A", [es.replace(" ", "")]), (f"AB12 {de}", [de]), (f"{es[:-1]}3 BIC", []), (f"X{es}", []), ("", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        assert [r.text[s.start : s.end] for s in r.pii if s.kind == "iban"] == cases[r.doc_id][1], r.text
+
+
 def test_mix(odd, none):
     plan = mixing.mix(odd, block_words=64, shard_blocks=8)
     got = mixing.taken(plan).collect()
