@@ -211,6 +211,15 @@ def test_line_chunks(spark):
     assert got[2].removed_lines >= 6 and got[5].removed_lines >= 6
 
 
+@pytest.mark.parametrize("line", ["строка отрывка", "γραμμή του κειμένου", "سطر من النص", "這是一行文字", "१२३"])
+def test_line_chunks_any_script(spark, line):
+    turns = "абвгде" if line.startswith("с") else "αβγδεζ"
+    passage = "\n".join(f"{line} {a}{b}" for a in turns for b in turns)
+    rows = [(1, f"start\n{passage}\nend"), (2, f"other\nlines\n{passage}\nand an end"), (3, "--\n==\n" * 9), (4, "--\n==\n" * 9)]
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1] and got[2].removed_lines >= 6 and got[4].text == rows[3][1]
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 

@@ -45,14 +45,14 @@ def line_chunks(text: Column) -> Column:
 def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, text without repeated chunks, n_lines, n_chunks, removed_chunks, removed_lines.
 
-    A chunk of two or more lines with any word character that occurs more than once anywhere stays only where it occurs
-    first (smallest key, then first in its text; a null key sorts last). Rows that repeat key and text are one
+    A chunk of two or more lines with any letter or digit, of any script, that occurs more than once anywhere stays only
+    where it occurs first (smallest key, then first in its text; a null key sorts last). Rows that repeat key and text are one
     occurrence. Single lines stay. Chunks are compared as bytes: identifiers stand for one text only (verified_seed).
     Null text stays null, with counts 0; empty text has one empty line. Counts are taken before rows move; the join of
     occurrences with repeated chunks can be split where one chunk is frequent, and only decisions meet the texts."""
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
     parts = docs.select("doc_id", "th", F.posexplode(line_chunks(F.col("text"))).alias("at", "c"))
-    several = parts.where((F.col("c.lines") >= 2) & F.col("c.chunk").rlike(r"\w")).select("doc_id", "th", "at", F.col("c.chunk").alias("chunk"))
+    several = parts.where((F.col("c.lines") >= 2) & F.col("c.chunk").rlike(r"[\p{L}\p{N}_]")).select("doc_id", "th", "at", F.col("c.chunk").alias("chunk"))
     seed = verified_seed(several.select("chunk"))
     marks = cut(several.select("doc_id", "th", "at", chunk_id(F.col("chunk"), seed).alias("id")).select("doc_id", "th", "at", "id.*"))
     once = marks.groupBy("h1", "h2", F.coalesce("doc_id", F.lit(LAST)).alias("d"), "th").agg(F.count_distinct("at").alias("n"), F.min("at").alias("at"))
