@@ -1,6 +1,7 @@
 """Operators of the subpackage llm: SQL twins, brute force, and odd inputs."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,16 +49,19 @@ def test_exact_null_keys(spark):
 
 
 def test_mixed_null_keys(spark):
-    """Each row stands as often as the mix takes it, whatever its key."""
+    """Each row stands once for each drawn block that holds its first word, whatever its key; rows follow their shards."""
     import corpus_pipeline
 
-    rows = [(None if i % 3 == 0 else i // 2, f"w{i} " * (1 + i % 7), "en", "ab"[i % 2] if i % 5 else None, i) for i in range(60)]
+    rows = [(None if i % 3 == 0 else i // 2, f"w{i} " * (i % 7), "en", "ab"[i % 2] if i % 5 else None, i) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    want = mixing.taken(mixing.mix(df, row="n_chars")).where("taken > 0").collect()
-    times = {r.row: -(-r.taken // r["size"]) for r in want}
+    plan = mixing.mix(df, row="n_chars")
+    blocks = Counter((b.source_key, b.block) for b in plan.blocks.collect())
+    want = {d.row: blocks[d.source_key, d.home] for d in plan.documents.collect()}
     got = [tuple(r) for r in corpus_pipeline.mixed(spark, df, DATA).collect()]
-    assert sorted(got, key=str) == sorted((r for r in rows for _ in range(times.get(r[4], 0))), key=str)
-    assert any(r[0] is None for r in got)
+    assert sorted(got, key=str) == sorted((r for r in rows for _ in range(want[r[4]])), key=str)
+    assert any(r[0] is None for r in got) and max(want.values()) == 2
+    assert abs(sum(len(r[1].split()) for r in got) - 1.5 * sum(len(r[1].split()) for r in rows)) < 40
+    assert corpus_pipeline.mixed(spark, df.limit(0), DATA).count() == 0
 
 
 def test_chunks_are_the_text(spark):
@@ -180,14 +184,48 @@ def test_mix(odd, none):
     got = mixing.taken(plan).collect()
     assert len(got) == odd.count() and all(r.taken <= 2 * r["size"] for r in got)
     total = sum(r["size"] for r in got)
-    assert abs(sum(r.taken for r in got) - 1.5 * total) <= 2
+    assert abs(sum(r.taken for r in got) - 1.5 * total) <= 2 * 2 * 64
     blocks = plan.blocks.collect()
-    assert len({(b.source_key, b.block) for b in blocks}) == len(blocks)
+    assert len({(b.source_key, b["pass"], b.block) for b in blocks}) == len(blocks)
     per = np.bincount([b.shard for b in blocks])
     assert per.max() - per.min() <= 1
     assert mixing.taken(mixing.mix(none)).count() == 0
 
 
+def test_mix_through_its_tree(spark):
+    """The tree decides: strata give their quotas exactly, in whole passes every block once; shards hold what a draw
+    without replacement gives them; pieces of a pass are disjoint; another tree takes other blocks; reruns agree."""
+    rows = [(i, "w " * (20 + i * 7919 % 60), "ab"[i % 4 == 0]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    plan = mixing.mix(df, block_words=32, shard_blocks=40, least_blocks=1)
+    blocks = plan.blocks.collect()
+    target = {d.source_key[1:]: d.target for d in plan.documents.collect()}
+    many = {s: -(-n // 32) for s, n in size.items()}
+    given = Counter((b.source_key[1:], b["pass"]) for b in blocks)
+    for s in "ab":
+        whole = int(target[s] // size[s])
+        assert all(given[s, p] == many[s] for p in range(whole))
+        assert given[s, whole] == min(many[s], round((int(target[s]) - whole * size[s]) / 32))
+    assert len({(b.source_key, b["pass"], b.block) for b in blocks}) == len(blocks) and {b.block for b in blocks if b.source_key == "sa"} == set(range(many["a"]))
+    shards = max(b.shard for b in blocks) + 1
+    assert sorted((b.shard, b.position) for b in blocks) == [(k, j + 1) for k, n in sorted(Counter(b.shard for b in blocks).items()) for j in range(n)]
+    # sizes of one stratum's parts: mean and variance of a hypergeometric draw
+    marked, per, total = given["a", 0], len(blocks) / shards, len(blocks)
+    part = [sum(1 for b in blocks if b.shard == k and b.source_key == "sa" and b["pass"] == 0) for k in range(shards)]
+    variance = per * (marked / total) * (1 - marked / total) * (total - per) / (total - 1)
+    assert 0.4 * variance < np.var(part) < 2 * variance
+    got = mixing.drawn(plan).collect()
+    seen = [(r.source_key, r["pass"], r.start + r.doc_from + k) for r in got for k in range(r.length)]
+    assert len(seen) == len(set(seen)) and all(0 <= r.doc_from < r.doc_from + r.length for r in got)
+    took = lambda p: {r.doc_id: (r.taken, r.shard) for r in mixing.taken(p).collect()}
+    one, again, other = took(plan), took(mixing.mix(df, block_words=32, shard_blocks=40, least_blocks=1)), took(mixing.mix(df, block_words=32, shard_blocks=7, least_blocks=1))
+    assert one == again and {k: v[0] for k, v in one.items()} != {k: v[0] for k, v in other.items()}
+    assert {k: v[0] for k, v in one.items()} == {k: sum(r.length for r in got if r.doc_id == k) for k in one}
+
+
 def test_hypergeometric(spark):
     """Draws follow the distribution: 20 marked of 60, 15 drawn."""
     rows = spark.range(20_000).select(mixing.hypergeometric(F.lit(60), F.lit(20), F.lit(15), mixing._uniform(F.col("id"))).alias("x"))

@@ -16,7 +16,7 @@ QUERIES: dict[str, Query] = {
     "op2_pii": lambda s, d: pii.digest(read(s, d, "documents")),
     "op3_ngram_join": lambda s, d: ngram_join.near_groups(read(s, d, "documents")),
     "op4_embedding_join": lambda s, d: embedding_join.near_vectors(read(s, d, "embeddings")),
-    "op5_mixing": lambda s, d: mixing.taken(mixing.mix(read(s, d, "documents"))).drop("shard", "row"),
+    "op5_mixing": lambda s, d: mixing.taken(mixing.mix(read(s, d, "documents"))).drop("row"),
     "op6_url_filter": lambda s, d: url_filter.judge(read(s, d, "pages").select("page_id", "url"), url_filter.RULES).drop("url"),
     "op7_line_dedup": lambda s, d: line_dedup.drop_repeated_lines(read(s, d, "documents")),
     "op8_quality": lambda s, d: quality.judge(read(s, d, "documents"), read(s, d, "labels")),
