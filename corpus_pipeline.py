@@ -28,13 +28,13 @@ def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, as often as it takes words of them at all: a document taken twice stands twice, one
-    taken in part stands whole. Rows are numbered once, since keys may be null or repeated."""
+    """Documents in the mix's order, shard by shard: each stands whole, once for each pass over its source that takes the
+    block with its first word; those of empty or null text stand with the block at their place. Documents of a source
+    without words go. Rows are numbered once, since keys may be null or repeated; an empty table gives an empty one."""
     rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")))
-    plan = mixing.mix(rows, row="__row")
-    times = mixing.taken(plan).where("taken > 0").select(F.col("row").alias("__row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    both = rows.join(cut(times), "__row")
-    return both.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*COLUMNS)
+    places = cut(mixing.stands(mixing.mix(rows, row="__row")))
+    both = rows.join(places, F.col("__row") == F.col("row")).repartition("shard").sortWithinPartitions("shard", "position", "start")
+    return both.select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
