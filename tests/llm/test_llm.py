@@ -1,5 +1,6 @@
 """Operators of the subpackage llm: SQL twins, brute force, and odd inputs."""
 
+import time
 import zlib
 from collections import Counter
 
@@ -309,6 +310,41 @@ def test_warc(spark):
     assert b"WARC-Refers-To: <urn:uuid:" in warc.to_bytes(got).first().record
 
 
+def test_warc_odd(spark):
+    """Nulls, repeated rows, clashing columns, an empty table; two captures of a page have different identifiers."""
+    rows = [(None, None, None, 1), (1, "u", "<p>a</p>", 2), (1, "u", "<p>a</p>", 3), (1, "u", "<p>b</p>", 4), (2, "u", "", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, block int").withColumn("a.b", F.lit(1))
+    got = warc.derivatives(warc.responses(df)).collect()
+    assert len(got) == 10 and all(r.block is not None and r.content_length == len(r.block.encode()) for r in got)
+    assert len({r.warc_refers_to for r in got if r.page_id == 1}) == 2 and len({r.warc_record_id for r in got}) == 8
+    assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<", "<script ", "<!--", "<br ", "<head>", "<script>", "&lt", "\n "])
+def test_warc_long(spark, part):
+    """A page of one hostile piece, again and again: time grows with its length only."""
+    began = time.time()
+    df = spark.createDataFrame([(1, "u", part * (1_000_000 // len(part)))], "page_id long, url string, html string")
+    assert warc.derivatives(warc.responses(df)).count() == 2
+    assert warc.derivatives(warc.responses(df)).select(F.sum("content_length")).first()[0] > 0
+    assert time.time() - began < 30
+
+
+def test_warc_records(spark):
+    """Heads are read, and written again for what is derived."""
+    head = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\nwarc-date: 2020-01-01T00:00:00Z\r\n\r\n"
+    http = "HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=ISO-8859-1\r\nServer: x\r\n\r\n"
+    rows = [(1, bytearray((head + http + "<p>caf\xe9</p>\r\n\r\nmore").encode("latin1"))), (2, bytearray(b"WARC/1.0\r\nWARC-Type: warcinfo\r\n\r\n")), (3, None), (4, bytearray(b""))]
+    got = warc.parse_responses(spark.createDataFrame(rows, "page_id long, record binary"))
+    (r,) = got.collect()
+    assert (r.record_id, r.target_uri, r.date, r.status, r.charset, r.content_type) == ("<urn:uuid:1>", "http://a/", "2020-01-01T00:00:00Z", 404, "iso-8859-1", "text/html")
+    assert r.payload == "<p>caf\xe9</p>\r\n\r\nmore" and r.headers == ["Content-Type: text/html; charset=ISO-8859-1", "Server: x"]
+    made = {d.warc_type: d for d in warc.derivatives(got).collect()}
+    assert "source-http-header: Server: x\r\n" in made["metadata"].block and "source-http-status: 404\r\n" in made["metadata"].block and made["conversion"].block == "caf\xe9\nmore"
+    text = [x.record.decode() for x in warc.to_bytes(warc.derivatives(got), "2024-01-01T00:00:00Z").collect()]
+    assert all(f"WARC-Refers-To: <urn:uuid:1>\r\nWARC-Refers-To-Target-URI: http://a/\r\nWARC-Refers-To-Date: 2020-01-01T00:00:00Z\r\nWARC-Refers-To-Payload-Digest: {made['metadata'].source_digest}\r\n" in x for x in text)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

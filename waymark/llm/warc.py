@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pattern, replacement: applied in this order to a page's HTML.
+#: Pattern, replacement, closer: applied in this order to a page's HTML. What has a closer (lower case) is looked for up to
+#: its last place only: each opener before that has an end, so that no search runs in vain to the end of the page.
 TO_TEXT = (
-    (r"(?is)<!--.*?-->", " "),
-    (r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<head[^>]*>.*?</head>", " "),
-    (r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table|/title)[^>]*>", "\n"),
-    (r"(?s)<[^>]*>", " "),
-    (r"&nbsp;", " "), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;", "'"), (r"&amp;", "&"),
-    (r"[\x20\x09\x0B-\x0D]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"^[ \n]+|[ \n]+$", ""),
+    (r"(?s)<!--.*?-->", " ", "-->"),
+    (r"(?is)<script(?:\s[^<>]*)?>.*?</script>", " ", "</script>"),
+    (r"(?is)<style(?:\s[^<>]*)?>.*?</style>", " ", "</style>"),
+    (r"(?is)<noscript(?:\s[^<>]*)?>.*?</noscript>", " ", "</noscript>"),
+    (r"(?is)<head(?:\s[^<>]*)?>.*?</head>", " ", "</head>"),
+    (r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table|/title)[^>]*>", "\n", ">"),
+    (r"(?s)<[^>]*>", " ", ">"),
+    (r"&nbsp;", " ", ""), (r"&lt;", "<", ""), (r"&gt;", ">", ""), (r"&quot;", '"', ""), (r"&#39;", "'", ""), (r"&amp;", "&", ""),
+    (r"[\x20\x09\x0B-\x0D]+", " ", ""),
+    (r" ?\n[ \n]*", "\n", ""),
+    (r"^[ \n]+|[ \n]+$", "", ""),
 )
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
+def _upto_last(text: Column, closer: str, pattern: str, to: str) -> Column:
+    """The pattern replaced up to the last closer; the rest stays."""
+    plain = F.translate(text, UPPER, LOWER) if any(c.isalpha() for c in closer) else text
+    behind = F.char_length(F.substring_index(plain, closer, -1))
+    return _let(behind, lambda n: F.concat(F.regexp_replace(F.left(text, F.char_length(text) - n), pattern, to), F.right(text, n)))
 
 
 def html_text(html: Column) -> Column:
-    """Plain text of HTML: comments, scripts, styles and the head go, block ends become line breaks; null stays null."""
-    for pattern, to in TO_TEXT:
-        html = F.regexp_replace(html, pattern, to)
+    """Plain text of HTML: comments, scripts, styles and the head go, block ends become line breaks; null stays null. Time
+    grows with the length of the page, whatever it holds."""
+    for pattern, to, closer in TO_TEXT:
+        html = _let(html, lambda t, a=(closer, pattern, to): _upto_last(t, *a)) if closer else F.regexp_replace(html, pattern, to)  # noqa: B023
     return html
 
 
@@ -32,37 +52,74 @@ def uuid_urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+#: What a response may know of its capture; null where it doesn't.
+CAPTURE = {"date": "string", "status": "int", "charset": "string", "headers": "array<string>"}
+
+
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Captured pages as WARC response records (header fields and HTTP payload); for inputs that hold bare HTML."""
+    """Captured pages as WARC response records, for inputs that hold bare HTML: a record's identifier depends on key, url
+    and payload, so that two captures of a page stay apart. Date, status, charset and HTTP headers are unknown (null)."""
+    payload = F.col(html)
     return pages.select(
         F.col(key).alias("page_id"),
-        uuid_urn(F.lit("response"), F.col(key).cast("string"), F.col(url)).alias("record_id"),
+        uuid_urn(F.lit("response"), F.col(key).cast("string"), F.col(url), F.sha2(payload, 256)).alias("record_id"),
         F.col(url).alias("target_uri"),
         F.lit("text/html").alias("content_type"),
-        F.col(html).alias("payload"),
+        payload.alias("payload"),
+        *[F.lit(None).cast(t).alias(c) for c, t in CAPTURE.items()],
     )
 
 
+def parse_responses(records: DataFrame, record: str = "record", key: str = "page_id") -> DataFrame:
+    """Whole WARC response records (text or bytes: WARC head, HTTP head, body) in the form of responses().
+
+    Heads end at the first empty line; field names are matched without regard to case; a field that is absent is null.
+    Rows that aren't responses (another WARC-Type, null, no head) are left out. Bytes are read as UTF-8, except that a
+    charset of ISO-8859-1 (or latin1) is heeded. A record without a WARC-Record-ID gets one from its text."""
+    raw = F.col(record)
+    if dict(records.dtypes)[record] == "binary":
+        latin, utf = F.decode(raw, "ISO-8859-1"), F.decode(raw, "UTF-8")
+        raw = F.when(F.left(latin, F.lit(4000)).rlike(r"(?i)charset=[\"']?(iso-8859-1|latin-?1)\b"), latin).otherwise(utf)
+    end = r"\r?\n\r?\n"
+    head = lambda c: F.split(c, end, 2)
+    one = records.select(F.col(key).alias("page_id"), raw.alias("raw")).withColumn("w", head(F.col("raw")))
+    one = one.select("page_id", "raw", F.col("w")[0].alias("w"), head(F.get("w", F.lit(1))).alias("h"))
+    one = one.select("page_id", "raw", "w", F.get("h", F.lit(0)).alias("h"), F.coalesce(F.get("h", F.lit(1)), F.lit("")).alias("payload"))
+    field = lambda c, name: F.nullif(F.trim(F.regexp_extract(c, rf"(?im)^{name}:([^\r\n]*)", 1)), F.lit(""))
+    w = F.col("w")
+    kind = field(F.col("h"), "Content-Type")
+    headers = F.filter(F.transform(F.slice(F.split("h", r"\r?\n"), 2, 10_000), lambda x: F.trim(x)), lambda x: x != "")
+    return one.where(F.lower(field(w, "WARC-Type")) == "response").select(
+        "page_id", F.coalesce(field(w, "WARC-Record-ID"), uuid_urn(F.lit("response"), F.col("raw"))).alias("record_id"), field(w, "WARC-Target-URI").alias("target_uri"),
+        F.nullif(F.trim(F.split(kind, ";")[0]), F.lit("")).alias("content_type"), "payload", field(w, "WARC-Date").alias("date"),
+        F.regexp_extract("h", r"^HTTP/\S+\s+([0-9]{3})", 1).try_cast("int").alias("status"),
+        F.nullif(F.lower(F.regexp_extract(kind, r"(?i)charset=[\"']?([^\s;\"']+)", 1)), F.lit("")).alias("charset"), headers.alias("headers"),
+    )
+
+
 def derivatives(records: DataFrame) -> DataFrame:
     """One metadata and one conversion record for each response.
 
-    Both carry warc_refers_to (the response's identifier), the response's target URI and its payload digest; the
-    metadata record's block lists the source headers (URI, content type, length, digest) as warc-fields, the conversion
-    record's block is the plain text. Digests are labelled sha256 of UTF-8 bytes. A null payload counts as empty (its
-    conversion block is empty), a null URI gives an empty field; repeated rows give repeated records with equal
-    identifiers. One narrow pass, no shuffle; extra columns are left behind."""
+    Both carry warc_refers_to (the response's identifier), the response's target URI, date and payload digest; the
+    metadata record's block lists the source headers (URI, content type, length, digest; date, status, charset and each
+    HTTP header where the response has them) as warc-fields, the conversion record's block is the plain text. Digests are
+    labelled sha256 of UTF-8 bytes. A null payload counts as empty (its conversion block is empty), a null URI gives an empty
+    field; repeated rows give repeated records with equal identifiers, an empty table none. One narrow pass, no shuffle;
+    extra columns, whatever their names, are left behind."""
+    known = [F.col(c) if c in records.columns else F.lit(None).cast(t).alias(c) for c, t in CAPTURE.items()]
     payload = F.coalesce("payload", F.lit(""))
     digest = lambda c: F.concat(F.lit("sha256:"), F.sha2(c, 256))
     base = records.select(
         "page_id", F.col("record_id").alias("warc_refers_to"), F.coalesce("target_uri", F.lit("")).alias("target_uri"),
         F.coalesce("content_type", F.lit("")).alias("source_type"),
         F.octet_length(payload).cast("long").alias("source_length"), digest(payload).alias("source_digest"),
-        html_text(payload).alias("text"),
+        html_text(payload).alias("text"), *known,
     )
+    line = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit("\r\n")), F.lit(""))
     fields = F.concat(
-        F.lit("source-uri: "), "target_uri", F.lit("\r\nsource-content-type: "), "source_type",
-        F.lit("\r\nsource-content-length: "), F.col("source_length").cast("string"),
-        F.lit("\r\nsource-payload-digest: "), "source_digest", F.lit("\r\n"),
+        line("source-uri", F.col("target_uri")), line("source-content-type", F.col("source_type")), line("source-content-length", F.col("source_length")),
+        line("source-payload-digest", F.col("source_digest")), line("source-date", F.col("date")), line("source-http-status", F.col("status")), line("source-charset", F.col("charset")),
+        F.coalesce(F.array_join(F.transform("headers", lambda h: F.concat(F.lit("source-http-header: "), h, F.lit("\r\n"))), ""), F.lit("")),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
@@ -72,23 +129,25 @@ def derivatives(records: DataFrame) -> DataFrame:
     return out.select(
         "page_id", "warc_type", uuid_urn(F.col("warc_type"), F.col("warc_refers_to")).alias("warc_record_id"), "warc_refers_to",
         "target_uri", "content_type", F.octet_length("block").cast("long").alias("content_length"),
-        digest(F.col("block")).alias("block_digest"), "source_digest", "source_length", "block",
+        digest(F.col("block")).alias("block_digest"), "source_digest", "source_length", F.col("date").alias("source_date"), "block",
     )
 
 
 def to_bytes(records: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Each record as WARC/1.1 text, ready for a text or binary sink."""
+    """Each record as WARC/1.1 bytes, ready for a binary sink: it refers to its response by identifier, URI, date (where
+    known) and payload digest. WARC-Date is `date`, the time of the derivation: given, so that reruns agree."""
+    line = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit("\r\n")), F.lit(""))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), "warc_type", F.lit("\r\nWARC-Record-ID: "), "warc_record_id",
-        F.lit("\r\nWARC-Refers-To: "), "warc_refers_to", F.lit("\r\nWARC-Target-URI: "), "target_uri",
-        F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Block-Digest: "), "block_digest", F.lit("\r\nContent-Type: "), "content_type",
-        F.lit("\r\nContent-Length: "), F.col("content_length").cast("string"), F.lit("\r\n\r\n"), "block", F.lit("\r\n\r\n"),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("warc_record_id")), line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", F.col("target_uri")), line("WARC-Refers-To", F.col("warc_refers_to")), line("WARC-Refers-To-Target-URI", F.col("target_uri")),
+        line("WARC-Refers-To-Date", F.col("source_date")), line("WARC-Refers-To-Payload-Digest", F.col("source_digest")), line("WARC-Block-Digest", F.col("block_digest")),
+        line("Content-Type", F.col("content_type")), line("Content-Length", F.col("content_length")), F.lit("\r\n"), "block", F.lit("\r\n\r\n"),
     )
     return records.select("page_id", "warc_type", F.encode(head, "UTF-8").alias("record"))
 
 
 def _sql_text(c: str) -> str:
-    for pattern, to in TO_TEXT:
+    for pattern, to, _ in TO_TEXT:
         q = lambda s: "'" + s.replace("'", "''") + "'"
         c = f"regexp_replace({c}, {q(pattern)}, {q(to) if to != chr(10) else 'chr(10)'}, 'g')"
     return c
@@ -97,7 +156,7 @@ def _sql_text(c: str) -> str:
 _URN = lambda *p: "(SELECT '<urn:uuid:' || substr(m,1,8) || '-' || substr(m,9,4) || '-' || substr(m,13,4) || '-' || substr(m,17,4) || '-' || substr(m,21,12) || '>' FROM (SELECT md5(" + " || chr(31) || ".join(p) + ") AS m))"
 
 ORACLE = f"""
-WITH b AS (SELECT page_id, {_URN("'response'", "coalesce(CAST(page_id AS VARCHAR), chr(0))", "coalesce(url, chr(0))")} AS warc_refers_to,
+WITH b AS (SELECT page_id, {_URN("'response'", "coalesce(CAST(page_id AS VARCHAR), chr(0))", "coalesce(url, chr(0))", "coalesce(sha256(html), chr(0))")} AS warc_refers_to,
   coalesce(url, '') AS target_uri, strlen(coalesce(html, '')) AS source_length, 'sha256:' || sha256(coalesce(html, '')) AS source_digest,
   {_sql_text("coalesce(html, '')")} AS text FROM pages),
 k AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
@@ -105,4 +164,4 @@ k AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_ty
   || chr(13) || chr(10) || 'source-payload-digest: ' || source_digest || chr(13) || chr(10) AS block FROM b
   UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', text FROM b)
 SELECT page_id, warc_type, {_URN("warc_type", "warc_refers_to")} AS warc_record_id, warc_refers_to, target_uri, content_type,
-  strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, source_length, block FROM k"""
+  strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, source_length, CAST(NULL AS VARCHAR) AS source_date, block FROM k"""
