@@ -18,10 +18,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in expressions, dots and back quotes in it included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names none, a local session (as
+    in tests) gets a temporary one; on a cluster there is no folder that all machines see, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='waymark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -29,10 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends, lost executors cost nothing, and the
-    reader has no partitioning of its own, so that adaptive execution can split what is skewed on either side of a join."""
+    reader has no partitioning of its own, so that adaptive execution can split what is skewed on either side of a join.
+    Results are lazy, so the table stays as long as the application; when that ends, it goes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
