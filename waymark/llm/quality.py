@@ -6,28 +6,25 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: labelled rows (by a hash of their key), and characters of a text to be in it.
-TRAIN_DOCS, TRAIN_CHARS = 4000, 20_000
+#: Bound of the training sample: labelled rows, by a hash of their key.
+TRAIN_DOCS = 4000
 BUCKETS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 16, 8, (3, 4, 5), 8, 0.5, 11
 FOLDS, THRESHOLD = 5, 0.3
 #: Words that a worker remembers before it forgets them all; words of a longer text are scored by parts of so many.
-REMEMBERED = 400_000
-#: A word that repeats the one before adds so many features, all of them the last bucket's.
-AGAIN = 8
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
+REMEMBERED, PART = 400_000, 20_000
+_P, _Q = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def held_out(key: str) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts): hashed features of each word, one after the other, and how many each has: the word itself and
-    its character n-grams with marks at both ends."""
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, counts, hashes): hashed features of each word, one after the other, and how many each has: the word itself
+    and its character n-grams with marks at both ends; and each word's own hash."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     a = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(sizes)
@@ -49,11 +46,32 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
     order = np.argsort(o, kind="stable")
-    return (h[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(o, minlength=len(words))
+    return (h[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(o, minlength=len(words)), h[: len(words)]
 
 
-def repeats(words: list) -> int:
-    return sum(a == b for a, b in zip(words, words[1:], strict=False))
+def pair_features(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of a text's word bigrams, from its words' hashes. A word that stands twice in a row is one and the same
+    bigram, whatever the word."""
+    a, b = hashes[:-1], hashes[1:]
+    with np.errstate(over="ignore"):
+        h = (a * _P + b) * _Q * (a != b)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares): the distinct features of a text (words, their character n-grams, word bigrams) and how much of all
+    its features each is."""
+    words = (text or "").split()
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.float32)
+    counts, hashes = np.zeros(BUCKETS, np.int64), []
+    for s in range(0, len(words), PART):
+        b, _, h = word_features(words[s : s + PART])
+        counts += np.bincount(b, minlength=BUCKETS)
+        hashes.append(h)
+    counts += np.bincount(pair_features(np.concatenate(hashes)), minlength=BUCKETS)
+    at = np.flatnonzero(counts)
+    return at, (counts[at] / counts.sum()).astype(np.float32)
 
 
 @dataclass
@@ -65,30 +83,22 @@ class Model:
     bias: float
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    """Softmax over the mean of hashed word and n-gram vectors; one step for each document, in seeded random order, at a
-    falling rate. Without rows of both classes the bias alone speaks."""
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """Softmax over the mean of hashed word and n-gram vectors (docs: document_features of each); one step for each document,
+    in seeded random order, at a falling rate; the vectors' step is divided by the squared length of the shares, so that it
+    moves short and long documents alike. Without rows of both classes the bias alone speaks."""
     share = float(np.mean(labels)) if len(labels) else 0.5
     if not len(labels) or share in (0.0, 1.0):
-        return Model(np.zeros(BUCKETS + 1, np.float32), 2.0 * (share - 0.5) * 4)
+        return Model(np.zeros(BUCKETS, np.float32), 2.0 * (share - 0.5) * 4)
     rng = np.random.default_rng(SEED)
-    docs = []
-    for text in texts:
-        words = text.split()
-        if words:
-            b, _ = word_features(words)
-            at, n = np.unique(np.concatenate([b, np.full(AGAIN * repeats(words), BUCKETS)]), return_counts=True)
-            docs.append((at, (n / n.sum()).astype(np.float32)))
-        else:
-            docs.append((np.empty(0, np.int64), np.empty(0, np.float32)))
-    e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM)).astype(np.float32)
+    e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, b = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    steps, k = EPOCHS * len(docs), 0
-    for _ in range(EPOCHS):
+    steps, k = epochs * len(docs), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rate, k = RATE * (1 - k / steps), k + 1
-            at, share_of = docs[i]
-            mean = share_of @ e[at]
+            at, shares = docs[i]
+            mean = shares @ e[at]
             z = w @ mean + b
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -96,23 +106,35 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             back = p @ w
             w -= rate * np.outer(p, mean)
             b -= rate * p
-            e[at] -= (rate * len(at)) * np.outer(share_of, back) if len(at) < 64 else (rate * 64) * np.outer(share_of, back)
+            if len(at):
+                e[at] -= (rate / (shares @ shares)) * np.outer(shares, back)
     return Model((e @ (w[1] - w[0])).astype(np.float32), float(b[1] - b[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Train on a bounded sample of labelled rows outside the held-out fold: TRAIN_DOCS of them by a hash of their key,
-    texts over TRAIN_CHARS and null labels left out. The sample is all that comes to the driver."""
+    """Train on a bounded sample of labelled rows outside the held-out fold: TRAIN_DOCS of them by a hash of their key. Null
+    labels and keys are left out; a key with several labels has the largest, one with several texts the smallest. Features are
+    counted by the executors: what comes to the driver is BUCKETS numbers a row at most, however long its text."""
+    import pyarrow as pa
+
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("__k")).agg(F.max(label).alias("__y"))
     sample = known.orderBy(F.xxhash64(F.lit(SEED), "__k"), "__k").limit(TRAIN_DOCS)  # so few rows may be broadcast
-    rows = docs.join(F.broadcast(sample), F.col(key) == F.col("__k")).where(F.length(text) <= TRAIN_CHARS)
-    rows = rows.groupBy("__k", "__y").agg(F.min(text).alias("t")).toPandas().sort_values("__k")
-    return train(rows["t"].tolist(), rows["__y"].to_numpy(np.int64))
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(sample), F.col("__key") == F.col("__k"))
+    rows = rows.groupBy("__k", "__y").agg(F.min("__text").alias("t"))
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            found = [document_features(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["k", "y", "at", "shares"])
+
+    got = rows.mapInArrow(run, "k long, y int, at array<long>, shares array<float>").toPandas().sort_values("k")
+    return train([(np.asarray(a, np.int64), np.asarray(s, np.float32)) for a, s in zip(got["at"], got["shares"], strict=True)], got["y"].to_numpy(np.int64))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with `score`, the probability of label 1 (a column of that name is replaced); null and empty texts get the
-    bias's. Whole texts count. One narrow pass; a worker holds the model and a bounded memory of words it has seen."""
+    bias's. Whole texts count; repeated rows, null keys and extra columns pass through, an empty table gives an empty one. One
+    narrow pass; a worker holds the model and a bounded memory of words it has seen."""
     from pyspark.sql import types as T
 
     keep = [f for f in df.schema.fields if f.name != "score"]
@@ -122,7 +144,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         import pyarrow as pa
 
         at: dict[str, int] = {}
-        sums, counts = np.empty(1 << 14), np.empty(1 << 14)
+        sums, counts, hashes = np.empty(1 << 14), np.empty(1 << 14), np.empty(1 << 14, np.uint64)
         for batch in batches:
             scores = np.empty(batch.num_rows)
             for i, text in enumerate(batch.column(text_at)):
@@ -130,20 +152,20 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
                 if len(at) > REMEMBERED:
                     at.clear()
                 new = list(dict.fromkeys(w for w in words if w not in at))
-                for s in range(0, len(new), 20_000):
-                    part = new[s : s + 20_000]
-                    b, n = word_features(part)
+                for s in range(0, len(new), PART):
+                    part = new[s : s + PART]
+                    b, n, h = word_features(part)
                     while len(at) + len(part) > len(sums):
-                        sums, counts = np.resize(sums, 2 * len(sums)), np.resize(counts, 2 * len(counts))
+                        sums, counts, hashes = (np.resize(x, 2 * len(x)) for x in (sums, counts, hashes))
                     k = len(at)
-                    sums[k : k + len(part)] = np.add.reduceat(model.weights[b], np.cumsum(n) - n)
-                    counts[k : k + len(part)] = n
+                    sums[k : k + len(part)] = np.add.reduceat(model.weights[b], np.cumsum(n) - n, dtype=np.float64)
+                    counts[k : k + len(part)], hashes[k : k + len(part)] = n, h
                     at.update(zip(part, range(k, k + len(part)), strict=True))
                 z = model.bias
                 if words:
                     k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-                    again = AGAIN * int(np.count_nonzero(k[1:] == k[:-1]))
-                    z += (sums[k].sum() + again * model.weights[BUCKETS]) / (counts[k].sum() + again)
+                    pairs = model.weights[pair_features(hashes[k])]
+                    z += (sums[k].sum() + pairs.sum(dtype=np.float64)) / (counts[k].sum() + len(pairs))
                 scores[i] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             cols = [batch.column(j) for j in kept]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(scores)], names=[f.name for f in schema.fields])
@@ -154,7 +176,8 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document: rows with a null key are never held out, null and empty texts get
+    the bias's score, repeated rows stay; without usable labels all scores are equal."""
     model = fit(docs, labels)
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
