@@ -166,11 +166,79 @@ def test_pii(spark):
     df = spark.createDataFrame([(1, text, "c"), (2, None, "c")], "doc_id long, text string, pii string")
     rows = {r.doc_id: r.pii for r in pii.find_pii(df).collect()}
     found = [(s.kind, text[s.start : s.end]) for s in rows[1]]
-    assert found == [("email", "a.b@x.org"), ("phone", "+44 (0)20 7946 0958"), ("card", "4111 1111 1111 1111"), ("ip", "10.0.0.255"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789")]
+    assert found == [("email", "a.b@x.org"), ("phone", "+44 (0)20 7946 0958"), ("card", "4111 1111 1111 1111"), ("ip", "10.0.0.255"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789"), ("ssn", "123-45-6789")]
     assert rows[2] == []
     assert "<card>" in pii.mask(pii.find_pii(df)).where("doc_id = 1").first().masked
 
 
+def test_pii_context(spark):
+    """Words on both sides count, past other matches of the kind, and only within the window; they raise the score."""
+    far = "x" * 60
+    cases = [
+        ("Social security: 123-45-6789, 123-45-6780, 123-45-6781", [("ssn", 70)] * 3), ("123-45-6789 is my ssn", [("ssn", 70)]), ("123-45-6789", []), (f"ssn {far} 123-45-6789 {far} ssn", []),
+        ("ip 10.0.0.1", [("ip", 90)]), ("ship 10.0.0.1", [("ip", 60)]), ("DE89370400440532013000", [("iban", 60)]), ("DE89370400440532013000 konto", [("iban", 90)]),
+        ('token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"', [("secret", 70)]), ("f33e61083db5dbdf4bd2369d2f80176e57f7fda2", []), ("password: abcdefghijklmnopqrstuvwxyz", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        assert [(s.kind, s.score) for s in r.pii] == cases[r.doc_id][1], r.text
+
+
+def _planted(kind, rng):
+    d = lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
+    if kind == "iban":
+        n = d(18)
+        return f"DE{98 - int(n + '131400') % 97:02d}{n}"
+    if kind == "ssn":
+        return f"{rng.integers(100, 600)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}"
+    if kind == "nir":
+        n = f"{rng.integers(1, 3)}{d(2)}{rng.integers(1, 13):02d}{rng.integers(10, 95)}{d(6)}"
+        return f"{n}{97 - int(n) % 97:02d}"
+    if kind == "dni":
+        n = d(8)
+        return n + "TRWAGMYFPDXBNJZSQVHLCKE"[int(n) % 23]
+    while kind == "nhs":
+        n = d(9)
+        c = (11 - sum(int(x) * (10 - i) for i, x in enumerate(n)) % 11) % 11
+        if c < 10:
+            return f"{n[:3]} {n[3:6]} {n[6:]}{c}"
+    if kind == "aba":
+        n = d(8)
+        return n + str(-sum(int(x) * (3, 7, 1)[i % 3] for i, x in enumerate(n)) % 10)
+    return "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, 40))
+
+
+def test_pii_recall_of_added_kinds(spark):
+    """Planted spans of each kind, with a context word near by, are found; with one digit altered, those of a checksum go."""
+    rng, words = np.random.default_rng(2), {"iban": "account", "ssn": "ssn", "nir": "securite sociale", "dni": "DNI", "nhs": "NHS number", "aba": "routing", "secret": "api_key"}
+    rows, truth = [], {}
+    for kind, word in words.items():
+        for k in range(100):
+            good = _planted(kind, rng)
+            bad = good[:-2] + str((int(good[-2]) + 1) % 10) + good[-1] if kind not in ("ssn", "secret") else ""
+            text = f"lorem {word}: {good} ipsum" if k % 2 else f"lorem {good} ({word}) ipsum"
+            truth[len(rows)] = (kind, text.index(good), good)
+            rows += [(len(rows), text), (len(rows) + 1, f"{word} {bad} end")]
+    found = {r.doc_id: {(s.kind, s.start, r.text[s.start : s.end]) for s in r.pii} for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in words:
+        mine = [i for i, t in truth.items() if t[0] == kind]
+        assert sum(truth[i] in found[i] for i in mine) >= 90, kind
+        assert not any(kind == s[0] for i in mine for s in found[i + 1]), kind
+
+
+def test_pii_odd(spark, none):
+    """Clashing and dotted names, repeated rows, an empty table; a long text with very many matches takes no longer than its length."""
+    began, many = time.time(), 40_000
+    text = "".join(f"a{i}@x.org ssn 123-45-6789 DE89370400440532013000 é, " for i in range(many))
+    df = spark.createDataFrame([(1, "b@x.org"), (1, "b@x.org"), (None, None), (2, ""), (3, text)], "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("row", F.lit(2)).withColumn("m_ip", F.lit(3)).withColumn("a`c", F.lit(4))
+    got = pii.mask(pii.find_pii(df)).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "a.b", "row", "m_ip", "a`c", "pii", "masked"}
+    assert sorted(len(r.pii) for r in got) == [0, 0, 1, 1, 3 * many]
+    assert [r.masked for r in got if r.doc_id == 3] == ["<email> ssn <ssn> <iban> é, " * many] and {r.masked for r in got if r.doc_id != 3} == {"<email>", ""}
+    assert time.time() - began < 90
+    assert pii.find_pii(none).count() == 0 and pii.digest(none).count() == 0
+
+
 def test_pii_iban_neighbours(spark):
     """Upper-case words and other IBANs next to an IBAN don't hide it."""
     es, de, at, no = "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947"
@@ -295,12 +363,55 @@ def test_quality(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.judge(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.93
+    bad, good = ([r.score for r in rows if r.quality == k] for k in (0, 1))
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
     assert quality.judge(none, labels).count() == 0
-    scores = quality.score(odd, quality.Model(np.zeros(quality.BUCKETS + 1, np.float32), 0.0)).collect()
+    scores = quality.score(odd, quality.Model(np.zeros(quality.BUCKETS, np.float32), 0.0)).collect()
     assert len(scores) == odd.count() and {r.score for r in scores} == {0.5}
     assert quality.train([], np.empty(0)).bias == 0
 
 
+def test_quality_scores_are_plain_means(spark, odd):
+    """Remembered words give what a plain mean over all features and a softmax give, for long, empty and odd texts."""
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.standard_normal(quality.BUCKETS).astype(np.float32) * 5, 0.3)
+    df = odd.unionByName(spark.createDataFrame([(20, "é ñ x x x \u2028 一二三 \ud83d\ude00"), (21, "w " * 300_000), (22, "solo")], "doc_id long, text string"), allowMissingColumns=True)
+    for r in quality.score(df, model).collect():
+        at, share = quality.document_features(r.text)
+        z = model.bias + (float(share @ model.weights[at].astype(float)) if len(at) else 0.0)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_quality_training_is_plain(spark):
+    """train() against a loop that updates vector by vector."""
+    texts, labels = ["good word one", "bad bad bad", "good two", "bad bad", ""], np.array([1, 0, 1, 0, 1])
+    got = quality.train([quality.document_features(t) for t in texts], labels, epochs=3)
+    rng = np.random.default_rng(quality.SEED)
+    e = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (quality.BUCKETS, quality.DIM)).astype(np.float32).astype(float)
+    w, b, k = np.zeros((2, quality.DIM)), np.zeros(2), 0
+    for _ in range(3):
+        for i in rng.permutation(len(texts)):
+            rate, k = quality.RATE * (1 - k / 15), k + 1
+            f = list(zip(*quality.document_features(texts[i]), strict=True))
+            mean = sum((s * e[a] for a, s in f), np.zeros(quality.DIM))
+            p = np.exp(w @ mean + b) / np.exp(w @ mean + b).sum()
+            p[labels[i]] -= 1
+            back = p @ w
+            w, b = w - rate * np.outer(p, mean), b - rate * p
+            for a, s in f:
+                e[a] -= rate * s / sum(x * x for _, x in f) * back
+    assert np.allclose(got.weights, e @ (w[1] - w[0]), atol=1e-4) and abs(got.bias - (b[1] - b[0])) < 1e-4
+
+
+def test_quality_odd_labels(spark, odd):
+    """Null, repeated and one-sided labels, labels without documents, no labels at all."""
+    fit = lambda rows: quality.fit(odd, spark.createDataFrame(rows, "doc_id long, quality int"))
+    assert not fit([]).weights.any() and not fit([(1, None), (None, 1), (99, 1)]).weights.any()
+    one_sided = fit([(6, 1), (4, 1), (3, 1)])
+    assert not one_sided.weights.any() and one_sided.bias > 0
+    assert fit([(6, 1), (6, 1), (4, 0), (3, 1), (7, 0), (8, 1), (2, 0)]).weights.any()
+
+
 def test_warc(spark):
     rows = [(1, "http://a/", "<head><title>t</title></head><p>one</p><script>x</script>two &amp; three"), (2, None, None)]
     got = warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")))

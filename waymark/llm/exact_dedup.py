@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunk_id, verified_seed
-from .shared import LAST, SPACE, cut
+from .shared import LAST, SPACE, cut, quoted
 
 #: A chunk ends where a word ends and the next one starts with two such letters: that depends on nothing but the text
 #: there. Chunks have 200 characters at least (but for the last) and 2000 at most.
@@ -30,7 +30,7 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     chunk text only (verified_seed), so equal lists mean equal texts, and only lists are compared. Each distinct chunk
     moves once. A null key sorts last: it's kept only if its group has no other; repeated rows with the smallest key
     stay all. Groups are counted before they move, and the join back can be split where one group is large."""
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), normalised(F.col(text)).alias("norm"))
+    docs = df.select(F.col(quoted(key)).cast("long").alias("doc_id"), normalised(F.col(quoted(text))).alias("norm"))
     seed = verified_seed(docs.select(F.explode(chunked(F.col("norm"))).alias("chunk")))
     ids = F.transform(chunked(F.col("norm")), lambda c: chunk_id(c, seed))
     recipes = cut(docs.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), ids.alias("recipe")))
@@ -45,11 +45,13 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def drop_exact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows that exact_groups drops; all columns stay as they were. Rows go by key and text, so that rows
-    which share a key, null or not, are decided one by one."""
-    out = exact_groups(df, key, text).where("NOT kept").select(F.col(key).alias("__gone"), F.col("text_sha256").alias("__sha"))
-    same = F.col(key).eqNullSafe(F.col("__gone")) & (F.sha2(normalised(F.col(text)), 256) == F.col("__sha"))
-    return df.join(out, same, "left_anti")
+    """df without the rows that exact_groups drops; all columns, whatever their names, stay as they were. Rows go by key and
+    text, so that rows which share a key, null or not, are decided one by one; rows that repeat both stay or go together.
+    Null and empty texts are equal to one another; an empty table gives an empty one."""
+    out = exact_groups(df, key, text).where("NOT kept").select(F.col(quoted(key)).alias("key"), F.col("text_sha256").alias("sha"))
+    row, gone = "__row", "__gone"
+    same = F.col(f"{row}.{quoted(key)}").cast("long").eqNullSafe(F.col(f"{gone}.key")) & (F.sha2(normalised(F.col(f"{row}.{quoted(text)}")), 256) == F.col(f"{gone}.sha"))
+    return df.alias(row).join(out.alias(gone), same, "left_anti")
 
 
 ORACLE = r"""

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
+
 #: Rules given as a list on the driver; more must come as a DataFrame of rule_rows()' columns.
 MOST_LISTED = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,7 +55,7 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, url: str
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rule_rows(rules), "rule string, verdict string, pattern string, length int, literals array<string>")
     host, path = host_path(F.col("__url"))
-    urls = df.select(F.col(url).alias("__url")).where("__url IS NOT NULL").distinct()
+    urls = df.select(F.col(quoted(url)).alias("__url")).where("__url IS NOT NULL").distinct()
     urls = urls.select("__url", F.concat(host, path).alias("target")).withColumn("token", F.explode(tokens(F.col("target"))))
     literals = rules.select("rule", F.explode("literals").alias("token"))
     counts = urls.join(literals.select("token").distinct(), "token").groupBy("token").count()
@@ -62,10 +64,10 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, url: str
     hits = urls.join(index, "token").where("regexp_like(target, pattern)")
     best = hits.groupBy(F.col("__url")).agg(F.min(F.struct((-F.col("length")).alias("l"), "rule", "verdict")).alias("b"))
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    row = df.select(F.struct(*keep).alias("row"), F.col(url).alias("u"))
+    row = df.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("row"), F.col(quoted(url)).alias("u"))
     out = row.join(best, F.col("u") == F.col("__url"), "left")
     host, path = host_path(F.col("u"))
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], host.alias("host"), path.alias("path"), F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+    return out.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in keep], host.alias("host"), path.alias("path"), F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the query.
