@@ -2,53 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pattern, replacement, opener, closer: what has both goes from a page's HTML first, one after the other. It's looked for up to
-#: the closer's last place only: each opener before that has an end, so that no search runs in vain to the end of the page.
-PARTS = (
-    (r"(?s)<!--.*?-->", "<!--", "-->"),
-    (r"(?is)<script(?:\s[^<>]*)?>.*?</script>", "<script", "</script>"),
-    (r"(?is)<style(?:\s[^<>]*)?>.*?</style>", "<style", "</style>"),
-    (r"(?is)<noscript(?:\s[^<>]*)?>.*?</noscript>", "<noscript", "</noscript>"),
-    (r"(?is)<head(?:\s[^<>]*)?>.*?</head>", "<head", "</head>"),
-)
+#: What goes with all it holds: comments, and elements whose text is not the page's. One without an end goes on to the page's
+#: end, as in browsers; so each opener is the start of a match, and no search runs in vain to the end of the page.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{e}(?:\s[^<>]*)?>.*?(?:</{e}>|\z)" for e in ("script", "style", "noscript", "title"))
 #: Tags that end a line get a line break before them; then all tags go.
-BREAK, TAG = r"(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table|/title)", r"(?s)<[^>]*>"
+BREAK, TAG = r"(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table)", r"(?s)</?[A-Za-z!?][^>]*(?:>|\z)"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 #: Blanks that aren't one space; line ends with blanks about them.
 BLANKS, LINES = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", r" ?\n[ \n]*"
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
-
-
-def _gone(text: Column, pattern: str, opener: str, closer: str) -> Column:
-    """The pattern replaced by a space up to the last closer; the rest stays. Lower case has the same places, or else only
-    A to Z are lowered."""
-    def known(t: Column, plain: Column) -> Column:
-        behind = F.char_length(F.substring_index(plain, closer, -1))
-        done = _let(behind, lambda n: F.concat(F.regexp_replace(F.left(t, F.char_length(t) - n), pattern, " "), F.right(t, n)))
-        return F.when(F.contains(plain, F.lit(opener)) & F.contains(plain, F.lit(closer)), done).otherwise(t)
-
-    def lowered(t: Column) -> Column:
-        low = F.lower(t)
-        return F.when(F.char_length(low) == F.char_length(t), low).otherwise(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-    return _let(text, (lambda t: _let(lowered(t), lambda low: known(t, low))) if any(c.isalpha() for c in closer) else (lambda t: known(t, t)))
-
-
 def html_text(html: Column) -> Column:
-    """Plain text of HTML: comments, scripts, styles and the head go, block ends become line breaks; null stays null. Time
-    grows with the length of the page, whatever it holds."""
-    for part in PARTS:
-        html = _gone(html, *part)
-    text = _gone(F.regexp_replace(html, BREAK, "\n<$1"), TAG, "<", ">")
+    """Plain text of HTML: comments, scripts, styles and the title go, block ends become line breaks; null stays null. A `<`
+    before no letter is text. Time grows with the length of the page, whatever it holds."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BREAK, "\n<$1"), TAG, " ")
     for entity, to in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(to))
     return F.btrim(F.regexp_replace(F.regexp_replace(text, BLANKS, " "), LINES, "\n"), F.lit(" \n"))
@@ -157,9 +127,7 @@ def to_bytes(records: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFram
 
 def _sql_text(c: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    for pattern, _, _ in PARTS:
-        c = f"regexp_replace({c}, {q(pattern)}, ' ', 'g')"
-    c = f"regexp_replace(regexp_replace({c}, {q(BREAK)}, chr(10) || '<\\1', 'g'), {q(TAG)}, ' ', 'g')"
+    c = f"regexp_replace(regexp_replace(regexp_replace({c}, {q(HIDDEN)}, ' ', 'g'), {q(BREAK)}, chr(10) || '<\\1', 'g'), {q(TAG)}, ' ', 'g')"
     for entity, to in ENTITIES:
         c = f"replace({c}, {q(entity)}, {q(to)})"
     return f"trim(regexp_replace(regexp_replace({c}, {q(BLANKS)}, ' ', 'g'), {q(LINES)}, chr(10), 'g'), ' ' || chr(10))"
