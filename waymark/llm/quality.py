@@ -114,7 +114,8 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Train on a bounded sample of labelled rows outside the held-out fold: TRAIN_DOCS of them by a hash of their key. Null
     labels and keys are left out; a key with several labels has the largest, one with several texts the smallest. Features are
-    counted by the executors: what comes to the driver is BUCKETS numbers a row at most, however long its text."""
+    counted by the executors: what comes to the driver is
+    BUCKETS features a row at most, of eight bytes each, however long its text."""
     import pyarrow as pa
 
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("__k")).agg(F.max(label).alias("__y"))
@@ -125,10 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             found = [document_features(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["k", "y", "at", "shares"])
+            packed = [pa.array([f[i].astype(t).tobytes() for f in found], pa.binary()) for i, t in ((0, np.int32), (1, np.float32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), *packed], names=["k", "y", "at", "shares"])
 
-    got = rows.mapInArrow(run, "k long, y int, at array<long>, shares array<float>").toPandas().sort_values("k")
-    return train([(np.asarray(a, np.int64), np.asarray(s, np.float32)) for a, s in zip(got["at"], got["shares"], strict=True)], got["y"].to_numpy(np.int64))
+    got = sorted(rows.mapInArrow(run, "k long, y int, at binary, shares binary").collect(), key=lambda r: r.k)
+    return train([(np.frombuffer(r.at, np.int32), np.frombuffer(r.shares, np.float32)) for r in got], np.array([r.y for r in got], np.int64))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
