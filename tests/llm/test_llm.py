@@ -127,6 +127,51 @@ def test_ngram_brute_force(spark, percent):
     assert [got[i] for i in range(len(texts))] == _brute(texts, 5, percent)
 
 
+def _families(seed):
+    """Chains of edits of a few texts, texts that share a passage, and one that links two chains' ends only to themselves."""
+    rng, texts = np.random.default_rng(seed), []
+    for family in range(4):
+        words = [f"w{family}x{k}" for k in rng.integers(0, 5000, 60 if family < 2 else 400)]
+        for _ in range(14):
+            texts.append(" ".join(words))
+            for _ in range(int(rng.integers(0, 1 + len(words) // 60))):
+                words[int(rng.integers(len(words)))] = f"e{rng.integers(1 << 30)}"
+    shared = " ".join(f"common{k}" for k in range(60))
+    return texts + [shared + " " + " ".join(f"u{i}v{k}" for k in range(40)) for i in range(12)]
+
+
+@pytest.mark.parametrize("way", ["blocks", "poor"])
+def test_ngram_ways_out(spark, monkeypatch, way):
+    """All links by blocks, of several sizes and by lists as well as by families; and sets with too few hashes in their part."""
+    texts = _families(5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = ngram_join.CLASSES
+    if way == "blocks":
+        monkeypatch.setattr(ngram_join, "STARS", 0)
+        monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    else:
+        classes = ((0, None), (40, 1.02), (150, 1.01))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(df, n=5, percent=80, classes=classes).collect()}
+    assert [got[i] for i in range(len(texts))] == _brute(texts, 5, 80)
+
+
+def test_drops_on_odd_rows(spark, odd, none):
+    """Rows out of both drops are those of a plain model: nulls, repeats, ties, and columns named like the operators' own."""
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "quite another text of words"), (None, "a b c d e f g h"), (None, "other"), (3, None), (4, ""), (5, None), (1, "a b c d e f g h"), (6, "A  b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("__gone", "__row", "key", "doc", "sha", "kept", "a.b", "component"):
+        df = df.withColumn(c, F.lit(1))
+    exact = [0, 2, 4, 5, 8, 9]  # of equal texts the smallest key's rows; the null key's copy goes, "other" stays
+    near = [0, 2, 3, 4, 5, 6, 7, 8]  # rows without words or with a null key stay; doc 6 equals doc 1 in lower case
+    for out, want in ((exact_dedup.drop_exact(df), exact), (ngram_join.drop_near(df), near)):
+        assert out.columns == df.columns
+        assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([rows[i] for i in want], key=str)
+    for drop in (exact_dedup.drop_exact, ngram_join.drop_near):
+        assert drop(none).count() == 0
+        left = drop(odd)
+        assert left.columns == odd.columns and left.count() == {exact_dedup.drop_exact: 8, ngram_join.drop_near: 9}[drop]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((40, 32))

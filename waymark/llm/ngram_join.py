@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LAST, components, cut
+from .shared import LAST, components, cut, quoted
 from .shingles import mixed, shingle_sets
 
 N, PERCENT = 4, 85
@@ -17,8 +19,9 @@ N, PERCENT = 4, 85
 #: part is so many times the distance allowed. Neighbouring classes overlap, so two similar sets share one.
 CLASSES = ((0, None), (85, 3.3), (340, 2.0), (1700, 1.6), (6000, 1.35))
 BITS = 48
-#: Rounds in which sets meet list heads; sets that are compared with one another at once.
-STARS, BLOCK = 2, 256
+#: Rounds in which sets meet list heads; sets that are compared with one another at once, each counted once and once more for
+#: each LONG shingles.
+STARS, BLOCK, LONG = 2, 256, 1000
 
 
 def size_classes(percent: int, classes: tuple = CLASSES) -> list[tuple[int, int, int]]:
@@ -37,13 +40,14 @@ def _sets(batches: Iterator, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield from zip(ids, shingle_sets(batch.column(1).to_pylist(), n), strict=True)
 
 
-def _row(key: str, text: str) -> Column:
+def _row(key: Column, text: Column) -> Column:
     """64 bits that name a row by its key, null or not, and its text."""
-    return F.xxhash64(F.lit(7), F.col(key).cast("long"), F.col(key).isNull(), F.col(text), F.col(text).isNull())
+    return F.xxhash64(F.lit(7), key.cast("long"), key.isNull(), text, text.isNull())
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(_row(key, text).alias("doc"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("key"))
+    k, t = F.col(quoted(key)), F.col(quoted(text))
+    return df.select(_row(k, t).alias("doc"), t.alias("text"), F.coalesce(k.cast("long"), F.lit(LAST)).alias("key"))
 
 
 def signatures(df: DataFrame, n: int, percent: int, classes: tuple = CLASSES) -> DataFrame:
@@ -128,20 +132,22 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets reach the similarity, as a square matrix: shared members are counted by products of 0/1 matrices."""
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets share, as a square matrix: products of 0/1 matrices over what several sets have."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    both = np.zeros((len(sets), len(sets)), np.int64)
     members, at = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     frequent = np.bincount(at, minlength=len(members)) > 1
     at, owner = (np.cumsum(frequent) - 1)[at[frequent[at]]], owner[frequent[at]]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
     for low in range(0, int(frequent.sum()), 8192):
-        here = (at >= low) & (at < low + 8192)
-        part = np.zeros((len(sets), 8192), np.float32)
+        here = slice(*np.searchsorted(at, (low, low + 8192)))
+        part = np.zeros((len(sets), 8192), np.float32)  # sums of 8192 ones are exact
         part[owner[here], at[here] - low] = 1
-        both += part @ part.T
-    return (100 * both >= percent * (sizes[:, None] + sizes - both)) & (both > 0)
+        both += (part @ part.T).astype(np.int64)
+    return both
 
 
 def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -159,30 +165,59 @@ def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def blockwise(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) that join what links join inside each family of members (doc, family). A family is dealt by hash into
-    blocks of about BLOCK; each pair of blocks is a task's group, thus no group grows with its family. Small families
-    share groups."""
-    sizes = cut(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.count("*").alias("size")))
-    some = max(1, -(-members.count() // BLOCK))
+    """Links (a, b) inside each family of members (doc, n, family, component, p1, p2, p3) that merge components: of two sets of
+    different components the prefixes must meet under each of the three orders; then the whole sets are compared. A family is
+    dealt by hash into blocks of about BLOCK; each pair of blocks is a task's group, thus no group grows with its family.
+    Small families share groups."""
+    weight = F.sum(F.lit(1) + F.expr(f"n div {LONG}"))
+    sizes = cut(members.groupBy("family").agg(F.ceil(weight / BLOCK).alias("k"), F.count("*").alias("size")))
+    some = max(1, math.ceil((members.agg(weight).first()[0] or 0) / BLOCK))
     here = members.join(sizes.where("size > 1"), "family").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "doc"), "k"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
     here = here.withColumn("j", others).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
     small = F.col("k") == 1
     group = F.when(small, F.pmod(F.xxhash64("family"), F.lit(some))).otherwise(F.xxhash64("family", "lo", "hi"))
-    here = here.select("doc", F.when(small, F.col("family")).otherwise(0).alias("family"), small.alias("small"), group.alias("g"))
+    here = here.select("doc", "component", "p1", "p2", "p3", "i", "lo", "hi", F.when(small, F.col("family")).otherwise(0).alias("family"), small.alias("small"), group.alias("g"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         for _, part in rows.groupby("family", sort=False):
-            docs = part["doc"].to_numpy()
-            found = _linked(list(shingle_sets(part["text"].tolist(), n)), percent)
-            out += [(docs[x], docs[y]) for x, y in _spanning(found)]
+            component, i = part["component"].to_numpy(), part["i"].to_numpy()
+            can = component[:, None] != component
+            if (part["lo"] < part["hi"]).any():
+                can &= i[:, None] != i
+            for p in ("p1", "p2", "p3"):
+                if can.any():
+                    can &= _overlaps([np.asarray(x, np.int64) for x in part[p]]) > 0
+            left = np.flatnonzero(can.any(1))
+            if len(left):
+                docs = part["doc"].to_numpy()[left]
+                sets = list(shingle_sets(part["text"].iloc[left].tolist(), n))
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                both = _overlaps(sets)
+                found = can[np.ix_(left, left)] & (both > 0) & (100 * both >= percent * (size[:, None] + size - both))
+                out += [(docs[x], docs[y]) for x, y in _spanning(found)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return here.join(texts, "doc").groupBy("small", "g").applyInPandas(run, "a long, b long")
 
 
-def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+def against_all(few: DataFrame, rows: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of the few sets (doc, n), whatever the other: their whole sets' tokens are looked up among all sets', and
+    whole texts decide."""
+    reps = sets.select(F.col("rep").alias("doc"), F.col("n").alias("m"))
+    tokens = entries(rows.join(reps.select("doc"), "doc", "left_semi"), n, percent, ((0, None),))
+    mine = cut(tokens.join(few.select("doc"), "doc", "left_semi").select("token", F.col("doc").alias("a")))
+    shared = tokens.join(mine, "token").where("doc <> a").groupBy("a", "doc").agg(F.count("*").alias("both"))
+    shared = shared.join(few.select(F.col("doc").alias("a"), "n"), "a").join(reps, "doc")
+    # tokens are shorter than hashes, so that a set may have a token or two less than shingles
+    near = shared.where(f"100 * (both + 2) * 1.01 >= {percent} * (n + m - both)").select("a", F.col("doc").alias("b"))
+    near = cut(near)
+    both = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc")))
+    return verified(near, rows.join(both, "doc", "left_semi"), n, percent)
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, classes: tuple = CLASSES) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key reachable by links).
 
     Two rows link when 100 * shared shingles >= percent * shingles in either. Null and empty texts have no shingle and
@@ -200,25 +235,24 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
        pairs whose second or third prefixes are disjoint go; the whole texts of the others decide.
     4. Lists are not expanded into all pairs. First each set meets the list head that most of its lists have, and links
        merge components; lists whose members are all in one component are done. What the others hold falls into families,
-       in which lists of the first order, and lists of the third, connect all members; each family's sets are compared
-       block by block, and only the edges that span a block's components come out.
-    If a set has too few hashes in its part (odds below one in a million), all use the whole space."""
+       in which lists of the first order, and lists of the third, connect all members. A family is compared block by block,
+       as a whole or list by list, whichever moves fewer texts: so one in which many lists merely hang together costs no
+       more than its lists, and a dense one is looked at once. In a block, too, pairs of different components must pass the
+       three filters before their sets are compared, and only the edges that span the links come out.
+    A set that has too few hashes in its part (odds below one in a million) is compared by its whole set with all others.
+    Extra columns are left behind; an empty table gives an empty one; repeated rows each get their row."""
     null = lambda c: F.when(c < LAST, c)
-    out = _groups(df, key, text, n, percent)
+    out = _groups(df, key, text, n, percent, classes)
     return out.select(null(F.col("key")).alias(key), F.col("n").alias("n_shingles"), null(F.coalesce("component", "key")).alias("component_id"))
 
 
-def _groups(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+def _groups(df: DataFrame, key: str, text: str, n: int, percent: int, classes: tuple = CLASSES) -> DataFrame:
     """Per row: doc (see _row), key, n, component; LAST stands for a null key, and rows without a shingle have no component."""
     rows = _rows(df, key, text)
-    classes = CLASSES
     sigs = cut(signatures(rows, n, percent, classes))
     allowed = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    poor = (F.col("n") > 0) & ((F.col("n0") <= allowed) | F.coalesce(F.col("n1") <= allowed, F.lit(False)))
-    if not sigs.where(poor).limit(1).isEmpty():
-        classes = ((0, None),)
-        sigs = cut(signatures(rows, n, percent, classes))
     sets = cut(sigs.where("n > 0").groupBy("n", "s1", "s2", "in0", "n0", "in1", "n1").agg(F.min("doc").alias("rep"), F.min("key").alias("key")))
+    poor = sets.where((F.col("n0") <= allowed) | F.coalesce(F.col("n1") <= allowed, F.lit(False))).select(F.col("rep").alias("doc"), "n")
 
     rows = rows.select("doc", "text")
     tokens = entries(rows, n, percent, classes)
@@ -251,12 +285,16 @@ def _groups(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFra
     def fits(x: Column, y: Column) -> Column:
         return (100 * x >= percent * y) & (100 * y >= percent * x)
 
-    links: DataFrame | None = None
+    links: list[DataFrame] = []
     labels = posts.select(F.col("doc").alias("node"), F.col("doc").alias("component")).distinct()
 
-    def merged() -> DataFrame:
-        found = components(links).withColumnRenamed("node", "k")
-        return cut(labels.select("node").join(found, F.col("node") == F.col("k"), "left").select("node", F.coalesce("component", "node").alias("component")))
+    def merged(new: DataFrame) -> DataFrame:
+        """Labels of all nodes when new links are added; new is a table that was cut."""
+        if new.isEmpty():
+            return labels
+        links.append(new)
+        found = components(functools.reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "k")
+        return cut(labels.select("node").join(found, F.col("node") == F.col("k"), "full").select(F.coalesce("node", "k").alias("node"), F.coalesce("component", "node").alias("component")))
 
     def opened(lists: DataFrame, turn: int) -> DataFrame:
         """Postings of lists that have several components, with each list's head by a hash of the turn."""
@@ -265,16 +303,15 @@ def _groups(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFra
         several = held.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), head).where("x <> y")
         return held.join(cut(several.select("token", "head")), "token")
 
+    if not poor.isEmpty():
+        labels = merged(cut(against_all(cut(poor), rows, sets, n, percent)))
     for turn in range(STARS):
         held = opened(posts, turn).withColumn("c", F.shiftright("token", BITS).cast("int"))
         meet = held.where((F.col("component") != F.col("head.component")) & fits(F.col("n"), F.col("head.n")))
         votes = meet.groupBy("doc", "c", F.col("head.doc").alias("head")).count()
         best = votes.groupBy("doc").agg(F.max(F.struct("count", "head", "c")).alias("z"))
         pairs = cut(best.select(F.col("z.head").alias("a"), F.col("doc").alias("b"), F.col("z.c").alias("c")))
-        new = cut(check(pairs))
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            labels = merged()
+        labels = merged(cut(check(pairs)))
 
     family = posts.select("doc").distinct().withColumn("family", F.lit(0).cast("long"))
     for lists in (posts, prefixes.select("doc", "n", F.explode("p3").alias("token"))):
@@ -282,9 +319,17 @@ def _groups(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFra
         found = components(held, "head", "doc")
         family = cut(family.join(found.withColumnRenamed("node", "doc"), "doc").select("doc", F.xxhash64("family", "component").alias("family")))
     if not family.isEmpty():
-        new = cut(blockwise(family, texts, n, percent))
-        links = links.unionByName(new)
-        labels = merged()
+        moves = lambda size: F.sum(F.col(size) * F.ceil(F.col(size) / BLOCK))
+        by_list = cut(opened(posts, STARS).select("doc", "token").join(family, "doc"))
+        listed = by_list.groupBy("family", "token").agg(F.count("*").alias("size")).where("size > 1").groupBy("family").agg(moves("size").alias("listed"))
+        whole = family.groupBy("family").agg(F.count("*").alias("size")).withColumn("whole", F.col("size") * F.ceil(F.col("size") / BLOCK))
+        ways = cut(whole.join(listed, "family", "left").select("family", F.coalesce(F.col("listed") < F.col("whole"), F.lit(True)).alias("by_list")))
+        a = family.join(ways.where("NOT by_list").select("family"), "family")
+        b = by_list.join(ways.where("by_list").select("family"), "family").select(F.xxhash64("family", "token").alias("family"), "doc")
+        every = [F.flatten(F.collect_list(p)).alias(p) for p in ("p1", "p2", "p3")]
+        held = prefixes.join(family.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.max("n").alias("n"), *every)
+        held = cut(held.join(labels, F.col("doc") == F.col("node")).drop("node"))
+        labels = merged(cut(blockwise(cut(a.select("doc", "family").unionByName(b.select("doc", "family")).join(held, "doc")), texts, n, percent)))
 
     moved = cut(labels.where("node <> component").select(F.col("node").alias("rep"), "component"))
     named = cut(sets.select("n", "s1", "s2", "rep", "key").join(moved, "rep", "left").select("n", "s1", "s2", "key", F.coalesce("component", "rep").alias("at")))
@@ -294,10 +339,12 @@ def _groups(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFra
 
 
 def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """df with the smallest key of each group of near copies; rows without words and rows with a null key stay. Rows go by
-    key and text."""
-    gone = _groups(df, key, text, n, percent).where((F.col("key") != F.col("component")) & (F.col("key") < LAST)).select(F.col("doc").alias("__gone"))
-    return df.join(gone, _row(key, text) == F.col("__gone"), "left_anti")
+    """df with the smallest key of each group of near copies; rows without words (null, empty, blank) and rows with a null key
+    stay. Rows go by key and text, so that those which share a key are decided one by one, and rows that repeat both stay or
+    go together. Columns, whatever their names, stay as they were; an empty table gives an empty one."""
+    gone = _groups(df, key, text, n, percent).where((F.col("key") != F.col("component")) & (F.col("key") < LAST)).select("doc")
+    row = _row(F.col(f"__row.{quoted(key)}"), F.col(f"__row.{quoted(text)}"))
+    return df.alias("__row").join(gone.alias("__gone"), row == F.col("__gone.doc"), "left_anti")
 
 
 ORACLE = rf"""
