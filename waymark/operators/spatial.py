@@ -29,14 +29,53 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, key: list[str], by
     return left.select(*key).join(found, key, "left").select(*key, F.col(f"z.{by}").alias(by), F.col("z.metres").alias("metres"))
 
 
-def inside(points: DataFrame, areas: DataFrame, size: float = 0.001) -> DataFrame:
-    """points ⋈ areas (min_lng .. max_lat) whose ring holds the point: every cell of an area's box meets the points of the
-    cell, then rays are cast. Large areas have many cells: choose size accordingly."""
-    ring = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("min_lng", "min_lat"), ("max_lng", "min_lat"), ("max_lng", "max_lat"), ("min_lng", "max_lat"))])
+def boxed(areas: DataFrame, ring: str = "ring") -> DataFrame:
+    """areas with the box (min_lng .. max_lat) of their ring, an array of (x, y)."""
+    x, y = F.col(ring)["x"], F.col(ring)["y"]  # a field of an array of structs is the array of that field
+    return areas.withColumns({"min_lng": F.array_min(x), "max_lng": F.array_max(x), "min_lat": F.array_min(y), "max_lat": F.array_max(y)})
+
+
+def inside(points: DataFrame, areas: DataFrame, size: float = 0.0005) -> DataFrame:
+    """points ⋈ areas (area_id, ring: array of (x, y), closed or not) whose ring holds the point.
+
+    Each distinct place is looked up once, however many points stand there: the cells of an area's box meet the places of
+    the cell, the box test is part of the join, and rays are cast for what is left. Points with a null place and areas with
+    a null or empty ring are in no pair. Large areas have many cells: choose size accordingly."""
     span = lambda lo, hi: F.explode(F.sequence(geo.cell(F.col(lo), size), geo.cell(F.col(hi), size)))
-    a = areas.withColumn("__ring", ring).withColumn("__cx", span("min_lng", "max_lng")).withColumn("__cy", span("min_lat", "max_lat"))
-    p = points.withColumn("__cx", geo.cell(F.col("lng"), size)).withColumn("__cy", geo.cell(F.col("lat"), size))
-    return p.join(a, ["__cx", "__cy"]).where(geo.in_ring(F.col("lng"), F.col("lat"), F.col("__ring"))).drop("__cx", "__cy", "__ring")
+    boxes = boxed(areas.select("area_id", "ring").where("size(ring) > 2")).withColumn("cx", span("min_lng", "max_lng")).withColumn("cy", span("min_lat", "max_lat"))
+    places = points.where("lng IS NOT NULL AND lat IS NOT NULL").select(F.col("lng").alias("x"), F.col("lat").alias("y")).distinct()
+    places = places.withColumn("cx", geo.cell(F.col("x"), size)).withColumn("cy", geo.cell(F.col("y"), size))
+    within = (places.cx == boxes.cx) & (places.cy == boxes.cy) & F.col("x").between(F.col("min_lng"), F.col("max_lng")) & F.col("y").between(F.col("min_lat"), F.col("max_lat"))
+    found = places.join(boxes, within).where(geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("x", "y", "area_id")
+    out = points.join(found, (F.col("lng") == F.col("x")) & (F.col("lat") == F.col("y"))).drop("x", "y")
+    return out.join(areas.drop("ring"), "area_id") if len(areas.columns) > 2 else out
+
+
+def places_inside(points: DataFrame, areas: DataFrame, size: float = 0.0005) -> DataFrame:
+    """(lng, lat, area_id, n): for each distinct place of points that some area holds, the first such area and their number."""
+    places = points.select("lng", "lat").distinct()
+    return inside(places, areas.select("area_id", "ring"), size).groupBy("lng", "lat").agg(F.min("area_id").alias("area_id"), F.count("*").alias("n"))
+
+
+def in_zones(points: DataFrame, zones: DataFrame, margin: float = 0.02, lat: float = 60.0) -> DataFrame:
+    """The distinct places (lng, lat) of points that a zone holds: a ring, or a circle (lng, lat and metres). zones: zone_id, ring,
+    lng, lat, metres; of each zone either the ring or the circle is null. Zones further than `margin` degrees from the box of
+    all points are left aside first."""
+    box = points.agg(*[f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("lng", "lat")])
+    cover = zones.withColumns({"zx": F.coalesce("lng", F.element_at("ring", 1)["x"]), "zy": F.coalesce("lat", F.element_at("ring", 1)["y"])})
+    near = cover.join(box, F.col("zx").between(F.col("lo_lng") - margin, F.col("hi_lng") + margin) & F.col("zy").between(F.col("lo_lat") - margin, F.col("hi_lat") + margin)).select("zone_id", "ring", "lng", "lat", "metres")
+    places = points.select("lng", "lat").distinct()
+    held = inside(places, near.where("ring IS NOT NULL").select(F.col("zone_id").alias("area_id"), "ring")).select("lng", "lat")
+    # circles of a size class share cells of that size, so that one large circle doesn't coarsen the small ones' cells
+    circles = near.where("ring IS NULL").select("zone_id", F.col("lng").alias("zlng"), F.col("lat").alias("zlat"), "metres")
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("metres", F.lit(1.0))))) / geo.METRES_PER_DEGREE * 1.01 / math.cos(math.radians(lat))
+    classes = circles.select(size.alias("size")).distinct()
+    shifts = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    at = lambda c: F.floor(F.col(c) / F.col("size")).cast("long")
+    probes = places.join(classes).withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts)).withColumns({"cx": at("lng") + F.col("dx"), "cy": at("lat") + F.col("dy")})
+    around = probes.join(circles.withColumn("size", size).withColumns({"cx": at("zlng"), "cy": at("zlat")}), ["size", "cx", "cy"])
+    around = around.where(geo.haversine(F.col("lng"), F.col("lat"), F.col("zlng"), F.col("zlat")) <= F.col("metres")).select("lng", "lat")
+    return held.unionByName(around).distinct()
 
 
 #: High-level categories of map symbols: fixed ranges.

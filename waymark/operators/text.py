@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +22,45 @@ def windows(df: DataFrame, size: int = 800, overlap: int = 200, least: int = 100
     return cut.select("doc_id", "ord", F.trim(F.substring("text", F.col("at") + 1, F.lit(size))).alias("chunk")).where(F.length("chunk") >= least)
 
 
-def top_matches(queries: DataFrame, corpus: DataFrame, k: int, block: int = 32) -> DataFrame:
-    """(query_id, id, score, place): the k rows of the corpus (id, v) with the highest cosine for each query (query_id, q),
-    ties by id. Queries go into blocks; every corpus row meets each block once, keeps its score for each query, and
-    the best of a task go on: Spark limits groups by rank before it shuffles them."""
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
-    q = queries.select("query_id", unit(F.col("q")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(block)).alias("b"))
-    q = q.groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    rows = corpus.select("id", unit(F.col("v")).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))).alias("b")).join(q, "b").select("id", "v", F.explode("qs").alias("z"))
-    dot = F.aggregate(F.zip_with("v", "z.q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+#: Questions of a block, and corpus rows of a block: what one task multiplies at once.
+QUESTIONS, ROWS = 1024, 4096
+
+
+def _units(rows: list) -> np.ndarray:
+    x = np.array(rows, np.float64)
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+
+
+def top_matches(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, place): the k rows of the corpus (id, v) with the highest cosine for each query (query_id, q), scores
+    to six digits between -1 and 1, ties by id. Null and zero vectors match nothing, nor do vectors of different lengths.
+
+    Both sides are dealt by hash into blocks; each pair of blocks is one group, whose vectors are made unit vectors once and
+    multiplied as matrices, and gives the best k of its rows for each of its questions; then the best of all groups count. A
+    group holds two blocks and their products, whatever the tables' sizes; work is questions times rows, as the search is
+    exact."""
+    queries, corpus = queries.where("q IS NOT NULL").select("query_id", "q"), corpus.where("v IS NOT NULL").select("id", "v")
+    some, many = max(1, math.ceil(queries.count() / QUESTIONS)), max(1, math.ceil(corpus.count() / ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(some))).withColumn("c", every(many))
+    rows = corpus.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(many))).withColumn("b", every(some))
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": one["query_id"][:0], "id": two["id"][:0], "score": np.empty(0)})]
+        sizes, dims = one["q"].map(len), two["v"].map(len)
+        for dim in sorted(set(sizes) & set(dims)):
+            q, v = one[sizes == dim], two[dims == dim].sort_values("id", kind="stable")
+            score = np.clip(np.round(_units(q["q"].tolist()) @ _units(v["v"].tolist()).T, 6), -1, 1)
+            best = np.argsort(-np.nan_to_num(score, nan=-9.0), axis=1, kind="stable")[:, :k]
+            found = pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), best.shape[1]), "id": v["id"].to_numpy()[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+            out.append(found[found["score"].notna()])
+        return pd.concat(out)
+
+    types = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["id"]
+    found = asked.groupBy("b", "c").cogroup(rows.groupBy("b", "c")).applyInPandas(run, f"query_id {types[0]}, id {types[1]}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(dot, 6)))
-    return rows.select(F.col("z.query_id").alias("query_id"), "id", score.alias("score")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def paragraphs(df: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -31,33 +32,64 @@ def j06(s, d):
     return S.radius_pairs(_points(s, d), derived(s, d, "candidates"), 75).groupBy("course_id", "ord").agg(F.count("*").alias("n"), F.count_if(F.col("ftype") == "path").alias("paths"))
 
 
-_IN = f"c.lng + {_SHIFT} BETWEEN min_lng AND max_lng AND c.lat + {_SHIFT} BETWEEN min_lat AND max_lat"
+#: Areas as rings of five corners, one of them bent inwards; in both dialects.
+_RING = (("min_lng", "min_lat"), ("max_lng", "min_lat"), ("max_lng", "max_lat"), ("(min_lng + max_lng) / 2", "(min_lat + 2 * max_lat) / 3"), ("min_lng", "max_lat"))
+
+
+def _rings(s, d):
+    """area_id, isom, ring."""
+    return derived(s, d, "areas").select("area_id", "isom", F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in _RING]).alias("ring"))
+
+
+def _edges_sql() -> str:
+    """How many edges of an area's ring a ray to the east of (x, y) crosses."""
+    ends = [*_RING[1:], _RING[0]]
+    return " + ".join(f"CASE WHEN (({ay}) > y) <> (({by}) > y) AND x < (({bx}) - ({ax})) * (y - ({ay})) / nullif(({by}) - ({ay}), 0) + ({ax}) THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in zip(_RING, ends, strict=True))
+
+
+_HELD = f""", pl AS (SELECT DISTINCT lng, lat, lng + {_SHIFT} AS x, lat + {_SHIFT} AS y FROM controls),
+  held AS (SELECT lng, lat, area_id, isom FROM pl JOIN areas ON x BETWEEN min_lng AND max_lng AND y BETWEEN min_lat AND max_lat WHERE ({_edges_sql()}) % 2 = 1)"""
 
 
 def _shifted(s, d):
     return _points(s, d).withColumns({"lng": F.col("lng") + _SHIFT, "lat": F.col("lat") + _SHIFT})
 
 
-@query("J09_point_in_polygon", ctes("controls", "areas") + f" SELECT course_id, ord, min(area_id) AS area_id, count(*) AS n FROM controls c JOIN areas ON {_IN} GROUP BY ALL")
+@query("J09_point_in_polygon", ctes("controls", "areas") + _HELD + ", g AS (SELECT lng, lat, min(area_id) AS area_id, count(*) AS n FROM held GROUP BY ALL) SELECT course_id, ord, area_id, n FROM controls JOIN g USING (lng, lat)")
 def j09(s, d):
-    return S.inside(_shifted(s, d), derived(s, d, "areas")).groupBy("course_id", "ord").agg(F.min("area_id").alias("area_id"), F.count("*").alias("n"))
+    points = _shifted(s, d)
+    return points.join(S.places_inside(points, _rings(s, d)), ["lng", "lat"]).select("course_id", "ord", "area_id", "n")
 
 
-@query("C08_out_of_bounds", ctes("controls", "areas") + f" SELECT DISTINCT course_id, ord FROM controls c JOIN areas ON {_IN} AND isom % 10 = 9")
+@query("C08_out_of_bounds", ctes("controls", "areas") + _HELD + " SELECT DISTINCT course_id, ord FROM controls JOIN (SELECT DISTINCT lng, lat FROM held WHERE isom % 10 = 9) USING (lng, lat)")
 def c08(s, d):
-    return S.inside(_shifted(s, d), derived(s, d, "areas").where("isom % 10 = 9")).select("course_id", "ord").distinct()
+    points = _shifted(s, d)
+    return points.join(S.places_inside(points, _rings(s, d).where("isom % 10 = 9")), ["lng", "lat"]).select("course_id", "ord")
+
 
+_METRES = "CAST(20 + area_id % 60 AS DOUBLE)"
 
-@query("J10_outside_zones", ctes("controls", "areas") + f" SELECT course_id, ord FROM controls c WHERE NOT EXISTS (SELECT 1 FROM areas WHERE {_IN} AND isom % 10 = 9)")
+
+@query("J10_outside_zones", ctes("controls", "areas") + _HELD + f""", z AS (SELECT lng, lat FROM held WHERE isom % 10 = 9
+    UNION SELECT lng, lat FROM pl JOIN (SELECT min_lng, min_lat, {_METRES} AS metres FROM areas WHERE isom % 10 = 8) k ON abs(x - min_lng) < 0.002 AND abs(y - min_lat) < 0.001 WHERE {geo.hav_sql('x', 'y', 'min_lng', 'min_lat')} <= metres)
+  SELECT course_id, ord FROM controls WHERE (lng, lat) NOT IN (SELECT (lng, lat) FROM z)""")
 def j10(s, d):
-    return _points(s, d).select("course_id", "ord").join(c08(s, d), ["course_id", "ord"], "left_anti")
+    """Zones are rings, or circles about the first corner of other areas."""
+    none = lambda t: F.lit(None).cast(t)
+    rings = _rings(s, d).where("isom % 10 = 9").select(F.col("area_id").alias("zone_id"), "ring", none("double").alias("lng"), none("double").alias("lat"), none("double").alias("metres"))
+    circles = derived(s, d, "areas").where("isom % 10 = 8").select(F.col("area_id").alias("zone_id"), none("array<struct<x:double,y:double>>").alias("ring"), F.col("min_lng").alias("lng"), F.col("min_lat").alias("lat"), F.expr(_METRES).alias("metres"))
+    points = _shifted(s, d)
+    return points.join(S.in_zones(points, rings.unionByName(circles)), ["lng", "lat"], "left_anti").select("course_id", "ord")
+
 
+_CORNERS = "SELECT lng, lat, x, y FROM pl JOIN (" + " UNION ".join(f"SELECT {x} AS vx, {y} AS vy FROM areas" for x, y in _RING) + f") v ON abs(x - vx) < 0.003 AND abs(y - vy) < 0.002 WHERE {geo.hav_sql('x', 'y', 'vx', 'vy')} <= 45"
 
-@query("J23_coverage", ctes("controls", "areas") + f" SELECT DISTINCT course_id, ord FROM controls c JOIN areas a ON abs(c.lng - a.min_lng) < 0.003 AND abs(c.lat - a.min_lat) < 0.002 WHERE {geo.hav_sql('c.lng', 'c.lat', 'a.min_lng', 'a.min_lat')} <= 45")
+
+@query("J23_coverage", ctes("controls", "areas") + f", pl AS (SELECT DISTINCT lng, lat, lng AS x, lat AS y FROM controls), k AS (SELECT DISTINCT lng, lat FROM ({_CORNERS})) SELECT course_id, ord FROM controls JOIN k USING (lng, lat)")
 def j23(s, d):
-    """Places are looked up once each, however many controls stand there."""
+    """Near any corner of any area. Places are looked up once each, however many controls stand there."""
     places = _points(s, d).select("lng", "lat").distinct()
-    corners = derived(s, d, "areas").select(F.col("min_lng").alias("lng"), F.col("min_lat").alias("lat")).distinct()
+    corners = _rings(s, d).select(F.explode("ring").alias("v")).select(F.col("v.x").alias("lng"), F.col("v.y").alias("lat")).distinct()
     return _points(s, d).join(S.radius_pairs(places, corners, 45).select("lng", "lat").distinct(), ["lng", "lat"]).select("course_id", "ord")
 
 
@@ -76,10 +108,22 @@ def p02(s, d):
     return derived(s, d, "candidates").where("abs(lat) <= 85 AND abs(lng) <= 180 AND NOT (abs(lat) < 0.01 AND abs(lng) < 0.01)").select("cand_id")
 
 
-@query("A21_robust_bbox", ctes("areas") + " SELECT quantile_disc(min_lng, 0.01) AS x0, quantile_disc(min_lat, 0.01) AS y0, quantile_disc(min_lng, 0.99) AS x1, quantile_disc(min_lat, 0.99) AS y1 FROM areas")
+_RANKS = "(SELECT {c} FROM (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS n FROM areas) WHERE i = least(n - 1, CAST(floor(n * {p}) AS BIGINT)))"
+
+
+@query("A21_robust_bbox", ctes("areas") + " SELECT " + ", ".join(f"{_RANKS.format(c=c, p=p)} AS {a}" for c, p, a in (("min_lng", 0.01, "x0"), ("min_lat", 0.01, "y0"), ("min_lng", 0.99, "x1"), ("min_lat", 0.99, "y1"))))
 def a21(s, d):
-    q = lambda c, p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})")
-    return derived(s, d, "areas").agg(q("min_lng", 0.01).alias("x0"), q("min_lat", 0.01).alias("y0"), q("min_lng", 0.99).alias("x1"), q("min_lat", 0.99).alias("y1"))
+    """The value at place floor(n * share) of each coordinate in order. Values are counted first: what is ordered and summed up
+    is a row for each distinct value."""
+    areas = derived(s, d, "areas")
+
+    def ranks(c: str, names: dict[str, float]):
+        counts = areas.where(F.col(c).isNotNull()).groupBy(c).count()
+        upto = counts.withColumn("upto", F.sum("count").over(Window.orderBy(c))).withColumn("n", F.sum("count").over(Window.partitionBy()))
+        at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
+        return upto.agg(*[F.min(F.when(F.col("upto") > at(p), F.col(c))).alias(a) for a, p in names.items()])
+
+    return ranks("min_lng", {"x0": 0.01, "x1": 0.99}).crossJoin(ranks("min_lat", {"y0": 0.01, "y1": 0.99})).select("x0", "y0", "x1", "y1")
 
 
 @query("F16_tiles", ctes("controls") + """ SELECT x, y, count(*) AS n FROM (SELECT CAST(floor((lng + 180) / 360 * 65536) AS BIGINT) AS x,
@@ -144,10 +188,16 @@ def t02(s, d):
     return derived(s, d, "candidates").select("cand_id", score.alias("score")).orderBy(F.desc("score"), "cand_id").limit(20)
 
 
-@query("J16_snap_to_existing", _CC + f""", m AS (SELECT course_id, ord, min(cand_id) AS cand_id FROM controls c JOIN candidates k ON abs(c.lng - k.lng) < 0.001 AND abs(c.lat - k.lat) < 0.001
-  WHERE {geo.hav_sql('c.lng', 'c.lat', 'k.lng', 'k.lat')} <= 15 GROUP BY ALL)
+@query("J16_snap_to_existing", _CC + f""", e AS (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY ord) AS rn, count(*) OVER (PARTITION BY course_id) AS n FROM controls),
+  m AS (SELECT course_id, ord, min(cand_id) AS cand_id FROM e c JOIN candidates k ON abs(c.lng - k.lng) < 0.001 AND abs(c.lat - k.lat) < 0.001
+  WHERE rn > 1 AND rn < n AND {geo.hav_sql('c.lng', 'c.lat', 'k.lng', 'k.lat')} <= 15 GROUP BY ALL)
   SELECT c.course_id, c.ord, coalesce(k.lng, c.lng) AS lng, coalesce(k.lat, c.lat) AS lat FROM controls c LEFT JOIN m USING (course_id, ord) LEFT JOIN candidates k USING (cand_id)""")
 def j16(s, d):
+    """Starts and finishes stay where they are."""
     c, k = _points(s, d), derived(s, d, "candidates")
-    near = S.radius_pairs(c, k, 15).groupBy("course_id", "ord").agg(F.min(F.struct("cand_id", F.col("__x").alias("x"), F.col("__y").alias("y"))).alias("z"))
-    return c.join(near, ["course_id", "ord"], "left").select("course_id", "ord", F.coalesce("z.x", "lng").alias("lng"), F.coalesce("z.y", "lat").alias("lat"))
+    placed = c.withColumns({"rn": F.row_number().over(C.by_order()), "n": F.count("*").over(C.whole())})
+    places = placed.where("rn > 1 AND rn < n").select("lng", "lat").distinct()
+    near = S.radius_pairs(places, k, 15).groupBy("lng", "lat").agg(F.min(F.struct("cand_id", F.col("__x").alias("x"), F.col("__y").alias("y"))).alias("z"))
+    moved = placed.join(near, ["lng", "lat"], "left").withColumn("free", (F.col("rn") > 1) & (F.col("rn") < F.col("n")))
+    to = lambda z, c: F.when(F.col("free"), F.coalesce(z, c)).otherwise(F.col(c))
+    return moved.select("course_id", "ord", to("z.x", "lng").alias("lng"), to("z.y", "lat").alias("lat"))
