@@ -135,6 +135,19 @@ def longest_run(controls: DataFrame, angle: float = 60.0) -> DataFrame:
     return runs.select("course_id", "longest_run", score.alias("score"))
 
 
+def longest_run_plain(controls: DataFrame, angle: float = 60.0) -> DataFrame:
+    """As longest_run, with bearings of plain coordinates: what the default fitness uses."""
+    w = by_order()
+    b = F.pmod(F.degrees(F.atan2(F.lead("lng").over(w) - F.col("lng"), F.lead("lat").over(w) - F.col("lat"))), F.lit(360.0))
+    l = controls.withColumns({"n": F.count("*").over(whole()), "b": b}).where("b IS NOT NULL")  # noqa: E741
+    turn = geo.between(F.lag("b").over(w), F.col("b"))
+    runs = l.withColumn("brk", F.when(turn < angle, 0).otherwise(1)).withColumn("run", F.sum("brk").over(w)).groupBy("course_id", "n", "run").count().groupBy("course_id", "n").agg(F.max("count").alias("r"))
+    r = F.col("r")
+    score = F.when(F.col("n") < 4, 75.0).when(r <= 2, 100.0).when(r == 3, 70.0).when(r == 4, 40.0).otherwise(F.greatest(F.lit(0.0), 40.0 - (r - 4) * 15.0))
+    found = runs.select("course_id", score.alias("score"))
+    return controls.select("course_id").distinct().join(found, "course_id", "left").select("course_id", F.coalesce("score", F.lit(75.0)).alias("score"))
+
+
 def alternation(controls: DataFrame) -> DataFrame:
     """Share of changes between short and long among the legs that are neither near the mean."""
     l = legs(controls).where("leg_in IS NOT NULL").withColumn("mean", F.avg("leg_in").over(whole()))  # noqa: E741

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float, lat: float = 60.0) -> DataFrame:
-    """left ⋈ right within `radius` metres, with `metres`. Both have lng and lat; right's other columns must not clash
-    with left's. Cells are as high as the radius, and as wide as it is at latitude `lat` at most; each left row looks
-    into its 3 x 3 cells. No side is broadcast by force; a dense cell's rows can be split, for both sides shuffle."""
+def radius_pairs(left: DataFrame, right: DataFrame, radius: float, lat: float = 60.0, key: tuple[str, str] | None = None) -> DataFrame:
+    """left ⋈ right within `radius` metres, with `metres`, and where given equal in key (left's column, right's column). Both have
+    lng and lat; right's other columns must not clash with left's. Cells are as high as the radius, and as wide as it is
+    at latitude `lat` at most; each left row looks into its 3 x 3 cells. No side is broadcast by force; a dense cell's rows
+    can be split, for both sides shuffle."""
     high = radius / geo.METRES_PER_DEGREE * 1.01
     wide = high / math.cos(math.radians(lat))
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     a = left.withColumn("__cx", F.explode(F.transform(near, lambda k: geo.cell(F.col("lng"), wide) + k))).withColumn("__cy", F.explode(F.transform(near, lambda k: geo.cell(F.col("lat"), high) + k)))
     b = right.withColumnsRenamed({"lng": "__x", "lat": "__y"}).withColumn("__cx", geo.cell(F.col("__x"), wide)).withColumn("__cy", geo.cell(F.col("__y"), high))
+    on = ["__cx", "__cy"]
+    if key:
+        b, on = b.withColumnRenamed(key[1], key[0]), [*on, key[0]]
     metres = geo.haversine(F.col("lng"), F.col("lat"), F.col("__x"), F.col("__y"))
-    return a.join(b, ["__cx", "__cy"]).withColumn("metres", metres).where(F.col("metres") <= radius).drop("__cx", "__cy")
+    return a.join(b, on).withColumn("metres", metres).where(F.col("metres") <= radius).drop("__cx", "__cy")
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, key: list[str], by: str) -> DataFrame:
