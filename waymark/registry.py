@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from .plans import catalogue_plans, class_plans, course_plans, exchange_plans, geometry_plans, map_plans, pixel_plans, score_plans, table_plans, text_plans, track_plans  # noqa: E402, F401
+from .plans import catalogue_plans, class_plans, course_plans, exchange_plans, geometry_plans, map_plans, network_plans, pixel_plans, score_plans, table_plans, text_plans, track_plans  # noqa: E402, F401
