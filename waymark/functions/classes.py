@@ -167,3 +167,15 @@ def route_choices(metres: Column, on_path: Column, ground: Column) -> Column:
 
 def navigation(quality: Column, choices: Column) -> Column:
     return first([((quality == "excellent") & (choices <= 2), "easy"), ((quality == "good") & (choices <= 3), "medium")], "hard")
+
+
+def epsg(name: Column) -> Column:
+    """The code of a coordinate system by its name; null where it says none."""
+    c = F.lower(F.coalesce(name, F.lit("")))
+    has = lambda *words: reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    zone = F.coalesce(F.nullif(F.regexp_extract(c, r"zone\s*(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(c, r"utm\s*(\d+)", 1), F.lit(""))).try_cast("int")
+    plain = F.nullif(F.regexp_extract(c, r"epsg[:\s]*(\d+)", 1), F.lit("")).try_cast("int")
+    return first([
+        (has("lambert 93", "lambert-93"), 2154), (has("lambert 92", "lambert-92"), 2152), (has("lambert ii"), 27572), (has("lambert") & has("72"), 27572), (has("lambert") & has("84"), 27584),
+        (has("wgs84", "4326"), 4326), (has("mercator", "3857"), 3857), (has("utm") & zone.isNotNull(), zone + F.when(has("south"), 32700).otherwise(32600)),
+    ], plain)
