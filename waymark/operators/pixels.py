@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classes import first
@@ -57,3 +57,39 @@ def empty_patches(pixels: DataFrame, white: int = 230, most: float = 0.92) -> Da
     """Patches of which more than a share is nearly white."""
     share = F.avg((F.least(*_channels()) > white).cast("int"))
     return pixels.groupBy("patch_id").agg(share.alias("white")).where(F.col("white") > most)
+
+
+def texture(grey: DataFrame, size: int, edge: float = 20.0) -> DataFrame:
+    """Per patch (patch_id, x, y, v; absent pixels are white): edges, the share of pixels whose gradient exceeds a bound; corners, the
+    share whose response, from gradients averaged over 5 x 5 with mirrored borders, exceeds a hundredth of the patch's largest;
+    entropy of grey levels, 1 at most. Averages are taken along rows, then along columns; a row or column is a window."""
+    every = grey.select("patch_id").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    f = every.join(grey, ["patch_id", "x", "y"], "left").select("patch_id", "x", "y", F.coalesce("v", F.lit(255.0)).alias("v"))
+
+    def slope(along: str, across: str) -> Column:
+        w = Window.partitionBy("patch_id", across).orderBy(along)
+        before, after, v = F.lag("v").over(w), F.lead("v").over(w), F.col("v")
+        return F.when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2)
+
+    d = f.withColumns({"gx": slope("x", "y"), "gy": slope("y", "x")})
+    d = d.withColumns({"xx": F.col("gx") * F.col("gx"), "yy": F.col("gy") * F.col("gy"), "xy": F.col("gx") * F.col("gy")})
+
+    def box(along: str, across: str, c: str) -> Column:
+        """Sum of five values along an axis; beyond a border the values before it count again, from the border inwards."""
+        w = Window.partitionBy("patch_id", across).orderBy(along)
+        inner = F.sum(c).over(w.rowsBetween(-2, 2))
+        at = lambda k: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if k == 0 else F.nth_value(c, k + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        p = F.col(along)
+        low = F.when(p == 0, at(0) + at(1)).when(p == 1, at(0)).otherwise(0.0)
+        high = F.when(p == size - 1, at(size - 1) + at(size - 2)).when(p == size - 2, at(size - 1)).otherwise(0.0)
+        return inner + low + high
+
+    for along, across in (("x", "y"), ("y", "x")):
+        d = d.withColumns({c: box(along, across, c) for c in ("xx", "yy", "xy")})
+    xx, yy, xy = (F.col(c) / 25 for c in ("xx", "yy", "xy"))
+    d = d.withColumn("r", xx * yy - xy * xy - 0.05 * (xx + yy) * (xx + yy))
+    top = d.groupBy("patch_id").agg(F.max("r").alias("top"), F.avg((F.hypot("gx", "gy") > edge).cast("int")).alias("edges"))
+    corners = d.join(top, "patch_id").groupBy("patch_id", "edges").agg(F.avg(((F.col("top") > 0) & (F.col("r") > F.col("top") * 0.01)).cast("int")).alias("corners"))
+    levels = f.groupBy("patch_id", F.floor("v").alias("level")).agg((F.count("*") / (size * size)).alias("p"))
+    entropy = levels.groupBy("patch_id").agg((-F.sum(F.col("p") * F.log("p")) / F.log(F.lit(256.0))).alias("entropy"))
+    return corners.join(entropy, "patch_id")

@@ -71,5 +71,24 @@ def thin(points: DataFrame, metres: float = 50.0, few: int = 15) -> DataFrame:
     return rows.select("track_id", "o.*")
 
 
+def key_points(points: DataFrame, most: int = 15, metres: float = 80.0, turn: float = 25.0) -> DataFrame:
+    """Up to `most` points of each track: the first, then those at least so far from the last one kept where the way there and the
+    way on differ by more than an angle, and always the last point; tracks of no more points stay whole."""
+    w = by_seq()
+    p = points.withColumns({"nx": F.lead("lng").over(w), "ny": F.lead("lat").over(w)})
+    rows = p.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat", "nx", "ny"))).alias("p"))
+
+    def step(kept, q):
+        last = F.element_at(kept, -1)
+        at = (last["lng"], last["lat"], q["lng"], q["lat"])
+        turned = geo.between(geo.bearing(*at), geo.bearing(q["lng"], q["lat"], q["nx"], q["ny"])) > turn
+        return F.when((F.size(kept) < most) & (geo.haversine(*at) >= metres) & turned, F.array_append(kept, q)).otherwise(kept)
+
+    middle = F.slice("p", 2, F.greatest(F.size("p") - 2, F.lit(0)))
+    kept = F.concat(F.aggregate(middle, F.slice("p", 1, 1), step), F.slice("p", -1, 1))
+    out = rows.select("track_id", F.explode(F.when(F.size("p") <= most, F.col("p")).otherwise(kept)).alias("o"))
+    return out.select("track_id", "o.seq", "o.lng", "o.lat")
+
+
 def cells(points: DataFrame, step: float) -> DataFrame:
     return points.withColumns({"gx": F.bround(F.col("lng") / step, 0).cast("long"), "gy": F.bround(F.col("lat") / step, 0).cast("long")})
