@@ -427,6 +427,12 @@ def test_quality_scores_are_plain_means(spark, odd):
         assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-5
 
 
+def test_quality_packing_loses_nothing():
+    for text in [None, "", "a", "one two two two", "é 一二三 " * 9000]:
+        want, got = quality.document_features(text), quality.unpacked_features(quality.packed_features(text))
+        assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
+
+
 def test_quality_training_is_plain(spark):
     """train() against a loop that updates vector by vector."""
     texts, labels = ["good word one", "bad bad bad", "good two", "bad bad", ""], np.array([1, 0, 1, 0, 1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,12 +59,11 @@ def pair_features(hashes: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, shares): the distinct features of a text (words, their character n-grams, word bigrams) and how much of all
-    its features each is."""
+def feature_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts): the distinct features of a text (words, their character n-grams, word bigrams), in order of bucket."""
     words = (text or "").split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     counts, hashes = np.zeros(BUCKETS, np.int64), []
     for s in range(0, len(words), PART):
         b, _, h = word_features(words[s : s + PART])
@@ -71,7 +71,25 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         hashes.append(h)
     counts += np.bincount(pair_features(np.concatenate(hashes)), minlength=BUCKETS)
     at = np.flatnonzero(counts)
-    return at, (counts[at] / counts.sum()).astype(np.float32)
+    return at, counts[at]
+
+
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares): the distinct features of a text and how much of all its features each is."""
+    at, counts = feature_counts(text)
+    return at, (counts / max(1, counts.sum())).astype(np.float32)
+
+
+def packed_features(text: str | None) -> bytes:
+    at, counts = feature_counts(text)
+    return zlib.compress(np.diff(at, prepend=0).astype("<u2").tobytes() + counts.astype("<u4").tobytes(), 1)
+
+
+def unpacked_features(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    n = len(raw) // 6
+    counts = np.frombuffer(raw, "<u4", n, 2 * n).astype(np.float64)
+    return np.cumsum(np.frombuffer(raw, "<u2", n), dtype=np.int32), (counts / max(1.0, counts.sum())).astype(np.float32)
 
 
 @dataclass
@@ -115,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Train on a bounded sample of labelled rows outside the held-out fold: TRAIN_DOCS of them by a hash of their key. Null
     labels and keys are left out; a key with several labels has the largest, one with several texts the smallest. Features are
     counted by the executors: what comes to the driver is
-    BUCKETS features a row at most, of eight bytes each, however long its text."""
+    BUCKETS features a row at most, compressed to a byte or two each, however long its text."""
     import pyarrow as pa
 
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("__k")).agg(F.max(label).alias("__y"))
@@ -125,12 +143,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            found = [document_features(t.as_py()) for t in batch.column(2)]
-            packed = [pa.array([f[i].astype(t).tobytes() for f in found], pa.binary()) for i, t in ((0, np.int32), (1, np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), *packed], names=["k", "y", "at", "shares"])
+            packed = [packed_features(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(packed, pa.binary())], names=["k", "y", "f"])
 
-    got = sorted(rows.mapInArrow(run, "k long, y int, at binary, shares binary").collect(), key=lambda r: r.k)
-    return train([(np.frombuffer(r.at, np.int32), np.frombuffer(r.shares, np.float32)) for r in got], np.array([r.y for r in got], np.int64))
+    got = sorted(rows.mapInArrow(run, "k long, y int, f binary").collect(), key=lambda r: r.k)
+    return train([unpacked_features(r.f) for r in got], np.array([r.y for r in got], np.int64))
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
