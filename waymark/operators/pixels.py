@@ -90,6 +90,6 @@ def texture(grey: DataFrame, size: int, edge: float = 20.0) -> DataFrame:
     d = d.withColumn("r", xx * yy - xy * xy - 0.05 * (xx + yy) * (xx + yy))
     top = d.groupBy("patch_id").agg(F.max("r").alias("top"), F.avg((F.hypot("gx", "gy") > edge).cast("int")).alias("edges"))
     corners = d.join(top, "patch_id").groupBy("patch_id", "edges").agg(F.avg(((F.col("top") > 0) & (F.col("r") > F.col("top") * 0.01)).cast("int")).alias("corners"))
-    levels = f.groupBy("patch_id", F.floor("v").alias("level")).agg((F.count("*") / (size * size)).alias("p"))
+    levels = f.groupBy("patch_id", F.floor(F.col("v") + 1e-6).alias("level")).agg((F.count("*") / (size * size)).alias("p"))
     entropy = levels.groupBy("patch_id").agg((-F.sum(F.col("p") * F.log("p")) / F.log(F.lit(256.0))).alias("entropy"))
     return corners.join(entropy, "patch_id")

@@ -38,7 +38,7 @@ _SPEEDS = ctes("track_points", "areas") + f""", l AS (SELECT *, lead(lng) OVER o
   pl AS (SELECT DISTINCT x, y FROM v), ar AS (SELECT x, y, min((area_id, {_TERRAIN}))[2] AS kind FROM pl JOIN areas ON x BETWEEN min_lng AND max_lng AND y BETWEEN min_lat AND max_lat WHERE ({_edges_sql()}) % 2 = 1 GROUP BY ALL)"""
 
 
-@query("A06_terrain_calibration", _SPEEDS + """, r AS (SELECT kind, speed, row_number() OVER (PARTITION BY kind ORDER BY speed) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM v JOIN ar USING (x, y)) SELECT kind, n, round(speed / 170, 3) AS multiplier FROM r WHERE n >= 5 AND i = n // 2""")
+@query("A06_terrain_calibration", _SPEEDS + """, r AS (SELECT kind, speed, row_number() OVER (PARTITION BY kind ORDER BY speed) - 1 AS i, count(*) OVER (PARTITION BY kind) AS n FROM v JOIN ar USING (x, y) WHERE kind IS NOT NULL) SELECT kind, n, round(speed / 170, 3) AS multiplier FROM r WHERE n >= 5 AND i = n // 2""")
 def a06(s, d):
     """Per kind of ground with five samples or more, the upper median of speeds there over 170 metres a minute. Speeds are counted
     in steps of a tenth first; only those of the step with the median are put in order."""
@@ -172,7 +172,7 @@ _GREY = _PIX + """, g AS (SELECT patch_id, x, y, avg((r + g + b) / 3) AS v FROM
   o AS (SELECT unnest(range(-2, 3)) AS i), k AS (SELECT d.patch_id, d.x, d.y, oi.i AS i, oj.i AS j FROM d, o oi, o oj),
   q AS (SELECT k.patch_id, k.x, k.y, sum(n.gx * n.gx) / 25 AS xx, sum(n.gy * n.gy) / 25 AS yy, sum(n.gx * n.gy) / 25 AS xy FROM k JOIN d n ON n.patch_id = k.patch_id AND n.x = CASE WHEN k.x + i < 0 THEN -1 - k.x - i WHEN k.x + i > 31 THEN 63 - k.x - i ELSE k.x + i END AND n.y = CASE WHEN k.y + j < 0 THEN -1 - k.y - j WHEN k.y + j > 31 THEN 63 - k.y - j ELSE k.y + j END GROUP BY ALL),
   h AS (SELECT patch_id, xx * yy - xy * xy - 0.05 * (xx + yy) * (xx + yy) AS r FROM q), hm AS (SELECT patch_id, max(r) AS m FROM h GROUP BY 1), hc AS (SELECT patch_id, CASE WHEN max(m) > 0 THEN avg(CASE WHEN r > m * 0.01 THEN 1.0 ELSE 0.0 END) ELSE 0 END AS corners FROM h JOIN hm USING (patch_id) GROUP BY 1),
-  e AS (SELECT patch_id, avg(CASE WHEN sqrt(gx * gx + gy * gy) > 20 THEN 1.0 ELSE 0.0 END) AS edges FROM d GROUP BY 1), n AS (SELECT patch_id, CAST(floor(v) AS INT) AS b, count(*) / 1024 AS s FROM f GROUP BY ALL), t AS (SELECT patch_id, -sum(s * ln(s)) / ln(256) AS entropy FROM n GROUP BY 1)
+  e AS (SELECT patch_id, avg(CASE WHEN sqrt(gx * gx + gy * gy) > 20 THEN 1.0 ELSE 0.0 END) AS edges FROM d GROUP BY 1), n AS (SELECT patch_id, CAST(floor(v + 0.000001) AS INT) AS b, count(*) / 1024 AS s FROM f GROUP BY ALL), t AS (SELECT patch_id, -sum(s * ln(s)) / ln(256) AS entropy FROM n GROUP BY 1)
   SELECT patch_id, round(edges, 4) AS edges, round(corners, 4) AS corners, round(entropy, 4) AS entropy FROM e JOIN hc USING (patch_id) JOIN t USING (patch_id)""")
 def a30(s, d):
     """Shares of edge and corner pixels and the normalised entropy of grey levels of each patch."""

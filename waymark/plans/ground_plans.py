@@ -80,13 +80,13 @@ _MID = ctes("controls", "areas") + f""", l AS (SELECT *, lead(lng) OVER o AS nx,
   md AS (SELECT course_id, ord, round((lng + nx) / 2, 6) AS x, round((lat + ny) / 2, 6) AS y, round({geo.hav_sql('lng', 'lat', 'nx', 'ny')} / 2, 3) AS half FROM l WHERE nx IS NOT NULL)"""
 
 
-@query("J25_blocking_terrain", _MID + f", dm AS (SELECT DISTINCT x, y, least(half, 200) AS half FROM md), bl AS (SELECT dm.x, dm.y, dm.half, {_TERRAIN} AS kind FROM dm JOIN areas a ON abs(x - min_lng) < 0.004 AND abs(y - min_lat) < 0.003 WHERE {_BLOCKS} AND {geo.hav_sql('x', 'y', 'min_lng', 'min_lat')} <= half) SELECT course_id, ord, count(DISTINCT kind) AS kinds, string_agg(DISTINCT kind, ',' ORDER BY kind) AS blocking FROM md JOIN bl ON bl.x = md.x AND bl.y = md.y AND bl.half = least(md.half, 200) GROUP BY ALL")
+@query("J25_blocking_terrain", _MID + f", dm AS (SELECT DISTINCT x, y, least(half, 200) AS half FROM md), bl AS (SELECT dm.x, dm.y, dm.half, {_TERRAIN} AS kind FROM dm JOIN areas a ON abs(x - min_lng) < 0.004 AND abs(y - min_lat) < 0.003 WHERE {_BLOCKS} AND {_TERRAIN} IS NOT NULL AND {geo.hav_sql('x', 'y', 'min_lng', 'min_lat')} <= half) SELECT course_id, ord, count(DISTINCT kind) AS kinds, string_agg(DISTINCT kind, ',' ORDER BY kind) AS blocking FROM md JOIN bl ON bl.x = md.x AND bl.y = md.y AND bl.half = least(md.half, 200) GROUP BY ALL")
 def j25(s, d):
     """Kinds of impassable areas within half a leg of its middle (200 m at most)."""
     w = C.by_order()
     nx, ny = F.lead("lng").over(w), F.lead("lat").over(w)
     m = _c(s, d).select("course_id", "ord", F.round((F.col("lng") + nx) / 2, 6).alias("lng"), F.round((F.col("lat") + ny) / 2, 6).alias("lat"), F.round(geo.haversine(F.col("lng"), F.col("lat"), nx, ny) / 2, 3).alias("half")).where("lng IS NOT NULL").withColumn("half", F.least("half", F.lit(200.0)))
-    blocks = derived(s, d, "areas").where(_BLOCKS).select(K.terrain(F.col("isom")).alias("kind"), F.col("min_lng").alias("lng"), F.col("min_lat").alias("lat")).distinct()
+    blocks = derived(s, d, "areas").where(_BLOCKS).select(K.terrain(F.col("isom")).alias("kind"), F.col("min_lng").alias("lng"), F.col("min_lat").alias("lat")).where("kind IS NOT NULL").distinct()
     near = S.radius_pairs(m.select("lng", "lat", "half").distinct(), blocks, 200).where(F.col("metres") <= F.col("half")).groupBy("lng", "lat", "half").agg(F.collect_set("kind").alias("kinds"))
     return m.join(near, ["lng", "lat", "half"]).select("course_id", "ord", F.size("kinds").cast("long").alias("kinds"), F.array_join(F.array_sort("kinds"), ",").alias("blocking"))
 
@@ -142,7 +142,7 @@ HEIGHTS = {"forest": 12.0, "wood": 12.0, "scrub": 3.0, "heath": 1.0, "grassland"
 _USES = [*HEIGHTS, "none"]
 _USE = f"[{', '.join(repr(u) for u in _USES)}][isom % {len(_USES)} + 1]"
 _HEIGHT = "CASE use " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in HEIGHTS.items()) + " ELSE 0.0::DOUBLE END"
-_GRID = f"""{ctes('areas')}, ix AS (SELECT unnest(range(0, 80)) AS gx), iy AS (SELECT unnest(range(0, 40)) AS gy), v AS (SELECT gx, gy, 5.48 + (gx + 0.5) * 0.00025 + 0.000005 AS x, 49.18 + (gy + 0.5) * 0.00025 + 0.000005 AS y, CAST((gx * gx * 3 + gy * 17) % 40 / 4.0 AS DOUBLE) AS z FROM ix, iy),
+_GRID = f"""{ctes('areas')}, ix AS (SELECT unnest(range(0, 80)) AS gx), iy AS (SELECT unnest(range(0, 40)) AS gy), v AS (SELECT gx, gy, 5.48::DOUBLE + (gx + 0.5::DOUBLE) * 0.00025::DOUBLE + 0.000005::DOUBLE AS x, 49.18::DOUBLE + (gy + 0.5::DOUBLE) * 0.00025::DOUBLE + 0.000005::DOUBLE AS y, CAST((gx * gx * 3 + gy * 17) % 40 / 4.0 AS DOUBLE) AS z FROM ix, iy),
   lu AS (SELECT gx, gy, arg_min(isom, area_id) AS isom FROM v JOIN areas ON x BETWEEN min_lng AND max_lng AND y BETWEEN min_lat AND max_lat WHERE ({_edges_sql()}) % 2 = 1 GROUP BY ALL),
   cl AS (SELECT v.gx, v.gy, coalesce({_USE}, 'none') AS use, sqrt(power(coalesce(n.z - v.z, 0), 2) + power(coalesce(e.z - v.z, 0), 2)) / 25 * 100 AS slope FROM v LEFT JOIN lu USING (gx, gy) LEFT JOIN v n ON n.gx = v.gx AND n.gy = v.gy + 1 LEFT JOIN v e ON e.gx = v.gx + 1 AND e.gy = v.gy),
   ch AS (SELECT *, {_HEIGHT} AS height FROM cl)"""

@@ -84,13 +84,13 @@ def s11(s, d):
 
 
 @query("K13_runner_kml", ctes("track_points") + """, t AS (SELECT track_id // 10 AS file_id, track_id, count(*) AS n, min(lng) AS w, min(lat) AS s, max(lng) AS e, max(lat) AS n_ FROM track_points GROUP BY ALL)
-  SELECT file_id, count(*) AS tracks, CAST(sum(n) AS BIGINT) AS points, round(min(w) - (max(e) - min(w)) * 0.25, 6) AS west, round(min(s) - (max(n_) - min(s)) * 0.25, 6) AS south, round(max(e) + (max(e) - min(w)) * 0.25, 6) AS east, round(max(n_) + (max(n_) - min(s)) * 0.25, 6) AS north FROM t GROUP BY file_id""")
+  SELECT file_id, count(*) AS tracks, CAST(sum(n) AS BIGINT) AS points, round(min(w) - (max(e) - min(w)) * 0.25, 8) AS west, round(min(s) - (max(n_) - min(s)) * 0.25, 8) AS south, round(max(e) + (max(e) - min(w)) * 0.25, 8) AS east, round(max(n_) + (max(n_) - min(s)) * 0.25, 8) AS north FROM t GROUP BY file_id""")
 def k13(s, d):
     """One line a runner, ten runners a file; read back: lines, points and the padded bounds."""
     p = derived(s, d, "track_points").withColumn("file_id", F.expr("track_id div 10"))
     kml = S.to_runner_kml(p, "file_id", "track_id", "seq", F.concat(F.lit("runner & "), F.col("track_id")))
     lines = F.regexp_extract_all("kml", F.lit("<coordinates>([^<]*)</coordinates>"), F.lit(1))
-    r = [F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")]
+    r = [F.round(c, 8).alias(c) for c in ("west", "south", "east", "north")]
     return kml.select("file_id", F.size(lines).cast("long").alias("tracks"), F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.size(F.split(x, " "))).alias("points"), *r)
 
 
