@@ -169,3 +169,14 @@ def test_patch_windows(spark, least):
     got = {r.centre: r["count"] for r in models.patches_in(df, c, 2, 16, least).groupBy("centre").count().collect()}
     want = {10 * i + j: sum((x, y) in {(a, b) for _, a, b in pixels} for x in range(2 * i - 2, 2 * i + 2) for y in range(2 * j - 2, 2 * j + 2)) for i in range(9) for j in range(9)}
     assert got == {k: n for k, n in want.items() if n and n >= least * 16}
+
+
+def test_projections_of_known_places(spark):
+    """Published coordinates of two places, to some tens of metres; unknown systems are null, degrees stay."""
+    from waymark.functions import geo
+
+    x, y = F.lit(2.2945), F.lit(48.8582)
+    r = spark.range(1).select(*geo.utm(x, y, 31), *geo.lambert93(x, y), *geo.to_degrees(F.lit(2.0), F.lit(48.0), 2154), *geo.to_degrees(F.lit(5e5), F.lit(5e6), 31370), *geo.to_degrees(*geo.utm(F.lit(151.2), F.lit(-33.9), 56, True), 32756)).first()
+    assert abs(r[0] - 448252) < 60 and abs(r[1] - 5411932) < 60
+    assert abs(r[2] - 648237) < 60 and abs(r[3] - 6862275) < 120
+    assert r[4:8] == (2.0, 48.0, None, None) and abs(r[8] - 151.2) < 1e-7 and abs(r[9] + 33.9) < 1e-7

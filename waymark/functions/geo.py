@@ -92,6 +92,84 @@ def from_mercator(east: Column, north: Column) -> tuple[Column, Column]:
     return F.degrees(east / 6378137.0), F.degrees(2 * F.atan(F.exp(north / 6378137.0)) - math.pi / 2)
 
 
+# The ellipsoid, and the constants of Lambert-93.
+SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257222101
+ECC = math.sqrt(FLATTENING * (2 - FLATTENING))
+LAMBERT = {"n": 0.7256077650532670, "c": 11754255.4261, "x": 700000.0, "y": 12655612.0499, "lng": 3.0}
+_N = FLATTENING / (2 - FLATTENING)
+_RADIUS = 0.9996 * SEMI_MAJOR / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_OUT = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_LAT = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def _total(terms: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for t in terms:
+        out = out + t
+    return out
+
+
+def lambert93(x: Column, y: Column) -> tuple[Column, Column]:
+    """Easting and northing of degrees in EPSG 2154."""
+    k, s = LAMBERT, F.sin(F.radians(y)) * ECC
+    iso = F.ln(F.tan(math.pi / 4 + F.radians(y) / 2) * F.pow((1 - s) / (1 + s), F.lit(ECC / 2)))
+    r, g = k["c"] * F.exp(-k["n"] * iso), k["n"] * F.radians(x - k["lng"])
+    return k["x"] + r * F.sin(g), k["y"] - r * F.cos(g)
+
+
+def from_lambert93(east: Column, north: Column) -> tuple[Column, Column]:
+    """Degrees of EPSG 2154; the latitude is found in six steps, each some 300 times nearer."""
+    k = LAMBERT
+    dx, dy = east - k["x"], k["y"] - north
+    iso = F.ln(F.hypot(dx, dy) / k["c"]) / -k["n"]
+    start = F.struct((2 * F.atan(F.exp(iso)) - math.pi / 2).alias("lat"), F.exp(iso).alias("e"))
+
+    def step(a: Column, _: Column) -> Column:
+        s = F.sin(a["lat"]) * ECC
+        return F.struct((2 * F.atan(F.pow((1 + s) / (1 - s), F.lit(ECC / 2)) * a["e"]) - math.pi / 2).alias("lat"), a["e"].alias("e"))
+
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, step, lambda a: a["lat"])
+    return k["lng"] + F.degrees(F.atan2(dx, dy) / k["n"]), F.degrees(lat)
+
+
+def utm(x: Column, y: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Easting and northing of degrees in a UTM zone."""
+    k, s, l = 2 * math.sqrt(_N) / (1 + _N), F.sin(F.radians(y)), F.radians(x - (zone * 6 - 183))
+    t = F.sinh(F.atanh(s) - k * F.atanh(k * s))
+    xi, eta = F.atan2(t, F.cos(l)), F.atanh(F.sin(l) / F.sqrt(1 + t * t))
+    east = eta + _total([a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_OUT, 1)])
+    north = xi + _total([a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(_OUT, 1)])
+    return 500000.0 + _RADIUS * east, (1e7 if south else 0.0) + _RADIUS * north
+
+
+def from_utm(east: Column, north: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """Degrees of a UTM zone."""
+    xi, eta = (north - (1e7 if south else 0.0)) / _RADIUS, (east - 500000.0) / _RADIUS
+    a = xi - _total([b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(_BACK, 1)])
+    b = eta - _total([b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(_BACK, 1)])
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    lat = chi + _total([d * F.sin(2 * j * chi) for j, d in enumerate(_LAT, 1)])
+    return (zone * 6 - 183) + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.degrees(lat)
+
+
+def to_degrees(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+    """Degrees of projected places in EPSG 2154, 3857, 326xx or 327xx; places that are degrees already (4326, or neither part beyond
+    1000) stay; other systems give null."""
+    if epsg == 4326:
+        return x, y
+    if epsg == 2154:
+        lng, lat = from_lambert93(x, y)
+    elif epsg == 3857:
+        lng, lat = from_mercator(x, y)
+    elif 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760:
+        lng, lat = from_utm(x, y, epsg % 100, epsg > 32700)
+    else:
+        lng, lat = F.lit(None).cast("double"), F.lit(None).cast("double")
+    projected = (F.abs(x) > 1000) | (F.abs(y) > 1000)
+    return F.when(projected, lng).otherwise(x), F.when(projected, lat).otherwise(y)
+
+
 def affine(x: Column, y: Column, east: tuple[float, float, float], north: tuple[float, float, float]) -> tuple[Column, Column]:
     """A pixel's place: each part is a * x + b * y + c."""
     return x * east[0] + y * east[1] + east[2], x * north[0] + y * north[1] + north[2]

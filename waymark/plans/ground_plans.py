@@ -10,12 +10,10 @@ from ..functions import geo
 from ..functions.classes import first
 from ..operators import courses as C
 from ..operators import spatial as S
-from ..operators import tracks as T
 from ..registry import query
 from ..sources.derived import ctes, derived, raw
 from .class_plans import _TERRAIN
 from .map_plans import _edges_sql, _rings
-from .track_plans import _RUNS, _STEPS, _T, _p, a01
 
 _CC, _AC = ctes("controls", "candidates"), ctes("areas", "candidates")
 

@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from .plans import catalogue_plans, class_plans, course_plans, detail_plans, exchange_plans, geometry_plans, ground_plans, map_plans, model_plans, network_plans, pixel_plans, score_plans, store_plans, table_plans, text_plans, track_plans  # noqa: E402, F401
+from .plans import catalogue_plans, class_plans, course_plans, detail_plans, exchange_plans, extra_plans, geometry_plans, ground_plans, map_plans, model_plans, network_plans, pixel_plans, score_plans, store_plans, table_plans, text_plans, track_plans  # noqa: E402, F401
