@@ -48,7 +48,10 @@ def test_close_counts(spark):
     pts = _points(rng, 40) + [(5.481, 49.181)] * 30
     df = spark.createDataFrame([(1, i, x, y, 0.0) for i, (x, y) in enumerate(pts)] + [(2, 1, 5.48, 49.18, 0.0)], "course_id long, ord int, lng double, lat double, ele double")
     want = sum(_hav(pts[i], pts[j]) < 60 for i in range(len(pts)) for j in range(i))
-    assert {r.course_id: r.close for r in scores.close_counts(df, 60.0).collect()} == {1: want, 2: 0}
+    assert {r.course_id: r.close for r in spatial.close_counts(df, 60.0).collect()} == {1: want, 2: 0}
+    assert [(r.course_id, r.nearest, r.too_close) for r in spatial.nearest_of_course(df, 60.0).collect()] == [(1, 0.0, want)]
+    some = df.where("ord < 40")
+    assert abs(spatial.nearest_of_course(some, 60.0).first().nearest - min(_hav(pts[i], pts[j]) for i in range(40) for j in range(i))) < 1e-6
 
 
 def test_nearest_at_any_distance(spark):

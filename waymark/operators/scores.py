@@ -158,7 +158,7 @@ def fitness_parts(controls: DataFrame, candidates: DataFrame, target: float, cli
     turn = F.least(turn, 360 - turn)
     plain = c.groupBy("course_id").agg(F.count_if(F.coalesce(turn.between(30, 150), F.lit(False))).alias("good"), F.count_if(F.coalesce(turn < dogleg, F.lit(False))).alias("straight"))
     over = courses.legs(controls).groupBy("course_id").agg(F.count_if(F.col("leg_in") > longest).alias("over"))
-    out = s.join(plain, "course_id").join(over, "course_id").join(close_counts(controls, separation), "course_id").join(terrain_quality(controls, candidates, model), "course_id")
+    out = s.join(plain, "course_id").join(over, "course_id").join(spatial.close_counts(controls, separation), "course_id").join(terrain_quality(controls, candidates, model), "course_id")
     runs, turns = courses.longest_run_plain(controls), courses.alternation(controls)
     out = out.join(runs.select("course_id", F.col("score").alias("monotony")), "course_id").join(turns.select("course_id", F.col("score").alias("alternation")), "course_id")
     cv, n = F.col("std_leg") / F.when(F.col("mean_leg") > 0, F.col("mean_leg")), F.col("n")
@@ -168,13 +168,3 @@ def fitness_parts(controls: DataFrame, candidates: DataFrame, target: float, cli
         F.when(n >= 3, 100.0 * F.col("good") / (n - 2)).otherwise(50.0).alias("angle"), F.greatest(F.lit(0.0), 100.0 - F.col("straight") * 15 - F.col("close") * 20).alias("equity"),
         F.greatest(F.lit(0.0), 100.0 - F.abs(n - count) * 10).alias("safety"), "terrain", "monotony", "alternation", F.greatest(F.lit(0.0), 100.0 - F.col("over") * 25).alias("sprint_leg"),
     )
-
-
-def close_counts(controls: DataFrame, metres: float) -> DataFrame:
-    """Per course how many pairs of its controls are nearer than so many metres. Controls at one place are counted, not paired,
-    and only places of neighbouring cells meet, so that a long course's pairs are never listed."""
-    spots = controls.groupBy("course_id", "lng", "lat").agg(F.count("*").alias("k"))
-    same = spots.groupBy("course_id").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("same"))
-    pairs = spatial.radius_pairs(spots, spots.select(F.col("course_id").alias("other"), F.col("k").alias("j"), "lng", "lat"), metres, key=("course_id", "other")).where(F.col("metres") < metres)
-    apart = pairs.where("lng < __x OR (lng = __x AND lat < __y)").groupBy("course_id").agg(F.sum(F.col("k") * F.col("j")).alias("apart"))
-    return same.join(apart, "course_id", "left").select("course_id", (F.col("same") + F.coalesce("apart", F.lit(0))).alias("close"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -27,6 +27,34 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, lat: float =
     return a.join(b, on).withColumn("metres", metres).where(F.col("metres") <= radius).drop("__cx", "__cy")
 
 
+def close_counts(controls: DataFrame, metres: float) -> DataFrame:
+    """Per course how many pairs of its controls are nearer than so many metres. Controls at one place are counted, not paired,
+    and only places of neighbouring cells meet, so that a long course's pairs are never listed."""
+    spots = controls.groupBy("course_id", "lng", "lat").agg(F.count("*").alias("k"))
+    same = spots.groupBy("course_id").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("same"))
+    pairs = radius_pairs(spots, spots.select(F.col("course_id").alias("other"), F.col("k").alias("j"), "lng", "lat"), metres, key=("course_id", "other")).where(F.col("metres") < metres)
+    apart = pairs.where("lng < __x OR (lng = __x AND lat < __y)").groupBy("course_id").agg(F.sum(F.col("k") * F.col("j")).alias("apart"))
+    return same.join(apart, "course_id", "left").select("course_id", (F.col("same") + F.coalesce("apart", F.lit(0))).alias("close"))
+
+
+def nearest_of_course(controls: DataFrame, metres: float) -> DataFrame:
+    """Per course of two controls or more: nearest, the least distance between any two, and too_close, how many pairs are nearer than
+    so many metres. Two at one place are 0 apart; else a course's shortest leg bounds the search, and only places of
+    neighbouring cells of that size meet."""
+    w = Window.partitionBy("course_id").orderBy("ord")
+    leg = geo.haversine(F.lag("lng").over(w), F.lag("lat").over(w), F.col("lng"), F.col("lat"))
+    bound = controls.withColumn("leg", leg).groupBy("course_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("leg") > 0, F.col("leg"))).alias("u")).where("n >= 2")
+    spots = controls.groupBy("course_id", "lng", "lat").agg(F.count("*").alias("k")).join(bound, "course_id").withColumn("size", (F.col("u") + 0.01) / geo.METRES_PER_DEGREE * 1.01)
+    at = {"cx": F.floor(F.col("lng") / (2 * F.col("size"))).cast("long"), "cy": F.floor(F.col("lat") / F.col("size")).cast("long")}
+    around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
+    left = spots.withColumns(at).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("course_id", F.col("lng").alias("x"), F.col("lat").alias("y"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    pairs = left.join(spots.withColumns(at), ["course_id", "cx", "cy"]).where("x < lng OR (x = lng AND y < lat)")
+    apart = pairs.groupBy("course_id").agg(F.min(geo.haversine(F.col("x"), F.col("y"), F.col("lng"), F.col("lat"))).alias("m"))
+    same = spots.groupBy("course_id").agg(F.max("k").alias("k"))
+    out = same.join(apart, "course_id", "left").join(close_counts(controls, metres), "course_id")
+    return out.select("course_id", F.when(F.col("k") > 1, 0.0).otherwise(F.col("m")).alias("nearest"), F.col("close").alias("too_close"))
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: float, key: list[str], by: str) -> DataFrame:
     """Per left key the nearest right row within the radius (ties: smallest `by`)."""
     found = radius_pairs(left, right, radius).groupBy(*key).agg(F.min(F.struct(F.round("metres", 3).alias("metres"), F.col(by))).alias("z"))

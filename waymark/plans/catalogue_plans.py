@@ -45,10 +45,10 @@ def s06(s, d):
     return R.read_event_xml(files, "file_id", "xml")
 
 
-@query("S12_osm_json", _F + f" SELECT fid % 10 AS file_id, fid AS id, kind, {_CATEGORY} AS category FROM f WHERE {_CATEGORY} IS NOT NULL")
+@query("S12_osm_json", _F + f" SELECT fid // 500 AS file_id, fid AS id, kind, {_CATEGORY} AS category FROM f WHERE {_CATEGORY} IS NOT NULL")
 def s12(s, d):
     """Classified elements of a map server's answers."""
-    f = _features(s, d).groupBy((F.col("fid") % 10).alias("file_id")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("fid").alias("id"), F.col("kind").alias("type"), "tags")).alias("elements"))).alias("body"))
+    f = _features(s, d).groupBy(F.expr("fid div 500").alias("file_id")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("fid").alias("id"), F.col("kind").alias("type"), "tags")).alias("elements"))).alias("body"))
     return R.read_osm_json(f, "file_id", "body").select("file_id", "id", "kind", K.osm_category(F.col("tags")).alias("category")).where("category IS NOT NULL")
 
 
@@ -57,7 +57,7 @@ def s14(s, d):
     """Every fourth map has no place on earth, every seventh an E of 0, every third no scale that can be read."""
     k = F.col("s_suppkey")
     m = F.struct(k.alias("mapid"), F.col("s_name").alias("name"), (k % 4 != 0).alias("georeferenced"), F.when(k % 3 == 0, "large").otherwise("7500").alias("scale"), *[F.lit(x).alias(n) for n, x in zip("ABCD", (1.0, 0.0, 0.0, -1.0), strict=True)], (k % 7).alias("E"), F.lit("49.5").alias("F"))
-    files = raw(s, d, "supplier").groupBy((k % 10).alias("file_id")).agg(F.to_json(F.struct(F.collect_list(m).alias("maps"))).alias("body"))
+    files = raw(s, d, "supplier").groupBy(F.floor(k / 500).alias("file_id")).agg(F.to_json(F.struct(F.collect_list(m).alias("maps"))).alias("body"))
     return R.read_map_catalogue(files, "body").select("mapid", "name", "scale", "E")
 
 

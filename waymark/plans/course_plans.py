@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import courses as C
+from ..operators import spatial as S
 from ..registry import query
 from ..sources.derived import ctes, derived
 
@@ -201,10 +202,10 @@ def p26(s, d):
 
 
 def _pairs(s, d, most: float) -> DataFrame:
-    a, b = _c(s, d).alias("a"), _c(s, d).alias("b")
-    on = (F.col("a.course_id") == F.col("b.course_id")) & (F.col("a.ord") < F.col("b.ord"))
-    m = geo.haversine(F.col("a.lng"), F.col("a.lat"), F.col("b.lng"), F.col("b.lat"))
-    return a.join(b, on).select("a.course_id", F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), m.alias("m")).where(F.col("m") < most)
+    """Pairs of a course's controls nearer than so many metres: only those of neighbouring cells meet."""
+    a = _c(s, d).select("course_id", F.col("ord").alias("i"), "lng", "lat")
+    b = _c(s, d).select(F.col("course_id").alias("other"), F.col("ord").alias("j"), "lng", "lat")
+    return S.radius_pairs(a, b, most, key=("course_id", "other")).where((F.col("i") < F.col("j")) & (F.col("metres") < most)).select("course_id", "i", "j", F.col("metres").alias("m"))
 
 
 _PAIRS = ctes("controls") + f", p AS (SELECT a.course_id, a.ord AS i, b.ord AS j, {geo.hav_sql('a.lng', 'a.lat', 'b.lng', 'b.lat')} AS m FROM controls a JOIN controls b ON a.course_id = b.course_id AND a.ord < b.ord)"
@@ -222,7 +223,7 @@ def j14(s, d):
 
 @query("J15_min_distance", _PAIRS + " SELECT course_id, round(min(m), 2) AS nearest, count(*) FILTER (m < 60) AS too_close FROM p GROUP BY course_id")
 def j15(s, d):
-    return _pairs(s, d, 1e12).groupBy("course_id").agg(F.round(F.min("m"), 2).alias("nearest"), F.count_if(F.col("m") < 60).alias("too_close"))
+    return S.nearest_of_course(_c(s, d), 60).withColumn("nearest", F.round("nearest", 2))
 
 
 @query("T03_issue_order", _ISSUES + """ SELECT course_id, code, ord, CAST(row_number() OVER (PARTITION BY course_id ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, ord, code) AS INT) AS place FROM issues""")
