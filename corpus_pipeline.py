@@ -28,12 +28,12 @@ def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix's order, shard by shard: each stands whole, once for each pass over its source that takes the
+    """Documents of the mix; those of a task stand in the order of their shards. Each stands whole, once for each pass over its source that takes the
     block with its first word; those of empty or null text stand with the block at their place. Documents of a source
     without words go. Rows are numbered once, since keys may be null or repeated; an empty table gives an empty one."""
     rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")))
     places = cut(mixing.stands(mixing.mix(rows, row="__row")))
-    both = rows.join(places, F.col("__row") == F.col("row")).repartition("shard").sortWithinPartitions("shard", "position", "start")
+    both = rows.join(places, F.col("__row") == F.col("row")).sortWithinPartitions("shard", "position", "start")
     return both.select(*COLUMNS)
 
 
