@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_join, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality, url_filter, warc
+from . import embedding_join, exact_dedup, line_dedup, mixing, ngram_join, packing, periodic_runs, pii, quality, toxicity, url_filter, warc, whitening
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality": lambda s, d: quality.judge(read(s, d, "documents"), read(s, d, "labels")),
     "op9_exact_dedup": lambda s, d: exact_dedup.exact_groups(read(s, d, "documents")),
     "op10_packing": lambda s, d: packing.pack_documents(read(s, d, "documents")),
+    "op11_periodic_runs": lambda s, d: periodic_runs.digest(read(s, d, "documents")),
+    "op12_toxicity": lambda s, d: toxicity.judge(read(s, d, "documents"), read(s, d, "labels")).drop("matches"),
+    "op13_whitening": lambda s, d: whitening.whitening(read(s, d, "embeddings")),
 }
 
 ORACLE: dict[str, str] = {

@@ -23,6 +23,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns' numbers for names, since mapInArrow takes no names with dots in them; the schema that it is given names them again."""
+    return df.toDF(*map(str, range(len(df.columns))))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where the session names none, a local session (as
     in tests) gets a temporary one; on a cluster there is no folder that all machines see, so that is an error."""
