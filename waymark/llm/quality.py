@@ -15,7 +15,7 @@ TRAIN_DOCS = 4000
 BUCKETS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 16, 8, (3, 4, 5), 8, 0.5, 11
 FOLDS, THRESHOLD = 5, 0.3
 #: Words that a worker remembers before it forgets them all; words of a longer text are scored by parts of so many.
-REMEMBERED, PART = 400_000, 20_000
+REMEMBERED, PART = 150_000, 20_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xBF58476D1CE4E5B9)
 
 
