@@ -71,6 +71,26 @@ def cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
+def grid_row(lat: Column, metres: Column | float) -> Column:
+    """Row of a grid whose rows are as high as some metres: points so near each other lie in the same or in neighbouring rows."""
+    return F.floor(lat / (metres / (math.radians(1.0) * EARTH_M) * 1.000001)).cast("long")
+
+
+def grid_columns(row: Column, metres: Column | float) -> Column:
+    """Into how many columns a row of that grid is cut, all around: as many as leave any two points of this or a neighbouring row that are
+    so near each other in the same or in neighbouring columns; the nearer to a pole, the fewer, and one at last."""
+    degrees = metres / (math.radians(1.0) * EARTH_M) * 1.000001
+    farthest = F.least(F.greatest(F.abs(row - 1), F.abs(row + 2)) * degrees, F.lit(90.0))
+    ratio = F.sin(F.least(F.lit(math.pi / 2), metres / F.lit(2 * EARTH_M))) / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12))
+    wide = F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))) * 1.000001
+    return F.greatest(F.lit(1).cast("long"), F.floor(360.0 / wide).cast("long"))
+
+
+def grid_column(lng: Column, columns: Column) -> Column:
+    """Column of a longitude, 180 degrees west being the first column's edge."""
+    return F.least(F.floor(F.pmod(lng + 180.0, F.lit(360.0)) / 360.0 * columns).cast("long"), columns - 1)
+
+
 def tile(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
     """XYZ tile of a point."""
     n = float(1 << zoom)

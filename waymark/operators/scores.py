@@ -40,28 +40,22 @@ def surroundings(places: DataFrame, candidates: DataFrame, radius: float = 75.0,
     )
 
 
-def nearest_any(places: DataFrame, targets: DataFrame, by: str, base: float = 0.0005, levels: int = 12, lat: float = 60.0) -> DataFrame:
+def nearest_any(places: DataFrame, targets: DataFrame, by: str, base: float = 50.0, levels: int = 12) -> DataFrame:
     """Per distinct place (lng, lat) the nearest target at any distance: `by` (ties: smallest) and metres.
 
-    Cells of doubling size hold counts of distinct target places; a place takes the finest size at which its 3 x 3 cells aren't
-    empty: the nearest is within three such cells then, so the cells of four times that size are searched. Beyond the
-    coarsest size (base * 2 ** levels degrees) nothing is found. Cells are wider than high, as at latitude `lat` at most."""
-    squeeze = math.cos(math.radians(lat))
+    Grids of doubling size (base * 2 ** level metres) hold one target of each cell. The nearest of those in the 3 x 3 cells about a place, over all sizes,
+    bounds the distance; all targets of the cells of the least size that is no smaller are compared then. Beyond the coarsest size's neighbouring cells
+    nothing is found. Cells are as wide as their latitude asks, up to the poles and across 180 degrees."""
     spots = targets.where("lng IS NOT NULL AND lat IS NOT NULL").groupBy(F.col("lng").alias("x"), F.col("lat").alias("y")).agg(F.min(by).alias(by))
     here = places.where("lng IS NOT NULL AND lat IS NOT NULL").select("lng", "lat").distinct()
-    size = lambda level: F.lit(base) * F.pow(F.lit(2.0), level)
-    at = lambda x, y, level: {"cx": F.floor(x * squeeze / size(level)).cast("long"), "cy": F.floor(y / size(level)).cast("long")}
-    every = F.explode(F.sequence(F.lit(0), F.lit(levels + 2)))
-    cells = spots.withColumn("level", every).withColumns(at(F.col("x"), F.col("y"), F.col("level")))
-    near = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
-
-    def around(df: DataFrame) -> DataFrame:
-        df = df.withColumns(at(F.col("lng"), F.col("lat"), F.col("level")))
-        return df.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
-
-    seen = around(here.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))).join(cells.select("level", "cx", "cy").distinct(), ["level", "cx", "cy"])
-    finest = seen.groupBy("lng", "lat").agg((F.min("level") + 2).alias("level"))
-    pairs = around(finest).join(cells, ["level", "cx", "cy"]).withColumn("metres", geo.haversine(F.col("lng"), F.col("lat"), F.col("x"), F.col("y")))
+    metres = F.lit(base) * F.pow(F.lit(2.0), F.col("level"))
+    far = geo.haversine(F.col("lng"), F.col("lat"), F.col("x"), F.col("y"))
+    cells = spatial.gridded(spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels + 4)))), "x", "y", metres)
+    one = cells.where(F.col("level") <= levels).groupBy("level", "__cx", "__cy").agg(F.min(F.struct("x", "y")).alias("z")).select("level", "__cx", "__cy", "z.x", "z.y")
+    seen = spatial.gridded(here.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))), "lng", "lat", metres, around=True).join(one, ["level", "__cx", "__cy"])
+    bound = seen.groupBy("lng", "lat").agg(F.min(far).alias("m"))
+    level = F.greatest(F.lit(0), F.least(F.lit(levels + 4), F.ceil(F.log2(F.greatest("m", F.lit(1e-3)) / base * 1.000001)).cast("int")))
+    pairs = spatial.gridded(bound.select("lng", "lat", level.alias("level")), "lng", "lat", metres, around=True).join(cells, ["level", "__cx", "__cy"]).withColumn("metres", far)
     return pairs.groupBy("lng", "lat").agg(F.min(F.struct(F.round("metres", 3).alias("metres"), F.col(by))).alias("z")).select("lng", "lat", F.col(f"z.{by}").alias(by), "z.metres")
 
 

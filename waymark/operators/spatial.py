@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .tables import cut
+
+
+def gridded(df: DataFrame, lng: str, lat: str, metres: Column | float, around: bool = False) -> DataFrame:
+    """df with the grid cell (__cy, __cx) of a place; with `around`, a row for each of the nine cells about it (fewer where a row has fewer)."""
+    row = geo.grid_row(F.col(lat), metres)
+    df = df.withColumn("__cy", F.explode(F.transform(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]), lambda k: row + k)) if around else row)
+    df = df.withColumn("__nx", geo.grid_columns(F.col("__cy"), metres))
+    column = geo.grid_column(F.col(lng), F.col("__nx"))
+    if around:
+        near = F.array_distinct(F.transform(F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)]), lambda k: F.pmod(column + k, F.col("__nx"))))
+        column = F.explode(near)
+    return df.withColumn("__cx", column).drop("__nx")
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float, lat: float = 60.0, key: tuple[str, str] | None = None) -> DataFrame:
+def radius_pairs(left: DataFrame, right: DataFrame, radius: float, key: tuple[str, str] | None = None) -> DataFrame:
     """left ⋈ right within `radius` metres, with `metres`, and where given equal in key (left's column, right's column). Both have
-    lng and lat; right's other columns must not clash with left's. Cells are as high as the radius, and as wide as it is
-    at latitude `lat` at most; each left row looks into its 3 x 3 cells. No side is broadcast by force; a dense cell's rows
-    can be split, for both sides shuffle."""
-    high = radius / geo.METRES_PER_DEGREE * 1.01
-    wide = high / math.cos(math.radians(lat))
-    near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    a = left.withColumn("__cx", F.explode(F.transform(near, lambda k: geo.cell(F.col("lng"), wide) + k))).withColumn("__cy", F.explode(F.transform(near, lambda k: geo.cell(F.col("lat"), high) + k)))
-    b = right.withColumnsRenamed({"lng": "__x", "lat": "__y"}).withColumn("__cx", geo.cell(F.col("__x"), wide)).withColumn("__cy", geo.cell(F.col("__y"), high))
+    lng and lat; right's other columns must not clash with left's; rows with a null place are in no pair. Cells are as high as the radius, and as
+    wide as it is at their latitude, across 180 degrees too; each left row looks into its 3 x 3 cells. No side is broadcast by force; a dense
+    cell's rows can be split, for both sides shuffle."""
+    a = gridded(left.where("lng IS NOT NULL AND lat IS NOT NULL"), "lng", "lat", radius, around=True)
+    b = gridded(right.where("lng IS NOT NULL AND lat IS NOT NULL").withColumnsRenamed({"lng": "__x", "lat": "__y"}), "__x", "__y", radius)
     on = ["__cx", "__cy"]
     if key:
         b, on = b.withColumnRenamed(key[1], key[0]), [*on, key[0]]
@@ -44,11 +52,9 @@ def nearest_of_course(controls: DataFrame, metres: float) -> DataFrame:
     w = Window.partitionBy("course_id").orderBy("ord")
     leg = geo.haversine(F.lag("lng").over(w), F.lag("lat").over(w), F.col("lng"), F.col("lat"))
     bound = controls.withColumn("leg", leg).groupBy("course_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("leg") > 0, F.col("leg"))).alias("u")).where("n >= 2")
-    spots = controls.groupBy("course_id", "lng", "lat").agg(F.count("*").alias("k")).join(bound, "course_id").withColumn("size", (F.col("u") + 0.01) / geo.METRES_PER_DEGREE * 1.01)
-    at = {"cx": F.floor(F.col("lng") / (2 * F.col("size"))).cast("long"), "cy": F.floor(F.col("lat") / F.col("size")).cast("long")}
-    around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
-    left = spots.withColumns(at).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("course_id", F.col("lng").alias("x"), F.col("lat").alias("y"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    pairs = left.join(spots.withColumns(at), ["course_id", "cx", "cy"]).where("x < lng OR (x = lng AND y < lat)")
+    spots = controls.groupBy("course_id", "lng", "lat").agg(F.count("*").alias("k")).join(bound, "course_id").withColumn("size", F.col("u") + 0.01)
+    left = gridded(spots, "lng", "lat", F.col("size"), around=True).select("course_id", F.col("lng").alias("x"), F.col("lat").alias("y"), "__cx", "__cy")
+    pairs = left.join(gridded(spots, "lng", "lat", F.col("size")), ["course_id", "__cx", "__cy"]).where("x < lng OR (x = lng AND y < lat)")
     apart = pairs.groupBy("course_id").agg(F.min(geo.haversine(F.col("x"), F.col("y"), F.col("lng"), F.col("lat"))).alias("m"))
     same = spots.groupBy("course_id").agg(F.max("k").alias("k"))
     out = same.join(apart, "course_id", "left").join(close_counts(controls, metres), "course_id")
@@ -67,29 +73,60 @@ def boxed(areas: DataFrame, ring: str = "ring") -> DataFrame:
     return areas.withColumns({"min_lng": F.array_min(x), "max_lng": F.array_max(x), "min_lat": F.array_min(y), "max_lat": F.array_max(y)})
 
 
-def inside(points: DataFrame, areas: DataFrame, size: float = 0.0005) -> DataFrame:
+#: Least size of a cell in degrees; cells a ring's box spans each way, at least half and at most one more, for plain rings and for those of
+#: over PLAIN corners.
+BASE, SPAN, LONG_SPAN, PLAIN = 0.0001, 2, 16, 64
+
+
+def covered(areas: DataFrame) -> DataFrame:
+    """(area_id, level, cx, cy, whole, the box, ring) for the cells of size BASE * 2 ** level that an area's box meets, the level being the one at which it
+    spans few: a small or a huge ring has the same bounded number of rows. A ring of many corners has finer cells, of which those that it leaves out go, and
+    those that no edge of it comes near are known to lie inside (`whole`); its rows have no ring."""
+    long_ = F.size("ring") > PLAIN
+    boxes = boxed(areas.select("area_id", "ring").where("size(ring) > 2")).withColumn("span", F.when(long_, LONG_SPAN).otherwise(SPAN))
+    extent = F.greatest(F.col("max_lng") - F.col("min_lng"), F.col("max_lat") - F.col("min_lat"))
+    boxes = boxes.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent / (BASE * F.col("span")), F.lit(1.0))))).cast("int"))
+    size = F.lit(BASE) * F.pow(F.lit(2.0), F.col("level"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("size")).cast("long"), F.floor(F.col(hi) / F.col("size")).cast("long")))
+    boxes = boxes.withColumn("size", size).withColumn("cx", cells("min_lng", "max_lng")).withColumn("cy", cells("min_lat", "max_lat"))
+    slack = F.col("size") * 1e-6
+    x0, y0, x1, y1 = F.col("cx") * F.col("size") - slack, F.col("cy") * F.col("size") - slack, (F.col("cx") + 1) * F.col("size") + slack, (F.col("cy") + 1) * F.col("size") + slack
+    edges = F.zip_with("ring", F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    meets = F.exists(edges, lambda e: (F.least(e["p"]["x"], e["q"]["x"]) <= x1) & (F.greatest(e["p"]["x"], e["q"]["x"]) >= x0) & (F.least(e["p"]["y"], e["q"]["y"]) <= y1) & (F.greatest(e["p"]["y"], e["q"]["y"]) >= y0))
+    edge = F.when(F.size("ring") > PLAIN, meets).otherwise(True)
+    within = F.when(edge, F.lit(True)).otherwise(geo.in_ring((x0 + x1) / 2, (y0 + y1) / 2, F.col("ring")))
+    out = boxes.withColumns({"whole": ~edge, "some": within}).where("some")
+    return out.select("area_id", "level", "cx", "cy", "whole", "min_lng", "max_lng", "min_lat", "max_lat", F.when(F.size("ring") <= PLAIN, F.col("ring")).alias("ring"))
+
+
+def inside(points: DataFrame, areas: DataFrame) -> DataFrame:
     """points ⋈ areas (area_id, ring: array of (x, y), closed or not) whose ring holds the point.
 
-    Each distinct place is looked up once, however many points stand there: the cells of an area's box meet the places of
-    the cell, the box test is part of the join, and rays are cast for what is left. Points with a null place and areas with
-    a null or empty ring are in no pair. Large areas have many cells: choose size accordingly."""
-    span = lambda lo, hi: F.explode(F.sequence(geo.cell(F.col(lo), size), geo.cell(F.col(hi), size)))
-    boxes = boxed(areas.select("area_id", "ring").where("size(ring) > 2")).withColumn("cx", span("min_lng", "max_lng")).withColumn("cy", span("min_lat", "max_lat"))
+    Each distinct place is looked up once, however many points stand there: the cells of `covered`, whose sizes fit the areas, meet the place's cell of each
+    size that occurs; the box test is part of the join, places in `whole` cells are settled, and rays are cast for what is left, where rings of many corners
+    are joined to the places that need them. Points with a null place and areas with a null or empty ring are in no pair."""
+    cover = cut(covered(areas))
+    levels = [r.level for r in cover.select("level").distinct().collect()]  # powers of two from BASE to the globe: some twenty
     places = points.where("lng IS NOT NULL AND lat IS NOT NULL").select(F.col("lng").alias("x"), F.col("lat").alias("y")).distinct()
-    places = places.withColumn("cx", geo.cell(F.col("x"), size)).withColumn("cy", geo.cell(F.col("y"), size))
-    within = (places.cx == boxes.cx) & (places.cy == boxes.cy) & F.col("x").between(F.col("min_lng"), F.col("max_lng")) & F.col("y").between(F.col("min_lat"), F.col("max_lat"))
-    found = places.join(boxes, within).where(geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("x", "y", "area_id")
+    places = places.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    size = F.lit(BASE) * F.pow(F.lit(2.0), F.col("level"))
+    places = places.withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")})
+    met = places.join(cover, ["level", "cx", "cy"]).where("x BETWEEN min_lng AND max_lng AND y BETWEEN min_lat AND max_lat")
+    plain = met.where(F.col("whole") | F.col("ring").isNotNull()).where(F.col("whole") | geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("x", "y", "area_id")
+    open_ = met.where(~F.col("whole") & F.col("ring").isNull()).select("x", "y", "area_id")
+    long_ = open_.join(areas.where(F.size("ring") > PLAIN).select("area_id", "ring"), "area_id").where(geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("x", "y", "area_id")
+    found = plain.unionByName(long_)
     out = points.join(found, (F.col("lng") == F.col("x")) & (F.col("lat") == F.col("y"))).drop("x", "y")
     return out.join(areas.drop("ring"), "area_id") if len(areas.columns) > 2 else out
 
 
-def places_inside(points: DataFrame, areas: DataFrame, size: float = 0.0005) -> DataFrame:
+def places_inside(points: DataFrame, areas: DataFrame) -> DataFrame:
     """(lng, lat, area_id, n): for each distinct place of points that some area holds, the first such area and their number."""
     places = points.select("lng", "lat").distinct()
-    return inside(places, areas.select("area_id", "ring"), size).groupBy("lng", "lat").agg(F.min("area_id").alias("area_id"), F.count("*").alias("n"))
+    return inside(places, areas.select("area_id", "ring")).groupBy("lng", "lat").agg(F.min("area_id").alias("area_id"), F.count("*").alias("n"))
 
 
-def in_zones(points: DataFrame, zones: DataFrame, margin: float = 0.02, lat: float = 60.0) -> DataFrame:
+def in_zones(points: DataFrame, zones: DataFrame, margin: float = 0.02) -> DataFrame:
     """The distinct places (lng, lat) of points that a zone holds: a ring, or a circle (lng, lat and metres). zones: zone_id, ring,
     lng, lat, metres; of each zone either the ring or the circle is null. Zones further than `margin` degrees from the box of
     all points are left aside first."""
@@ -100,12 +137,11 @@ def in_zones(points: DataFrame, zones: DataFrame, margin: float = 0.02, lat: flo
     held = inside(places, near.where("ring IS NOT NULL").select(F.col("zone_id").alias("area_id"), "ring")).select("lng", "lat")
     # circles of a size class share cells of that size, so that one large circle doesn't coarsen the small ones' cells
     circles = near.where("ring IS NULL").select("zone_id", F.col("lng").alias("zlng"), F.col("lat").alias("zlat"), "metres")
-    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("metres", F.lit(1.0))))) / geo.METRES_PER_DEGREE * 1.01 / math.cos(math.radians(lat))
-    classes = circles.select(size.alias("size")).distinct()
-    shifts = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    at = lambda c: F.floor(F.col(c) / F.col("size")).cast("long")
-    probes = places.join(classes).withColumn("dx", F.explode(shifts)).withColumn("dy", F.explode(shifts)).withColumns({"cx": at("lng") + F.col("dx"), "cy": at("lat") + F.col("dy")})
-    around = probes.join(circles.withColumn("size", size).withColumns({"cx": at("zlng"), "cy": at("zlat")}), ["size", "cx", "cy"])
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("metres", F.lit(1.0)))))
+    circles = cut(circles.withColumn("size", size))
+    sizes = [r["size"] for r in circles.select("size").distinct().collect()]  # powers of two from a metre to the globe
+    probes = gridded(places.withColumn("size", F.explode(F.array(*[F.lit(k) for k in sizes]).cast("array<double>"))), "lng", "lat", F.col("size"), around=True)
+    around = probes.join(gridded(circles, "zlng", "zlat", F.col("size")), ["size", "__cx", "__cy"])
     around = around.where(geo.haversine(F.col("lng"), F.col("lat"), F.col("zlng"), F.col("zlat")) <= F.col("metres")).select("lng", "lat")
     return held.unionByName(around).distinct()
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import geo
-
+from .folds import SLICE, Out, Row, State, fold
+from .spatial import radius_pairs
+from .tables import cut
 
 
 def by_seq() -> WindowSpec:
@@ -25,31 +29,37 @@ def valid_speed(metres: str = "metres", seconds: str = "seconds", least: float =
     return F.when((F.col(metres) >= least) & speed.between(50, 400), speed)
 
 
-def _paths(points: DataFrame) -> DataFrame:
-    """One row per track with its points in order: as long as a track."""
-    return points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat", "t_s"))).alias("p"))
+#: Points of a slice of a track, about, in snap.
+SNAP_SLICE = 65_536
 
 
-def snap(points: DataFrame, controls: DataFrame, radius: float) -> DataFrame:
+def snap(points: DataFrame, controls: DataFrame, radius: float, size: int = SNAP_SLICE) -> DataFrame:
     """Per track and control the nearest point at or after the one before's (first of equals); tracks that miss a control
-    by more than the radius are left out. Controls are the few of one course, folded over in each track's row."""
-    course = controls.agg(F.array_sort(F.collect_list(F.struct("ord", F.col("lng").alias("x"), F.col("lat").alias("y")))).alias("course"))
-    rows = _paths(points).join(course, F.lit(True))
-
-    def step(acc, c):
-        best = F.aggregate(
-            F.slice(F.col("p"), acc["at"], F.greatest(F.size("p") - acc["at"] + 1, F.lit(0))), F.struct(F.lit(None).cast("double").alias("d"), acc["at"].alias("i"), acc["at"].alias("best")),
-            lambda a, q: F.struct(
-                F.least(a["d"], geo.haversine(c["x"], c["y"], q["lng"], q["lat"])).alias("d"), (a["i"] + 1).alias("i"),
-                F.when(a["d"].isNull() | (geo.haversine(c["x"], c["y"], q["lng"], q["lat"]) < a["d"]), a["i"]).otherwise(a["best"]).alias("best"),
-            ),
-        )
-        one = F.transform(F.array(best), lambda b: F.struct(b["best"].alias("at"), (acc["ok"] & (b["d"] <= radius)).alias("ok"), F.concat(acc["out"], F.array(F.struct(c["ord"].alias("ord"), b["best"].alias("seq"), b["d"].alias("metres")))).alias("out")))
-        return F.element_at(one, 1)
-
-    start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), F.array().cast("array<struct<ord:int,seq:int,metres:double>>").alias("out"))
-    got = rows.select("track_id", F.aggregate("course", start, step).alias("z")).where("z.ok")
-    return got.select("track_id", F.explode("z.out").alias("o")).select("track_id", "o.*")
+    by more than the radius are left out. Controls are the few of one course: one round each.
+
+    Only points within the radius of a control can be its own. They lie in slices of `size` numbers of a track; each slice gives its best point per
+    control, and a round hands on one position a track: the best of the later slices, and of the position's own slice the points from there on. No
+    row or task holds a track; a long one's slices are joined apart."""
+    near = radius_pairs(points.select("track_id", "seq", "lng", "lat"), controls.select("ord", "lng", "lat"), radius)
+    hits = cut(near.select("track_id", "ord", "seq", "metres", F.floor(F.col("seq") / size).cast("long").alias("slice")))
+    best = F.min(F.struct("metres", "seq"))
+    slices = cut(hits.groupBy("track_id", "ord", "slice").agg(best.alias("b")))
+    rounds: list[DataFrame] = []
+    for ord_ in [r.ord for r in controls.select("ord").distinct().orderBy("ord").collect()]:
+        here, there = hits.where(F.col("ord") == ord_), slices.where(F.col("ord") == ord_)
+        if rounds:
+            at = rounds[-1].select("track_id", F.floor(F.col("seq") / size).cast("long").alias("s"), F.col("seq").alias("from"))
+            here = here.join(at.withColumnRenamed("s", "slice"), ["track_id", "slice"]).where("seq >= from").select("track_id", F.struct("metres", "seq").alias("b"))
+            there = there.join(at, "track_id").where("slice > s").select("track_id", "b")
+            there = here.unionByName(there)
+        rounds.append(cut(there.groupBy("track_id").agg(F.min("b").alias("b")).select("track_id", F.lit(ord_).cast("int").alias("ord"), F.col("b.seq").cast("int").alias("seq"), "b.metres")))
+    if not rounds:
+        return hits.limit(0).select("track_id", F.col("ord").cast("int"), F.col("seq").cast("int"), "metres")
+    whole = rounds[-1].select("track_id")
+    out = rounds[-1]
+    for r in rounds[:-1]:
+        out = out.unionByName(r.join(whole, "track_id", "left_semi"))
+    return out
 
 
 def leg_runs(points: DataFrame, snapped: DataFrame) -> DataFrame:
@@ -60,34 +70,76 @@ def leg_runs(points: DataFrame, snapped: DataFrame) -> DataFrame:
     return run.groupBy("track_id", F.col("ord").alias("leg")).agg(F.sum("metres").alias("metres"), F.sum("seconds").alias("seconds"))
 
 
-def thin(points: DataFrame, metres: float = 50.0, few: int = 15) -> DataFrame:
-    """Points at least so far from the last one kept; the first and last always; short tracks stay whole."""
-    keep = F.aggregate(
-        F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", 1, 1),
-        lambda acc, q: F.when(geo.haversine(F.element_at(acc, -1)["lng"], F.element_at(acc, -1)["lat"], q["lng"], q["lat"]) >= metres, F.concat(acc, F.array(q))).otherwise(acc),
-    )
-    ended = F.when(F.element_at("k", -1)["seq"] == F.element_at("p", -1)["seq"], F.col("k")).otherwise(F.concat("k", F.slice("p", -1, 1)))
-    rows = _paths(points).withColumn("k", F.when(F.size("p") <= few, F.col("p")).otherwise(keep)).select("track_id", F.explode(ended).alias("o"))
-    return rows.select("track_id", "o.*")
+def _metres(x1: float, y1: float, x2: float, y2: float) -> float:
+    """geo.haversine of four numbers."""
+    a = math.sin(math.radians(y2 - y1) / 2) ** 2 + math.cos(math.radians(y1)) * math.cos(math.radians(y2)) * math.sin(math.radians(x2 - x1) / 2) ** 2
+    return 2 * geo.EARTH_M * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+
+def _bearing(x1: float, y1: float, x2: float, y2: float) -> float:
+    """geo.bearing of four numbers."""
+    dx, a, b = math.radians(x2 - x1), math.radians(y1), math.radians(y2)
+    return math.degrees(math.atan2(math.sin(dx) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(dx))) % 360
+
+
+#: Marks of a fold's rows: kept, and among the first of their track.
+KEPT, EARLY = 1, 0
+
+
+def _with_ends(points: DataFrame, picked: DataFrame, few: int, fields: list[str]) -> DataFrame:
+    """Rows that a fold kept, the last of each track, and all rows of tracks of up to `few`. A fold marks the first few rows of a track that it doesn't
+    keep as EARLY; so each side of the join has a bounded number of rows a track."""
+    ends = points.groupBy("track_id").agg(F.count("*").alias("n"), F.max(F.struct("seq", *fields)).alias("z"))
+    early = picked.where(F.col("mark") == EARLY).join(ends.where(F.col("n") <= few).select("track_id"), "track_id", "left_semi")
+    rows = picked.where(F.col("mark") == KEPT).unionByName(early).select("track_id", F.col("seq").cast("int").alias("seq"), *fields)
+    last = ends.select("track_id", F.col("z.seq").cast("int").alias("seq"), *[F.col(f"z.{f}").cast("double").alias(f) for f in fields])
+    return rows.unionByName(last).groupBy("track_id", "seq").agg(*[F.first(f).alias(f) for f in fields])
+
+
+def thin(points: DataFrame, metres: float = 50.0, few: int = 15, size: int = SLICE) -> DataFrame:
+    """Points at least so far from the last one kept; the first and last always; short tracks stay whole. A fold in slices: the state is the last
+    point kept and how many points of the track were seen, up to `few`."""
+
+    def start(row: Row) -> tuple[State, Out]:
+        return (row[1][0], row[1][1], 1.0), [(row, KEPT)]
+
+    def step(state: State, row: Row) -> tuple[State, Out]:
+        x, y, seen = state
+        now = min(seen + 1, few + 1.0)
+        if _metres(x, y, row[1][0], row[1][1]) >= metres:
+            return (row[1][0], row[1][1], now), [(row, KEPT)]
+        return (x, y, now), [(row, EARLY)] if now <= few else []
+
+    fields = ["lng", "lat", "t_s"]
+    return _with_ends(points, fold(points, "track_id", "seq", fields, start, step, size), few, fields)
 
 
-def key_points(points: DataFrame, most: int = 15, metres: float = 80.0, turn: float = 25.0) -> DataFrame:
+def key_points(points: DataFrame, most: int = 15, metres: float = 80.0, turn: float = 25.0, size: int = SLICE) -> DataFrame:
     """Up to `most` points of each track: the first, then those at least so far from the last one kept where the way there and the
-    way on differ by more than an angle, and always the last point; tracks of no more points stay whole."""
-    w = by_seq()
-    p = points.withColumns({"nx": F.lead("lng").over(w), "ny": F.lead("lat").over(w)})
-    rows = p.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat", "nx", "ny"))).alias("p"))
-
-    def step(kept, q):
-        last = F.element_at(kept, -1)
-        at = (last["lng"], last["lat"], q["lng"], q["lat"])
-        turned = geo.between(geo.bearing(*at), geo.bearing(q["lng"], q["lat"], q["nx"], q["ny"])) > turn
-        return F.when((F.size(kept) < most) & (geo.haversine(*at) >= metres) & turned, F.array_append(kept, q)).otherwise(kept)
-
-    middle = F.slice("p", 2, F.greatest(F.size("p") - 2, F.lit(0)))
-    kept = F.concat(F.aggregate(middle, F.slice("p", 1, 1), step), F.slice("p", -1, 1))
-    out = rows.select("track_id", F.explode(F.when(F.size("p") <= most, F.col("p")).otherwise(kept)).alias("o"))
-    return out.select("track_id", "o.seq", "o.lng", "o.lat")
+    way on differ by more than an angle, and always the last point; tracks of no more points stay whole. A fold in slices: the state is the last
+    point kept, how many were kept, how many seen (up to `most`), and the point whose way on isn't known yet."""
+
+    def start(row: Row) -> tuple[State, Out]:
+        x, y = row[1]
+        return (x, y, 1.0, 1.0, math.nan, math.nan, 0.0), [(row, KEPT)]
+
+    def step(state: State, row: Row) -> tuple[State, Out]:
+        x, y, kept, seen, px, py, at = state
+        out: Out = []
+        if kept < most and px == px and _metres(x, y, px, py) >= metres:
+            d = abs(_bearing(x, y, px, py) - _bearing(px, py, *row[1])) % 360
+            if min(d, 360 - d) > turn:
+                x, y, kept = px, py, kept + 1
+                out.append(((int(at), (px, py)), KEPT))
+        if kept >= most:
+            x, y = 0.0, 0.0  # nothing hangs on them any more
+        now = min(seen + 1, most + 1.0)
+        if now <= most:
+            out.append((row, EARLY))
+        return (x, y, kept, now, *row[1], float(row[0])), out
+
+    fields = ["lng", "lat"]
+    return _with_ends(points, fold(points, "track_id", "seq", fields, start, step, size), most, fields)
 
 
 def cells(points: DataFrame, step: float) -> DataFrame:
