@@ -1,5 +1,6 @@
 """Sliced folds, joins by distance at all latitudes, rings of all sizes, against brute force."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import scores, spatial, tracks
+from waymark.streaming import ingest
 
 
 def _metres(a, b):
@@ -137,3 +139,32 @@ def test_snap_in_slices(spark, walks, size):
     got = tracks.snap(df, spark.createDataFrame(controls, "ord int, lng double, lat double"), 60, size=size).collect()
     assert {(r.track_id, r.ord, r.seq) for r in got} == want and len(got) == len(want) >= 5
     assert tracks.snap(df.limit(0), spark.createDataFrame(controls, "ord int, lng double, lat double"), 60).count() == 0
+
+
+def test_ingest_keys_and_replay(spark, tmp_path):
+    """Two texts under one doc_id, texts without one, and a batch that failed after it wrote: each text's chunks stand once, with its own hash."""
+    inbox, store, at = (f"file://{tmp_path}/{n}" for n in ("in", "store", "at"))
+    ingest.empty_store(spark, store)
+    texts = {name: f"{name} " * 200 for name in ("one", "two", "three", "four", "five")}
+    put = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, text string").write.mode("append").parquet(inbox)
+
+    def seen():
+        rows = ingest.stored(spark, store).collect()
+        assert len({(r.hash, r.ord) for r in rows}) == len(rows)
+        for r in rows:
+            (name,) = [n for n, t in texts.items() if hashlib.sha256(t.encode()).hexdigest() == r.hash]
+            assert r.chunk.startswith(name) or r.ord
+        return sorted(((r.doc_id, r.source, r.batch) for r in rows if r.ord == 0), key=str)
+
+    put([(7, "a", texts["one"]), (7, "b", texts["two"]), (None, "c", texts["three"]), (None, "d", texts["one"]), (None, "e", None)] + [(50 + i, "f", texts["four"]) for i in range(300)])
+    ingest.ingest_new(spark, inbox, store, at)
+    first = [(50, "f", 0), (7, "a", 0), (7, "b", 0), (None, "c", 0)]
+    assert seen() == first
+    put([(1, "g", texts["four"]), (2, "h", texts["five"])])
+    ingest.ingest_new(spark, inbox, store, at)
+    assert seen() == sorted([*first, (2, "h", 1)], key=str)
+    commits = tmp_path / "at" / "commits"
+    for name in ("1", ".1.crc"):
+        (commits / name).unlink()
+    ingest.ingest_new(spark, inbox, store, at)
+    assert seen() == sorted([*first, (2, "h", 1)], key=str)

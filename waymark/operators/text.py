@@ -15,11 +15,12 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
-def windows(df: DataFrame, size: int = 800, overlap: int = 200, least: int = 100) -> DataFrame:
-    """(doc_id, ord, chunk): characters in windows that overlap; chunks under `least` characters go."""
+def windows(df: DataFrame, size: int = 800, overlap: int = 200, least: int = 100, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, what else to keep, ord, chunk): characters in windows that overlap; chunks under `least` characters go."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(size - overlap))
-    cut = df.where("text IS NOT NULL").select("doc_id", "text", F.posexplode(starts).alias("ord", "at"))
-    return cut.select("doc_id", "ord", F.trim(F.substring("text", F.col("at") + 1, F.lit(size))).alias("chunk")).where(F.length("chunk") >= least)
+    names = ["doc_id", *(keep or [])]
+    cut = df.where("text IS NOT NULL").select(*names, "text", F.posexplode(starts).alias("ord", "at"))
+    return cut.select(*names, "ord", F.trim(F.substring("text", F.col("at") + 1, F.lit(size))).alias("chunk")).where(F.length("chunk") >= least)
 
 
 #: Questions of a block, and corpus rows of a block: what one task multiplies at once.

@@ -203,7 +203,7 @@ def x01(s, d):
     for part in (docs.where("doc_id % 2 = 0"), docs):
         part.write.mode("append").parquet(inbox)
         ingest.ingest_new(s, inbox, store, at)
-    one = s.read.parquet(store)
+    one = ingest.stored(s, store)
     return one.groupBy(F.col("batch").cast("int").alias("batch"), "doc_id").agg(F.count("*").alias("chunks"))
 
 

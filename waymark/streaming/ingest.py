@@ -2,29 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import text as X
 
+ROWS = "hash string, doc_id long, source string, text string"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _least(rows: pd.DataFrame) -> pd.DataFrame:
+    """The first of each hash's rows by doc_id (nulls last), then source."""
+    return rows.sort_values(["doc_id", "source"], na_position="last", kind="stable").drop_duplicates("hash")
+
+
+def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each hash of a batch of rows, so that a text that comes a million times is hardly moved."""
+    for rows in batches:
+        yield _least(rows.astype({"doc_id": "Int64"}))
+
+
+def _unseen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first row of a hash that no batch before had. The state is that the hash was seen."""
+    best = None
+    for rows in batches:
+        rows = rows.astype({"doc_id": "Int64"})
+        best = _least(rows if best is None else pd.concat([best, rows]))
+    if not state.exists:
+        state.update((True,))
+        if best is not None:
+            yield best[["hash", "doc_id", "source", "text"]]
+
 
 def ingest_new(spark: SparkSession, inbox: str, store: str, checkpoint: str, schema: str = "doc_id long, source string, text string") -> None:
-    """Read the files of inbox (parquet) that no earlier run saw, and append the chunks of texts that store doesn't hold: by
-    content hash, so that a copy under another name, in this or an earlier batch, is skipped; of equal texts in a batch the
-    smallest doc_id's stays. Each batch's rows carry its number, and a batch that is run again after a failure skips what
-    it wrote already. Runs until all that is there is read, then ends. Null texts give nothing."""
+    """Read the files of inbox (parquet) that no earlier run saw, and add the chunks of texts that are new by content hash to store: a copy under
+    another name, in this or an earlier batch, is skipped; of equal texts in a batch the smallest doc_id's stays, a null one last. Texts that share a
+    doc_id, or have none, are chunked each for itself. Null texts give nothing.
+
+    Which hashes were seen is keyed state in the query's state store (RocksDB, unless the session names another), dealt by hash: a batch costs what its own rows
+    cost, however much is stored. Each batch writes its own folder of the store anew, so that a batch that is run again after a failure
+    replaces what it wrote. Runs until all that is there is read, then ends."""
 
     def batch(new: DataFrame, number: int) -> None:
-        session = new.sparkSession
-        held = session.read.schema("hash string").parquet(store).distinct()
-        rows = new.where("text IS NOT NULL").withColumn("hash", F.sha2("text", 256)).join(held, "hash", "left_anti")
-        first = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "source", "text")).alias("z")).select("hash", "z.*")
-        chunks = X.windows(first.select("doc_id", "text")).join(first.select("doc_id", "hash", "source"), "doc_id")
-        chunks.withColumn("batch", F.lit(number)).select("hash", "doc_id", "source", "ord", "chunk", "batch").write.mode("append").parquet(store)
+        chunks = X.windows(new, keep=["hash", "source"]).select("hash", "doc_id", "source", "ord", "chunk")
+        chunks.write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    stream = spark.readStream.schema(schema).parquet(inbox).where("text IS NOT NULL")
+    rows = stream.select(F.sha2("text", 256).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInPandas(_few, ROWS)
+    fresh = rows.groupBy("hash").applyInPandasWithState(_unseen, ROWS, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER if before is None or "HDFSBacked" in before else before)
+    try:
+        fresh.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
 
-    stream = spark.readStream.schema(schema).parquet(inbox)
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start().awaitTermination()
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """The chunks of a store, (hash, doc_id, source, ord, chunk, batch); none yet is an empty table."""
+    return spark.read.schema("hash string, doc_id long, source string, ord int, chunk string, batch long").option("basePath", store).parquet(store)
 
 
 def empty_store(spark: SparkSession, store: str) -> None:
-    spark.createDataFrame([], "hash string, doc_id long, source string, ord int, chunk string, batch long").write.mode("append").parquet(store)
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(path)
