@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunk_id, verified_seed
-from .shared import LAST, cut
+from .shared import LAST, cut, quoted
 
 #: A chunk ends after a line where the rolling hash of that line and the one before is 0 modulo EVERY, or after MOST.
 EVERY, MOST, MODULUS, BASE = 4, 16, 1 << 31, 31
@@ -46,29 +46,24 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text")
     """Per row: key, text without repeated chunks, n_lines, n_chunks, removed_chunks, removed_lines.
 
     A chunk of two or more lines with any letter or digit, of any script, that occurs more than once anywhere stays only
-    where it occurs first (smallest key, then first in its text; a null key sorts last). Rows that repeat key and text are one
-    occurrence. Single lines stay. Chunks are compared as bytes: identifiers stand for one text only (verified_seed).
+    where it occurs first (smallest key, a null key being the last; of rows that share a key, one text is the first by a hash; then first in its text). Rows
+    that repeat key and text are one occurrence. Single lines stay. Chunks are compared as bytes: identifiers stand for one text only (verified_seed).
     Null text stays null, with counts 0; empty text has one empty line. Counts are taken before rows move; the join of
     occurrences with repeated chunks can be split where one chunk is frequent, and only decisions meet the texts."""
-    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
+    docs = df.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"), F.xxhash64(F.col(quoted(text))).alias("th"))
     parts = docs.select("doc_id", "th", F.posexplode(line_chunks(F.col("text"))).alias("at", "c"))
     several = parts.where((F.col("c.lines") >= 2) & F.col("c.chunk").rlike(r"[\p{L}\p{N}_]")).select("doc_id", "th", "at", F.col("c.chunk").alias("chunk"))
     seed = verified_seed(several.select("chunk"))
-    marks = cut(several.select("doc_id", "th", "at", chunk_id(F.col("chunk"), seed).alias("id")).select("doc_id", "th", "at", "id.*"))
-    once = marks.groupBy("h1", "h2", F.coalesce("doc_id", F.lit(LAST)).alias("d"), "th").agg(F.count_distinct("at").alias("n"), F.min("at").alias("at"))
-    once = cut(once)
-    found = once.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("d").alias("first")).where("n > 1")
-    first_th = cut(found)
-    gone = (
-        marks.join(first_th.select("h1", "h2", "first"), ["h1", "h2"])
-        .join(once.select("h1", "h2", F.col("d").alias("first"), "th", F.col("at").alias("first_at")), ["h1", "h2", "first", "th"], "left")
-        .where((F.coalesce("doc_id", F.lit(LAST)) != F.col("first")) | (F.col("at") != F.col("first_at")))
-        .groupBy("doc_id", "th").agg(F.collect_set("at").alias("gone"))
-    )
-    at = docs.join(gone.withColumnRenamed("doc_id", "g_id").withColumnRenamed("th", "g_th"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
+    marks = cut(several.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("doc_id").isNull().alias("none"), "th", "at", chunk_id(F.col("chunk"), seed).alias("id")).select("d", "none", "th", "at", "id.*"))
+    once = marks.groupBy("h1", "h2", "d", "none", "th").agg(F.count_distinct("at").alias("n"), F.min("at").alias("at"))
+    found = cut(once.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("none", "d", "th", "at")).alias("first")).where("n > 1"))
+    gone = marks.join(found.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("none", "d", "th", "at") != F.col("first"))
+    gone = gone.groupBy("d", "none", F.col("th").alias("g_th")).agg(F.collect_set("at").alias("gone"))
+    at = docs.join(gone, (F.coalesce("doc_id", F.lit(LAST)) == F.col("d")) & (F.col("doc_id").isNull() == F.col("none")) & (F.col("th") == F.col("g_th")), "left")
     at = at.select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     at = at.withColumn("chunks", F.when(F.col("text").isNotNull(), line_chunks(F.col("text"))))
-    kept = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
+    stay = F.array_except(F.sequence(F.lit(1), F.greatest(F.size("chunks"), F.lit(1))), F.transform("gone", lambda i: i + 1))  # by a set, not chunk by chunk
+    kept = F.when(F.size("chunks") > 0, F.transform(stay, lambda i: F.element_at("chunks", i)))
     lost = F.aggregate("gone", F.lit(0), lambda acc, i: acc + F.element_at("chunks", i + 1)["lines"])
     lines = F.aggregate("chunks", F.lit(0), lambda acc, c: acc + c["lines"])
     return at.select(
@@ -86,7 +81,7 @@ e AS (SELECT *, (h * {BASE} + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY
 r AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e),
 p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1) // {MOST} AS part FROM r),
 c AS (SELECT doc_id, min(i) AS start, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM p GROUP BY doc_id, run, part),
-m AS (SELECT *, lines >= 2 AND regexp_matches(chunk, '[0-9A-Za-z_]') AS several FROM c),
+m AS (SELECT *, lines >= 2 AND regexp_matches(chunk, '[\\p{{L}}\\p{{N}}_]') AS several FROM c),
 k AS (SELECT *, several AND row_number() OVER (PARTITION BY several, chunk ORDER BY doc_id, start) > 1 AS gone FROM m),
 o AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY start) FILTER (NOT gone), '') AS text, sum(lines) AS n_lines, count(*) AS n_chunks,
       count(*) FILTER (gone) AS removed_chunks, coalesce(sum(lines) FILTER (gone), 0) AS removed_lines FROM k GROUP BY doc_id)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut
+from .shared import WORD, cut, quoted
 
 SEED = 17
 #: Words of a block at most; blocks of a source at least (as far as it has words); blocks of an output shard.
@@ -123,7 +123,7 @@ def mix(
 ) -> Mix:
     """Plan a mix of all rows of df; texts aren't moved.
 
-    Each source's documents stand in the order of md5(key), and their words are cut into blocks of equal length (the last
+    Each source's documents stand in the order of an md5 of key and text, so that null and repeated keys are spread too, and their words are cut into blocks of equal length (the last
     may be shorter): block_words, or fewer where the source would have under least_blocks. A source passes over its blocks
     as often as its target holds it whole, and then gives part of them; what a pass gives and leaves is a stratum. The tree
     says how many blocks of each stratum a shard gets, and from where in the order of the blocks' md5; so which blocks are
@@ -134,10 +134,11 @@ def mix(
     Null text has size 0, null source is a source of its own and comes last; rows with equal keys stay apart; a source
     without words gives nothing; empty input gives empty tables. Reruns agree. A column named as `row` goes along as row and
     says whose decision is whose where keys are null or repeated; else row is null. Other columns are not looked at."""
-    order = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    skey = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    named = F.lit(None).cast("long") if row is None else F.col(row)
-    rows = cut(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), skey.alias("source_key"), words(F.col(text)).alias("size"), order.alias("h"), named.alias("row")))
+    key_, text_, source_ = (F.col(quoted(c)) for c in (key, text, source))
+    order = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(key_.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text_), F.lit(""))))
+    skey = F.coalesce(F.concat(F.lit("s"), source_), F.lit("n"))
+    named = F.lit(None).cast("long") if row is None else F.col(quoted(row))
+    rows = cut(df.select(key_.alias("doc_id"), source_.alias("source"), skey.alias("source_key"), words(text_).alias("size"), order.alias("h"), named.alias("row")))
     size = F.col("source_size")
     goal = targets(rows).withColumn("words", F.floor("target").cast("long"))
     goal = goal.withColumn("bw", F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr(f"(source_size + {least_blocks - 1}) div {least_blocks}"))).cast("long"))
@@ -217,7 +218,7 @@ def _oracle() -> str:
     draw = f"list_reduce(list_transform(q, lambda k: {{'k': k, 'le': 0::BIGINT, 'al': 0::BIGINT, 'ou': {zero}}}), lambda a, e: {let(x, 'x', "{'k': e.k, 'le': a.le - x, 'al': a.al - e.k, 'ou': list_append(a.ou, x)}")}, {{'k': 0::BIGINT, 'le': le, 'al': al, 'ou': {zero}}}).ou"
     zipped = lambda a, b, op: f"list_transform({a}, lambda v, i: v {op} {b}[i])"
     return rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS source_key, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS source_key, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS h FROM documents),
 s AS (SELECT source, source_key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rank FROM s),
 v AS (SELECT *, CAST([3, 1, 2][(rank - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS most FROM w),

@@ -25,8 +25,13 @@ STARS, BLOCK, LONG = 2, 256, 1000
 
 
 def size_classes(percent: int, classes: tuple = CLASSES) -> list[tuple[int, int, int]]:
-    """(least, most, bound): a set with least <= size < most uses its hashes under bound."""
-    out = []
+    """(least, most, bound): a set with least <= size < most uses its hashes under bound. Classes that would put a set into three at once, as a low
+    percent does, are left out: the one before then reaches further."""
+    chosen: list = []
+    for one in classes:
+        if len(chosen) < 2 or -(-100 * chosen[-1][0] // percent) + 1 <= one[0]:
+            chosen.append(one)
+    out, classes = [], tuple(chosen)
     for k, (least, times) in enumerate(classes):
         most = -(-100 * classes[k + 1][0] // percent) + 1 if k + 1 < len(classes) else 1 << 62
         share = 1.0 if times is None else min(1.0, times * (100 - percent) / 100)
@@ -66,7 +71,7 @@ def signatures(df: DataFrame, n: int, percent: int, classes: tuple = CLASSES) ->
                 s1, s2 = (int(mixed(s * np.uint64(2 * k + 1) + np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for k in (1, 2))
             short = s >> np.uint64(64 - BITS)
             uses = [(k, int(np.searchsorted(short, bound))) for k, (least, most, bound) in enumerate(bounds) if least <= len(s) < most]
-            uses = [*uses, (None, None)][:2] if len(uses) < 3 else uses[:2]
+            uses = [*uses, (None, None)][:2]
             out.append((doc, key, len(s), s1, s2, *uses[0], *uses[1]))
             if len(out) >= 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)

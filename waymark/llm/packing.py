@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut, quoted
 from .tokens import WordIds
 
 SIZE, END = 4096, 2
-#: Documents of a group, on average.
+#: Pieces of a group, on average.
 GROUP = 4096
 TOKENIZER = "word_bpe_49k.json"
 _encoders: dict[str, WordIds] = {}
@@ -74,24 +75,25 @@ def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
                     out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
     return rows.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(pieces: DataFrame, documents: int, size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """pieces with sequence_id and offset. Pieces are dealt by a hash into about documents / group groups of bounded
-    size, and each is packed by first-fit decreasing on its own. Ids are unique: a group's number, then its bin's.
-    Repeated rows are packed as often as they occur; empty input gives none."""
-    groups = max(1, math.ceil(documents / group))
+def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
+    """pieces with sequence_id and offset. Pieces are dealt by a hash into groups of about `group`, however many of them a document has, and each
+    group is packed by first-fit decreasing on its own. Ids are unique: a group's number, then its bin's. Repeated rows are packed as often
+    as they occur, each dealt by its own place in the table; empty input gives none. pieces is read twice: pass what is written."""
+    groups = max(1, math.ceil(pieces.count() / group))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), size)
         return rows.assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.lit(5), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.lit(5), F.monotonically_increasing_id(), "start", "ids_crc32"), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, path: str | None = None) -> DataFrame:
-    return pack(token_pieces(df, key, text, size, END, path), df.count(), size)
+    """Pieces of all documents, each with its sequence and place. Pieces are few numbers each; they are written before they are dealt."""
+    return pack(cut(token_pieces(df, key, text, size, END, path)), size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words that a worker remembers before it forgets them all.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Parts the words that are encoded together: it's a token of its own between blanks. Words that hold it go alone.
 MARK = "~"
 

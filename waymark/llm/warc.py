@@ -2,28 +2,55 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
+
 #: What goes with all it holds: comments, and elements whose text is not the page's. One without an end goes on to the page's
 #: end, as in browsers; so each opener is the start of a match, and no search runs in vain to the end of the page.
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{e}(?:\s[^<>]*)?>.*?(?:</{e}>|\z)" for e in ("script", "style", "noscript", "title"))
 #: Tags that end a line get a line break before them; then all tags go.
 BREAK, TAG = r"(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table)", r"(?s)</?[A-Za-z!?][^>]*(?:>|\z)"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: An entity after its `&`: by number, by hexadecimal number, or by a name of HTML 4 (the standard library's table, and apos).
+ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+NAMES = {**{name: chr(at) for name, at in name2codepoint.items()}, "nbsp": " ", "apos": "'"}
 #: Blanks that aren't one space; line ends with blanks about them.
 BLANKS, LINES = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", r" ?\n[ \n]*"
 
 
+def _unescaped(text: Column) -> Column:
+    """Entities by number and by name become what they stand for, a non-breaking space a space; what is no entity or no character stays."""
+    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+
+    def one(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, ENTITY, 1)
+        number = F.when(name.startswith("#x") | name.startswith("#X"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
+        fine = ((number >= 1) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+        char = F.when(number == 160, " ").when(fine, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).when(number.isNull() & (name != ""), F.try_element_at(names, name))
+        known = F.concat(char, F.substring(piece, F.length(name) + 2, F.length(piece)))
+        return F.when(i == 0, piece).otherwise(F.coalesce(known, F.concat(F.lit("&"), piece)))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), one), "")).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
-    """Plain text of HTML: comments, scripts, styles and the title go, block ends become line breaks; null stays null. A `<`
+    """Plain text of HTML: comments, scripts, styles and the title go, block ends become line breaks, entities what they stand for; null stays null. A `<`
     before no letter is text. Time grows with the length of the page, whatever it holds."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BREAK, "\n<$1"), TAG, " ")
-    for entity, to in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(to))
+    text = _unescaped(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BREAK, "\n<$1"), TAG, " "))
     return F.btrim(F.regexp_replace(F.regexp_replace(text, BLANKS, " "), LINES, "\n"), F.lit(" \n"))
 
 
+def plain_text(payload: Column, content_type: Column) -> Column:
+    """A payload's text by its content type: of HTML (or of no type) html_text, other text as it is, of what is no text none."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    markup = kind.isin("", "text/html", "application/xhtml+xml")
+    text = kind.startswith("text/") | kind.rlike(r"^application/(.+\+)?(json|xml|javascript)$")
+    return F.when(markup, html_text(payload)).when(text, payload).otherwise("")
+
+
 def uuid_urn(*parts: Column) -> Column:
     """A record identifier that depends on nothing but its parts, so that reruns agree."""
     h = F.md5(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("\x00")) for p in parts]))
@@ -38,11 +65,11 @@ CAPTURE = {"date": "string", "status": "int", "charset": "string", "headers": "a
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Captured pages as WARC response records, for inputs that hold bare HTML: a record's identifier depends on key, url
     and payload, so that two captures of a page stay apart. Date, status, charset and HTTP headers are unknown (null)."""
-    payload = F.col(html)
+    payload = F.col(quoted(html))
     return pages.select(
-        F.col(key).alias("page_id"),
-        uuid_urn(F.lit("response"), F.col(key).cast("string"), F.col(url), F.sha2(payload, 256)).alias("record_id"),
-        F.col(url).alias("target_uri"),
+        F.col(quoted(key)).alias("page_id"),
+        uuid_urn(F.lit("response"), F.col(quoted(key)).cast("string"), F.col(quoted(url)), F.sha2(payload, 256)).alias("record_id"),
+        F.col(quoted(url)).alias("target_uri"),
         F.lit("text/html").alias("content_type"),
         payload.alias("payload"),
         *[F.lit(None).cast(t).alias(c) for c, t in CAPTURE.items()],
@@ -53,21 +80,29 @@ def parse_responses(records: DataFrame, record: str = "record", key: str = "page
     """Whole WARC response records (text or bytes: WARC head, HTTP head, body) in the form of responses().
 
     Heads end at the first empty line; field names are matched without regard to case; a field that is absent is null.
-    Rows that aren't responses (another WARC-Type, null, no head) are left out. Bytes are read as UTF-8, except that a
-    charset of ISO-8859-1 (or latin1) is heeded. A record without a WARC-Record-ID gets one from its text."""
-    raw = F.col(record)
-    if dict(records.dtypes)[record] == "binary":
-        latin, utf = F.decode(raw, "ISO-8859-1"), F.decode(raw, "UTF-8")
-        raw = F.when(F.left(latin, F.lit(4000)).rlike(r"(?i)charset=[\"']?(iso-8859-1|latin-?1)\b"), latin).otherwise(utf)
-    end = r"\r?\n\r?\n"
-    head = lambda c: F.split(c, end, 2)
-    one = records.select(F.col(key).alias("page_id"), raw.alias("raw")).withColumn("w", head(F.col("raw")))
-    one = one.select("page_id", "raw", F.col("w")[0].alias("w"), head(F.get("w", F.lit(1))).alias("h"))
-    one = one.select("page_id", "raw", "w", F.get("h", F.lit(0)).alias("h"), F.coalesce(F.get("h", F.lit(1)), F.lit("")).alias("payload"))
+    Rows that aren't responses (another WARC-Type, null, no head) are left out. Bytes are read as UTF-8, or as ISO-8859-1 (latin1) where the
+    Content-Type of the HTTP head, not of the page, says so; what isn't valid becomes U+FFFD. A record without a WARC-Record-ID gets one from its text."""
+    raw = F.col(quoted(record))
+    binary = dict(records.dtypes)[record] == "binary"
+    # bytes are split as ISO-8859-1, of which a character is a byte
+    one = records.select(F.col(quoted(key)).alias("page_id"), raw.alias("raw"), (F.decode(raw, "ISO-8859-1") if binary else raw).alias("all"))
+    rest = lambda c: F.get(F.split(c, r"\r?\n\r?\n", 2), F.lit(1))
+    one = one.withColumn("http", rest(F.col("all"))).withColumn("payload", F.coalesce(rest(F.col("http")), F.lit("")))
     field = lambda c, name: F.nullif(F.trim(F.regexp_extract(c, rf"(?im)^{name}:([^\r\n]*)", 1)), F.lit(""))
-    w = F.col("w")
+    begin = lambda c: F.length("all") - F.length(c)
+    valid = lambda c: F.make_valid_utf8(c.cast("string"))
+    if binary:
+        w, h = F.substring("raw", F.lit(1), begin("http")), F.substring("raw", begin("http") + 1, F.length("http") - F.length("payload"))
+        latin = F.regexp_extract(field(F.substring("http", F.lit(1), F.length("http") - F.length("payload")), "Content-Type"), r"(?i)charset=[\"']?([^\s;\"']+)", 1).rlike(r"(?i)^(iso-8859-1|latin-?1)$")
+        body = F.when(F.coalesce(latin, F.lit(False)), F.col("payload")).otherwise(valid(F.substring("raw", begin("payload") + 1, F.length("payload"))))
+        text = valid(F.col("raw"))
+        w, h = valid(w), valid(h)
+    else:
+        w, h, body, text = F.substring("all", F.lit(1), begin("http")), F.substring("http", F.lit(1), F.length("http") - F.length("payload")), F.col("payload"), F.col("raw")
+    one = one.where("http IS NOT NULL OR all IS NOT NULL").select("page_id", text.alias("raw"), F.coalesce(w, F.col("all")).alias("w"), h.alias("h"), body.alias("payload"))
     kind = field(F.col("h"), "Content-Type")
-    headers = F.filter(F.transform(F.slice(F.split("h", r"\r?\n"), 2, 10_000), lambda x: F.trim(x)), lambda x: x != "")
+    headers = F.filter(F.transform(F.split("h", r"\r?\n"), lambda x: F.trim(x)), lambda x, i: (i > 0) & (x != ""))
+    w = F.col("w")
     return one.where(F.lower(field(w, "WARC-Type")) == "response").select(
         "page_id", F.coalesce(field(w, "WARC-Record-ID"), uuid_urn(F.lit("response"), F.col("raw"))).alias("record_id"), field(w, "WARC-Target-URI").alias("target_uri"),
         F.nullif(F.trim(F.split(kind, ";")[0]), F.lit("")).alias("content_type"), "payload", field(w, "WARC-Date").alias("date"),
@@ -92,7 +127,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         "page_id", F.col("record_id").alias("warc_refers_to"), F.coalesce("target_uri", F.lit("")).alias("target_uri"),
         F.coalesce("content_type", F.lit("")).alias("source_type"),
         F.octet_length(payload).cast("long").alias("source_length"), digest(payload).alias("source_digest"),
-        html_text(payload).alias("text"), *known,
+        plain_text(payload, F.col("content_type")).alias("text"), *known,
     )
     line = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit("\r\n")), F.lit(""))
     fields = F.concat(
@@ -128,8 +163,11 @@ def to_bytes(records: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFram
 def _sql_text(c: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     c = f"regexp_replace(regexp_replace(regexp_replace({c}, {q(HIDDEN)}, ' ', 'g'), {q(BREAK)}, chr(10) || '<\\1', 'g'), {q(TAG)}, ' ', 'g')"
-    for entity, to in ENTITIES:
-        c = f"replace({c}, {q(entity)}, {q(to)})"
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in NAMES.items()) + "}"
+    m, n = f"regexp_extract(p, {q(ENTITY)}, 1)", "(CASE WHEN m.m ILIKE '#x%' THEN CAST('0x' || substr(m.m, 3) AS INT) WHEN m.m LIKE '#%' THEN CAST(substr(m.m, 2) AS INT) END)"
+    char = f"CASE WHEN m.n = 160 THEN ' ' WHEN m.n BETWEEN 1 AND {0xD7FF} OR m.n BETWEEN {0xE000} AND {0x10FFFF} THEN chr(m.n) WHEN m.n IS NULL AND m.m <> '' THEN {names}[m.m] END"
+    piece = f"list_transform([{{'m': {m}}}], lambda m: list_transform([{{'m': m.m, 'n': {n}}}], lambda m: coalesce(({char}) || substr(p, length(m.m) + 2), '&' || p))[1])[1]"
+    c = f"list_aggregate(list_transform(string_split({c}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {piece} END), 'string_agg', '')"
     return f"trim(regexp_replace(regexp_replace({c}, {q(BLANKS)}, ' ', 'g'), {q(LINES)}, chr(10), 'g'), ' ' || chr(10))"
 
 
