@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import cut
@@ -14,40 +16,117 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select("area_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("area_id", "src", "dst").agg(F.min("weight").alias("weight"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, rounds: int = 1000, both: bool = True) -> DataFrame:
     """(area_id, source, node, metres): the shortest way from each source (area_id, source) to each node it reaches, for all
     sources at once. Each round extends only labels that the round before improved; it ends when none improves. Nodes that
-    can't be reached have no row."""
-    e = cut(both_ways(edges))
-    best = cut(sources.select("area_id", "source", F.col("source").alias("node"), F.lit(0.0).alias("metres")).distinct())
-    front = best
+    can't be reached have no row. Without `both`, edges are taken as they are, in one direction each."""
+    e = (cut(both_ways(edges)) if both else edges).select("area_id", F.col("src").alias("node"), F.col("dst").alias("y"), "weight")
+    key = ["area_id", "source", "node"]
+    front = cut(sources.select("area_id", "source", F.col("source").alias("node"), F.lit(0.0).alias("metres")).distinct())
+
+    def hop(labels: DataFrame) -> DataFrame:
+        on = labels.join(e, ["area_id", "node"]).groupBy("area_id", "source", F.col("y").alias("node"))
+        return on.agg(F.min(F.col("metres") + F.col("weight")).alias("metres"))
+
+    return _settled(front, key, hop, rounds)
+
+
+#: Tables of labels that are looked through before they are merged.
+LEVELS = 8
+
+
+def _merged(levels: list[DataFrame], key: list[str]) -> DataFrame:
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.groupBy(*key).agg(F.min("metres").alias("metres"))
+
+
+def _settled(front: DataFrame, key: list[str], hop: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+    """The least metres of each key that hops from the front reach. A round makes two hops from the labels that the round before improved, and writes those
+    that improve on what is known; what is known is these tables, a few at a time, for they are merged now and then."""
+    levels = [front.select(*key, "metres")]
+    rest = [F.first(c).alias(c) for c in front.columns if c not in (*key, "metres", "most")] + [F.min(c).alias(c) for c in front.columns if c == "most"]
     for _ in range(rounds):
-        step = front.join(e, (front.area_id == e.area_id) & (front.node == e.src)).groupBy(front.area_id, "source", F.col("dst").alias("node")).agg(F.min(F.col("metres") + F.col("weight")).alias("new"))
-        front = cut(step.join(best, ["area_id", "source", "node"], "left").where("metres IS NULL OR new < metres - 1e-9").select("area_id", "source", "node", F.col("new").alias("metres")))
+        one = hop(front)
+        step = one.unionByName(hop(one)).groupBy(*key).agg(F.min("metres").alias("metres"), *rest)
+        known = levels[0]
+        for level in levels[1:]:
+            known = known.unionByName(level)
+        known = known.select(*[F.col(c).alias(f"k_{c}") for c in (*key, "metres")])
+        front = cut(step.join(known, [*[F.col(c) == F.col(f"k_{c}") for c in key], F.col("k_metres") <= F.col("metres") + 1e-9], "left_anti"))
         if front.isEmpty():
-            return best
-        best = cut(best.join(front.select("area_id", "source", "node"), ["area_id", "source", "node"], "left_anti").unionByName(front))
-    raise RuntimeError("distances did not settle")
+            return _merged(levels, key)
+        levels.append(front.select(*key, "metres"))
+        if len(levels) > LEVELS:
+            levels = [cut(_merged(levels, key))]
+    raise RuntimeError("ways did not settle")
+
+
+#: Landmarks of an area.
+LANDMARKS = 4
+
+
+def landmarks(ways: DataFrame, count: int = LANDMARKS) -> DataFrame:
+    """(area_id, node, far): each node's distances to the same few nodes of its area, drawn by hash; null for one that it can't reach, as all are in a part of
+    the graph that holds none. By the triangle rule two nodes are at least as far apart as any of their distances differ, and at most as any two add up to."""
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(k), "src").alias("h"), F.col("src").alias("node")))["node"] for k in range(count)]
+    picked = cut(ways.groupBy("area_id").agg(F.array(*drawn).alias("m")).select("area_id", F.posexplode("m").alias("k", "source")))
+    d = distances(ways, picked.select("area_id", "source").distinct(), both=False).join(picked, ["area_id", "source"])
+    far = d.groupBy("area_id", "node").agg(*[F.min(F.when(F.col("k") == k, F.col("metres"))).alias(f"d{k}") for k in range(count)])
+    every = ways.select("area_id", F.col("src").alias("node")).distinct().join(far, ["area_id", "node"], "left")
+    return cut(every.select("area_id", "node", F.array(*[f"d{k}" for k in range(count)]).alias("far")))
+
+
+def at_least(one: Column, two: Column) -> Column:
+    """Metres between two nodes at least, by their distances to landmarks."""
+    return F.aggregate(F.zip_with(one, two, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, d: F.greatest(acc, F.coalesce(d, F.lit(0.0))))
+
+
+LEG = ["area_id", "src", "dst"]
+
+
+def corridors(edges: DataFrame, legs: DataFrame, rounds: int = 1000, slack: float = 1e-6) -> DataFrame:
+    """(area_id, src, dst, node, metres): of each distinct leg, shortest ways from src to the nodes that a shortest route to dst may pass; all nodes that one does
+    pass are among them, dst too where it can be reached. A label lives while what it has and what landmarks say is left don't exceed what is known of the
+    whole: a way over a landmark at first, then the best way found. So a leg keeps the nodes of its corridor, not those of its area."""
+    ways = cut(both_ways(edges))
+    marks = landmarks(ways)
+    e = cut(ways.select("area_id", F.col("src").alias("x"), F.col("dst").alias("y"), "weight").join(marks.select("area_id", F.col("node").alias("y"), "far"), ["area_id", "y"]))
+    pairs = legs.select(*LEG).distinct().where("src <> dst")
+    pairs = pairs.join(marks.select("area_id", F.col("node").alias("src"), F.col("far").alias("f")), ["area_id", "src"]).join(marks.select("area_id", F.col("node").alias("dst"), F.col("far").alias("goal")), ["area_id", "dst"])
+    over = F.array_min(F.zip_with("f", "goal", lambda a, b: a + b))  # null where no landmark reaches both
+    apart = F.exists(F.zip_with("f", "goal", lambda a, b: a.isNull() != b.isNull()), lambda x: x)
+    front = cut(pairs.where(~apart).select(*LEG, F.col("src").alias("node"), F.lit(0.0).alias("metres"), F.coalesce(over, F.lit(float("inf"))).alias("most"), "goal"))
+    new = F.col("metres") + F.col("weight")
+
+    def hop(labels: DataFrame) -> DataFrame:
+        open_ = labels.where("node <> dst").withColumnRenamed("node", "x")
+        step = open_.join(e, ["area_id", "x"]).where(new + at_least(F.col("far"), F.col("goal")) <= F.col("most") + slack)
+        step = step.groupBy(*LEG, F.col("y").alias("node")).agg(F.min(new).alias("metres"), F.min("most").alias("most"), F.first("goal").alias("goal"))
+        # who has reached the end knows the whole
+        w = Window.partitionBy(*LEG)
+        return step.withColumn("most", F.least("most", F.coalesce(F.min(F.when(F.col("node") == F.col("dst"), F.col("metres"))).over(w), F.col("most"))))
+
+    return _settled(front, [*LEG, "node"], hop, rounds)
 
 
 def routes(edges: DataFrame, legs: DataFrame) -> DataFrame:
     """legs (area_id, src, dst) with metres of the shortest route, null where there is none or both ends are one node."""
-    pairs = legs.select("area_id", "src", "dst").distinct().where("src <> dst")
-    d = distances(edges, pairs.select("area_id", F.col("src").alias("source")).distinct())
-    found = pairs.join(d.select("area_id", F.col("source").alias("src"), F.col("node").alias("dst"), "metres"), ["area_id", "src", "dst"])
-    return legs.join(found, ["area_id", "src", "dst"], "left")
+    found = corridors(edges, legs).where("node = dst").drop("node")
+    return legs.join(found, LEG, "left")
 
 
 def on_route(edges: DataFrame, legs: DataFrame, slack: float = 1e-6) -> DataFrame:
     """(area_id, src, dst, node): the nodes on a shortest route of each distinct leg: those whose distances to both ends add up to
-    the route's."""
-    pairs = legs.select("area_id", "src", "dst").distinct().where("src <> dst")
-    ends = pairs.select("area_id", F.explode(F.array("src", "dst")).alias("source")).distinct()
-    d = cut(distances(edges, ends))
-    a = d.select("area_id", F.col("source").alias("src"), "node", F.col("metres").alias("ma"))
-    b = d.select("area_id", F.col("source").alias("dst"), "node", F.col("metres").alias("mb"))
-    whole = d.select("area_id", F.col("source").alias("src"), F.col("node").alias("dst"), F.col("metres").alias("m"))
-    return pairs.join(whole, ["area_id", "src", "dst"]).join(a, ["area_id", "src"]).join(b, ["area_id", "dst", "node"]).where(F.col("ma") + F.col("mb") <= F.col("m") + slack).select("area_id", "src", "dst", "node")
+    the route's. Legs are searched from both ends at once."""
+    pairs = legs.select(*LEG).distinct().where("src <> dst")
+    back = pairs.select("area_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    d = cut(corridors(edges, pairs.unionByName(back)))
+    whole = pairs.join(d.where("node = dst").select(*LEG, F.col("metres").alias("m")), LEG)
+    a = d.withColumnRenamed("metres", "ma")
+    b = d.select("area_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "node", F.col("metres").alias("mb"))
+    return whole.join(a, LEG).join(b, [*LEG, "node"]).where(F.col("ma") + F.col("mb") <= F.col("m") + slack).select(*LEG, "node")
 
 
 def k_routes(edges: DataFrame, legs: DataFrame, k: int = 3, stretch: float = 1.3, hops: int = 12) -> DataFrame:
