@@ -10,6 +10,7 @@ from ..functions import geo
 from ..functions.classes import first
 from ..operators import courses as C
 from ..operators import spatial as S
+from ..operators.tables import cut
 from ..registry import query
 from ..sources.derived import ctes, derived, raw
 from .class_plans import _TERRAIN
@@ -130,7 +131,9 @@ def j31(s, d):
     t = b.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), 8 * F.col("n"))))
     drawn = lambda lo, hi, a: F.round(F.col(lo) - (F.col(hi) - F.col(lo)) * 0.2 + (F.col(hi) - F.col(lo)) * 1.4 * u(a), 6)
     r = t.select("course_id", "n", "i", drawn("x0", "x1", "x").alias("lng"), drawn("y0", "y1", "y").alias("lat"))
-    near = S.radius_pairs(r.select("course_id", "i", "lng", "lat"), _c(s, d).select(F.col("course_id").alias("other"), "lng", "lat").distinct(), 50, key=("course_id", "other")).where("metres < 50").select("course_id", "i").distinct()
+    r = cut(r)
+    # the few controls look into their cells, not the many tries
+    near = S.radius_pairs(_c(s, d).select("course_id", "lng", "lat").distinct(), r.select(F.col("course_id").alias("other"), "i", "lng", "lat"), 50, key=("course_id", "other")).where("metres < 50").select("course_id", "i").distinct()
     w = Window.partitionBy("course_id").orderBy("i")
     return r.join(near, ["course_id", "i"], "left_anti").withColumn("k", F.row_number().over(w)).where("k <= 2 * n").select("course_id", "i", "lng", "lat")
 
@@ -141,7 +144,8 @@ _USES = [*HEIGHTS, "none"]
 _USE = f"[{', '.join(repr(u) for u in _USES)}][isom % {len(_USES)} + 1]"
 _HEIGHT = "CASE use " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in HEIGHTS.items()) + " ELSE 0.0::DOUBLE END"
 _GRID = f"""{ctes('areas')}, ix AS (SELECT unnest(range(0, 80)) AS gx), iy AS (SELECT unnest(range(0, 40)) AS gy), v AS (SELECT gx, gy, 5.48::DOUBLE + (gx + 0.5::DOUBLE) * 0.00025::DOUBLE + 0.000005::DOUBLE AS x, 49.18::DOUBLE + (gy + 0.5::DOUBLE) * 0.00025::DOUBLE + 0.000005::DOUBLE AS y, CAST((gx * gx * 3 + gy * 17) % 40 / 4.0 AS DOUBLE) AS z FROM ix, iy),
-  lu AS (SELECT gx, gy, arg_min(isom, area_id) AS isom FROM v JOIN areas ON x BETWEEN min_lng AND max_lng AND y BETWEEN min_lat AND max_lat WHERE ({_edges_sql()}) % 2 = 1 GROUP BY ALL),
+  ac AS (SELECT * FROM (SELECT *, unnest(range(CAST(floor((min_lng - 5.48) / 0.00025) AS BIGINT) - 1, CAST(floor((max_lng - 5.48) / 0.00025) AS BIGINT) + 2)) AS gx FROM areas), LATERAL (SELECT unnest(range(CAST(floor((min_lat - 49.18) / 0.00025) AS BIGINT) - 1, CAST(floor((max_lat - 49.18) / 0.00025) AS BIGINT) + 2)) AS gy)),
+  lu AS (SELECT gx, gy, arg_min(isom, area_id) AS isom FROM v JOIN ac USING (gx, gy) WHERE x BETWEEN min_lng AND max_lng AND y BETWEEN min_lat AND max_lat AND ({_edges_sql()}) % 2 = 1 GROUP BY ALL),
   cl AS (SELECT v.gx, v.gy, coalesce({_USE}, 'none') AS use, sqrt(power(coalesce(n.z - v.z, 0), 2) + power(coalesce(e.z - v.z, 0), 2)) / 25 * 100 AS slope FROM v LEFT JOIN lu USING (gx, gy) LEFT JOIN v n ON n.gx = v.gx AND n.gy = v.gy + 1 LEFT JOIN v e ON e.gx = v.gx + 1 AND e.gy = v.gy),
   ch AS (SELECT *, {_HEIGHT} AS height FROM cl)"""
 _SF = "CASE WHEN slope < 5 THEN 1.0 WHEN slope < 10 THEN 0.9 WHEN slope < 15 THEN 0.8 WHEN slope < 20 THEN 0.7 WHEN slope < 25 THEN 0.6 WHEN slope < 30 THEN 0.5 ELSE 0.4 END::DOUBLE"

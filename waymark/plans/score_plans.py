@@ -10,6 +10,7 @@ from ..functions.classes import first
 from ..operators import courses as C
 from ..operators import scores as R
 from ..operators import spatial as S
+from ..operators.tables import cut
 from ..registry import query
 from ..sources.derived import ctes, derived
 from .course_plans import LEGS
@@ -298,7 +299,7 @@ def y01(s, d):
     pick = found.groupBy("course_id", "ord").agg(F.min(F.struct(rank.alias("r"), "code")).alias("z")).select("course_id", "ord", F.col("z.code").alias("code"))
     w = C.by_order()
     ends = _c(s, d).withColumns({"px": F.lag("lng").over(w), "py": F.lag("lat").over(w), "nx": F.lead("lng").over(w), "ny": F.lead("lat").over(w)})
-    at = ends.join(pick, ["course_id", "ord"])
+    at = cut(ends.join(pick, ["course_id", "ord"]))
     across = geo.bearing(*map(F.col, ("px", "py", "nx", "ny")))
 
     def side(turn: int):
@@ -309,10 +310,11 @@ def y01(s, d):
     moved = at.where("code = 'C01' AND px IS NOT NULL AND nx IS NOT NULL").select("course_id", "ord", "code", F.coalesce(side(90), side(270)).alias("p")).where("p IS NOT NULL")
     inside = _k(s, d).where(F.col("lng").between(INSIDE[0], INSIDE[2]) & F.col("lat").between(INSIDE[1], INSIDE[3])).withColumn("good", F.col("ftype").isin(*GOOD)).drop("ftype")
     opts = S.radius_pairs(at.where("code IN ('C02', 'C10')").select("course_id", "ord", "code", "lng", "lat"), inside, REACH).where("code = 'C02' OR good").withColumn("metres", F.round("metres", 3))
-    opts = opts.select("course_id", "ord", "code", "metres", "cand_id", F.col("__x").alias("x"), F.col("__y").alias("y"))
-    rest = _c(s, d).select("course_id", F.col("ord").alias("o"), F.col("lng").alias("ox"), F.col("lat").alias("oy"))
+    opts = cut(opts.select("course_id", "ord", "code", "metres", "cand_id", F.col("__x").alias("x"), F.col("__y").alias("y")))
+    rest = _c(s, d).select(F.col("course_id").alias("other"), F.col("ord").alias("o"), "lng", "lat")
     least = F.when(F.col("code") == "C02", 35).otherwise(20)
-    near = opts.join(rest, "course_id").where((F.col("o") != F.col("ord")) & (geo.haversine(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")) < least)).select("course_id", "ord", "cand_id").distinct()
+    close = S.radius_pairs(opts.select("course_id", "ord", "code", "cand_id", F.col("x").alias("lng"), F.col("y").alias("lat")), rest, 35, key=("course_id", "other"))
+    near = close.where((F.col("o") != F.col("ord")) & (F.col("metres") < least)).select("course_id", "ord", "cand_id").distinct()
     best = opts.join(near, ["course_id", "ord", "cand_id"], "left_anti").groupBy("course_id", "ord", "code").agg(F.min(F.struct("metres", "cand_id", "x", "y")).alias("p"))
     r = [F.round("p.x", 7).alias("lng"), F.round("p.y", 7).alias("lat")]
     return moved.select("course_id", "ord", "code", *r).unionByName(best.select("course_id", "ord", "code", *r))

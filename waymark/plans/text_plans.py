@@ -55,13 +55,19 @@ def w18(s, d):
     return raw(s, d, "conversations").select("conv_id", "turn", "role").withColumn("rn", F.row_number().over(w)).where("rn <= 20").drop("rn")
 
 
-@query("S22_page_fields", r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ') AS title, len(regexp_extract_all(html, '(?i)<a\s[^>]*href')) AS links,
-  length(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')) AS text_chars FROM pages""")
+#: Scripts and styles go with what they hold, to the page's end where they have none; a tag has no other within it. So no search runs in vain to the page's end.
+_HIDDEN, _TAG, _WHITE = r"(?is)<script(?:\s[^<>]*)?>.*?(?:</script>|\z)|<style(?:\s[^<>]*)?>.*?(?:</style>|\z)", r"<[^<>]*>", r"[ \t\r\n]+"
+
+
+@query("S22_page_fields", rf"""WITH t AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '{_HIDDEN}', ' ', 'g'), '{_TAG}', ' ', 'g') AS plain FROM pages)
+  SELECT page_id, trim(regexp_extract(html, '(?is)<title[^<>]*>([^<]*)', 1), ' ') AS title, len(regexp_extract_all(html, '(?i)<a\s[^<>]*href')) AS links, trim(regexp_replace(plain, '{_WHITE}', ' ', 'g'), ' ') AS text, length(plain) AS text_chars FROM t""")
 def s22(s, d):
+    """Title, number of links and readable text of each page."""
     h = F.col("html")
-    text = F.regexp_replace(F.regexp_replace(h, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]*>", " ")
-    links = F.size(F.regexp_extract_all(h, F.lit(r"(?i)<a\s[^>]*href"), F.lit(0))).cast("long")
-    return raw(s, d, "pages").select("page_id", F.trim(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), links.alias("links"), F.length(text).cast("long").alias("text_chars"))
+    text = F.regexp_replace(F.regexp_replace(h, _HIDDEN, " "), _TAG, " ")
+    links = F.size(F.regexp_extract_all(h, F.lit(r"(?i)<a\s[^<>]*href"), F.lit(0))).cast("long")
+    plain = F.trim(F.regexp_replace(text, _WHITE, " ")).alias("text")
+    return raw(s, d, "pages").select("page_id", F.trim(F.regexp_extract(h, r"(?is)<title[^<>]*>([^<]*)", 1)).alias("title"), links.alias("links"), plain, F.length(text).cast("long").alias("text_chars"))
 
 
 @query("F35_keyword_tags", "SELECT doc_id, list_filter(['the', 'tion', 'und', 'les', 'que'], lambda k: contains(lower(text), k)) AS tags FROM documents")
