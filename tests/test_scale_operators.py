@@ -168,3 +168,20 @@ def test_ingest_keys_and_replay(spark, tmp_path):
         (commits / name).unlink()
     ingest.ingest_new(spark, inbox, store, at)
     assert seen() == sorted([*first, (2, "h", 1)], key=str)
+
+
+@pytest.mark.parametrize("how", ["box", "metres"])
+def test_spaced_is_a_walk_in_order(spark, how):
+    """Dense and thin places, copies of a place, a row of points in order, groups and null places: what a walk point by point keeps."""
+    rng = np.random.default_rng(9)
+    rows = [(int(g), int(i), 5 + float(rng.normal(0, 0.002)), 49 + float(rng.normal(0, 0.001))) for g in (1, 2) for i in range(250)]
+    rows += [(3, i, 5 + i * 0.00007, 49.0) for i in range(25)] + [(4, i, 5.0, 49.0) for i in range(40)] + [(4, 99, None, 49.0)]
+    near = {"box": lambda p, q: abs(p[2] - q[2]) < 0.0004 and abs(p[3] - q[3]) < 0.0003, "metres": lambda p, q: _metres(p[2:], q[2:]) < 40}[how]
+    want = []
+    for r in sorted(r for r in rows if r[2] is not None):
+        if not any(r[0] == q[0] and near(q, r) for q in want):
+            want.append(r)
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "g long, id long, lng double, lat double")
+    got = spatial.spaced(df, ["id"], **({"box": (0.0004, 0.0003)} if how == "box" else {"metres": 40.0}), by=("g",)).collect()
+    assert sorted((r.g, r.id) for r in got) == [r[:2] for r in want]
+    assert spatial.spaced(df.limit(0), ["id"], metres=40.0).count() == 0

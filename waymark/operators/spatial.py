@@ -73,6 +73,44 @@ def boxed(areas: DataFrame, ring: str = "ring") -> DataFrame:
     return areas.withColumns({"min_lng": F.array_min(x), "max_lng": F.array_max(x), "min_lat": F.array_min(y), "max_lat": F.array_max(y)})
 
 
+def spaced(points: DataFrame, order: list[str], box: tuple[float, float] | None = None, metres: float | None = None, by: tuple[str, ...] = (), rounds: int = 10_000) -> DataFrame:
+    """(by, order, lng, lat): what a walk through the points in order keeps (of each `by` for itself) that takes a point unless one taken before is near: in
+    a box (less than so many degrees apart both ways) or nearer than so many metres. Points of a null place are left out; of points at one place the first counts.
+
+    Each round decides the first open point of every cell: it stays if no earlier open point is near, and then what is near it goes. A point meets only the
+    firsts of the cells about it, so that no pairs of a dense place are listed; the first of all is decided in each round, so it ends, and by induction
+    with what the walk keeps. Rounds are as many as the longest chain of points that wait for each other: few where the order is not along a line."""
+    key, on = list(by), [*by, "__cx", "__cy"]
+
+    def celled(df: DataFrame, around: bool = False) -> DataFrame:
+        if metres is not None:
+            return gridded(df, "lng", "lat", metres, around)
+        at = {"__cx": geo.cell(F.col("lng"), box[0]), "__cy": geo.cell(F.col("lat"), box[1])}
+        for c, v in at.items():
+            df = df.withColumn(c, F.explode(F.array(*[v + k for k in (-1, 0, 1)])) if around else v)
+        return df
+
+    near = F.abs(F.col("lng") - F.col("__x")) < (box or (0, 0))[0]
+    near = near & (F.abs(F.col("lat") - F.col("__y")) < (box or (0, 0))[1]) if metres is None else geo.haversine(F.col("lng"), F.col("lat"), F.col("__x"), F.col("__y")) < metres
+    places = points.where("lng IS NOT NULL AND lat IS NOT NULL").groupBy(*key, "lng", "lat").agg(F.min(F.struct(*order)).alias("o"))
+    open_ = cut(celled(places))
+    kept = [open_.limit(0).select(*key, "o", "lng", "lat")]
+    for _ in range(rounds):
+        firsts = open_.groupBy(*on).agg(F.min(F.struct("o", "lng", "lat")).alias("f")).select(*key, "f.*")
+        others = open_.select(*on, F.col("o").alias("__o"), F.col("lng").alias("__x"), F.col("lat").alias("__y"))
+        waits = celled(firsts, around=True).join(others, on).where(near & (F.col("__o") < F.col("o"))).select(*key, "o").distinct()
+        now = cut(firsts.join(waits, [*key, "o"], "left_anti"))
+        kept.append(now)
+        gone = celled(now, around=True).join(others, on).where(near).select(*key, F.col("__o").alias("o")).distinct()
+        open_ = cut(open_.join(gone, [*key, "o"], "left_anti"))
+        if open_.isEmpty():
+            break
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.unionByName(k)
+    return out.select(*key, "o.*", "lng", "lat")
+
+
 #: Least size of a cell in degrees; cells a ring's box spans each way, at least half and at most one more, for plain rings and for those of
 #: over PLAIN corners.
 BASE, SPAN, LONG_SPAN, PLAIN = 0.0001, 2, 16, 64

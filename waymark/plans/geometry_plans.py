@@ -132,11 +132,26 @@ def j08(s, d):
     return near.select("cand_id", "colour", F.round(F.col("w") / F.sum("w").over(Window.partitionBy("cand_id")), 4).alias("share"))
 
 
-@query("J18_proximity_dedup", ctes("controls") + " SELECT course_id, ord FROM controls QUALIFY row_number() OVER (PARTITION BY floor(lng / 0.000135), floor(lat / 0.000135) ORDER BY course_id, ord) = 1")
+def walk_sql(places: str, near: str, by: str = "", rounds: int = 40) -> str:
+    """CTEs of a walk that takes a place unless an earlier one that it took is near: `kept` (id). places has id (in order), x, y and cells cx, cy; rounds decide all
+    places that wait for no earlier one."""
+    same = " AND ".join(f"a.{c} = b.{c}" for c in by.split()) or "true"
+    out = f"""{places}, e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM pl b, (SELECT unnest([-1, 0, 1]) AS dx) u, (SELECT unnest([-1, 0, 1]) AS dy) v, pl a WHERE a.cx = b.cx + dx AND a.cy = b.cy + dy AND a.id < b.id AND {same} AND {near}), u0 AS MATERIALIZED (SELECT id FROM pl)"""
+    for k in range(rounds):
+        out += f""", k{k} AS MATERIALIZED (SELECT id FROM u{k} EXCEPT SELECT e.b FROM e JOIN u{k} ON u{k}.id = e.a),
+  u{k + 1} AS MATERIALIZED (SELECT id FROM u{k} EXCEPT SELECT id FROM k{k} EXCEPT SELECT e.b FROM e JOIN k{k} ON k{k}.id = e.a)"""
+    return out + ", kept AS (" + " UNION ALL ".join(f"SELECT id FROM k{k}" for k in range(rounds)) + ")"
+
+
+_DEDUP = 0.000135
+_FIRSTS = f""", pl AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY course_id, ord) AS id, CAST(floor(x / {_DEDUP}) AS BIGINT) AS cx, CAST(floor(y / {_DEDUP}) AS BIGINT) AS cy
+  FROM (SELECT lng AS x, lat AS y, min((course_id, ord)) AS o, o[1] AS course_id, o[2] AS ord FROM controls GROUP BY lng, lat))"""
+
+
+@query("J18_proximity_dedup", ctes("controls") + walk_sql(_FIRSTS, f"abs(a.x - b.x) < {_DEDUP} AND abs(a.y - b.y) < {_DEDUP}") + " SELECT course_id, CAST(ord AS INT) AS ord FROM pl JOIN kept USING (id)")
 def j18(s, d):
-    """The first control of each cell of about 15 m: cells stand in for distances."""
-    got = derived(s, d, "controls").groupBy(geo.cell(F.col("lng"), 0.000135), geo.cell(F.col("lat"), 0.000135)).agg(F.min(F.struct("course_id", "ord")).alias("z"))
-    return got.select("z.course_id", "z.ord")
+    """The controls that a walk in order keeps, each at least some 15 m from those kept before."""
+    return S.spaced(derived(s, d, "controls"), ["course_id", "ord"], box=(_DEDUP, _DEDUP)).select("course_id", "ord")
 
 
 _PIXELS = "SELECT p_partkey AS px, CAST(p_partkey * 37 % 256 AS DOUBLE) AS r, CAST(p_partkey * 91 % 256 AS DOUBLE) AS g, CAST(p_size * 5 % 256 AS DOUBLE) AS b FROM {part}"

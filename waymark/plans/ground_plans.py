@@ -14,6 +14,7 @@ from ..operators.tables import cut
 from ..registry import query
 from ..sources.derived import ctes, derived, raw
 from .class_plans import _TERRAIN
+from .geometry_plans import walk_sql
 from .map_plans import _edges_sql, _rings
 
 _CC, _AC = ctes("controls", "candidates"), ctes("areas", "candidates")
@@ -30,12 +31,15 @@ def _k(s, d):
 _NEAR_DEG = 0.00009
 
 
-@query("J17_merged_candidates", _AC + f""", r AS (SELECT DISTINCT min_lng AS lng, min_lat AS lat, CAST(floor(min_lng / {_NEAR_DEG}) AS BIGINT) AS cx, CAST(floor(min_lat / {_NEAR_DEG}) AS BIGINT) AS cy, min(area_id) OVER (PARTITION BY min_lng, min_lat) AS id FROM areas),
-  f AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM candidates k WHERE abs(k.lng - r.lng) < {_NEAR_DEG} AND abs(k.lat - r.lat) < {_NEAR_DEG})),
-  g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY cx, cy ORDER BY id) = 1), u AS (SELECT 0 AS side, cand_id AS id, lng, lat FROM candidates UNION ALL SELECT 1, id, lng, lat FROM g)
+_FREE = f""", r AS (SELECT min_lng AS x, min_lat AS y, min(area_id) AS id, CAST(floor(min_lng / {_NEAR_DEG}) AS BIGINT) AS cx, CAST(floor(min_lat / {_NEAR_DEG}) AS BIGINT) AS cy FROM areas GROUP BY ALL),
+  kc AS (SELECT lng, lat, CAST(floor(lng / {_NEAR_DEG}) AS BIGINT) + dx AS cx, CAST(floor(lat / {_NEAR_DEG}) AS BIGINT) + dy AS cy FROM candidates, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+  pl AS MATERIALIZED (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM kc WHERE kc.cx = r.cx AND kc.cy = r.cy AND abs(kc.lng - r.x) < {_NEAR_DEG} AND abs(kc.lat - r.y) < {_NEAR_DEG}))"""
+
+
+@query("J17_merged_candidates", _AC + walk_sql(_FREE, f"abs(a.x - b.x) < {_NEAR_DEG} AND abs(a.y - b.y) < {_NEAR_DEG}") + """, u AS (SELECT 0 AS side, cand_id AS id, lng, lat FROM candidates UNION ALL SELECT 1, id, x, y FROM pl JOIN kept USING (id))
   SELECT side, id, lng, lat FROM u ORDER BY side, id LIMIT 800""")
 def j17(s, d):
-    """Candidates of both kinds: of the second, those close to one of the first go, and of each cell one stays; 800 at most: the
+    """Candidates of both kinds: of the second, those close to one of the first go, then those close to one kept before; 800 at most: the
     limit is the feature's."""
     step = F.lit(_NEAR_DEG)
     cell = lambda c: F.floor(F.col(c) / step).cast("long")
@@ -44,7 +48,7 @@ def j17(s, d):
     around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
     left = left.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select("x", "y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
     free = right.join(left, (right.cx == left.cx) & (right.cy == left.cy) & (F.abs(F.col("x") - F.col("lng")) < _NEAR_DEG) & (F.abs(F.col("y") - F.col("lat")) < _NEAR_DEG), "left_anti")
-    one = free.groupBy("cx", "cy").agg(F.min(F.struct("id", "lng", "lat")).alias("z")).select(F.lit(1).alias("side"), "z.*")
+    one = S.spaced(free, ["id"], box=(_NEAR_DEG, _NEAR_DEG)).select(F.lit(1).alias("side"), "id", "lng", "lat")
     return _k(s, d).select(F.lit(0).alias("side"), F.col("cand_id").alias("id"), "lng", "lat").unionByName(one).orderBy("side", "id").limit(800)
 
 
@@ -103,18 +107,21 @@ def j26(s, d):
     return p.select(F.col("cand_id").alias("src"), F.col("other").alias("dst"), F.round("metres", 2).alias("metres"), F.round(cost, 2).alias("cost"), F.when(F.col("path") | F.col("also"), "path").otherwise("direct").alias("kind"))
 
 
-@query("J27_candidate_positions", _CC + f""", ce AS (SELECT cand_id AS centre, lng AS x, lat AS y FROM candidates WHERE cand_id % 10 = 0), p AS (SELECT centre, cand_id, round({geo.hav_sql('x', 'y', 'lng', 'lat')}, 3) AS m, CAST(floor(lng / 0.0006) AS BIGINT) AS cx, CAST(floor(lat / 0.0004) AS BIGINT) AS cy FROM ce JOIN candidates ON abs(lng - x) < 0.005 AND abs(lat - y) < 0.003),
-  q AS (SELECT * FROM p WHERE m <= 200 QUALIFY row_number() OVER (PARTITION BY centre, cx, cy ORDER BY m, cand_id) = 1) SELECT centre, cand_id, m AS metres FROM q QUALIFY row_number() OVER (PARTITION BY centre ORDER BY m, cand_id) <= 20""")
+_SPACING = 44
+_AROUND = f""", ce AS (SELECT cand_id AS centre, lng AS cl, lat AS ca FROM candidates WHERE cand_id % 10 = 0), p AS (SELECT centre, cand_id, lng AS x, lat AS y, round({geo.hav_sql('cl', 'ca', 'lng', 'lat')}, 3) AS m FROM ce JOIN candidates ON abs(lng - cl) < 0.005 AND abs(lat - ca) < 0.003),
+  pl AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY centre, cand_id) AS id, CAST(floor(x / 0.0008) AS BIGINT) AS cx, CAST(floor(y / 0.0005) AS BIGINT) AS cy FROM p WHERE m <= 200 QUALIFY row_number() OVER (PARTITION BY centre, x, y ORDER BY cand_id) = 1)"""
+
+
+@query("J27_candidate_positions", _CC + walk_sql(_AROUND, f"{geo.hav_sql('a.x', 'a.y', 'b.x', 'b.y')} < {_SPACING}", "centre") + ", q AS (SELECT * FROM pl JOIN kept USING (id) QUALIFY row_number() OVER (PARTITION BY centre ORDER BY cand_id) <= 20) SELECT centre, cand_id, m AS metres FROM q")
 def j27(s, d):
-    """About every tenth place up to 20 others within 200 m, one of each cell of some 44 m: the limit is the feature's. Cells stand
-    for the least spacing, so that a valid but not always the same choice comes out as a greedy walk would."""
+    """About every tenth place the first 20 others within 200 m that a walk in order keeps, each 44 m or more from those kept before: the limit is the feature's."""
     k = _k(s, d)
     centres = k.where("cand_id % 10 = 0").select(F.col("cand_id").alias("centre"), "lng", "lat")
-    p = S.radius_pairs(centres, k.drop("ftype"), 200).withColumn("metres", F.round("metres", 3))
-    p = p.withColumns({"cx": F.floor(F.col("__x") / 0.0006), "cy": F.floor(F.col("__y") / 0.0004)})
-    one = p.groupBy("centre", "cx", "cy").agg(F.min(F.struct("metres", "cand_id")).alias("z")).select("centre", "z.*")
-    w = Window.partitionBy("centre").orderBy("metres", "cand_id")
-    return one.withColumn("place", F.row_number().over(w)).where("place <= 20").select("centre", "cand_id", "metres")
+    p = S.radius_pairs(centres, k.drop("ftype"), 200).select("centre", "cand_id", F.round("metres", 3).alias("m"), F.col("__x").alias("lng"), F.col("__y").alias("lat"))
+    p = cut(p.where("m <= 200"))
+    kept = S.spaced(p, ["cand_id", "m"], metres=_SPACING, by=("centre",))
+    w = Window.partitionBy("centre").orderBy("cand_id")
+    return kept.withColumn("place", F.row_number().over(w)).where("place <= 20").select("centre", "cand_id", F.col("m").alias("metres"))
 
 
 _U = "(CAST('0x' || substr(md5(course_id || ':' || i || ':{a}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
