@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import scores, spatial, tracks
+from tests.conftest import DATA
+from waymark.operators import retrieval, scores, spatial, tracks
+from waymark.operators.text import top_matches
 from waymark.streaming import ingest
 
 
@@ -185,3 +187,29 @@ def test_spaced_is_a_walk_in_order(spark, how):
     got = spatial.spaced(df, ["id"], **({"box": (0.0004, 0.0003)} if how == "box" else {"metres": 40.0}), by=("g",)).collect()
     assert sorted((r.g, r.id) for r in got) == [r[:2] for r in want]
     assert spatial.spaced(df.limit(0), ["id"], metres=40.0).count() == 0
+
+
+def test_index_recall(spark, tmp_path):
+    """An index that is written and read again finds nine of ten of the exact matches; the exact way finds all."""
+    v = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    retrieval.build(v, f"file://{tmp_path}/index")
+    index = retrieval.load(spark, f"file://{tmp_path}/index")
+    assert index.rows.count() == v.count() and 10 < len(index.centres) <= 45 and index.probes < len(index.centres)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    exact = top_matches(q, v, 10).cache()
+    got = retrieval.search(index, q, 10).cache()
+    assert got.groupBy("query_id").count().where("count <> 10").count() == 0 and retrieval.recall(got, exact) >= 0.9
+    assert {tuple(r) for r in retrieval.search(index, q, 10, exact=True).collect()} == {tuple(r) for r in exact.collect()}
+
+
+def test_index_odd(spark, tmp_path):
+    """Null, zero, short and repeated vectors; one vector that half the rows share; an empty corpus."""
+    rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0]), (5, [1.0, None]), (6, [float("nan"), 1.0])] + [(10 + i, [1.0, 2.0]) for i in range(60)] + [(100 + i, [float(i), 1.0]) for i in range(50)] + [(10, [1.0, 2.0])]
+    corpus = spark.createDataFrame(rows, "id long, v array<double>")
+    index = retrieval.build(corpus, f"file://{tmp_path}/odd")
+    assert index.rows.count() == 111
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 2.0, 3.0])], "query_id long, q array<double>")
+    got = retrieval.search(index, q, 3, probes=20).orderBy("place").collect()
+    assert [(r.query_id, r.id, r.score) for r in got] == [(1, 10, 1.0), (1, 10, 1.0), (1, 11, 1.0)]
+    none = retrieval.build(corpus.limit(0), f"file://{tmp_path}/none")
+    assert retrieval.search(none, q, 3).count() == 0

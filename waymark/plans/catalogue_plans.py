@@ -52,6 +52,27 @@ def s12(s, d):
     return R.read_osm_json(f, "file_id", "body").select("file_id", "id", "kind", K.osm_category(F.col("tags")).alias("category")).where("category IS NOT NULL")
 
 
+_GXY = "CAST(round((lng - 5.48) * 10000) AS BIGINT) AS gx, CAST(round((lat - 49.18) * 10000) AS BIGINT) AS gy"
+
+
+@query("S12_way_geometry", ctes("controls") + f""", g AS (SELECT course_id, ord, {_GXY} FROM controls), p AS (SELECT course_id, ord, gx / 4.0::DOUBLE || ' ' || gy / 4.0::DOUBLE AS t FROM g WHERE course_id % 3 = 0 OR gy % 10 <> 9),
+  w AS (SELECT course_id, count(*) AS n, string_agg(t, ',' ORDER BY ord) AS path, arg_min(t, ord) AS a, arg_max(t, ord) AS z FROM p GROUP BY course_id)
+  SELECT course_id // 100 AS file_id, course_id AS id, CASE WHEN course_id % 5 = 0 THEN 'Polygon' ELSE 'LineString' END AS gtype, n + CASE WHEN course_id % 5 = 0 AND a <> z THEN 1 ELSE 0 END AS points, path || CASE WHEN course_id % 5 = 0 AND a <> z THEN ',' || a ELSE '' END AS path FROM w""")
+def s12_ways(s, d):
+    """Courses as ways of a map server: every third brings its places along, others name nodes, of which a tenth is missing; every fifth is an area."""
+    g = derived(s, d, "controls").selectExpr("course_id", "ord", *_GXY.split(", CAST")[:1], "CAST" + _GXY.split(", CAST")[1])
+    node = F.col("gx") * 1000 + F.col("gy")
+    places = F.struct((F.col("gy") / 4.0).alias("lat"), (F.col("gx") / 4.0).alias("lon"))
+    per = g.groupBy("course_id").agg(F.array_sort(F.collect_list(F.struct("ord", node.alias("node"), places.alias("p")))).alias("z"))
+    tags = F.when(F.col("course_id") % 5 == 0, F.create_map(F.lit("area"), F.lit("yes")))
+    way = F.struct(F.lit("way").alias("type"), F.col("course_id").alias("id"), tags.alias("tags"), F.when(F.col("course_id") % 3 != 0, F.col("z.node")).alias("nodes"), F.when(F.col("course_id") % 3 == 0, F.col("z.p")).alias("geometry"))
+    ways = per.groupBy(F.expr("course_id div 100").alias("file_id")).agg(F.to_json(F.struct(F.collect_list(way).alias("elements"))).alias("body"))
+    point = F.struct(F.lit("node").alias("type"), node.alias("id"), (F.col("gy") / 4.0).alias("lat"), (F.col("gx") / 4.0).alias("lon"))
+    nodes = g.where("gy % 10 <> 9").select("gx", "gy").distinct().groupBy((-1 - F.col("gx")).alias("file_id")).agg(F.to_json(F.struct(F.collect_list(point).alias("elements"))).alias("body"))
+    text = F.array_join(F.transform("points", lambda p: F.concat(p["lng"].cast("string"), F.lit(" "), p["lat"].cast("string"))), ",")
+    return R.read_osm_ways(ways.unionByName(nodes), "file_id", "body").select("file_id", "id", "gtype", F.size("points").cast("long").alias("points"), text.alias("path"))
+
+
 @query("S14_map_catalogue", "SELECT CAST(s_suppkey AS INT) AS mapid, s_name AS name, CAST(if(s_suppkey % 3 = 0, 4000, 7500) AS INT) AS scale, CAST(s_suppkey % 7 AS DOUBLE) AS E FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 7 <> 0")
 def s14(s, d):
     """Every fourth map has no place on earth, every seventh an E of 0, every third no scale that can be read."""

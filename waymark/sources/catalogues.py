@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import cut
+
 from .exchange import OPTIONS, escaped, once
 
 _CONTROL = "struct<Id:string,_type:string,Position:struct<_lat:string,_lng:string>>"
@@ -64,6 +66,29 @@ def read_osm_json(files: DataFrame, key: str, content: str) -> DataFrame:
     return e.select(key, "e.id", F.col("e.type").alias("kind"), F.col("e.lon").alias("lng"), F.col("e.lat").alias("lat"), F.coalesce("e.tags", F.create_map().cast("map<string,string>")).alias("tags"))
 
 
+def read_osm_ways(files: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, id, gtype, points, tags) of the ways of a map server's answers, points being (lng, lat) in order: those that the way brings along, or else those of
+    the nodes that it names, from whichever file holds them; of nodes with one id the least place counts. Nodes that no file holds are left out, a way of which no
+    point is known goes. A way tagged area=yes is a Polygon and is closed where its ends differ, others are LineStrings.
+
+    References meet nodes by a join of written tables, so that a node which many ways share is no task's burden; a group is one way."""
+    place = "struct<lat:double,lon:double>"
+    schema = f"elements array<struct<type:string,id:long,lat:double,lon:double,tags:map<string,string>,nodes:array<long>,geometry:array<{place}>>>"
+    e = cut(files.select(key, once(F.from_json(content, schema)).alias("d")).select(key, F.explode("d.elements").alias("e")).select(key, "e.*"))
+    ways = e.where("type = 'way'").select(key, "id", F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"), "nodes", "geometry")
+    own = F.size("geometry") > 0
+    point = lambda x, y: F.struct(x.alias("lng"), y.alias("lat"))
+    brought = ways.where(own).select(key, "id", "tags", F.transform(F.filter("geometry", lambda g: g["lon"].isNotNull() & g["lat"].isNotNull()), lambda g: point(g["lon"], g["lat"])).alias("points"))
+    nodes = e.where("type = 'node' AND lon IS NOT NULL AND lat IS NOT NULL").groupBy(F.col("id").alias("node")).agg(F.min(F.struct(F.col("lon").alias("lng"), "lat")).alias("p"))
+    refs = ways.where(~F.coalesce(own, F.lit(False))).select(key, "id", F.posexplode("nodes").alias("at", "node"))
+    found = cut(refs).join(cut(nodes), "node").groupBy(key, "id").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("ps"))
+    named = ways.where(~F.coalesce(own, F.lit(False))).join(found, [key, "id"]).select(key, "id", "tags", F.transform("ps", lambda x: x["p"]).alias("points"))
+    area = F.coalesce(F.try_element_at("tags", F.lit("area")) == "yes", F.lit(False))
+    ends = F.element_at("points", 1) != F.element_at("points", -1)
+    rows = brought.unionByName(named).where(F.size("points") > 0)
+    return rows.select(key, "id", F.when(area, "Polygon").otherwise("LineString").alias("gtype"), F.when(area & ends, F.concat("points", F.slice("points", 1, 1))).otherwise(F.col("points")).alias("points"), "tags")
+
+
 def read_map_catalogue(files: DataFrame, content: str) -> DataFrame:
     """(mapid, name, scale, A..F) of maps with a place on earth: E and F not 0. The scale is 4000 where none can be read; of
     maps with one id the largest row counts."""
