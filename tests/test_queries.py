@@ -10,7 +10,7 @@ from waymark.registry import ORACLE, QUERIES
 
 
 #: What a model or an index gives has no SQL twin: test_operators and test_scale_operators hold them against what training left out, or the exact scan.
-LEARNED = {"M02_M04_forest_scores", "R04_R07_index_search"}
+LEARNED = {"M02_M04_forest_scores", "M05_M06_heat", "R04_R07_index_search"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from waymark.operators import retrieval, scores, spatial, tracks
+from waymark.operators import pixels, retrieval, scores, spatial, tracks
 from waymark.operators.text import top_matches
 from waymark.streaming import ingest
 
@@ -213,3 +213,32 @@ def test_index_odd(spark, tmp_path):
     assert [(r.query_id, r.id, r.score) for r in got] == [(1, 10, 1.0), (1, 10, 1.0), (1, 11, 1.0)]
     none = retrieval.build(corpus.limit(0), f"file://{tmp_path}/none")
     assert retrieval.search(none, q, 3).count() == 0
+
+
+def test_window_features(spark):
+    """Moving sums of blocks against each window's own pixels; an image with holes, and one of a few pixels."""
+    rng = np.random.default_rng(12)
+    colours = [c for c, _ in pixels.CLASSES.values()]
+    image = {(x, y): colours[int(rng.integers(7))] for x in range(24) for y in range(16) if rng.random() < 0.9}
+    rows = [(1, x, y, *c) for (x, y), c in image.items()] + [(2, 0, 0, 1, 2, 3), (1, 0, 0, 255, 255, 255)]
+    got = {(r.image, r.cx, r.cy): r for r in pixels.window_features(spark.createDataFrame(rows, "image long, x int, y int, r int, g int, b int"), 4, 8, 4).collect()}
+    image[0, 0] = min(image.get((0, 0), (255, 255, 255)), (255, 255, 255))
+    want = {}
+    for cx in range(0, 25, 4):
+        for cy in range(0, 17, 4):
+            inside = [(x, y) for (x, y) in image if cx - 8 <= x < cx + 8 and cy - 8 <= y < cy + 8]
+            if len(inside) >= 0.75 * 256:
+                want[1, cx, cy] = inside
+    assert set(got) == set(want) and len(want) >= 2
+    near = lambda a, b: max(abs(p - q) for p, q in zip(a, b))
+    for key, inside in want.items():
+        r = got[key]
+        assert r.n == len(inside)
+        for name, (centre, t) in pixels.CLASSES.items():
+            firsts = [p for p in inside if next((k for k, (c, tt) in pixels.CLASSES.items() if near(image[p], c) < tt), None) == name]
+            assert r[name] == pytest.approx(len(firsts) / len(inside))
+            mid = [p for p in inside if abs(p[0] + 0.5 - key[1]) < 4 and abs(p[1] + 0.5 - key[2]) < 4]
+            assert r[f"mid_{name}"] == pytest.approx(sum(p in firsts for p in mid) / len(mid))
+        grey = {p: sum(c) / 3 for p, c in image.items()}
+        edges = sum(any(q in grey and abs(grey[q] - grey[p]) > 20 for q in ((p[0] - 1, p[1]), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1))) for p in inside)
+        assert r.edges == pytest.approx(edges / len(inside))

@@ -118,9 +118,13 @@ def issues(controls: DataFrame, least: int = 12, most: int = 28, target: tuple[f
     return by_leg.unionByName(by_course)
 
 
-def report(controls: DataFrame) -> DataFrame:
-    """Per course: errors, warnings, score 100 - 15 errors - 5 warnings (not below 0), compliant; clean courses too."""
-    found = issues(controls).groupBy("course_id").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"))
+def report(controls: DataFrame, *more: DataFrame) -> DataFrame:
+    """Per course: errors, warnings, score 100 - 15 errors - 5 warnings (not below 0), compliant; clean courses too. `more` are findings of other rules
+    (course_id, severity), such as those of forbidden ground, of features and of route choice."""
+    rows = issues(controls).select("course_id", "severity")
+    for m in more:
+        rows = rows.unionByName(m.select("course_id", "severity"))
+    found = rows.groupBy("course_id").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"))
     out = controls.select("course_id").distinct().join(found, "course_id", "left").fillna(0, ["errors", "warnings"])
     return out.withColumn("score", F.greatest(F.lit(0), 100 - 15 * F.col("errors") - 5 * F.col("warnings"))).withColumn("compliant", F.col("errors") == 0)
 

@@ -93,3 +93,52 @@ def texture(grey: DataFrame, size: int, edge: float = 20.0) -> DataFrame:
     levels = f.groupBy("patch_id", F.floor(F.col("v") + 1e-6).alias("level")).agg((F.count("*") / (size * size)).alias("p"))
     entropy = levels.groupBy("patch_id").agg((-F.sum(F.col("p") * F.log("p")) / F.log(F.lit(256.0))).alias("entropy"))
     return corners.join(entropy, "patch_id")
+
+
+#: Shares of a window that it must cover to count.
+COVERED = 0.75
+
+
+def _moving(df: DataFrame, along: str, across: str, reach: int, names: dict[str, str]) -> DataFrame:
+    """df with sums of columns over the blocks from `reach` before to before `reach` after, along an axis; a window's rows are one row of blocks of one image."""
+    w = Window.partitionBy("image", across).orderBy(along).rangeBetween(-reach, reach - 1)
+    return df.withColumns({new: F.sum(old).over(w) for new, old in names.items()})
+
+
+def window_features(pixels: DataFrame, step: int, half: int, middle: int, edge: float = 20.0) -> DataFrame:
+    """(image, cx, cy, n, every class's share, mid_ and its share in the middle, edges) of the windows of 2 * half pixels about each point of a grid of `step` pixels over
+    each image's extent (image, x, y, r, g, b; of pixels at one place the least counts); half and middle are multiples of step. Windows of which less than COVERED is
+    there are left out, absent pixels count in no share; edges are the share of pixels whose grey differs from a neighbour's by more than a bound.
+
+    Overlapping windows repeat no pixel: pixels are counted by blocks of the grid, combined before the shuffle, and windows are moving sums of blocks along
+    rows, then along columns."""
+    one = pixels.groupBy("image", "x", "y").agg(F.min(F.struct("r", "g", "b")).alias("c")).select("image", "x", "y", "c.*")
+    one = one.withColumn("v", (F.col("r") + F.col("g") + F.col("b")) / 3)
+
+    def differs(along: str, across: str) -> Column:
+        w = Window.partitionBy("image", across).orderBy(along)
+        near = lambda f: F.when(F.abs(f(along).over(w) - F.col(along)) == 1, F.abs(f("v").over(w) - F.col("v")) > edge)
+        return F.coalesce(near(F.lag), F.lit(False)) | F.coalesce(near(F.lead), F.lit(False))
+
+    one = one.withColumn("edge", differs("x", "y") | differs("y", "x")).withColumn("k", colour_class())
+    block = lambda c: F.floor(F.col(c) / step).cast("int")
+    counts = [F.count("*").alias("n"), F.count_if("edge").alias("edges"), *[F.count_if(F.coalesce(F.col("k") == k, F.lit(False))).alias(k) for k in CLASSES]]
+    blocks = one.groupBy("image", block("x").alias("bx"), block("y").alias("by")).agg(*counts)
+    names = ["n", "edges", *CLASSES]
+    extent = blocks.groupBy("image").agg(*[f(c).alias(f"{n}_{c}") for c in ("bx", "by") for n, f in (("lo", F.min), ("hi", F.max))])
+    grid = extent.select("image", F.explode(F.sequence("lo_bx", F.col("hi_bx") + 1)).alias("bx"), "lo_by", "hi_by").select("image", "bx", F.explode(F.sequence("lo_by", F.col("hi_by") + 1)).alias("by"))
+    full = grid.join(blocks, ["image", "bx", "by"], "left").fillna(0, names)
+    wide, small = half // step, middle // step
+    rows = _moving(full, "bx", "by", wide, {f"w_{c}": c for c in names})
+    rows = _moving(rows, "bx", "by", small, {f"m_{c}": c for c in names})
+    sums = _moving(rows, "by", "bx", wide, {f"w_{c}": f"w_{c}" for c in names})
+    sums = _moving(sums, "by", "bx", small, {f"m_{c}": f"m_{c}" for c in names})
+    share = lambda c, n: F.coalesce(F.try_divide(F.col(c), F.col(n)), F.lit(0.0))
+    return sums.where(F.col("w_n") >= COVERED * 4 * half * half).select(
+        "image", (F.col("bx") * step).alias("cx"), (F.col("by") * step).alias("cy"), F.col("w_n").alias("n"), *[share(f"w_{k}", "w_n").alias(k) for k in CLASSES],
+        *[share(f"m_{k}", "m_n").alias(f"mid_{k}") for k in CLASSES], share("w_edges", "w_n").alias("edges"),
+    )
+
+
+#: What a window's score is learned from.
+WINDOW_FEATURES = (*CLASSES, *(f"mid_{k}" for k in CLASSES), "edges")

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import courses as C
 from ..operators import graphs as G
-from ..registry import query
-from ..sources.derived import ctes, derived
+from ..registry import ORACLE, query
+from ..sources.derived import TABLES, ctes, derived
+from . import course_plans  # noqa: F401
+from .map_plans import c08
+from .score_plans import p27
+
+_CONTROLS = TABLES["controls"][0].format(lineitem="lineitem")
 
 _STEP = 0.002
 #: Streets between neighbouring crossings of a grid, per area those that some control stands by; ground makes them longer.
@@ -100,3 +105,18 @@ def g06(s, d):
     dv = G.diversity(_found(s, d))
     legs = _legs(s, d).where("next IS NOT NULL").where(geo.haversine(*map(F.col, ("lng", "lat", "mlng", "mlat"))) >= 80).select("area_id", "course_id", F.col("mord").alias("ord"), F.col("node").alias("src"), F.col("next").alias("dst"))
     return legs.join(dv, ["area_id", "src", "dst"]).where("diversity < 0.25").select("course_id", "ord", F.round("diversity", 4).alias("diversity"))
+
+
+_ALL = f"""i AS (SELECT course_id, severity, code FROM ({ORACLE['A14_issues']}) UNION ALL SELECT course_id, 'ERROR', 'C08' FROM ({ORACLE['C08_out_of_bounds']})
+  UNION ALL SELECT course_id, severity, code FROM ({ORACLE['P27_feature_rules']}) UNION ALL SELECT course_id, 'WARNING', 'C11' FROM ({ORACLE['G06_A38_route_choice']}))"""
+
+
+@query("A14_full_report", f"""WITH {_ALL}, g AS (SELECT course_id, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings FROM i GROUP BY course_id)
+  SELECT course_id, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, greatest(0, 100 - 15 * coalesce(errors, 0) - 5 * coalesce(warnings, 0)) AS score, coalesce(errors, 0) = 0 AS compliant, coalesce(errors, 0) = 0 AND coalesce(warnings, 0) <= 2 AS strict
+  FROM (SELECT DISTINCT course_id FROM ({_CONTROLS})) LEFT JOIN g USING (course_id)""")
+def full_report(s, d):
+    """One report for each course from all fourteen rules: legs and the whole course (C00 to C07, C12), forbidden ground (C08), features (C10, C13), route choice (C11)."""
+    ground = c08(s, d).select("course_id", F.lit("ERROR").alias("severity"))
+    choice = g06(s, d).select("course_id", F.lit("WARNING").alias("severity"))
+    out = C.report(derived(s, d, "controls"), ground, p27(s, d), choice)
+    return out.withColumn("strict", F.col("compliant") & (F.col("warnings") <= 2))
