@@ -16,6 +16,8 @@ HIDDEN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{e}(?:\s[^<>]*)?>.*?(?:</{e}>
 BREAK, TAG = r"(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/table)", r"(?s)</?[A-Za-z!?][^>]*(?:>|\z)"
 #: An entity after its `&`: by number, by hexadecimal number, or by a name of HTML 4 (the standard library's table, and apos).
 ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+#: Those that pages are full of go first; one by one only where there are others, but for the ampersand's own. None of them makes a new one.
+OFTEN, OTHER = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")), r"&(?!amp;)(?:#[0-9xX]|[A-Za-z])"
 NAMES = {**{name: chr(at) for name, at in name2codepoint.items()}, "nbsp": " ", "apos": "'"}
 #: Blanks that aren't one space; line ends with blanks about them.
 BLANKS, LINES = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+", r" ?\n[ \n]*"
@@ -33,7 +35,10 @@ def _unescaped(text: Column) -> Column:
         known = F.concat(char, F.substring(piece, F.length(name) + 2, F.length(piece)))
         return F.when(i == 0, piece).otherwise(F.coalesce(known, F.concat(F.lit("&"), piece)))
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), one), "")).otherwise(text)
+    for entity, to in OFTEN:
+        text = F.replace(text, F.lit(entity), F.lit(to))
+    rest = lambda t: F.when(t.rlike(OTHER), F.array_join(F.transform(F.split(t, "&", -1), one), "")).otherwise(F.replace(t, F.lit("&amp;"), F.lit("&")))
+    return F.element_at(F.transform(F.array(text), rest), 1)  # so that the text is made once
 
 
 def html_text(html: Column) -> Column:
