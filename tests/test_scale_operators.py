@@ -242,3 +242,10 @@ def test_window_features(spark):
         grey = {p: sum(c) / 3 for p, c in image.items()}
         edges = sum(any(q in grey and abs(grey[q] - grey[p]) > 20 for q in ((p[0] - 1, p[1]), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1))) for p in inside)
         assert r.edges == pytest.approx(edges / len(inside))
+
+
+def test_users_own_score(spark):
+    parts = spark.createDataFrame([(1, 80.0, 40.0), (2, None, 10.0)], "course_id long, length double, climb double")
+    assert {tuple(r) for r in scores.score(parts, lambda p: p["length"] * 0.5 + p["climb"]).collect()} == {(1, 80.0), (2, 0.0)}
+    every = spark.createDataFrame([(1, *[50.0] * len(scores.FOREST))], "course_id long, " + ", ".join(f"{k} double" for k in scores.FOREST))
+    assert scores.score(every).first().fitness == pytest.approx(50.0 * sum(scores.FOREST.values()))

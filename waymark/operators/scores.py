@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,3 +162,10 @@ def fitness_parts(controls: DataFrame, candidates: DataFrame, target: float, cli
         F.when(n >= 3, 100.0 * F.col("good") / (n - 2)).otherwise(50.0).alias("angle"), F.greatest(F.lit(0.0), 100.0 - F.col("straight") * 15 - F.col("close") * 20).alias("equity"),
         F.greatest(F.lit(0.0), 100.0 - F.abs(n - count) * 10).alias("safety"), "terrain", "monotony", "alternation", F.greatest(F.lit(0.0), 100.0 - F.col("over") * 25).alias("sprint_leg"),
     )
+
+
+def score(parts: DataFrame, fitness: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """(course_id, fitness) from criteria (fitness_parts, or any columns beside course_id): by the forest weights, or as a function of the user's says. It gets the
+    criteria and returns a column expression, which stays in the plan; null counts as 0."""
+    value = weighted(FOREST) if fitness is None else fitness(parts)
+    return parts.select("course_id", F.coalesce(value.cast("double"), F.lit(0.0)).alias("fitness"))
