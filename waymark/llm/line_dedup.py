@@ -1,4 +1,4 @@
-"""Repeated passages of several lines, found by content-defined line chunks. DataFrame functions only."""
+"""Repeated passages of lines, in content-defined line chunks. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -8,15 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import chunk_id, verified_seed
-from .shared import LAST, cut, quoted
+from .shared import LAST, WORD, cut, quoted
 
-#: A chunk ends after a line where the rolling hash of that line and the one before is 0 modulo EVERY, or after MOST.
-EVERY, MOST, MODULUS, BASE = 4, 16, 1 << 31, 31
-
-
-def line_hash(line: Column) -> Column:
-    """31 bits of the line's md5: SQL engines agree on it."""
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long") % MODULUS
+#: A single line of more words than these is a passage by itself.
+WORDS = 50
+#: A letter or digit of any script.
+SIGN = r"[\p{L}\p{N}_]"
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -24,66 +21,79 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def line_chunks(text: Column) -> Column:
-    """Array of (start line, lines, chunk): rolling hashes over line hashes choose the ends, so that lines put in before
-    a passage move its boundaries with it. Null text has no chunk."""
-    ends = lambda lines, hashed: F.filter(
-        F.sequence(F.lit(1), F.size(lines)),
-        lambda i: (i == F.size(lines))
-        | ((F.element_at(hashed, i) * BASE + F.when(i > 1, F.element_at(hashed, F.greatest(i - 1, F.lit(1)))).otherwise(0)) % EVERY == 0),
-    )
-    runs = lambda e: F.zip_with(F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)), e, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pieces = lambda e: F.flatten(F.transform(runs(e), lambda r: F.transform(
-        F.sequence(r["a"] + 1, r["b"], F.lit(MOST)),
-        lambda s: F.struct(s.alias("start"), F.least(F.lit(MOST), r["b"] - s + 1).alias("lines")),
-    )))
-    cut_out = lambda lines, p: F.struct(p["start"].alias("start"), p["lines"].alias("lines"), F.array_join(F.slice(lines, p["start"], p["lines"]), "\n").alias("chunk"))
-    chunks = let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, line_hash), lambda hashed: let(ends(lines, hashed), lambda e: F.transform(pieces(e), lambda p: cut_out(lines, p)))))
-    return F.when(text.isNotNull(), chunks)
-
-
-def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, text without repeated chunks, n_lines, n_chunks, removed_chunks, removed_lines.
-
-    A chunk of two or more lines with any letter or digit, of any script, that occurs more than once anywhere stays only
-    where it occurs first (smallest key, a null key being the last; of rows that share a key, one text is the first by a hash; then first in its text). Rows
-    that repeat key and text are one occurrence. Single lines stay. Chunks are compared as bytes: identifiers stand for one text only (verified_seed).
-    Null text stays null, with counts 0; empty text has one empty line. Counts are taken before rows move; the join of
-    occurrences with repeated chunks can be split where one chunk is frequent, and only decisions meet the texts."""
+def line_units(text: Column) -> Column:
+    """A text's lines, each with the lines after it that hold no letter or digit; joined by line ends they are the text."""
+    return F.split(text, rf"\n(?=[^\n]*{SIGN})", -1)
+
+
+def first_line(unit: Column) -> Column:
+    return F.substring_index(unit, "\n", 1)
+
+
+def windows(text: Column, seed: int, words: int) -> Column:
+    """Array of (at, w, a, b): rolling hashes over the line hashes of a text, for each two lines that stand side by side (w 2), and
+    for each line of more than `words` words (w 1)."""
+    line = lambda u: F.struct(
+        chunk_id(first_line(u), seed).alias("id"), u.rlike(SIGN).alias("worded"),
+        ((F.length(first_line(u)) > 2 * words) & (F.regexp_count(first_line(u), F.lit(WORD)) > words)).alias("long"),
+    )
+    mark = lambda i, w, a, b: F.struct((i + 1).alias("at"), F.lit(w).alias("w"), a["id"].alias("a"), b["id"].alias("b"))
+    both = lambda us: F.transform(us, lambda x, i: F.array(
+        F.when(x["worded"] & F.get(us, i + 1).isNotNull(), mark(i, 2, x, F.get(us, i + 1))), F.when(x["long"], mark(i, 1, x, x))
+    ))
+    return let(F.transform(line_units(text), line), lambda us: F.filter(F.flatten(both(us)), lambda m: m.isNotNull()))
+
+
+def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """Per row: key, text without its repeated chunks, n_lines, n_chunks, removed_chunks, removed_lines.
+
+    A text's chunks are its longest stretches of lines that are repeated, or that aren't: the rolling hash of two lines side by
+    side chooses the boundaries, by whether it stood anywhere before, so that lines put in before a passage move its
+    boundaries with it, and passages of two lines are found as well as long ones. A line goes where it and the line before or after it have stood
+    together before, or where it has more than `words` words and has stood before; other single lines stay. Lines without a letter
+    or digit, of any script, belong to the line before them and go with it; they count for nothing else.
+
+    Before is: with a smaller key, a null key being the last; of rows that share a key, with the smaller hash of the text; then earlier in
+    the text. So each line stays where it occurs first. Rows that repeat key and text are one occurrence. Lines are compared as
+    bytes: identifiers stand for one line only (verified_seed), and a pair of lines is its two identifiers.
+    Null text stays null, with counts 0; empty text has one empty line. Windows meet once per task before they move; the join of
+    windows with repeated ones can be split where one is frequent, and only decisions meet the texts."""
     docs = df.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"), F.xxhash64(F.col(quoted(text))).alias("th"))
-    parts = docs.select("doc_id", "th", F.posexplode(line_chunks(F.col("text"))).alias("at", "c"))
-    several = parts.where((F.col("c.lines") >= 2) & F.col("c.chunk").rlike(r"[\p{L}\p{N}_]")).select("doc_id", "th", "at", F.col("c.chunk").alias("chunk"))
-    seed = verified_seed(several.select("chunk"))
-    marks = cut(several.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("doc_id").isNull().alias("none"), "th", "at", chunk_id(F.col("chunk"), seed).alias("id")).select("d", "none", "th", "at", "id.*"))
-    once = marks.groupBy("h1", "h2", "d", "none", "th").agg(F.count_distinct("at").alias("n"), F.min("at").alias("at"))
-    found = cut(once.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("none", "d", "th", "at")).alias("first")).where("n > 1"))
-    gone = marks.join(found.select("h1", "h2", "first"), ["h1", "h2"]).where(F.struct("none", "d", "th", "at") != F.col("first"))
-    gone = gone.groupBy("d", "none", F.col("th").alias("g_th")).agg(F.collect_set("at").alias("gone"))
+    seed = verified_seed(docs.select(F.explode(F.transform(line_units(F.col("text")), first_line)).alias("chunk")))
+    who = [F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("doc_id").isNull().alias("none"), "th"]
+    marks = cut(docs.select(*who, F.explode(windows(F.col("text"), seed, words)).alias("m")).select("d", "none", "th", "m.at", "m.w", *[F.col(f"m.{x}.{h}").alias(f"{x}{h}") for x in "ab" for h in ("h1", "h2")]))
+    same = ["w", "ah1", "ah2", "bh1", "bh2"]
+    place = F.struct("none", "d", "th", "at")
+    found = cut(marks.groupBy(*same).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
+    gone = marks.join(found, same).where(place != F.col("first"))
+    gone = gone.groupBy("d", "none", F.col("th").alias("g_th")).agg(F.collect_set(F.struct("at", "w")).alias("gone"))
     at = docs.join(gone, (F.coalesce("doc_id", F.lit(LAST)) == F.col("d")) & (F.col("doc_id").isNull() == F.col("none")) & (F.col("th") == F.col("g_th")), "left")
-    at = at.select("doc_id", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    at = at.withColumn("chunks", F.when(F.col("text").isNotNull(), line_chunks(F.col("text"))))
-    stay = F.array_except(F.sequence(F.lit(1), F.greatest(F.size("chunks"), F.lit(1))), F.transform("gone", lambda i: i + 1))  # by a set, not chunk by chunk
-    kept = F.when(F.size("chunks") > 0, F.transform(stay, lambda i: F.element_at("chunks", i)))
-    lost = F.aggregate("gone", F.lit(0), lambda acc, i: acc + F.element_at("chunks", i + 1)["lines"])
-    lines = F.aggregate("chunks", F.lit(0), lambda acc, c: acc + c["lines"])
+    lost = F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["at"], g["at"] + g["w"] - 1))))
+    at = at.select("doc_id", "text", F.coalesce(lost, F.array().cast("array<int>")).alias("gone"), line_units(F.col("text")).alias("units"))
+    stay = F.when(F.size("units") > 0, F.array_except(F.sequence(F.lit(1), F.greatest(F.size("units"), F.lit(1))), "gone"))  # by a set, not one by one
+    at = at.withColumn("stay", stay)
+    stretches = lambda c: F.coalesce(F.size(F.array_except(c, F.transform(c, lambda i: i + 1))), F.lit(0)).cast("long")
+    lines = lambda c: F.coalesce(F.length(F.regexp_replace(c, r"[^\n]", "")) + 1, F.lit(0)).cast("long")
+    pick = lambda c: F.array_join(F.transform(c, lambda i: F.element_at("units", i)), "\n")
     return at.select(
-        F.col("doc_id").alias(key), F.array_join(F.transform(kept, lambda c: c["chunk"]), "\n").alias("text"),
-        F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("n_chunks"),
-        F.size("gone").cast("long").alias("removed_chunks"), F.coalesce(lost, F.lit(0)).cast("long").alias("removed_lines"),
+        F.col("doc_id").alias(key), pick(F.col("stay")).alias("text"), lines(F.col("text")).alias("n_lines"),
+        F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(stretches(F.col("stay")) + stretches(F.col("gone"))).alias("n_chunks"),
+        stretches(F.col("gone")).alias("removed_chunks"), F.when(F.size("gone") > 0, lines(pick(F.col("gone")))).otherwise(F.lit(0).cast("long")).alias("removed_lines"),
     )
 
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-h AS (SELECT doc_id, i, l[i] AS line, len(l) AS n, CAST('0x' || substr(md5(l[i]), 1, 8) AS BIGINT) % {MODULUS} AS h
-      FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
-e AS (SELECT *, (h * {BASE} + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {EVERY} = 0 OR i = n AS ends FROM h),
-r AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e),
-p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1) // {MOST} AS part FROM r),
-c AS (SELECT doc_id, min(i) AS start, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM p GROUP BY doc_id, run, part),
-m AS (SELECT *, lines >= 2 AND regexp_matches(chunk, '[\\p{{L}}\\p{{N}}_]') AS several FROM c),
-k AS (SELECT *, several AND row_number() OVER (PARTITION BY several, chunk ORDER BY doc_id, start) > 1 AS gone FROM m),
-o AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY start) FILTER (NOT gone), '') AS text, sum(lines) AS n_lines, count(*) AS n_chunks,
-      count(*) FILTER (gone) AS removed_chunks, coalesce(sum(lines) FILTER (gone), 0) AS removed_lines FROM k GROUP BY doc_id)
+h AS (SELECT doc_id, i, l[i] AS line, regexp_matches(l[i], '{SIGN}') AS worded FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+n AS (SELECT *, sum(CAST(worded OR i = 1 AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM h),
+s AS (SELECT doc_id, u, arg_min(line, i) AS line, bool_or(worded) AS worded, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, u),
+m AS (SELECT doc_id, u, 2 AS w, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY u) AS b, worded FROM s UNION ALL
+      SELECT doc_id, u, 1, line, line, true FROM s WHERE len(regexp_extract_all(line, '{WORD}')) > {WORDS}),
+k AS (SELECT doc_id, u, w, row_number() OVER (PARTITION BY w, a, b ORDER BY doc_id, u) > 1 AS gone FROM m WHERE worded AND b IS NOT NULL),
+g AS (SELECT doc_id, u FROM k WHERE gone UNION SELECT doc_id, u + 1 FROM k WHERE gone AND w = 2),
+x AS (SELECT s.*, g.u IS NOT NULL AS gone FROM s LEFT JOIN g USING (doc_id, u)),
+c AS (SELECT *, gone IS DISTINCT FROM lag(gone) OVER (PARTITION BY doc_id ORDER BY u) AS starts FROM x),
+o AS (SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY u) FILTER (NOT gone), '') AS text, sum(lines) AS n_lines, count(*) FILTER (starts) AS n_chunks,
+      count(*) FILTER (starts AND gone) AS removed_chunks, sum(lines) FILTER (gone) AS removed_lines FROM c GROUP BY doc_id)
 SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN o.text END AS text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, coalesce(n_chunks, 0) AS n_chunks,
   coalesce(removed_chunks, 0) AS removed_chunks, CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines FROM d LEFT JOIN o USING (doc_id)"""
