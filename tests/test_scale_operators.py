@@ -2,13 +2,14 @@
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from waymark.operators import pixels, retrieval, scores, spatial, tracks
+from waymark.operators import graphs, pixels, retrieval, scores, spatial, tracks
 from waymark.operators.text import top_matches
 from waymark.streaming import ingest
 
@@ -249,3 +250,41 @@ def test_users_own_score(spark):
     assert {tuple(r) for r in scores.score(parts, lambda p: p["length"] * 0.5 + p["climb"]).collect()} == {(1, 80.0), (2, 0.0)}
     every = spark.createDataFrame([(1, *[50.0] * len(scores.FOREST))], "course_id long, " + ", ".join(f"{k} double" for k in scores.FOREST))
     assert scores.score(every).first().fitness == pytest.approx(50.0 * sum(scores.FOREST.values()))
+
+
+def _simple(ways, src, dst):
+    """All ways without a node twice, by depth first."""
+    found, stack = [], [(0, (src,))]
+    while stack:
+        units, path = stack.pop()
+        if path[-1] == dst:
+            found.append((units, path))
+            continue
+        stack += [(units + w, (*path, y)) for y, w in ways.get(path[-1], {}).items() if y not in path]
+    return sorted(found)
+
+
+def test_k_shortest_are_all(spark):
+    """The k shortest simple routes of legs in random graphs, with ties, parts that hang apart and edges of no use, are those of an unbounded search."""
+    rng = random.Random(3)
+    edges, want, legs = [(0, 90, 91, 1.0), (0, 1, 1, 1.0), (0, 3, 90, None)], {}, [(0, 1, 90), (0, 2, 2), (0, 1, 77), (0, None, 1)]
+    for area in range(12):
+        size, ways = rng.randint(4, 7), {}
+        for a in range(size):
+            for b in range(a + 1, size):
+                if rng.random() < 0.6:
+                    m = rng.choice([1.0, 1.0, 2.0, 2.5, 7.0, 40.0])
+                    edges += [(area, a, b, m), (area, b, a, m + rng.random())]
+                    ways.setdefault(a, {})[b] = ways.setdefault(b, {})[a] = m
+        for a, b in {(rng.randrange(size), rng.randrange(size)) for _ in range(4)} - {(x, x) for x in range(size)}:
+            legs += [(area, a, b)] * 2
+            want.update({(area, a, b, i + 1): (m, list(p)) for i, (m, p) in enumerate(_simple(ways, a, b)[:5])})
+    found = graphs.k_shortest(spark.createDataFrame(edges, "area_id long, src long, dst long, weight double"), spark.createDataFrame(legs, "area_id long, src long, dst long"), 5).collect()
+    assert len(found) == len(want) and {(r.area_id, r.src, r.dst, r.place): (r.metres, r.path) for r in found} == want
+
+
+def test_k_shortest_of_nothing(spark):
+    edges = spark.createDataFrame([(1, 1, 2, 0.0)], "area_id long, src long, dst long, weight double")
+    legs = spark.createDataFrame([(1, 1, 2)], "area_id long, src long, dst long")
+    assert [tuple(r) for r in graphs.k_shortest(edges, legs).collect()] == [(1, 1, 2, 1, 1e-6, [1, 2])]
+    assert graphs.k_shortest(edges.limit(0), legs).count() == 0 == graphs.k_shortest(edges, legs.limit(0)).count()

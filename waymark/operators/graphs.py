@@ -151,6 +151,76 @@ def k_routes(edges: DataFrame, legs: DataFrame, k: int = 3, stretch: float = 1.3
     return done.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("area_id", "src", "dst", "place", "metres", "path")
 
 
+#: A route's metres are added up in whole micrometres, so that equal routes are equal whatever the order of their edges.
+MICRO = 1e6
+
+
+def k_shortest(edges: DataFrame, legs: DataFrame, k: int = 3, rounds: int = 1000) -> DataFrame:
+    """(area_id, src, dst, place, metres, path): the k shortest routes without a node twice of each distinct leg, however long and of however many edges
+    (ties: the path in order); fewer where there are fewer, no row where a leg can't be run or both ends are one node.
+
+    By spurs, for all legs at once: each route taken is left at each of its nodes, from where it left its own parent on, by a shortest way to the
+    end that uses no node before and no edge by which a taken route with the same start goes on; the least of all found
+    so far is the next. What a search still has to go is bounded by landmarks, and the whole by the candidates that the leg has already.
+    Edges without a weight don't count, one of no length counts as a micrometre. A leg has at most k routes and its routes' spurs; a search without an end
+    passes the nodes of its area once."""
+    whole = edges.where("weight IS NOT NULL").withColumn("weight", F.greatest(F.round(F.col("weight") * MICRO), F.lit(1.0)))
+    ways = cut(both_ways(whole))
+    marks = landmarks(ways)
+    e = cut(ways.select("area_id", F.col("src").alias("x"), F.col("dst").alias("y"), "weight").join(marks.select("area_id", F.col("node").alias("y"), "far"), ["area_id", "y"]))
+    pairs = legs.select(*LEG).distinct().where("src <> dst")
+    pairs = pairs.join(marks.select("area_id", F.col("node").alias("src"), F.col("far").alias("f")), ["area_id", "src"]).join(marks.select("area_id", F.col("node").alias("dst"), F.col("far").alias("goal")), ["area_id", "dst"])
+    pairs = cut(pairs.where(~F.exists(F.zip_with("f", "goal", lambda a, b: a.isNull() != b.isNull()), lambda x: x)).select(*LEG, "goal", F.array_min(F.zip_with("f", "goal", lambda a, b: a + b)).alias("over")))
+    nowhere = F.lit(float("inf"))
+    start = pairs.select(*LEG, F.lit(0).alias("spur"), F.lit(0.0).alias("units"), F.array("src").alias("path"), F.array(F.lit(0.0)).alias("along"), F.array("src").alias("shut"), F.coalesce("over", nowhere).alias("most"), "goal")
+    open_ = _ends(start, e, rounds)
+    taken = open_.where("false").withColumn("place", F.lit(0))
+    best = Window.partitionBy(*LEG).orderBy("units", "path")
+    for place in range(1, k + 1):
+        ranked = cut(open_.withColumn("n", F.row_number().over(best)))
+        new = ranked.where("n = 1").drop("n").withColumn("place", F.lit(place))
+        open_, taken = ranked.where("n > 1").drop("n"), taken.unionByName(new)
+        if place == k or new.isEmpty():
+            break
+        # the candidate that would be the last to be taken bounds what is worth finding
+        most = ranked.where(F.col("n") == k - place + 1).select(*LEG, F.col("units").alias("most"))
+        spurs = new.select(*LEG, "path", "along", F.explode(F.sequence("spur", F.size("path") - 2)).alias("spur"))
+        spurs = spurs.select(*LEG, "spur", F.element_at("along", F.col("spur") + 1).alias("units"), F.slice("path", F.lit(1), F.col("spur") + 1).alias("path"), F.slice("along", F.lit(1), F.col("spur") + 1).alias("along"))
+        others = taken.groupBy(*LEG).agg(F.collect_list("path").alias("others"))  # k at most
+        with_start = lambda: F.filter("others", lambda o: F.slice(o, F.lit(1), F.col("spur") + 1) == F.col("path"))
+        shut = F.transform(with_start(), lambda o: F.get(o, F.col("spur") + 1))
+        spurs = spurs.join(others, LEG).withColumn("shut", shut).drop("others").join(most, LEG, "left").withColumn("most", F.coalesce("most", nowhere)).join(pairs.drop("over"), LEG)
+        open_ = cut(open_.unionByName(_ends(spurs, e, rounds)))
+    return taken.select(*LEG, "place", (F.col("units") / MICRO).alias("metres"), "path")
+
+
+def _ends(front: DataFrame, e: DataFrame, rounds: int) -> DataFrame:
+    """The shortest way on to the end of each search (a leg and its spur): (area_id, src, dst, spur, units, path, along), along being the units at each node of the path."""
+    key = [*LEG, "spur", "node"]
+    front = cut(front.withColumn("node", F.element_at("path", -1)))
+    known = front.select(*key, "units", "path", "along")
+    units = F.col("units") + F.col("weight")
+    first = F.size("path") == F.col("spur") + 1
+    w = Window.partitionBy(*LEG, "spur")
+    for n in range(rounds):
+        step = front.where("node <> dst").withColumnRenamed("node", "x").join(e, ["area_id", "x"])
+        step = step.where(~F.array_contains("path", F.col("y")) & ~(first & F.array_contains("shut", F.col("y"))) & (units + at_least(F.col("far"), F.col("goal")) <= F.col("most")))
+        label = F.struct(units.alias("units"), F.array_append("path", F.col("y")).alias("path"), F.array_append("along", units).alias("along"))
+        step = step.groupBy(*LEG, "spur", F.col("y").alias("node")).agg(F.min(label).alias("l"), F.first("shut").alias("shut"), F.min("most").alias("most"), F.first("goal").alias("goal"))
+        step = step.select(*key, "l.units", "l.path", "l.along", "shut", "most", "goal")
+        step = step.withColumn("most", F.least("most", F.coalesce(F.min(F.when(F.col("node") == F.col("dst"), F.col("units"))).over(w), F.col("most"))))
+        before = known.select(*[F.col(c).alias(f"k_{c}") for c in (*key, "units", "path")])
+        no_better = F.struct("k_units", "k_path") <= F.struct("units", "path")
+        front = cut(step.join(before, [*[F.col(c) == F.col(f"k_{c}") for c in key], no_better], "left_anti"))
+        if front.isEmpty():
+            out = known.where("node = dst").groupBy(*LEG, "spur").agg(F.min(F.struct("units", "path", "along")).alias("l"))
+            return cut(out.select(*LEG, "spur", "l.*"))
+        known = known.unionByName(front.select(*key, "units", "path", "along"))
+        if n % LEVELS == LEVELS - 1:
+            known = cut(known.groupBy(*key).agg(F.min(F.struct("units", "path", "along")).alias("l")).select(*key, "l.*"))
+    raise RuntimeError("ways did not settle")
+
+
 def diversity(found: DataFrame) -> DataFrame:
     """(area_id, src, dst, diversity): the mean over pairs of a leg's routes of 1 less the share of edges they have in common; 0 with
     one route."""

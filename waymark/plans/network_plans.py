@@ -95,6 +95,13 @@ def g03(s, d):
     return _found(s, d).select("area_id", "src", "dst", "place", F.round("metres", 2).alias("metres"), F.array_join("path", "-").alias("path"))
 
 
+@query("G03_all_routes")
+def g03_all(s, d):
+    """The three shortest routes of each leg, however far they go round. SQL would have to list all ways; tests hold the operator against that on small graphs."""
+    legs = _legs(s, d).where("next IS NOT NULL").select("area_id", F.col("node").alias("src"), F.col("next").alias("dst"))
+    return G.k_shortest(_streets(s, d), legs, 3).select("area_id", "src", "dst", "place", F.round("metres", 2).alias("metres"), F.array_join("path", "-").alias("path"))
+
+
 @query("G06_A38_route_choice", _SQL + _WAYS + _PATHS + f""", es AS (SELECT area_id, src, dst, place, list_transform(range(1, len(path)), lambda i: least(path[i], path[i + 1]) * 10000000000 + greatest(path[i], path[i + 1])) AS es FROM kr),
   dv AS (SELECT a.area_id, a.src, a.dst, avg(1 - len(list_intersect(a.es, b.es)) / len(list_distinct(list_concat(a.es, b.es)))) AS dv FROM es a JOIN es b ON a.area_id = b.area_id AND a.src = b.src AND a.dst = b.dst AND a.place < b.place GROUP BY ALL),
   al AS (SELECT DISTINCT area_id, src, dst FROM kr)
