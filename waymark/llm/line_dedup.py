@@ -69,16 +69,18 @@ def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     gone = gone.groupBy("d", "none", F.col("th").alias("g_th")).agg(F.collect_set(F.struct("at", "w")).alias("gone"))
     at = docs.join(gone, (F.coalesce("doc_id", F.lit(LAST)) == F.col("d")) & (F.col("doc_id").isNull() == F.col("none")) & (F.col("th") == F.col("g_th")), "left")
     lost = F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["at"], g["at"] + g["w"] - 1))))
-    at = at.select("doc_id", "text", F.coalesce(lost, F.array().cast("array<int>")).alias("gone"), line_units(F.col("text")).alias("units"))
-    stay = F.when(F.size("units") > 0, F.array_except(F.sequence(F.lit(1), F.greatest(F.size("units"), F.lit(1))), "gone"))  # by a set, not one by one
-    at = at.withColumn("stay", stay)
-    stretches = lambda c: F.coalesce(F.size(F.array_except(c, F.transform(c, lambda i: i + 1))), F.lit(0)).cast("long")
-    lines = lambda c: F.coalesce(F.length(F.regexp_replace(c, r"[^\n]", "")) + 1, F.lit(0)).cast("long")
+    at = at.select("doc_id", "text", F.coalesce(lost, F.array().cast("array<int>")).alias("gone"))
+    touched = F.size("gone") > 0
+    at = at.withColumn("units", F.when(touched, line_units(F.col("text"))))
+    at = at.withColumn("stay", F.when(touched, F.array_except(F.sequence(F.lit(1), F.greatest(F.size("units"), F.lit(1))), "gone")))  # by a set, not one by one
+    stretches = lambda c: F.size(F.array_except(c, F.transform(c, lambda i: i + 1))).cast("long")
+    lines = lambda c: (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("long")
     pick = lambda c: F.array_join(F.transform(c, lambda i: F.element_at("units", i)), "\n")
+    none = F.lit(0).cast("long")
     return at.select(
-        F.col("doc_id").alias(key), pick(F.col("stay")).alias("text"), lines(F.col("text")).alias("n_lines"),
-        F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(stretches(F.col("stay")) + stretches(F.col("gone"))).alias("n_chunks"),
-        stretches(F.col("gone")).alias("removed_chunks"), F.when(F.size("gone") > 0, lines(pick(F.col("gone")))).otherwise(F.lit(0).cast("long")).alias("removed_lines"),
+        F.col("doc_id").alias(key), F.when(touched, pick(F.col("stay"))).otherwise(F.col("text")).alias("text"), F.coalesce(lines(F.col("text")), none).alias("n_lines"),
+        F.when(touched, stretches(F.col("stay")) + stretches(F.col("gone"))).otherwise(F.col("text").isNotNull().cast("long")).alias("n_chunks"),
+        stretches(F.col("gone")).alias("removed_chunks"), F.when(touched, lines(pick(F.col("gone")))).otherwise(none).alias("removed_lines"),
     )
 
 
