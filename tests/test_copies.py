@@ -25,6 +25,30 @@ def copies(tmp_path_factory):
     return out
 
 
+@pytest.mark.parametrize("name", ["J05_nearest_candidate"])
+def test_copies_meet_once(spark, agree, copies, monkeypatch, name):
+    met = []
+
+    def spy(holder, attribute, sides):
+        real = getattr(holder, attribute)
+
+        def wrapped(*a, **kw):
+            met[-1] += [d.count() for d in a[:sides]]
+            return real(*a, **kw)
+
+        monkeypatch.setattr(holder, attribute, wrapped)
+
+    spy(spatial, "radius_pairs", 2)
+    spy(spatial, "inside", 2)
+    if name.startswith("J22"):
+        spy(ground_plans, "cut", 1)
+    for k in (1, 3):
+        met.append([])
+        df = QUERIES[name](spark, copies[k])
+        agree(df, ORACLE[name], {t: f"{copies[k]}/{t}.parquet" for t in KEYS})
+    assert met[0] == met[1] and met[0]
+
+
 def test_negatives_of_short_and_long_courses(spark, agree, copies, tmp_path, monkeypatch):
     """A short course's tries are in no join; a long course's are."""
     met = []
