@@ -25,7 +25,7 @@ def copies(tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["J05_nearest_candidate"])
+@pytest.mark.parametrize("name", ["J05_nearest_candidate", "J24_nearest_vertex"])
 def test_copies_meet_once(spark, agree, copies, monkeypatch, name):
     met = []
 
