@@ -25,6 +25,11 @@ def looked_up(table: dict, key: Column, otherwise) -> Column:
     return first([(key == k, v) for k, v in table.items()], otherwise)
 
 
+def spots(candidates: DataFrame, *more: Column) -> DataFrame:
+    """One row a place (lng, lat) of candidates: `one`, its first (cand_id, ftype), and more aggregates; copies of a place are compared once."""
+    return candidates.groupBy("lng", "lat").agg(F.min(F.struct("cand_id", "ftype")).alias("one"), *more)
+
+
 def surroundings(places: DataFrame, candidates: DataFrame, radius: float = 75.0, paths: tuple = ("path",)) -> DataFrame:
     """Per distinct place (lng, lat): density (candidates within the radius), feature_type and attractiveness of the nearest (ties:
     smallest cand_id), path_metres to the nearest path within the radius. Places with nothing near have 0, unknown, 0.3, null."""

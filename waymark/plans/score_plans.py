@@ -249,7 +249,7 @@ _DESCRIBED = f"""{_PLACES}, m3 AS (SELECT pl.lng, pl.lat, min((round({geo.hav_sq
 def _described(s, d):
     """Per place the type of the nearest candidate within 25 m and the text that describes it."""
     here = _c(s, d).select("lng", "lat").distinct()
-    near = S.radius_pairs(here, _k(s, d).select("cand_id", "ftype", "lng", "lat"), 25).groupBy("lng", "lat").agg(F.min(F.struct(F.round("metres", 3), "cand_id", "ftype")).alias("z")).select("lng", "lat", F.col("z.ftype").alias("kind"))
+    near = S.radius_pairs(here, R.spots(_k(s, d)), 25).groupBy("lng", "lat").agg(F.min(F.struct(F.round("metres", 3), "one.cand_id", "one.ftype")).alias("z")).select("lng", "lat", F.col("z.ftype").alias("kind"))
     text = F.when(F.col("kind").isNull(), "Position libre").otherwise(R.looked_up(NAMES, F.col("kind"), F.concat(F.lit("ISOM "), F.col("kind"))))
     return here.join(near, ["lng", "lat"], "left").select("lng", "lat", F.coalesce("kind", F.lit("open_area")).alias("ftype"), text.alias("description"))
 
@@ -299,7 +299,7 @@ def y01(s, d):
     pick = found.groupBy("course_id", "ord").agg(F.min(F.struct(rank.alias("r"), "code")).alias("z")).select("course_id", "ord", F.col("z.code").alias("code"))
     w = C.by_order()
     ends = _c(s, d).withColumns({"px": F.lag("lng").over(w), "py": F.lag("lat").over(w), "nx": F.lead("lng").over(w), "ny": F.lead("lat").over(w)})
-    at = cut(ends.join(pick, ["course_id", "ord"]))
+    at = cut(ends.drop("ele").join(pick, ["course_id", "ord"]))
     across = geo.bearing(*map(F.col, ("px", "py", "nx", "ny")))
 
     def side(turn: int):
@@ -309,12 +309,24 @@ def y01(s, d):
 
     moved = at.where("code = 'C01' AND px IS NOT NULL AND nx IS NOT NULL").select("course_id", "ord", "code", F.coalesce(side(90), side(270)).alias("p")).where("p IS NOT NULL")
     inside = _k(s, d).where(F.col("lng").between(INSIDE[0], INSIDE[2]) & F.col("lat").between(INSIDE[1], INSIDE[3])).withColumn("good", F.col("ftype").isin(*GOOD)).drop("ftype")
-    opts = S.radius_pairs(at.where("code IN ('C02', 'C10')").select("course_id", "ord", "code", "lng", "lat"), inside, REACH).where("code = 'C02' OR good").withColumn("metres", F.round("metres", 3))
-    opts = cut(opts.select("course_id", "ord", "code", "metres", "cand_id", F.col("__x").alias("x"), F.col("__y").alias("y")))
-    rest = _c(s, d).select(F.col("course_id").alias("other"), F.col("ord").alias("o"), "lng", "lat")
-    least = F.when(F.col("code") == "C02", 35).otherwise(20)
-    close = S.radius_pairs(opts.select("course_id", "ord", "code", "cand_id", F.col("x").alias("lng"), F.col("y").alias("lat")), rest, 35, key=("course_id", "other"))
-    near = close.where((F.col("o") != F.col("ord")) & (F.col("metres") < least)).select("course_id", "ord", "cand_id").distinct()
-    best = opts.join(near, ["course_id", "ord", "cand_id"], "left_anti").groupBy("course_id", "ord", "code").agg(F.min(F.struct("metres", "cand_id", "x", "y")).alias("p"))
+    fixes = at.where("code IN ('C02', 'C10')").select("course_id", "ord", "code", "lng", "lat")
+    # places meet once each: the options of a place, ranked, and how many of a course's controls are near a candidate's place
+    spots = cut(inside.groupBy("lng", "lat").agg(F.min("cand_id").alias("any"), F.min(F.when(F.col("good"), F.col("cand_id"))).alias("fit")))
+    kinds = F.array(F.struct(F.lit("C02").alias("code"), F.col("any").alias("cand_id"), F.lit(35).alias("least")), F.struct(F.lit("C10").alias("code"), F.col("fit").alias("cand_id"), F.lit(20).alias("least")))
+    reach = S.radius_pairs(fixes.select("lng", "lat").distinct(), spots, REACH).withColumn("k", F.explode(kinds)).select("lng", "lat", "k.*", "metres", F.col("__x").alias("x"), F.col("__y").alias("y")).where("cand_id IS NOT NULL")
+    reach = reach.withColumns({"own": (F.col("metres") < F.col("least")).cast("int"), "metres": F.round("metres", 3)})
+    opts = cut(reach.withColumn("rank", F.row_number().over(Window.partitionBy("lng", "lat", "code").orderBy("metres", "cand_id", "x", "y"))))
+    near = S.radius_pairs(_c(s, d).select("lng", "lat").distinct(), spots.select("lng", "lat"), 35).select("lng", "lat", F.col("__x").alias("x"), F.col("__y").alias("y"), "metres")
+    taken = _c(s, d).select("course_id", "lng", "lat").join(near, ["lng", "lat"]).groupBy("course_id", "x", "y").agg(F.count_if(F.col("metres") < 35).alias("n35"), F.count_if(F.col("metres") < 20).alias("n20"))
+    taken = cut(taken)
+    count = F.coalesce(F.when(F.col("code") == "C02", F.col("n35")).otherwise(F.col("n20")), F.lit(0))
+    rest, found = fixes, []
+    for lo, hi in ((1, 1), (2, 4), (5, None)):  # most fixes end with their nearest option; the last step takes all that are left
+        some = opts.where(F.col("rank") >= lo if hi is None else F.col("rank").between(lo, hi)).drop("least")
+        free = rest.join(some, ["lng", "lat", "code"]).join(taken, ["course_id", "x", "y"], "left").where(count <= F.col("own"))
+        found.append(cut(free.groupBy("course_id", "ord", "code").agg(F.min(F.struct("metres", "cand_id", "x", "y")).alias("p"))))
+        if hi is not None:
+            rest = cut(rest.join(found[-1], ["course_id", "ord"], "left_anti"))
+    best = found[0].unionByName(found[1]).unionByName(found[2])
     r = [F.round("p.x", 7).alias("lng"), F.round("p.y", 7).alias("lat")]
     return moved.select("course_id", "ord", "code", *r).unionByName(best.select("course_id", "ord", "code", *r))
