@@ -25,7 +25,7 @@ def copies(tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["J05_nearest_candidate", "J06_radius_count", "J24_nearest_vertex", "Y01_J30_corrections"])
+@pytest.mark.parametrize("name", ["J05_nearest_candidate", "J06_radius_count", "J24_nearest_vertex", "P13_J08_colours", "Y01_J30_corrections"])
 def test_copies_meet_once(spark, agree, copies, monkeypatch, name):
     met = []
 
