@@ -62,3 +62,11 @@ def test_negatives_of_short_and_long_courses(spark, agree, copies, tmp_path, mon
     long_.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     agree(QUERIES["J31_negative_samples"](spark, str(tmp_path)), ORACLE["J31_negative_samples"], {"lineitem": f"{tmp_path}/lineitem.parquet/*.parquet"})
     assert met[-1] == 8 * 150
+
+
+def test_rounds_like_the_sql(spark):
+    """Values next to the middle of two results are rounded as in DuckDB."""
+    values = [k / 10000 for k in range(-20005, 20005, 10)] + [k * 0.0075 + 61.3 for k in range(200)]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "x double").select(scores.half_away(F.col("x"), 3).alias("v")).collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("SELECT round(?::DOUBLE, 3)", [v]).fetchone()[0] for v in values]

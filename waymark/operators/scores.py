@@ -34,9 +34,10 @@ def surroundings(places: DataFrame, candidates: DataFrame, radius: float = 75.0,
     """Per distinct place (lng, lat): density (candidates within the radius), feature_type and attractiveness of the nearest (ties:
     smallest cand_id), path_metres to the nearest path within the radius. Places with nothing near have 0, unknown, 0.3, null."""
     here = places.select("lng", "lat").distinct()
-    near = spatial.radius_pairs(here, candidates.select("cand_id", "ftype", "lng", "lat"), radius).withColumn("metres", F.round("metres", 3))
+    path = F.coalesce(F.max(F.col("ftype").isin(*paths)), F.lit(False))
+    near = spatial.radius_pairs(here, spots(candidates, F.count("*").alias("k"), path.alias("path")), radius).withColumn("metres", F.round("metres", 3))
     found = near.groupBy("lng", "lat").agg(
-        F.count("*").alias("density"), F.min(F.struct("metres", "cand_id", "ftype")).alias("z"), F.min(F.when(F.col("ftype").isin(*paths), F.col("metres"))).alias("path_metres"),
+        F.sum("k").alias("density"), F.min(F.struct("metres", "one.cand_id", "one.ftype")).alias("z"), F.min(F.when(F.col("path"), F.col("metres"))).alias("path_metres"),
     )
     kind = F.col("z.ftype")
     return here.join(found, ["lng", "lat"], "left").select(
@@ -75,18 +76,21 @@ def heat_lookup(places: DataFrame, heat: DataFrame, box: tuple[float, float, flo
     whole = lambda g: F.when(g < 0, F.ceil(g)).otherwise(F.floor(g))
     clamp = lambda g, n: F.greatest(F.lit(0), F.least(whole(g), F.lit(n - 1)))
     corner = lambda right, down: F.struct(
-        F.least(clamp(gx, width) + right, F.lit(width - 1)).cast("long").alias("gx"), F.least(clamp(gy, height) + down, F.lit(height - 1)).cast("long").alias("gy"),
-        ((gx - whole(gx) if right else 1 - (gx - whole(gx))) * (gy - whole(gy) if down else 1 - (gy - whole(gy)))).alias("w"),
+        F.lit(2 * down + right).alias("k"), F.least(clamp(gx, width) + right, F.lit(width - 1)).cast("long").alias("gx"), F.least(clamp(gy, height) + down, F.lit(height - 1)).cast("long").alias("gy"),
+        (gx - whole(gx) if right else 1 - (gx - whole(gx))).alias("wx"), (gy - whole(gy) if down else 1 - (gy - whole(gy))).alias("wy"),
     )
-    four = here.select("lng", "lat", F.explode(F.array(*[corner(r, d) for r in (0, 1) for d in (0, 1)])).alias("c")).select("lng", "lat", "c.*")
-    return four.join(heat, ["gx", "gy"], "left").groupBy("lng", "lat").agg(F.sum(F.col("w") * F.coalesce("score", F.lit(0.0))).alias("score"))
+    four = here.select("lng", "lat", F.explode(F.array(*[corner(r, d) for d in (0, 1) for r in (0, 1)])).alias("c")).select("lng", "lat", "c.*")
+    value = F.coalesce("score", F.lit(0.0)) * F.col("wx") * F.col("wy")
+    # added in a fixed order, so that the last digits are the same in each run
+    found = four.join(heat, ["gx", "gy"], "left").groupBy("lng", "lat").agg(*[F.max(F.when(F.col("k") == k, value)).alias(f"v{k}") for k in range(4)])
+    return found.select("lng", "lat", (F.col("v0") + F.col("v1") + F.col("v2") + F.col("v3")).alias("score"))
 
 
 def terrain_quality(controls: DataFrame, candidates: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """Per course the mean, in percent, of its middle controls' terrain: 1 by an intersection within 60 m, 0.45 by anything else,
     0.15 by nothing; where model (lng, lat, score) has a score, that counts three fifths. Courses of fewer than three: 50."""
-    near = spatial.radius_pairs(controls.select("lng", "lat").distinct(), candidates.select("cand_id", "ftype", "lng", "lat"), 60.0).where("metres < 60")
-    best = near.groupBy("lng", "lat").agg(F.min(F.struct(F.round("metres", 3).alias("m"), "cand_id", "ftype")).alias("z")).select("lng", "lat", F.when(F.col("z.ftype") == "intersection", 1.0).otherwise(0.45).alias("att"))
+    near = spatial.radius_pairs(controls.select("lng", "lat").distinct(), spots(candidates), 60.0).where("metres < 60")
+    best = near.groupBy("lng", "lat").agg(F.min(F.struct(F.round("metres", 3).alias("m"), "one.cand_id", "one.ftype")).alias("z")).select("lng", "lat", F.when(F.col("z.ftype") == "intersection", 1.0).otherwise(0.45).alias("att"))
     c = controls.withColumns({"rn": F.row_number().over(courses.by_order()), "n": F.count("*").over(courses.whole())})
     c = c.join(best, ["lng", "lat"], "left").withColumn("att", F.coalesce("att", F.lit(0.15)))
     if model is not None:
@@ -126,6 +130,12 @@ def leg_spread(cv: Column) -> Column:
     return F.when(cv.between(0.2, 0.5), 100.0).when(cv < 0.2, 40.0 + cv * 300).otherwise(F.greatest(F.lit(0.0), 100.0 - (cv - 0.5) * 150))
 
 
+def half_away(value: Column, digits: int) -> Column:
+    """value rounded as the SQL does it: times a power of ten, to the nearest whole number, halves away from zero, and divided again. F.round goes by the shortest
+    decimal notation instead, which differs where value lies next to the middle of two results, as sums of fixed parts do."""
+    return F.round(value * 10.0**digits, 0) / 10.0**digits
+
+
 def weighted(weights: dict[str, float], by: float = 1.0) -> Column:
     total = F.lit(0.0)
     for name, w in weights.items():

@@ -129,8 +129,8 @@ def a18(s, d):
     from ..functions import classes as K
 
     x = _scored(s, d).join(R.terrain_quality(_c(s, d), _k(s, d), _heat(s, d)), "course_id")
-    parts = [F.col(p).cast("double").alias(f"{p}_score") if p != "variety" else F.round(p, 3).alias("variety_score") for p in R.WEIGHTS]
-    return x.select("course_id", *parts, F.round("total", 3).alias("total"), K.letter(F.round("total", 3)).alias("grade"), F.round(F.col("total") * 0.8 + F.col("terrain") * 0.2, 3).alias("with_model"))
+    parts = [F.col(p).cast("double").alias(f"{p}_score") if p != "variety" else R.half_away(F.col(p), 3).alias("variety_score") for p in R.WEIGHTS]
+    return x.select("course_id", *parts, R.half_away(F.col("total"), 3).alias("total"), K.letter(R.half_away(F.col("total"), 3)).alias("grade"), R.half_away(F.col("total") * 0.8 + F.col("terrain") * 0.2, 3).alias("with_model"))
 
 
 @query("A34_best_scores", _LC + _SCORED + " SELECT course_id, round(total, 3) AS total FROM st ORDER BY round(total, 3) DESC, course_id LIMIT 10")
@@ -180,20 +180,20 @@ _FIT = _LC + _NEAR + _HEAT + _QUALITY + _SHAPE
 def a36(s, d):
     """Nine criteria with the weights of forest courses."""
     p = R.fitness_parts(_c(s, d), _k(s, d), TARGET, CLIMB, COUNT, 25.0, 60.0, 1500.0, _heat(s, d))
-    return p.select("course_id", F.round(R.weighted(R.FOREST), 3).alias("fitness"))
+    return p.select("course_id", R.half_away(R.weighted(R.FOREST), 3).alias("fitness"))
 
 
 @query("A36_sprint_fitness", _FIT + _parts_sql(25, 30, 150) + f" SELECT course_id, round({_total_sql(R.SPRINT)}, 3) AS fitness FROM fp")
 def a36_sprint(s, d):
     """With the weights of sprints: long legs in place of the climb."""
     p = R.fitness_parts(_c(s, d), _k(s, d), TARGET, CLIMB, COUNT, 25.0, 30.0, 150.0, _heat(s, d))
-    return p.select("course_id", F.round(R.weighted(R.SPRINT), 3).alias("fitness"))
+    return p.select("course_id", R.half_away(R.weighted(R.SPRINT), 3).alias("fitness"))
 
 
 @query("T09_fittest", _FIT + _parts_sql(25, 60, 1500) + f", z AS (SELECT course_id % 10 AS event, course_id, round({_total_sql(R.FOREST)}, 2) AS fitness FROM fp) SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY event ORDER BY fitness DESC, course_id) <= 10")
 def t09(s, d):
     """The ten fittest courses of each event: the limit is the report's."""
-    p = R.fitness_parts(_c(s, d), _k(s, d), TARGET, CLIMB, COUNT, 25.0, 60.0, 1500.0, _heat(s, d)).select((F.col("course_id") % 10).alias("event"), "course_id", F.round(R.weighted(R.FOREST), 2).alias("fitness"))
+    p = R.fitness_parts(_c(s, d), _k(s, d), TARGET, CLIMB, COUNT, 25.0, 60.0, 1500.0, _heat(s, d)).select((F.col("course_id") % 10).alias("event"), "course_id", R.half_away(R.weighted(R.FOREST), 2).alias("fitness"))
     w = Window.partitionBy("event").orderBy(F.desc("fitness"), "course_id")
     return p.withColumn("place", F.row_number().over(w)).where("place <= 10").select("event", "course_id", "fitness")
 
