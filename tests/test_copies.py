@@ -64,6 +64,13 @@ def test_negatives_of_short_and_long_courses(spark, agree, copies, tmp_path, mon
     assert met[-1] == 8 * 150
 
 
+def test_popular_cells_on_edges(spark, agree, tmp_path):
+    """Places on a cell's edge go where a product by 20 puts them."""
+    events = spark.sql("SELECT 150 + 550 * id AS event_id, 5 * id + 2 AS user_id, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 673) AS ts FROM range(0, 40)")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    agree(QUERIES["A26_popular_cells"](spark, str(tmp_path)), ORACLE["A26_popular_cells"], {"events": f"{tmp_path}/events.parquet/*.parquet"})
+
+
 def test_rounds_like_the_sql(spark):
     """Values next to the middle of two results are rounded as in DuckDB."""
     values = [k / 10000 for k in range(-20005, 20005, 10)] + [k * 0.0075 + 61.3 for k in range(200)]
