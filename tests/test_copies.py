@@ -25,7 +25,7 @@ def copies(tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["J05_nearest_candidate", "J06_radius_count", "J24_nearest_vertex", "P13_J08_colours", "J26_navigation_edges", "J22_path_crossings", "J09_point_in_polygon", "Y01_J30_corrections"])
+@pytest.mark.parametrize("name", ["J05_nearest_candidate", "J06_radius_count", "J24_nearest_vertex", "P13_J08_colours", "J26_navigation_edges", "J22_path_crossings", "J09_point_in_polygon", "J27_candidate_positions", "Y01_J30_corrections"])
 def test_copies_meet_once(spark, agree, copies, monkeypatch, name):
     met = []
 
