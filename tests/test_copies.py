@@ -77,3 +77,19 @@ def test_rounds_like_the_sql(spark):
     got = [r.v for r in spark.createDataFrame([(v,) for v in values], "x double").select(scores.half_away(F.col("x"), 3).alias("v")).collect()]
     con = duckdb.connect()
     assert got == [con.execute("SELECT round(?::DOUBLE, 3)", [v]).fetchone()[0] for v in values]
+
+
+@pytest.mark.parametrize("name", ["J15_min_distance", "J13_visibility", "J14_sprint_spacing"])
+def test_pairs_of_short_and_long_courses(spark, agree, tmp_path, monkeypatch, name):
+    """A short course's controls meet in no grid cells; a long one's do, and give what the SQL gives."""
+    met = []
+    real = spatial.gridded
+    monkeypatch.setattr(spatial, "gridded", lambda *a, **kw: (met.append(1), real(*a, **kw))[1])
+    agree(QUERIES[name](spark, DATA), ORACLE[name])
+    assert met == []
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    first = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber")) <= 150
+    long_ = lines.withColumn("first", first).withColumn("l_orderkey", F.when(F.col("first"), F.lit(-1)).otherwise(F.col("l_orderkey")).cast("long")).drop("first")
+    long_.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    agree(QUERIES[name](spark, str(tmp_path)), ORACLE[name], {"lineitem": f"{tmp_path}/lineitem.parquet/*.parquet"})
+    assert met

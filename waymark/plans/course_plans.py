@@ -202,10 +202,8 @@ def p26(s, d):
 
 
 def _pairs(s, d, most: float) -> DataFrame:
-    """Pairs of a course's controls nearer than so many metres: only those of neighbouring cells meet."""
-    a = _c(s, d).select("course_id", F.col("ord").alias("i"), "lng", "lat")
-    b = _c(s, d).select(F.col("course_id").alias("other"), F.col("ord").alias("j"), "lng", "lat")
-    return S.radius_pairs(a, b, most, key=("course_id", "other")).where((F.col("i") < F.col("j")) & (F.col("metres") < most)).select("course_id", "i", "j", F.col("metres").alias("m"))
+    """Pairs of a course's controls nearer than so many metres."""
+    return S.course_pairs(_c(s, d), most).withColumnRenamed("metres", "m")
 
 
 _PAIRS = ctes("controls") + f", p AS (SELECT a.course_id, a.ord AS i, b.ord AS j, {geo.hav_sql('a.lng', 'a.lat', 'b.lng', 'b.lat')} AS m FROM controls a JOIN controls b ON a.course_id = b.course_id AND a.ord < b.ord)"
