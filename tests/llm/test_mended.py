@@ -169,3 +169,21 @@ def test_line_dedup_rules(spark):
 
 def test_line_dedup_twin(spark, agree):
     agree(line_dedup.drop_repeated_lines(spark.read.parquet(f"{DATA}/documents.parquet")), line_dedup.ORACLE)
+
+
+def test_new_words_are_learned_together():
+    """Texts' ids are the tokenizer's own, and the words of many texts are learned at once, without the signs after them."""
+    from tokenizers import Tokenizer
+
+    from waymark.llm import packing, tokens
+
+    path = packing.tokenizer_path()
+    own, ids = Tokenizer.from_file(path), tokens.WordIds(path)
+    learned = []
+    learn = ids._learn
+    ids._learn = lambda: (learned.append(len(ids.known.new)), learn())[1]
+    texts = ["", "~", "a~ b~c. ~~", "Straße, É á.x é", "don't. I'LL! it's,", "x_y__ _", "3.14, 10%", "ǅ ǆ. ß,", "foo.bar, (foo) foo<", "foo< |bar <|endoftext|> x", "ﬁ ﬁ. İ i̇ Σς.", "aª, º. a,́b c.́", "日本語。 日,", *[f"mot{'abcdefghij'[k % 10] * (k % 7)}, oui." for k in range(100)]]
+    assert [x.tolist() for x in ids.encode_all(texts)] == [own.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(learned) == 1 and b"oui" in ids.known
+    assert [x.tolist() for x in ids.encode_all(texts)] == [own.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(learned) == 1

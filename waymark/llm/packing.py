@@ -64,12 +64,14 @@ def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         at = path or tokenizer_path()
-        encoder = _encoders.setdefault(at, WordIds(at))
+        if at not in _encoders:
+            _encoders[at] = WordIds(at)
+        encoder = _encoders[at]
         last = np.array([end], np.uint32)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.concatenate([encoder.encode(text or ""), last]).astype("<u4", copy=False)
+            for doc_id, found in zip(batch["doc_id"], encoder.encode_all(text or "" for text in batch["text"]), strict=True):
+                ids = np.concatenate([found, last]).astype("<u4", copy=False)
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
                     out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))

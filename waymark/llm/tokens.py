@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 #: Words that a worker remembers before it forgets them all.
 REMEMBERED = 500_000
 #: Parts the words that are encoded together: it's a token of its own between blanks. Words that hold it go alone.
 MARK = "~"
+#: A word of plain letters, which case, accents' composition and the tokenizer's pattern leave whole, and the signs after it, which are a part of their own.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-}]*)")
+#: Words of texts that are looked up, and learned, together, about.
+TOGETHER = 100_000
 
 
 class _Known(dict):
@@ -26,52 +33,121 @@ class _Known(dict):
 class WordIds:
     """Ids of texts by a tokenizer that lower-cases, drops white space and treats what stands between it alone: words are
     told apart by ASCII white space, and each that is new is encoded once. Texts with "<|", which may hold special tokens,
-    are encoded whole. tests/llm holds this against the tokenizer's own ids of whole texts."""
+    are encoded whole. A plain word and the signs after it are learned apart; plain words go through the tokenizer's model without its
+    normalizer and pattern, which leave them as they are. tests/llm holds this against the tokenizer's own ids of whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.light = self._light(Tokenizer.from_file(path))
         self.clear()
 
+    def _light(self, light):
+        """The same model between blanks alone. Its words are told apart by the suffix of their last token; a model without one has none."""
+        from tokenizers import normalizers, pre_tokenizers
+
+        suffix = getattr(light.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        self.last = np.zeros(light.get_vocab_size(), bool)
+        self.last[[k for word, k in light.get_vocab().items() if word.endswith(suffix)]] = True
+        light.normalizer = normalizers.Sequence([])
+        light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "the straße café garçon aaaaaaaaaaaaaaaaaaaa xqzwv ÿþð"
+        same = self.tokenizer.encode(probe.replace(" ", " .,&&& "), add_special_tokens=False).ids == self.tokenizer.encode(probe.replace(" ", ".,&&& "), add_special_tokens=False).ids
+        same = same and light.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return light if same else None
+
     def clear(self) -> None:
         self.known = _Known()
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def _store(self, k: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Words k have the ids from starts on, of given lengths."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[k], self.lengths[k] = self.used + starts, lengths
+        self.used += len(ids)
+
+    def _joined(self, k: np.ndarray) -> np.ndarray:
+        """The ids of words k, one after the other."""
+        lengths = self.lengths[k]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[k] - ends + lengths, lengths) + np.arange(ends[-1])]
+
     def _learn(self) -> None:
-        words, self.known.new = self.known.new, []
-        k = len(self.known) - len(words)
+        words = self.known.new
+        before = len(self.known) - len(words)
+        plain, odd, both = [], [], []
+        for k, word in enumerate(words, before):  # parts that are new join the list
+            found = PLAIN.fullmatch(word.decode()) if self.light else None
+            stem, signs = found.groups() if found else ("", "")
+            if stem and signs:
+                both.append((k, self.known[stem.encode()], self.known[signs.encode()]))
+            else:
+                (plain if stem else odd).append(k)
+        self.known.new = []
         while len(self.known) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.starts))
-        parts = [words[e : e + 128] for e in range(0, len(words), 128)]
-        if any(MARK.encode() in w for w in words):
-            parts = [[w] for w in words]
-        joined = [f" {MARK} ".join([w.decode() for w in part]) for part in parts]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.mark) if len(part) > 1 else [], len(ids)).astype(np.int64)
-            starts = np.append(0, ends[:-1] + 1)
-            assert len(ends) == len(part)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[k : k + len(part)], self.lengths[k : k + len(part)] = self.used + starts, ends - starts
-            self.used += len(ids)
-            k += len(part)
+        cuts = lambda ks, n=128: [ks[e : e + n] for e in range(0, len(ks), n)]
+        text = lambda ks, between: between.join([words[k - before].decode() for k in ks])
+        parts = cuts(plain)
+        if parts:
+            for part, found in zip(parts, self.light.encode_batch_fast([text(part, " ") for part in parts], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                assert len(ends) == len(part)
+                starts = np.append(0, ends[:-1])
+                self._store(np.array(part), ids, starts, ends - starts)
+        parts = cuts(odd, 1 if any(MARK.encode() in words[k - before] for k in odd) else 128)
+        if parts:
+            for part, found in zip(parts, self.tokenizer.encode_batch_fast([text(part, f" {MARK} ") for part in parts], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, np.uint32)
+                ends = np.append(np.flatnonzero(ids == self.mark) if len(part) > 1 else [], len(ids)).astype(np.int64)
+                starts = np.append(0, ends[:-1] + 1)
+                assert len(ends) == len(part)
+                self._store(np.array(part), ids, starts, ends - starts)
+        if both:
+            k, *sides = np.array(both).T
+            lengths = self.lengths[sides[0]] + self.lengths[sides[1]]
+            self._store(k, self._joined(np.array(sides).T.ravel()), np.cumsum(lengths) - lengths, lengths)
 
-    def encode(self, text: str) -> np.ndarray:
-        if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.encode().lower().split()
-        if not words:
-            return np.empty(0, np.uint32)
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order. Some texts' words are looked up before those that are new are learned together."""
+        waiting: list[np.ndarray | None] = []
+        held, count = [], 0
+
+        def ready() -> Iterator[np.ndarray]:
+            if self.known.new:
+                self._learn()
+            for k, text in zip(waiting, held, strict=True):
+                if k is None:
+                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield self._joined(k) if len(k) else np.empty(0, np.uint32)
+
+        for text in texts:
+            if "<|" in text:
+                waiting.append(None)
+                held.append(text)
+            else:
+                words = text.encode().lower().split()
+                waiting.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+                held.append("")
+                count += len(words)
+            if count >= TOGETHER:
+                yield from ready()
+                waiting, held, count = [], [], 0
+                if len(self.known) > REMEMBERED:
+                    self.clear()
+        yield from ready()
         if len(self.known) > REMEMBERED:
             self.clear()
-        k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.known.new:
-            self._learn()
-        lengths = self.lengths[k]
-        ends = np.cumsum(lengths)
-        return self.ids[np.repeat(self.starts[k] - ends + lengths, lengths) + np.arange(ends[-1])]
+
+    def encode(self, text: str) -> np.ndarray:
+        (ids,) = self.encode_all([text])
+        return ids
