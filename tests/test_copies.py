@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from waymark.operators import scores, spatial
+from waymark.operators import models, scores, spatial
 from waymark.plans import ground_plans
 from waymark.registry import ORACLE, QUERIES
 
@@ -93,3 +93,18 @@ def test_pairs_of_short_and_long_courses(spark, agree, tmp_path, monkeypatch, na
     long_.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     agree(QUERIES[name](spark, str(tmp_path)), ORACLE[name], {"lineitem": f"{tmp_path}/lineitem.parquet/*.parquet"})
     assert met
+
+
+def test_forest_learns_copies_once(spark, monkeypatch):
+    """Rows of the same features and label are one row with a weight, so that copies of courses don't lengthen the training."""
+    held = []
+    real = models.RandomForestRegressor.fit
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", lambda self, df, *a: (held.append((df.count(), df.agg(F.sum("weight")).first()[0], df.rdd.getNumPartitions())), real(self, df, *a))[1])
+    one = spark.range(400).withColumn("course_id", F.col("id"))
+    one = one.withColumns({c: (F.xxhash64(F.lit(c), "id") % 50).cast("double") for c in models.FEATURES}).withColumn("label", F.col("leg_metres") / 100)
+    parts = spark.range(5).select(F.col("id").alias("k"))
+    for rows in (one, one.crossJoin(parts).withColumn("course_id", F.col("course_id") + F.lit(0))):
+        assert models.predict(rows, models.train_forest(rows, trees=3)).count() == rows.count()
+    learned = one.where(models.part("course_id") < 0.8).count()
+    assert [h[:2] for h in held] == [(learned, learned), (learned, 5 * learned)]
+    assert held[0][2] >= 4
