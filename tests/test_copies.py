@@ -108,3 +108,15 @@ def test_forest_learns_copies_once(spark, monkeypatch):
     learned = one.where(models.part("course_id") < 0.8).count()
     assert [h[:2] for h in held] == [(learned, learned), (learned, 5 * learned)]
     assert held[0][2] >= 4
+
+
+@pytest.mark.parametrize("name", ["S05_K05_course_xml", "S04_course_xml_resolved"])
+def test_course_files_are_parsed_once(spark, name):
+    """Controls and courses of a file are read from what one parse wrote."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xml" not in plan.lower()
+
+
+def test_heat_without_windows(spark):
+    """Where no image has a covered window there is no heat, and nothing fails."""
+    assert QUERIES["M05_M06_heat"](spark, DATA).count() == 0

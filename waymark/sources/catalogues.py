@@ -40,7 +40,8 @@ def read_course_xml(files: DataFrame, key: str, content: str = "xml", whole: boo
     lat or Lat, lng, Lng, lon or Lon. whole: courses of three controls at least that all have a place; else controls
     without a place go, and courses left with fewer than two. Of controls with one id the last counts."""
     plain = F.regexp_replace(F.regexp_replace(content, r"(?i)\slat=", " lat="), r"(?i)\s(lng|lon)=", " lng=")
-    got = files.select(key, once(F.from_xml(plain, COURSES, OPTIONS)["RaceCourseData"]).alias("d"))
+    # controls and courses both read the files: they are made and parsed once
+    got = cut(files.select(key, F.from_xml(plain, COURSES, OPTIONS)["RaceCourseData"].alias("d")))
     c = got.select(key, F.posexplode("d.Control").alias("at", "c"))
     places = c.select(key, "at", F.trim("c.Id").alias("code"), F.col("c.Position._lng").try_cast("double").alias("lng"), F.col("c.Position._lat").try_cast("double").alias("lat"))
     places = places.where("lng IS NOT NULL AND lat IS NOT NULL").groupBy(key, "code").agg(F.max_by(F.struct("lng", "lat"), "at").alias("p"))
