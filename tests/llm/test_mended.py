@@ -187,3 +187,41 @@ def test_new_words_are_learned_together():
     assert len(learned) == 1 and b"oui" in ids.known
     assert [x.tolist() for x in ids.encode_all(texts)] == [own.encode(x, add_special_tokens=False).ids for x in texts]
     assert len(learned) == 1
+
+
+def test_shingles_take_little_memory():
+    """Texts are hashed some at a time: what a worker takes doesn't follow the table."""
+    import tracemalloc
+
+    from waymark.llm.shingles import shingle_sets
+
+    texts = [" ".join(f"w{k * 31 % 977}x{j}" for j in range(400)) for k in range(1000)]
+    tracemalloc.start()
+    found = sum(len(s) for s in shingle_sets(iter(texts), 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 396_000 and peak < 25e6
+
+
+def test_tokens_of_few_words_at_once():
+    """One tokenizer, which gets few words at once, since what it returns is far larger than the ids."""
+    from waymark.llm import packing, tokens
+
+    ids = tokens.WordIds(packing.tokenizer_path())
+    most, own = [], ids.tokenizer
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(own, name)
+
+        def __setattr__(self, name, value):
+            setattr(own, name, value)
+
+        def encode_batch_fast(self, texts, **kw):
+            most.append(sum(len(t.split()) for t in texts))
+            return own.encode_batch_fast(texts, **kw)
+
+    ids.tokenizer = Watched()
+    text = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}q" for k in range(17_000))
+    (got,) = ids.encode_all([text])
+    assert got.tolist() == own.encode(text, add_special_tokens=False).ids and len(most) > 1 and max(most) <= 4096

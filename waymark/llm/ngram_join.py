@@ -22,6 +22,8 @@ BITS = 48
 #: Rounds in which sets meet list heads; sets that are compared with one another at once, each counted once and once more for
 #: each LONG shingles.
 STARS, BLOCK, LONG = 2, 256, 1000
+#: Rows whose texts a task turns into strings at once.
+ROWS = 500
 
 
 def size_classes(percent: int, classes: tuple = CLASSES) -> list[tuple[int, int, int]]:
@@ -41,8 +43,8 @@ def size_classes(percent: int, classes: tuple = CLASSES) -> list[tuple[int, int,
 
 def _sets(batches: Iterator, n: int) -> Iterator[tuple[int, np.ndarray]]:
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        yield from zip(ids, shingle_sets(batch.column(1).to_pylist(), n), strict=True)
+        texts = (text for at in range(0, batch.num_rows, ROWS) for text in batch.column(1).slice(at, ROWS).to_pylist())
+        yield from zip(batch.column(0).to_pylist(), shingle_sets(texts, n), strict=True)
 
 
 def _row(key: Column, text: Column) -> Column:

@@ -19,7 +19,9 @@ SIZE, END = 4096, 2
 #: Pieces of a group, on average.
 GROUP = 4096
 TOKENIZER = "word_bpe_49k.json"
-_encoders: dict[str, WordIds] = {}
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+#: Rows whose texts a task turns into strings at once.
+ROWS = 500
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -59,26 +61,27 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, path: str | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens. A document is its text's ids and then `end`; pieces have
     `size` ids but for its last. Null text counts as empty: one piece, the end alone. Long texts take one worker's memory
-    of a few dozen bytes a word; nothing else is held."""
+    of a few dozen bytes a word; the tokenizer and its memory of words go with the task."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        at = path or tokenizer_path()
-        if at not in _encoders:
-            _encoders[at] = WordIds(at)
-        encoder = _encoders[at]
+        encoder = WordIds(path or tokenizer_path())
         last = np.array([end], np.uint32)
         for batch in batches:
-            out = []
-            for doc_id, found in zip(batch["doc_id"], encoder.encode_all(text or "" for text in batch["text"]), strict=True):
+            out: list[tuple] = []
+            texts = (text or "" for at in range(0, batch.num_rows, ROWS) for text in batch.column(1).slice(at, ROWS).to_pylist())
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
                 ids = np.concatenate([found, last]).astype("<u4", copy=False)
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
                     out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            columns = zip(*out, strict=True) if out else [()] * len(PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=PIECE)
 
     rows = df.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in PIECE))
 
 
 def pack(pieces: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:

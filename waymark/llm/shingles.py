@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
-#: Bytes of text that are hashed at once; a longer text goes alone.
-BATCH = 1 << 20
+#: Bytes of text that are hashed at once; a longer text goes alone. Each takes some fifty bytes while it is hashed.
+BATCH = 1 << 18
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _STEP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
@@ -55,7 +55,7 @@ def _some(texts: Sequence[bytes], n: int) -> Iterator[np.ndarray]:
         begin = end
 
 
-def shingle_sets(texts: Sequence[str | None], n: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], n: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of each text's n-word shingles, A-Z lower-cased, words between ASCII white space; texts with
     fewer words have their whole sequence as one; null and empty texts have none. Memory is a few dozen bytes a byte of
     BATCH or of the longest text."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +16,8 @@ MARK = "~"
 PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-}]*)")
 #: Words of texts that are looked up, and learned, together, about.
 TOGETHER = 100_000
+#: Words of one text for the tokenizer, and such texts that it gets at once: what it returns is far larger than the ids.
+WORDS, TEXTS = 128, 32
 
 
 class _Known(dict):
@@ -41,24 +44,39 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.light = self._light(Tokenizer.from_file(path))
+        self.light = self._light()
         self.clear()
 
-    def _light(self, light):
-        """The same model between blanks alone. Its words are told apart by the suffix of their last token; a model without one has none."""
-        from tokenizers import normalizers, pre_tokenizers
-
-        suffix = getattr(light.model, "end_of_word_suffix", None)
+    def _light(self) -> bool:
+        """Whether plain words get the same ids between blanks alone. Words are told apart by the suffix of their last token; a model without one has none."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if not suffix:
-            return None
-        self.last = np.zeros(light.get_vocab_size(), bool)
-        self.last[[k for word, k in light.get_vocab().items() if word.endswith(suffix)]] = True
-        light.normalizer = normalizers.Sequence([])
-        light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            return False
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith(suffix)]] = True
         probe = "the straße café garçon aaaaaaaaaaaaaaaaaaaa xqzwv ÿþð"
-        same = self.tokenizer.encode(probe.replace(" ", " .,&&& "), add_special_tokens=False).ids == self.tokenizer.encode(probe.replace(" ", ".,&&& "), add_special_tokens=False).ids
-        same = same and light.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
-        return light if same else None
+        apart, joined, whole = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (probe.replace(" ", " .,&&& "), probe.replace(" ", ".,&&& "), probe))
+        with self._between_blanks():
+            return apart == joined and self.tokenizer.encode(probe, add_special_tokens=False).ids == whole
+
+    @contextlib.contextmanager
+    def _between_blanks(self) -> Iterator[None]:
+        """The tokenizer without its normalizer and pattern, for a while: a second one would hold the vocabulary twice."""
+        from tokenizers import normalizers, pre_tokenizers
+
+        t = self.tokenizer
+        before = t.normalizer, t.pre_tokenizer
+        t.normalizer = normalizers.Sequence([])
+        t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        try:
+            yield
+        finally:
+            t.normalizer, t.pre_tokenizer = before
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for s in range(0, len(texts), TEXTS):
+            for found in self.tokenizer.encode_batch_fast(texts[s : s + TEXTS], add_special_tokens=False):
+                yield np.array(found.ids, np.uint32)
 
     def clear(self) -> None:
         self.known = _Known()
@@ -93,20 +111,19 @@ class WordIds:
         self.known.new = []
         while len(self.known) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.starts))
-        cuts = lambda ks, n=128: [ks[e : e + n] for e in range(0, len(ks), n)]
+        cuts = lambda ks, n=WORDS: [ks[e : e + n] for e in range(0, len(ks), n)]
         text = lambda ks, between: between.join([words[k - before].decode() for k in ks])
         parts = cuts(plain)
         if parts:
-            for part, found in zip(parts, self.light.encode_batch_fast([text(part, " ") for part in parts], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.uint32)
-                ends = np.flatnonzero(self.last[ids]) + 1
-                assert len(ends) == len(part)
-                starts = np.append(0, ends[:-1])
-                self._store(np.array(part), ids, starts, ends - starts)
-        parts = cuts(odd, 1 if any(MARK.encode() in words[k - before] for k in odd) else 128)
+            with self._between_blanks():
+                for part, ids in zip(parts, self._encoded([text(part, " ") for part in parts]), strict=True):
+                    ends = np.flatnonzero(self.last[ids]) + 1
+                    assert len(ends) == len(part)
+                    starts = np.append(0, ends[:-1])
+                    self._store(np.array(part), ids, starts, ends - starts)
+        parts = cuts(odd, 1 if any(MARK.encode() in words[k - before] for k in odd) else WORDS)
         if parts:
-            for part, found in zip(parts, self.tokenizer.encode_batch_fast([text(part, f" {MARK} ") for part in parts], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.uint32)
+            for part, ids in zip(parts, self._encoded([text(part, f" {MARK} ") for part in parts]), strict=True):
                 ends = np.append(np.flatnonzero(ids == self.mark) if len(part) > 1 else [], len(ids)).astype(np.int64)
                 starts = np.append(0, ends[:-1] + 1)
                 assert len(ends) == len(part)
