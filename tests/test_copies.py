@@ -120,3 +120,25 @@ def test_course_files_are_parsed_once(spark, name):
 def test_heat_without_windows(spark):
     """Where no image has a covered window there is no heat, and nothing fails."""
     assert QUERIES["M05_M06_heat"](spark, DATA).count() == 0
+
+
+def test_short_tracks_are_folded_once(spark):
+    """Only tracks of more than a slice are cut into slices, whose folds may be repeated; each row of the others is looked at once."""
+    from waymark.operators import folds
+
+    looked = spark.sparkContext.accumulator(0)
+
+    def start(row):
+        looked.add(1)
+        return (row[1][0],), [(row, 1)]
+
+    def step(state, row):
+        looked.add(1)
+        return (state[0] + row[1][0],), [((row[0], (state[0] + row[1][0],)), 1)]
+
+    rows = spark.range(3000).select(F.expr("id div 60").alias("k"), F.expr("id % 60").alias("at"), F.lit(1.0).alias("v"))
+    got = folds.fold(rows, "k", "at", ["v"], start, step, size=100)
+    assert got.where("v = at + 1").count() == got.count() == 3000 and looked.value == 3000
+    both = rows.unionByName(spark.range(500).select(F.lit(99).cast("long").alias("k"), F.col("id").alias("at"), F.lit(1.0).alias("v")))
+    got = folds.fold(both, "k", "at", ["v"], start, step, size=100)
+    assert got.where("v = at + 1").count() == got.count() == 3500

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .tables import cut
 
-#: Rows of a slice, about.
-SLICE = 1_000_000
+#: Rows of a slice, about, and of a task that folds whole sequences.
+SLICE, TASK = 1_000_000, 100_000
 #: A fold's state, and what a row gives out: values of the fields, with a mark.
 State = tuple[float, ...]
 Row = tuple[int, tuple[float, ...]]
@@ -23,16 +23,14 @@ def fold(rows: DataFrame, key: str, order: str, fields: list[str], start: Callab
     row, `step` goes on from there; both get (order, values) and return the state, some numbers, and rows with marks of 0 or more. Rows
     of null key or order are left out; equal orders of a key stand by their values.
 
-    The rows are range-partitioned by key and order into slices of about `size`, so that a long sequence lies in several. All slices are folded at
-    once, each as if its first key began there; then those whose first key goes on from the slice before are folded again from the state
+    Keys of up to `size` rows are dealt by a hash, and each is folded once. The rows of longer ones are range-partitioned by key and order into slices
+    of about `size`, so that a sequence lies in several. All slices are folded at once, each as if its first key began there; then those whose first key goes on from the slice before are folded again from the state
     in which that one ended, until no slice begins in another state than the one before ended in. By induction the result is that of one long
     fold. Where states forget where they came from within a slice, one such round is all; else a state moves on by one slice a round.
     A task holds one batch of rows and one state."""
     base = cut(rows.select(F.col(key).alias("key"), F.col(order).cast("long").alias("at"), *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(fields)]).where("key IS NOT NULL AND at IS NOT NULL"))
     values = [f"v{i}" for i in range(len(fields))]
-    parts = max(1, math.ceil(base.count() / size))
-    slices = base.repartitionByRange(parts, "key", "at", *values).sortWithinPartitions("key", "at", *values).withColumn("slice", F.spark_partition_id())
-    slices = cut(slices.withColumn("entry", F.lit(None).cast("array<double>")))
+    unknown = F.lit(None).cast("array<double>")
     kind = base.schema["key"].dataType.simpleString()
     schema = ", ".join([f"key {kind}", "at long", *[f"{v} double" for v in values], "mark int", "slice int", f"first {kind}", "exit array<double>"])
 
@@ -71,6 +69,19 @@ def fold(rows: DataFrame, key: str, order: str, fields: list[str], start: Callab
     def ends(out: DataFrame, number: int) -> DataFrame:
         return out.where("mark < 0").select("slice", "first", F.col("key").alias("last"), "exit", F.lit(number).alias("round"))
 
+    found = lambda out: out.select(F.col("key").alias(key), F.col("at").alias(order), *[F.col(v).alias(f) for v, f in zip(values, fields, strict=True)], "mark")
+    long = cut(base.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > size).select("key"))
+    some = not long.isEmpty()
+    short = base.join(long, "key", "left_anti") if some else base
+    tasks = max(1, math.ceil(base.count() / min(size, TASK)))
+    whole = folded(short.repartition(tasks, "key").sortWithinPartitions("key", "at", *values).withColumns({"slice": F.lit(0), "entry": unknown})).where("mark >= 0")
+    if not some:
+        return found(whole)
+
+    base = cut(base.join(long, "key", "left_semi"))
+    parts = max(1, math.ceil(base.count() / size))
+    slices = base.repartitionByRange(parts, "key", "at", *values).sortWithinPartitions("key", "at", *values).withColumn("slice", F.spark_partition_id())
+    slices = cut(slices.withColumn("entry", unknown))
     rounds = [folded(slices.repartition(parts, "slice").sortWithinPartitions("slice", "key", "at", *values))]
     state = cut(ends(rounds[0], 0).withColumn("used", F.lit(None).cast("array<double>")))
     before = Window.orderBy("slice")  # one row a slice
@@ -90,4 +101,4 @@ def fold(rows: DataFrame, key: str, order: str, fields: list[str], start: Callab
         for t in tagged[1:]:
             out = out.unionByName(t)
         out = out.join(latest, ["slice", "round"])
-    return out.select(F.col("key").alias(key), F.col("at").alias(order), *[F.col(v).alias(f) for v, f in zip(values, fields, strict=True)], "mark")
+    return found(out.select(*whole.columns).unionByName(whole))
