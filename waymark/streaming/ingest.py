@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import text as X
 
-ROWS = "hash string, doc_id long, source string, text string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _least(rows: pd.DataFrame) -> pd.DataFrame:
-    """The first of each hash's rows by doc_id (nulls last), then source."""
-    return rows.sort_values(["doc_id", "source"], na_position="last", kind="stable").drop_duplicates("hash")
-
-
-def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row for each hash of a batch of rows, so that a text that comes a million times is hardly moved."""
-    for rows in batches:
-        yield _least(rows.astype({"doc_id": "Int64"}))
-
-
-def _unseen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first row of a hash that no batch before had. The state is that the hash was seen."""
-    best = None
-    for rows in batches:
-        rows = rows.astype({"doc_id": "Int64"})
-        best = _least(rows if best is None else pd.concat([best, rows]))
-    if not state.exists:
-        state.update((True,))
-        if best is not None:
-            yield best[["hash", "doc_id", "source", "text"]]
+def firsts(rows: DataFrame) -> DataFrame:
+    """Of a batch's rows and the marks of its new hashes (`fresh`), the first row of each hash that has a mark, by doc_id (nulls last), then source."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("source").isNull().alias("unknown"), "source", "text")
+    best = rows.groupBy("hash").agg(F.max("fresh").alias("fresh"), F.min(F.when(~F.col("fresh"), row)).alias("r"))
+    return best.where("fresh").select("hash", "r.doc_id", "r.source", "r.text")
 
 
 def ingest_new(spark: SparkSession, inbox: str, store: str, checkpoint: str, schema: str = "doc_id long, source string, text string") -> None:
@@ -44,16 +23,19 @@ def ingest_new(spark: SparkSession, inbox: str, store: str, checkpoint: str, sch
     doc_id, or have none, are chunked each for itself. Null texts give nothing.
 
     Which hashes were seen is keyed state in the query's state store (RocksDB, unless the session names another), dealt by hash: a batch costs what its own rows
-    cost, however much is stored. Each batch writes its own folder of the store anew, so that a batch that is run again after a failure
+    cost, however much is stored. No text passes the state. A checkpoint of the form before, with a group of rows a hash, can't be gone on with. Each batch writes its own folder of the store anew, so that a batch that is run again after a failure
     replaces what it wrote. Runs until all that is there is read, then ends."""
 
-    def batch(new: DataFrame, number: int) -> None:
-        chunks = X.windows(new, keep=["hash", "source"]).select("hash", "doc_id", "source", "ord", "chunk")
+    def batch(rows: DataFrame, number: int) -> None:
+        chunks = X.windows(firsts(rows), keep=["hash", "source"]).select("hash", "doc_id", "source", "ord", "chunk")
         chunks.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(inbox).where("text IS NOT NULL")
-    rows = stream.select(F.sha2("text", 256).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInPandas(_few, ROWS)
-    fresh = rows.groupBy("hash").applyInPandasWithState(_unseen, ROWS, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.sha2("text", 256).alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    # a hash alone passes the state, and marks the batch's rows that have it
+    none = lambda t: F.lit(None).cast(t)
+    marks = rows.select("hash").dropDuplicates(["hash"]).select("hash", none("long").alias("doc_id"), none("string").alias("source"), none("string").alias("text"), F.lit(True).alias("fresh"))
+    fresh = marks.unionByName(rows.withColumn("fresh", F.lit(False)))
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, PROVIDER if before is None or "HDFSBacked" in before else before)
