@@ -142,3 +142,8 @@ def test_short_tracks_are_folded_once(spark):
     both = rows.unionByName(spark.range(500).select(F.lit(99).cast("long").alias("k"), F.col("id").alias("at"), F.lit(1.0).alias("v")))
     got = folds.fold(both, "k", "at", ["v"], start, step, size=100)
     assert got.where("v = at + 1").count() == got.count() == 3500
+
+
+def test_ground_grid_meets_rings_once(spark, agree, copies, monkeypatch):
+    """Areas of the same ring are looked up once, as the first of them."""
+    test_copies_meet_once(spark, agree, copies, monkeypatch, "G09_J33_F15_ground_grid")
