@@ -147,3 +147,10 @@ def test_short_tracks_are_folded_once(spark):
 def test_ground_grid_meets_rings_once(spark, agree, copies, monkeypatch):
     """Areas of the same ring are looked up once, as the first of them."""
     test_copies_meet_once(spark, agree, copies, monkeypatch, "G09_J33_F15_ground_grid")
+
+
+@pytest.mark.parametrize("name", ["S07_older_events", "S09_kml_folders"])
+def test_files_are_dealt_once(spark, name):
+    """One shuffle numbers controls and gathers courses and files: no text is moved."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange ") == 1

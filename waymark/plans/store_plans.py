@@ -9,13 +9,13 @@ from ..operators import text as X
 from ..operators.tables import fresh
 from ..registry import query
 from ..sources import files as S
-from ..sources.derived import ctes, derived, raw
+from ..sources.derived import ctes, derived, filed, raw
 from ..streaming import ingest
 
 
 def _named(s, d):
     """Controls of files of about eight courses."""
-    return derived(s, d, "controls").select(F.expr("course_id div 8").alias("file_id"), "course_id", "ord", "lng", "lat", F.concat_ws("-", "course_id", "ord").alias("code"))
+    return filed(s, d, 8).select("file_id", "course_id", "ord", "lng", "lat", F.concat_ws("-", "course_id", "ord").alias("code"))
 
 
 def _joined(df, keys: list[str], order: str, piece, name: str):
