@@ -149,6 +149,16 @@ def test_ground_grid_meets_rings_once(spark, agree, copies, monkeypatch):
     test_copies_meet_once(spark, agree, copies, monkeypatch, "G09_J33_F15_ground_grid")
 
 
+def test_blocking_terrain_meets_places(spark, agree, copies, monkeypatch):
+    """Middles of legs meet the areas once a place, whatever the lengths of the legs that cross there."""
+    met = []
+    real = spatial.radius_pairs
+    monkeypatch.setattr(spatial, "radius_pairs", lambda a, b, *r, **kw: (met.append((a.count(), a.select("lng", "lat").distinct().count())), real(a, b, *r, **kw))[1])
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    agree(QUERIES["J25_blocking_terrain"](spark, copies[3]), ORACLE["J25_blocking_terrain"], {t: f"{copies[3]}/{t}.parquet" for t in KEYS})
+    assert met and met[0][0] == met[0][1] < 3 * lines
+
+
 @pytest.mark.parametrize("name", ["S07_older_events", "S09_kml_folders"])
 def test_files_are_dealt_once(spark, name):
     """One shuffle numbers controls and gathers courses and files: no text is moved."""
