@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -19,6 +19,8 @@ OTHER, NOTHING = 0.5, 0.3
 WEIGHTS = {"length": 0.20, "climb": 0.15, "control_distance": 0.15, "variety": 0.20, "balance": 0.15, "safety": 0.15}
 FOREST = {"length": 0.18, "climb": 0.10, "td": 0.11, "angle": 0.15, "equity": 0.13, "safety": 0.08, "terrain": 0.10, "monotony": 0.08, "alternation": 0.07}
 SPRINT = {"length": 0.22, "sprint_leg": 0.15, "td": 0.11, "angle": 0.17, "equity": 0.07, "safety": 0.05, "terrain": 0.10, "monotony": 0.07, "alternation": 0.06}
+#: Parts that are whole numbers: of WEIGHTS, and of FOREST and SPRINT.
+WHOLE, WHOLE_FITNESS = ("length", "climb", "control_distance", "balance", "safety"), ("equity", "safety", "monotony", "sprint_leg")
 
 
 def looked_up(table: dict, key: Column, otherwise) -> Column:
@@ -88,15 +90,17 @@ def heat_lookup(places: DataFrame, heat: DataFrame, box: tuple[float, float, flo
 
 def terrain_quality(controls: DataFrame, candidates: DataFrame, model: DataFrame | None = None) -> DataFrame:
     """Per course the mean, in percent, of its middle controls' terrain: 1 by an intersection within 60 m, 0.45 by anything else,
-    0.15 by nothing; where model (lng, lat, score) has a score, that counts three fifths. Courses of fewer than three: 50."""
-    near = spatial.radius_pairs(controls.select("lng", "lat").distinct(), spots(candidates), 60.0).where("metres < 60")
-    best = near.groupBy("lng", "lat").agg(F.min(F.struct(F.round("metres", 3).alias("m"), "one.cand_id", "one.ftype")).alias("z")).select("lng", "lat", F.when(F.col("z.ftype") == "intersection", 1.0).otherwise(0.45).alias("att"))
-    c = controls.withColumns({"rn": F.row_number().over(courses.by_order()), "n": F.count("*").over(courses.whole())})
-    c = c.join(best, ["lng", "lat"], "left").withColumn("att", F.coalesce("att", F.lit(0.15)))
+    0.15 by nothing; where model (lng, lat, score) has a score, that counts three fifths. Courses of fewer than three: 50. Metres are rounded to
+    millimetres first, and a course's controls are added up in their order, so that the last digits are the same however the tables were joined."""
+    near = spatial.radius_pairs(controls.select("lng", "lat").distinct(), spots(candidates), 60.0).withColumn("metres", F.round("metres", 3)).where("metres < 60")
+    best = near.groupBy("lng", "lat").agg(F.min(F.struct("metres", "one.cand_id", "one.ftype")).alias("z")).select("lng", "lat", F.when(F.col("z.ftype") == "intersection", 1.0).otherwise(0.45).alias("att"))
+    c = controls.join(best, ["lng", "lat"], "left").withColumn("att", F.coalesce("att", F.lit(0.15)))
     if model is not None:
         c = c.join(model.withColumnRenamed("score", "ml"), ["lng", "lat"], "left").withColumn("att", F.when(F.col("ml").isNull(), F.col("att")).otherwise(F.col("att") * 0.4 + F.col("ml") * 0.6))
-    middle = F.when((F.col("rn") > 1) & (F.col("rn") < F.col("n")), F.col("att"))
-    return c.groupBy("course_id").agg((F.coalesce(F.avg(middle), F.lit(0.5)) * 100).alias("terrain"))
+    c = c.withColumns({"rn": F.row_number().over(courses.by_order()), "n": F.count("*").over(courses.whole())})
+    middle, so_far = F.when((F.col("rn") > 1) & (F.col("rn") < F.col("n")), F.col("att")), courses.by_order().rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"total": F.sum(middle).over(so_far), "k": F.count(middle).over(so_far)}).where("rn = n")
+    return c.select("course_id", (F.when(F.col("k") > 0, F.col("total") / F.col("k")).otherwise(0.5) * 100).alias("terrain"))
 
 
 def shape(controls: DataFrame, interior: float = 60.0) -> DataFrame:
@@ -136,11 +140,20 @@ def half_away(value: Column, digits: int) -> Column:
     return F.round(value * 10.0**digits, 0) / 10.0**digits
 
 
-def weighted(weights: dict[str, float], by: float = 1.0) -> Column:
-    total = F.lit(0.0)
+def weighted(weights: dict[str, float], whole: tuple[str, ...] = ()) -> Column:
+    """The parts times their weights, added in order. Parts that are whole numbers are weighed in hundredths, which is exact, and divided once they
+    meet another: as the SQL's decimals do, where 3 times 0.07 is 0.21."""
+    total, exact = None, None
     for name, w in weights.items():
-        total = total + F.col(name) * w * by
-    return total
+        if name not in whole:
+            term = F.col(name) * w
+        elif total is None:
+            exact = F.col(name) * round(w * 100) if exact is None else exact + F.col(name) * round(w * 100)
+            continue
+        else:
+            term = F.col(name) * round(w * 100) / 100.0
+        total = (term if exact is None else exact / 100.0 + term) if total is None else total + term
+    return exact / 100.0 if total is None else total
 
 
 def clusters(controls: DataFrame, radius: float, size: int) -> DataFrame:
@@ -182,5 +195,5 @@ def fitness_parts(controls: DataFrame, candidates: DataFrame, target: float, cli
 def score(parts: DataFrame, fitness: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """(course_id, fitness) from criteria (fitness_parts, or any columns beside course_id): by the forest weights, or as a function of the user's says. It gets the
     criteria and returns a column expression, which stays in the plan; null counts as 0."""
-    value = weighted(FOREST) if fitness is None else fitness(parts)
+    value = weighted(FOREST, WHOLE_FITNESS) if fitness is None else fitness(parts)
     return parts.select("course_id", F.coalesce(value.cast("double"), F.lit(0.0)).alias("fitness"))

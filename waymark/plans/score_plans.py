@@ -118,7 +118,7 @@ def _scored(s, d):
         F.when(F.col("n") < 2, 50).otherwise(F.greatest(F.lit(0), 100 - F.col("fine"))).alias("control_distance"), F.when(F.col("n") < 3, 50.0).otherwise(F.least(F.lit(1.0), F.col("variety") / 2) * 100).alias("variety"),
         F.when(cv.isNull(), 50).otherwise(first([(cv < 0.2, 100), (cv < 0.3, 85), (cv < 0.4, 70), (cv < 0.5, 55)], 40)).alias("balance"), F.lit(70).alias("safety"),
     )
-    return parts.withColumn("total", R.weighted(R.WEIGHTS))
+    return parts.withColumn("total", R.weighted(R.WEIGHTS, R.WHOLE))
 
 
 @query("A18_course_scores", _LC + _NEAR + _HEAT + _QUALITY + _SCORED + f""", m AS (SELECT *, total * 0.8 + terrain * 0.2 AS with_model FROM st JOIN tq USING (course_id))
@@ -180,20 +180,20 @@ _FIT = _LC + _NEAR + _HEAT + _QUALITY + _SHAPE
 def a36(s, d):
     """Nine criteria with the weights of forest courses."""
     p = R.fitness_parts(_c(s, d), _k(s, d), TARGET, CLIMB, COUNT, 25.0, 60.0, 1500.0, _heat(s, d))
-    return p.select("course_id", R.half_away(R.weighted(R.FOREST), 3).alias("fitness"))
+    return p.select("course_id", R.half_away(R.weighted(R.FOREST, R.WHOLE_FITNESS), 3).alias("fitness"))
 
 
 @query("A36_sprint_fitness", _FIT + _parts_sql(25, 30, 150) + f" SELECT course_id, round({_total_sql(R.SPRINT)}, 3) AS fitness FROM fp")
 def a36_sprint(s, d):
     """With the weights of sprints: long legs in place of the climb."""
     p = R.fitness_parts(_c(s, d), _k(s, d), TARGET, CLIMB, COUNT, 25.0, 30.0, 150.0, _heat(s, d))
-    return p.select("course_id", R.half_away(R.weighted(R.SPRINT), 3).alias("fitness"))
+    return p.select("course_id", R.half_away(R.weighted(R.SPRINT, R.WHOLE_FITNESS), 3).alias("fitness"))
 
 
 @query("T09_fittest", _FIT + _parts_sql(25, 60, 1500) + f", z AS (SELECT course_id % 10 AS event, course_id, round({_total_sql(R.FOREST)}, 2) AS fitness FROM fp) SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY event ORDER BY fitness DESC, course_id) <= 10")
 def t09(s, d):
     """The ten fittest courses of each event: the limit is the report's."""
-    p = R.fitness_parts(_c(s, d), _k(s, d), TARGET, CLIMB, COUNT, 25.0, 60.0, 1500.0, _heat(s, d)).select((F.col("course_id") % 10).alias("event"), "course_id", R.half_away(R.weighted(R.FOREST), 2).alias("fitness"))
+    p = R.fitness_parts(_c(s, d), _k(s, d), TARGET, CLIMB, COUNT, 25.0, 60.0, 1500.0, _heat(s, d)).select((F.col("course_id") % 10).alias("event"), "course_id", R.half_away(R.weighted(R.FOREST, R.WHOLE_FITNESS), 2).alias("fitness"))
     w = Window.partitionBy("event").orderBy(F.desc("fitness"), "course_id")
     return p.withColumn("place", F.row_number().over(w)).where("place <= 10").select("event", "course_id", "fitness")
 
