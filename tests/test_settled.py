@@ -5,8 +5,8 @@ import pytest
 
 from tests.conftest import DATA
 from waymark.operators import scores
-import waymark.registry  # noqa: F401
-from waymark.plans import score_plans  # noqa: I001
+from waymark.registry import ORACLE, QUERIES
+from waymark.plans import network_plans, score_plans  # noqa: I001  after the registry
 
 
 @pytest.fixture
@@ -47,3 +47,52 @@ def test_whole_parts_are_weighed_exactly(spark):
     both = spark.createDataFrame([(85.0, 70.0, 1.25)], "climb double, balance double, variety double")
     weights = {"climb": 0.15, "balance": 0.07, "variety": 0.2}
     assert both.select(scores.weighted(weights, scores.WHOLE)).first()[0] == con.execute("SELECT 85 * 0.15 + 70 * 0.07 + 1.25::DOUBLE * 0.2").fetchone()[0]
+
+
+def test_report_looks_at_all_routes(spark, agree, tmp_path):
+    """Legs of more than five streets, and routes that go far round, count in the report's route choice (C11): held against a listing of all ways in areas of one row
+    of crossings and of two."""
+    lines, course = [], [0] * 16
+
+    def add(area, *places):
+        lines.extend((area + 16 * course[area], n, 20 * x, 20 * y) for n, (x, y) in enumerate(places))
+        course[area] += 1
+
+    for area in range(16):
+        for x in range(10):
+            for y in range(1 + area % 2):
+                add(area, (x, y))  # a course of one control: a crossing, no leg
+        for x in range(4):
+            add(area, (x, 0), (x + 6, 0))
+            add(area, (x, 0), (x + 1, 0))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l (l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT)")
+    con.executemany("INSERT INTO l VALUES (?, ?, ?, ?)", lines)
+    con.execute(f"COPY (SELECT *, 1.0::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice, TIMESTAMP '1996-01-01' AS l_shipdate FROM l) TO '{tmp_path}/lineitem.parquet'")
+    for t in ("part", "supplier"):
+        con.execute(f"COPY (SELECT * FROM '{DATA}/{t}.parquet' LIMIT 1) TO '{tmp_path}/{t}.parquet'")
+    tables = {t: f"{tmp_path}/{t}.parquet" for t in ("lineitem", "part", "supplier")}
+    ways = {}
+    for e in network_plans._streets(spark, str(tmp_path)).collect():
+        for a, b in ((e.src, e.dst), (e.dst, e.src)):
+            ways.setdefault((e.area_id, a), []).append((b, max(round(e.weight * 1e6), 1)))
+
+    def all_ways(area, path, end, units):
+        if path[-1] == end:
+            yield units, path
+        for node, more in ways.get((area, path[-1]), []) if path[-1] != end else []:
+            if node not in path:
+                yield from all_ways(area, [*path, node], end, units + more)
+
+    want, far = {}, 0
+    for leg in network_plans._legs(spark, str(tmp_path)).where("next IS NOT NULL").collect():
+        best = sorted(all_ways(leg.area_id, [leg.node], leg.next, 0))[:3]
+        streets = [{frozenset(s) for s in zip(p, p[1:])} for _, p in best]
+        gaps = [1 - len(a & b) / len(a | b) for i, a in enumerate(streets) for b in streets[i + 1 :]]
+        want[leg.course_id] = int(bool(best) and (sum(gaps) / len(gaps) if gaps else 0.0) < 0.25)
+        far += want[leg.course_id] and len(best[0][1]) > 6
+    assert far and not all(want.values())
+    report = QUERIES["A14_full_report"](spark, str(tmp_path)).persist()
+    agree(report, ORACLE["A14_full_report"], tables)
+    others = [r.course_id for n in ("A14_issues", "P27_feature_rules") for r in QUERIES[n](spark, str(tmp_path)).where("severity = 'WARNING'").collect()]
+    assert {r.course_id: r.warnings - others.count(r.course_id) for r in report.collect() if r.course_id in want} == want

@@ -223,10 +223,11 @@ def _ends(front: DataFrame, e: DataFrame, rounds: int) -> DataFrame:
 
 def diversity(found: DataFrame) -> DataFrame:
     """(area_id, src, dst, diversity): the mean over pairs of a leg's routes of 1 less the share of edges they have in common; 0 with
-    one route."""
+    one route. Pairs are added up in their order."""
     at = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.concat_ws("|", F.least(F.element_at("path", i), F.element_at("path", i + 1)), F.greatest(F.element_at("path", i), F.element_at("path", i + 1))))
     r = found.select("area_id", "src", "dst", "place", at.alias("es"))
     gap = 1 - F.size(F.array_intersect("a.es", "b.es")) / F.size(F.array_union("a.es", "b.es"))
     on = F.expr("a.area_id = b.area_id AND a.src = b.src AND a.dst = b.dst AND a.place < b.place")
-    pairs = r.alias("a").join(r.alias("b"), on).groupBy(F.col("a.area_id").alias("area_id"), F.col("a.src").alias("src"), F.col("a.dst").alias("dst")).agg(F.avg(gap).alias("d"))
+    pairs = r.alias("a").join(r.alias("b"), on).groupBy(F.col("a.area_id").alias("area_id"), F.col("a.src").alias("src"), F.col("a.dst").alias("dst")).agg(F.array_sort(F.collect_list(F.struct(F.col("a.place").alias("p"), F.col("b.place").alias("q"), gap.alias("gap")))).alias("d"))
+    pairs = pairs.withColumn("d", F.aggregate("d", F.lit(0.0), lambda acc, p: acc + p["gap"]) / F.size("d"))
     return found.select("area_id", "src", "dst").distinct().join(pairs, ["area_id", "src", "dst"], "left").select("area_id", "src", "dst", F.coalesce("d", F.lit(0.0)).alias("diversity"))

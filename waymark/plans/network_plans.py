@@ -95,35 +95,77 @@ def g03(s, d):
     return _found(s, d).select("area_id", "src", "dst", "place", F.round("metres", 2).alias("metres"), F.array_join("path", "-").alias("path"))
 
 
+def _all_found(s, d):
+    legs = _legs(s, d).where("next IS NOT NULL").select("area_id", F.col("node").alias("src"), F.col("next").alias("dst"))
+    return G.k_shortest(_streets(s, d), legs, 3)
+
+
 @query("G03_all_routes")
 def g03_all(s, d):
     """The three shortest routes of each leg, however far they go round. SQL would have to list all ways; tests hold the operator against that on small graphs."""
-    legs = _legs(s, d).where("next IS NOT NULL").select("area_id", F.col("node").alias("src"), F.col("next").alias("dst"))
-    return G.k_shortest(_streets(s, d), legs, 3).select("area_id", "src", "dst", "place", F.round("metres", 2).alias("metres"), F.array_join("path", "-").alias("path"))
+    return _all_found(s, d).select("area_id", "src", "dst", "place", F.round("metres", 2).alias("metres"), F.array_join("path", "-").alias("path"))
+
+
+_CHOICE = f"""SELECT course_id, mord AS ord, round(coalesce(dv, 0), 4) AS diversity FROM lg JOIN al ON al.area_id = lg.area_id AND al.src = lg.node AND al.dst = lg.next LEFT JOIN dv ON dv.area_id = lg.area_id AND dv.src = lg.node AND dv.dst = lg.next
+  WHERE {geo.hav_sql('lng', 'lat', 'mlng', 'mlat')} >= 80 AND coalesce(dv, 0) < 0.25"""
+
+
+def _choice(s, d, found):
+    """Legs of 80 m or more of whose best routes, as found, hardly any two differ."""
+    dv = G.diversity(found)
+    legs = _legs(s, d).where("next IS NOT NULL").where(geo.haversine(*map(F.col, ("lng", "lat", "mlng", "mlat"))) >= 80).select("area_id", "course_id", F.col("mord").alias("ord"), F.col("node").alias("src"), F.col("next").alias("dst"))
+    return legs.join(dv, ["area_id", "src", "dst"]).where("diversity < 0.25").select("course_id", "ord", F.round("diversity", 4).alias("diversity"))
 
 
 @query("G06_A38_route_choice", _SQL + _WAYS + _PATHS + f""", es AS (SELECT area_id, src, dst, place, list_transform(range(1, len(path)), lambda i: least(path[i], path[i + 1]) * 10000000000 + greatest(path[i], path[i + 1])) AS es FROM kr),
   dv AS (SELECT a.area_id, a.src, a.dst, avg(1 - len(list_intersect(a.es, b.es)) / len(list_distinct(list_concat(a.es, b.es)))) AS dv FROM es a JOIN es b ON a.area_id = b.area_id AND a.src = b.src AND a.dst = b.dst AND a.place < b.place GROUP BY ALL),
   al AS (SELECT DISTINCT area_id, src, dst FROM kr)
-  SELECT course_id, mord AS ord, round(coalesce(dv, 0), 4) AS diversity FROM lg JOIN al ON al.area_id = lg.area_id AND al.src = lg.node AND al.dst = lg.next LEFT JOIN dv ON dv.area_id = lg.area_id AND dv.src = lg.node AND dv.dst = lg.next
-  WHERE {geo.hav_sql('lng', 'lat', 'mlng', 'mlat')} >= 80 AND coalesce(dv, 0) < 0.25""")
+  {_CHOICE}""")
 def g06(s, d):
     """C11: legs of 80 m or more whose best routes hardly differ."""
-    dv = G.diversity(_found(s, d))
-    legs = _legs(s, d).where("next IS NOT NULL").where(geo.haversine(*map(F.col, ("lng", "lat", "mlng", "mlat"))) >= 80).select("area_id", "course_id", F.col("mord").alias("ord"), F.col("node").alias("src"), F.col("next").alias("dst"))
-    return legs.join(dv, ["area_id", "src", "dst"]).where("diversity < 0.25").select("course_id", "ord", F.round("diversity", 4).alias("diversity"))
-
-
+    return _choice(s, d, _found(s, d))
+
+
+#: The three shortest routes of each leg without a limit, by spurs. pt: shortest ways of all sources; k1: each leg's first, with what the third takes at most (of ways over one street, where three
+#: have no crossing twice); e1 and e2: searches from the crossings of the first and of the second route on, without the streets by which routes of the same start go on. Units are micrometres.
+_ON = "{'u': f.z.u + t.units, 'p': list_append(f.z.p, t.dst), 'a': list_append(f.z.a, f.z.u + t.units)}"
+
+
+def _spurs(name: str, of: str) -> str:
+    return f"""{name}(area_id, src, dst, i, node, z, shut, most) USING KEY (area_id, src, dst, i, node) AS (SELECT area_id, src, dst, i, z.p[i], z, shut, most FROM {of} UNION
+    SELECT f.area_id, f.src, f.dst, f.i, t.dst, min({_ON}), any_value(f.shut), any_value(f.most) FROM {name} f JOIN tu t ON t.area_id = f.area_id AND t.src = f.node JOIN pt g ON g.area_id = f.area_id AND g.source = f.dst AND g.node = t.dst
+      LEFT JOIN recurring.{name} r ON r.area_id = f.area_id AND r.src = f.src AND r.dst = f.dst AND r.i = f.i AND r.node = t.dst
+    WHERE f.node <> f.dst AND NOT list_contains(f.z.p, t.dst) AND NOT (len(f.z.p) = f.i AND list_contains(f.shut, t.dst)) AND f.z.u + t.units + g.z.u <= f.most AND (r.z IS NULL OR {_ON} < r.z) GROUP BY ALL)"""
+
+
+_START = "{'u': q.a[i], 'p': q.p[1:i], 'a': q.a[1:i]} AS z"
+_ALL_WAYS = f""", tu AS MATERIALIZED (SELECT area_id, src, dst, greatest(CAST(round(weight * 1e6) AS BIGINT), 1) AS units FROM two),
+  pt(area_id, source, node, z) USING KEY (area_id, source, node) AS (SELECT area_id, node, node, {{'u': 0::BIGINT, 'p': [node], 'a': [0::BIGINT]}} FROM nodes UNION
+    SELECT f.area_id, f.source, t.dst, min({_ON}) FROM pt f JOIN tu t ON t.area_id = f.area_id AND t.src = f.node LEFT JOIN recurring.pt r ON r.area_id = f.area_id AND r.source = f.source AND r.node = t.dst WHERE r.z IS NULL OR {_ON} < r.z GROUP BY ALL),
+  rt AS MATERIALIZED (SELECT DISTINCT area_id, node AS src, next AS dst FROM lg WHERE next IS NOT NULL AND node <> next),
+  cw AS (SELECT DISTINCT rt.*, a.z.u + t.units + b.z.u AS units, list_concat(a.z.p, list_reverse(b.z.p)) AS path FROM rt JOIN pt a ON a.area_id = rt.area_id AND a.source = rt.src JOIN tu t ON t.area_id = a.area_id AND t.src = a.node
+    JOIN pt b ON b.area_id = rt.area_id AND b.source = rt.dst AND b.node = t.dst WHERE len(list_distinct(path)) = len(path)),
+  k1 AS MATERIALIZED (SELECT rt.*, pt.z, coalesce(third, 9000000000000000000) AS most FROM rt JOIN pt ON pt.area_id = rt.area_id AND pt.source = rt.src AND pt.node = rt.dst
+    LEFT JOIN (SELECT area_id, src, dst, min(units, 3)[3] AS third FROM cw GROUP BY ALL) c ON c.area_id = rt.area_id AND c.src = rt.src AND c.dst = rt.dst),
+  s1 AS (SELECT area_id, src, dst, i, {_START}, [q.p[i + 1]] AS shut, most FROM (SELECT area_id, src, dst, most, z AS q, unnest(range(1, len(z.p))) AS i FROM k1)), {_spurs('e1', 's1')},
+  c1 AS MATERIALIZED (SELECT area_id, src, dst, i, z, most FROM e1 WHERE node = dst), k2 AS MATERIALIZED (SELECT area_id, src, dst, min((z, i)) AS b, any_value(most) AS most FROM c1 GROUP BY ALL),
+  s2 AS (SELECT area_id, src, dst, i, {_START}, CASE WHEN i = turn THEN [q.p[i + 1], k1.z.p[i + 1]] ELSE [q.p[i + 1]] END AS shut, s.most FROM (SELECT area_id, src, dst, most, b[1] AS q, b[2] AS turn, unnest(range(b[2], len(b[1].p))) AS i FROM k2) s JOIN k1 USING (area_id, src, dst)), {_spurs('e2', 's2')},
+  k3 AS (SELECT area_id, src, dst, min(z) AS z FROM (SELECT area_id, src, dst, z FROM e2 WHERE node = dst UNION ALL SELECT area_id, src, dst, z FROM c1 JOIN k2 USING (area_id, src, dst) WHERE i <> b[2]) GROUP BY ALL),
+  kw AS (SELECT area_id, src, dst, 1 AS place, z.u AS units, z.p AS path FROM k1 UNION ALL SELECT area_id, src, dst, 2, b[1].u, b[1].p FROM k2 UNION ALL SELECT area_id, src, dst, 3, z.u, z.p FROM k3),
+  es AS (SELECT area_id, src, dst, place, list_transform(range(1, len(path)), lambda i: least(path[i], path[i + 1]) * 10000000000 + greatest(path[i], path[i + 1])) AS es FROM kw),
+  dv AS (SELECT a.area_id, a.src, a.dst, avg(1 - len(list_intersect(a.es, b.es)) / len(list_distinct(list_concat(a.es, b.es))) ORDER BY a.place, b.place) AS dv FROM es a JOIN es b ON a.area_id = b.area_id AND a.src = b.src AND a.dst = b.dst AND a.place < b.place GROUP BY ALL),
+  al AS (SELECT area_id, src, dst FROM k1)"""
 _ALL = f"""i AS (SELECT course_id, severity, code FROM ({ORACLE['A14_issues']}) UNION ALL SELECT course_id, 'ERROR', 'C08' FROM ({ORACLE['C08_out_of_bounds']})
-  UNION ALL SELECT course_id, severity, code FROM ({ORACLE['P27_feature_rules']}) UNION ALL SELECT course_id, 'WARNING', 'C11' FROM ({ORACLE['G06_A38_route_choice']}))"""
+  UNION ALL SELECT course_id, severity, code FROM ({ORACLE['P27_feature_rules']}) UNION ALL SELECT course_id, 'WARNING', 'C11' FROM ({_SQL}{_WAYS}{_ALL_WAYS} {_CHOICE}))"""
 
 
 @query("A14_full_report", f"""WITH {_ALL}, g AS (SELECT course_id, count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARNING') AS warnings FROM i GROUP BY course_id)
   SELECT course_id, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, greatest(0, 100 - 15 * coalesce(errors, 0) - 5 * coalesce(warnings, 0)) AS score, coalesce(errors, 0) = 0 AS compliant, coalesce(errors, 0) = 0 AND coalesce(warnings, 0) <= 2 AS strict
   FROM (SELECT DISTINCT course_id FROM ({_CONTROLS})) LEFT JOIN g USING (course_id)""")
 def full_report(s, d):
-    """One report for each course from all fourteen rules: legs and the whole course (C00 to C07, C12), forbidden ground (C08), features (C10, C13), route choice (C11)."""
+    """One report for each course from all fourteen rules: legs and the whole course (C00 to C07, C12), forbidden ground (C08), features (C10, C13), route choice (C11: of each leg's three shortest
+    routes, however far they go round)."""
     ground = c08(s, d).select("course_id", F.lit("ERROR").alias("severity"))
-    choice = g06(s, d).select("course_id", F.lit("WARNING").alias("severity"))
+    choice = _choice(s, d, _all_found(s, d)).select("course_id", F.lit("WARNING").alias("severity"))
     out = C.report(derived(s, d, "controls"), ground, p27(s, d), choice)
     return out.withColumn("strict", F.col("compliant") & (F.col("warnings") <= 2))
