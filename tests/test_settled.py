@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from waymark.operators import scores
+from waymark.operators import scores, spatial
 from waymark.registry import ORACLE, QUERIES
 from waymark.plans import network_plans, score_plans  # noqa: I001  after the registry
 
@@ -96,3 +97,26 @@ def test_report_looks_at_all_routes(spark, agree, tmp_path):
     agree(report, ORACLE["A14_full_report"], tables)
     others = [r.course_id for n in ("A14_issues", "P27_feature_rules") for r in QUERIES[n](spark, str(tmp_path)).where("severity = 'WARNING'").collect()]
     assert {r.course_id: r.warnings - others.count(r.course_id) for r in report.collect() if r.course_id in want} == want
+
+
+def test_expanded_is_the_join(spark, monkeypatch):
+    """Arrays of a key's rows give what a join of the rows gives, however many arrays a key has, and no array is long."""
+    monkeypatch.setattr(spatial, "CHUNK", 4)
+    monkeypatch.setattr(spatial, "TASK_ROWS", 100)
+    left = spark.range(60).select((F.col("id") % 3).alias("k"), F.col("id").alias("a"))
+    right = spark.range(90).select(F.when(F.col("id") < 70, 0).otherwise(F.col("id") % 4).alias("to"), F.when(F.col("id") != 80, F.col("id")).alias("b"))
+    pairs = spark.createDataFrame([(0, 0, "x"), (0, 1, "y"), (1, 0, "z"), (2, 9, "none")], "k long, to long, more string")
+    got = spatial.expanded(pairs, left, ["k"], "a", right, ["to"], "b")
+    want = pairs.join(left, "k").join(right, "to").select(*got.columns)
+    assert got.count() == want.count() > 1000 and got.exceptAll(want).isEmpty()
+    assert got.rdd.getNumPartitions() == -(-want.count() // 100)
+    assert spatial.gathered(right, ["to"], "b").agg(F.max(F.size("b"))).first()[0] < 20
+
+
+@pytest.mark.parametrize("name", ["J22_path_crossings", "J24_nearest_vertex", "J26_navigation_edges"])
+def test_pairs_are_listed_by_many_tasks(spark, agree, name):
+    """Rows that grow with the square of a table are made by as many tasks as there are cores, though the table is one small file. The smallest data has no such rows."""
+    data = DATA.replace("sf0.001", "sf0.01")
+    df = QUERIES[name](spark, data)
+    agree(df, ORACLE[name], {t: f"{data}/{t}.parquet" for t in ("supplier", "part", "lineitem")})
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() >= 3
